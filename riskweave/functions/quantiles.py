@@ -75,25 +75,24 @@ def _ranks(p: float):
     return pos, F.floor(pos).cast("long"), F.ceil(pos).cast("long")
 
 
-def _refine(hot_x: DataFrame, hot: DataFrame, n_hot: int, gkeys, probs, final_rows, buckets):
-    ensure_checkpoint_dir(hot_x.sparkSession)
-    wanted = []
-    for p in probs.values():
-        _, lo, hi = _ranks(p)
-        wanted += [lo, hi]
-    state = (hot.select(*gkeys, "_lo", "_hi", "_n",
-                        F.explode(F.array_distinct(F.array(*wanted))).alias("_r"))
-             .select(*gkeys, "_r", F.col("_lo").alias("_a"), F.col("_hi").alias("_b"),
-                     F.lit(0).cast("long").alias("_below"), F.col("_n").alias("_cnt"))
-             .checkpoint(eager=True))
-    n_targets = n_hot * len(probs) * 2
+def select_ranks(x: DataFrame, gkeys: list[str], targets: DataFrame, n_targets: int,
+                 final_rows: int = FINAL_ROWS, buckets: int = BUCKETS) -> DataFrame:
+    """Values at 0-based ranks of ``_x`` within groups, without sorting a group.
 
-    active_cond = (F.col("_cnt") > final_rows) & (F.col("_a") < F.col("_b"))
+    ``x``: gkeys + ``_x`` (non-null double).  ``targets``: gkeys + ``_r`` +
+    ``_lo``/``_hi`` (the group's min and max).  Returns gkeys, ``_r``, ``_v``
+    (the value at that rank) and ``_lt`` (how many values are smaller).
+    """
+    ensure_checkpoint_dir(x.sparkSession)
+    state = (targets.select(*gkeys, "_r", F.col("_lo").alias("_a"), F.col("_hi").alias("_b"),
+                            F.lit(0).cast("long").alias("_below"), F.lit(None).cast("long").alias("_cnt"))
+             .checkpoint(eager=True))
+    active_cond = (F.coalesce(F.col("_cnt"), F.lit(final_rows + 1)) > final_rows) & (F.col("_a") < F.col("_b"))
     for _ in range(MAX_PASSES):
         active = state.where(active_cond)
         if active.isEmpty():
             break
-        rows = (hot_x.join(sized_broadcast(active, n_targets), gkeys)
+        rows = (x.join(sized_broadcast(active, n_targets), gkeys)
                 .where(F.col("_x").between(F.col("_a"), F.col("_b"))))
         bucket = F.least(F.lit(buckets - 1),
                          F.floor((F.col("_x") - F.col("_a")) / (F.col("_b") - F.col("_a"))
@@ -101,6 +100,7 @@ def _refine(hot_x: DataFrame, hot: DataFrame, n_hot: int, gkeys, probs, final_ro
         hist = (rows.groupBy(*gkeys, "_r", "_below", bucket.alias("_bucket"))
                 .agg(F.count(F.lit(1)).alias("_c"), F.min("_x").alias("_bmin"),
                      F.max("_x").alias("_bmax")))
+        # at most ``buckets`` rows per (group, rank): a bounded window
         w = (Window.partitionBy(*gkeys, "_r").orderBy("_bucket")
              .rowsBetween(Window.unboundedPreceding, -1))
         hist = hist.withColumn("_start", F.col("_below") + F.coalesce(F.sum("_c").over(w), F.lit(0)))
@@ -110,17 +110,28 @@ def _refine(hot_x: DataFrame, hot: DataFrame, n_hot: int, gkeys, probs, final_ro
                           F.col("_start").alias("_below"), F.col("_c").alias("_cnt")))
         state = state.where(~active_cond).unionByName(chosen).checkpoint(eager=True)
 
-    point = state.where(F.col("_a") == F.col("_b")).select(*gkeys, "_r", F.col("_a").alias("_v"))
+    point = state.where(F.col("_a") == F.col("_b")).select(
+        *gkeys, "_r", F.col("_a").alias("_v"), F.col("_below").alias("_lt"))
     spread = state.where(F.col("_a") < F.col("_b"))
-    rows = (hot_x.join(sized_broadcast(spread, n_targets), gkeys)
+    rows = (x.join(sized_broadcast(spread, n_targets), gkeys)
             .where(F.col("_x").between(F.col("_a"), F.col("_b"))))
     vc = rows.groupBy(*gkeys, "_r", "_below", "_x").agg(F.count(F.lit(1)).alias("_c"))
     w = (Window.partitionBy(*gkeys, "_r").orderBy("_x")
          .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     vc = vc.withColumn("_end", F.col("_below") + F.sum("_c").over(w))
     picked = (vc.where((F.col("_end") - F.col("_c") <= F.col("_r")) & (F.col("_r") < F.col("_end")))
-              .select(*gkeys, "_r", F.col("_x").alias("_v")))
-    values = (point.unionByName(picked).groupBy(*gkeys)
+              .select(*gkeys, "_r", F.col("_x").alias("_v"), (F.col("_end") - F.col("_c")).alias("_lt")))
+    return point.unionByName(picked)
+
+
+def _refine(hot_x: DataFrame, hot: DataFrame, n_hot: int, gkeys, probs, final_rows, buckets):
+    wanted = []
+    for p in probs.values():
+        _, lo, hi = _ranks(p)
+        wanted += [lo, hi]
+    targets = hot.select(*gkeys, "_lo", "_hi", F.explode(F.array_distinct(F.array(*wanted))).alias("_r"))
+    found = select_ranks(hot_x, gkeys, targets, n_hot * len(probs) * 2, final_rows, buckets)
+    values = (found.groupBy(*gkeys)
               .agg(F.map_from_entries(F.collect_list(F.struct("_r", "_v"))).alias("_m")))
     out = values.join(hot.select(*gkeys, "_n"), gkeys)
     cols = []
