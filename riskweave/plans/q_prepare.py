@@ -133,3 +133,19 @@ def feature_processor():
 def q_feature_table(spark, sf):
     o = table(spark, sf, "orders")
     return rounded(feature_processor().fit_transform(o), 6)
+
+
+@register("knn_impute", f"""WITH {EVENTS_NULLS_SQL},
+x AS (SELECT event_id, CAST(user_id AS DOUBLE) AS u, CAST(hour(ts) AS DOUBLE) AS h, value FROM events_n),
+r AS (SELECT * FROM x WHERE value IS NULL OR isnan(value)),
+d AS (SELECT * FROM x WHERE value IS NOT NULL AND NOT isnan(value)),
+p AS (SELECT r.event_id AS rid, d.event_id AS did, d.value AS v,
+             sqrt(3.0 / 2 * ((r.u - d.u) * (r.u - d.u) + (r.h - d.h) * (r.h - d.h))) AS dist FROM r, d),
+k AS (SELECT rid, v, row_number() OVER (PARTITION BY rid ORDER BY dist, did) AS rn FROM p),
+f AS (SELECT rid, avg(v) AS fill FROM k WHERE rn <= 5 GROUP BY rid)
+SELECT x.event_id, round(coalesce(x.value, f.fill), 6) AS value FROM x LEFT JOIN f ON f.rid = x.event_id""")
+def q_knn(spark, sf):
+    from pyspark.sql import functions as F
+    from riskweave.operators.knn import knn_impute
+    e = events_with_nulls(spark, sf).select("event_id", "user_id", F.hour("ts").alias("hour"), "value")
+    return rounded(knn_impute(e, ["user_id", "hour", "value"], "event_id", 5).select("event_id", "value"), 6)
