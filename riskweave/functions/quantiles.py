@@ -25,7 +25,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskweave.functions.exprs import sized_broadcast, with_constant_key
-from riskweave.session import ensure_checkpoint_dir
 
 HOT_ROWS = 1_000_000      # groups larger than this avoid the one-task merge
 FINAL_ROWS = 100_000      # an interval this small is ranked directly
@@ -52,21 +51,18 @@ def quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, float
 
     sizes = x.groupBy(*gkeys).agg(F.count(F.lit(1)).alias("_n"), F.min("_x").alias("_lo"),
                                   F.max("_x").alias("_hi"))
-    hot = sizes.where(F.col("_n") > hot_rows)
+    hot = _keep(sizes.where(F.col("_n") > hot_rows))  # at most rows / hot_rows groups
     n_hot = hot.count()
-    exact = [F.percentile("_x", F.lit(p)).alias(n) for n, p in probs.items()]
+    # one value map per group for all probabilities
+    arr = F.percentile("_x", F.array(*[F.lit(float(p)) for p in probs.values()])).alias("_q")
+    exact = [F.col("_q")[i].alias(n) for i, n in enumerate(probs)]
     if n_hot == 0:
-        out = x.groupBy(*gkeys).agg(*exact)
+        out = x.groupBy(*gkeys).agg(arr).select(*gkeys, *exact)
     else:
         hot_keys = sized_broadcast(hot.select(*gkeys), n_hot)
-        cold = x.join(hot_keys, gkeys, "left_anti").groupBy(*gkeys).agg(*exact)
-        hot_x = x.join(hot_keys, gkeys, "left_semi").persist(StorageLevel.MEMORY_AND_DISK)
-        try:
-            out = cold.unionByName(
-                _refine(hot_x, hot, n_hot, gkeys, probs, final_rows, buckets))
-            out = out.checkpoint(eager=True)
-        finally:
-            hot_x.unpersist()
+        cold = x.join(hot_keys, gkeys, "left_anti").groupBy(*gkeys).agg(arr).select(*gkeys, *exact)
+        hot_x = x.join(hot_keys, gkeys, "left_semi")
+        out = cold.unionByName(_refine(hot_x, hot, n_hot, gkeys, probs, final_rows, buckets))
     return out.drop("_all") if synthetic else out
 
 
@@ -82,46 +78,64 @@ def select_ranks(x: DataFrame, gkeys: list[str], targets: DataFrame, n_targets:
     ``x``: gkeys + ``_x`` (non-null double).  ``targets``: gkeys + ``_r`` +
     ``_lo``/``_hi`` (the group's min and max).  Returns gkeys, ``_r``, ``_v``
     (the value at that rank) and ``_lt`` (how many values are smaller).
+
+    Ranks that currently share an interval share its histogram: each pass
+    scans the rows once per distinct interval (fan-out 1 in practice), not
+    once per wanted rank.
     """
-    ensure_checkpoint_dir(x.sparkSession)
-    state = (targets.select(*gkeys, "_r", F.col("_lo").alias("_a"), F.col("_hi").alias("_b"),
-                            F.lit(0).cast("long").alias("_below"), F.lit(None).cast("long").alias("_cnt"))
-             .checkpoint(eager=True))
+    ival = [*gkeys, "_a", "_b", "_below"]
+    state = _keep(targets.select(*gkeys, "_r", F.col("_lo").alias("_a"), F.col("_hi").alias("_b"),
+                                 F.lit(0).cast("long").alias("_below"), F.lit(None).cast("long").alias("_cnt")))
+    kept = [state]
     active_cond = (F.coalesce(F.col("_cnt"), F.lit(final_rows + 1)) > final_rows) & (F.col("_a") < F.col("_b"))
     for _ in range(MAX_PASSES):
         active = state.where(active_cond)
         if active.isEmpty():
             break
-        rows = (x.join(sized_broadcast(active, n_targets), gkeys)
+        intervals = active.select(*ival).distinct()
+        rows = (x.join(sized_broadcast(intervals, n_targets), gkeys)
                 .where(F.col("_x").between(F.col("_a"), F.col("_b"))))
         bucket = F.least(F.lit(buckets - 1),
                          F.floor((F.col("_x") - F.col("_a")) / (F.col("_b") - F.col("_a"))
                                  * F.lit(buckets)).cast("int"))
-        hist = (rows.groupBy(*gkeys, "_r", "_below", bucket.alias("_bucket"))
-                .agg(F.count(F.lit(1)).alias("_c"), F.min("_x").alias("_bmin"),
-                     F.max("_x").alias("_bmax")))
-        # at most ``buckets`` rows per (group, rank): a bounded window
-        w = (Window.partitionBy(*gkeys, "_r").orderBy("_bucket")
-             .rowsBetween(Window.unboundedPreceding, -1))
+        hist = (rows.groupBy(*ival, bucket.alias("_bucket"))
+                .agg(F.count(F.lit(1)).alias("_c"), F.min("_x").alias("_bmin"), F.max("_x").alias("_bmax")))
+        # at most ``buckets`` rows per interval: a bounded window
+        w = Window.partitionBy(*ival).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
         hist = hist.withColumn("_start", F.col("_below") + F.coalesce(F.sum("_c").over(w), F.lit(0)))
-        chosen = (hist.where((F.col("_start") <= F.col("_r"))
-                             & (F.col("_r") < F.col("_start") + F.col("_c")))
+        chosen = (active.select(*ival, "_r").join(hist, ival)
+                  .where((F.col("_start") <= F.col("_r")) & (F.col("_r") < F.col("_start") + F.col("_c")))
                   .select(*gkeys, "_r", F.col("_bmin").alias("_a"), F.col("_bmax").alias("_b"),
                           F.col("_start").alias("_below"), F.col("_c").alias("_cnt")))
-        state = state.where(~active_cond).unionByName(chosen).checkpoint(eager=True)
+        state = _keep(state.where(~active_cond).unionByName(chosen))
+        kept.append(state)
 
     point = state.where(F.col("_a") == F.col("_b")).select(
         *gkeys, "_r", F.col("_a").alias("_v"), F.col("_below").alias("_lt"))
     spread = state.where(F.col("_a") < F.col("_b"))
-    rows = (x.join(sized_broadcast(spread, n_targets), gkeys)
+    intervals = spread.select(*ival).distinct()
+    rows = (x.join(sized_broadcast(intervals, n_targets), gkeys)
             .where(F.col("_x").between(F.col("_a"), F.col("_b"))))
-    vc = rows.groupBy(*gkeys, "_r", "_below", "_x").agg(F.count(F.lit(1)).alias("_c"))
-    w = (Window.partitionBy(*gkeys, "_r").orderBy("_x")
-         .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    vc = rows.groupBy(*ival, "_x").agg(F.count(F.lit(1)).alias("_c"))
+    w = Window.partitionBy(*ival).orderBy("_x").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     vc = vc.withColumn("_end", F.col("_below") + F.sum("_c").over(w))
-    picked = (vc.where((F.col("_end") - F.col("_c") <= F.col("_r")) & (F.col("_r") < F.col("_end")))
+    picked = (spread.select(*ival, "_r").join(vc, ival)
+              .where((F.col("_end") - F.col("_c") <= F.col("_r")) & (F.col("_r") < F.col("_end")))
               .select(*gkeys, "_r", F.col("_x").alias("_v"), (F.col("_end") - F.col("_c")).alias("_lt")))
-    return point.unionByName(picked)
+    out = _keep(point.unionByName(picked))
+    for k in kept:
+        k.unpersist()
+    return out
+
+
+def _keep(df: DataFrame) -> DataFrame:
+    """Materialise a small state table (one row per group and rank).
+
+    Cached, not checkpointed: a lost block is recomputed from its lineage,
+    which is a handful of passes long."""
+    df = df.persist(StorageLevel.MEMORY_AND_DISK)
+    df.count()
+    return df
 
 
 def _refine(hot_x: DataFrame, hot: DataFrame, n_hot: int, gkeys, probs, final_rows, buckets):

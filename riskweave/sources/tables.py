@@ -15,9 +15,18 @@ DRIVER_TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "
                  "conversations")
 
 
-def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """Parquet scan of one driver table; Catalyst prunes columns and pushes filters."""
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+def read_table(spark: SparkSession, sf_dir: str, name: str, min_partitions: int | None = None) -> DataFrame:
+    """Parquet scan of one driver table; Catalyst prunes columns and pushes filters.
+
+    ``min_partitions`` spreads a scan that yields fewer tasks (a file written
+    as one row group scans as ONE task) with a round-robin exchange; off by
+    default because real inputs have one task per split and the exchange
+    costs more than it saves on small files.
+    """
+    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    if min_partitions and df.rdd.getNumPartitions() < min_partitions:
+        df = df.repartition(min_partitions)
+    return df
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType | None = None,
