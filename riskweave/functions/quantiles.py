@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskweave.functions.exprs import sized_broadcast, with_constant_key
+from riskweave.session import ensure_checkpoint_dir
 
 HOT_ROWS = 1_000_000      # groups larger than this avoid the one-task merge
 FINAL_ROWS = 100_000      # an interval this small is ranked directly
@@ -86,7 +87,6 @@ def select_ranks(x: DataFrame, gkeys: list[str], targets: DataFrame, n_targets:
     ival = [*gkeys, "_a", "_b", "_below"]
     state = _keep(targets.select(*gkeys, "_r", F.col("_lo").alias("_a"), F.col("_hi").alias("_b"),
                                  F.lit(0).cast("long").alias("_below"), F.lit(None).cast("long").alias("_cnt")))
-    kept = [state]
     active_cond = (F.coalesce(F.col("_cnt"), F.lit(final_rows + 1)) > final_rows) & (F.col("_a") < F.col("_b"))
     for _ in range(MAX_PASSES):
         active = state.where(active_cond)
@@ -108,7 +108,6 @@ def select_ranks(x: DataFrame, gkeys: list[str], targets: DataFrame, n_targets:
                   .select(*gkeys, "_r", F.col("_bmin").alias("_a"), F.col("_bmax").alias("_b"),
                           F.col("_start").alias("_below"), F.col("_c").alias("_cnt")))
         state = _keep(state.where(~active_cond).unionByName(chosen))
-        kept.append(state)
 
     point = state.where(F.col("_a") == F.col("_b")).select(
         *gkeys, "_r", F.col("_a").alias("_v"), F.col("_below").alias("_lt"))
@@ -122,20 +121,23 @@ def select_ranks(x: DataFrame, gkeys: list[str], targets: DataFrame, n_targets:
     picked = (spread.select(*ival, "_r").join(vc, ival)
               .where((F.col("_end") - F.col("_c") <= F.col("_r")) & (F.col("_r") < F.col("_end")))
               .select(*gkeys, "_r", F.col("_x").alias("_v"), (F.col("_end") - F.col("_c")).alias("_lt")))
-    out = _keep(point.unionByName(picked))
-    for k in kept:
-        k.unpersist()
-    return out
+    return _keep(point.unionByName(picked))
 
 
 def _keep(df: DataFrame) -> DataFrame:
-    """Materialise a small state table (one row per group and rank).
+    """Materialise a small state table (one row per group and rank) and cut
+    its lineage.
 
-    Cached, not checkpointed: a lost block is recomputed from its lineage,
-    which is a handful of passes long."""
-    df = df.persist(StorageLevel.MEMORY_AND_DISK)
-    df.count()
-    return df
+    Each refinement pass builds on the previous state twice, so an uncut
+    plan would double per pass.  The table is cached first so the reliable
+    checkpoint (written to the cluster's shared checkpoint folder, which
+    survives executor loss) reads it from memory instead of recomputing it.
+    """
+    ensure_checkpoint_dir(df.sparkSession)
+    cached = df.persist(StorageLevel.MEMORY_AND_DISK)
+    out = cached.checkpoint(eager=True)
+    cached.unpersist()
+    return out
 
 
 def _refine(hot_x: DataFrame, hot: DataFrame, n_hot: int, gkeys, probs, final_rows, buckets):
