@@ -153,6 +153,7 @@ class CustomerSegmenter:
         self.k, self.scaling, self.seed = n_clusters, scaling, seed
         self.features, self.n_init, self.max_iter = list(features), n_init, max_iter
         self.model = None
+        self.relabel: dict[int, int] = {}
         self.scale_params: DataFrame | None = None
 
     def _vectors(self, df: DataFrame) -> DataFrame:
@@ -183,6 +184,10 @@ class CustomerSegmenter:
                 if best is None or m.summary.trainingCost < best.summary.trainingCost:
                     best = m
             self.model = best
+            # MLlib numbers clusters arbitrarily: renumber by the centres' order
+            centers = [tuple(float(v) for v in c) for c in best.clusterCenters()]
+            order = sorted(range(len(centers)), key=lambda i: centers[i])
+            self.relabel = {old: new for new, old in enumerate(order)}
         finally:
             data.unpersist()
         return self
@@ -191,7 +196,8 @@ class CustomerSegmenter:
         if self.model is None:
             raise ValueError("Clustering model has not been fitted yet. Call fit() first.")
         out = self.model.transform(self._vectors(df)).drop("_features")
-        return out.withColumn("cluster", F.col("cluster").cast("int"))
+        mapping = F.create_map(*[F.lit(x) for kv in self.relabel.items() for x in kv])
+        return out.withColumn("cluster", mapping[F.col("cluster")].cast("int"))
 
     def fit_predict(self, df: DataFrame) -> DataFrame:
         return self.fit(df).predict(df)
@@ -200,7 +206,7 @@ class CustomerSegmenter:
         """K4: centres in original units (inverse scaling, F10)."""
         from riskweave.operators.prepare import apply_scaler
         spark = self.scale_params.sparkSession
-        rows = [(i, *[float(v) for v in c]) for i, c in enumerate(self.model.clusterCenters())]
+        rows = [(self.relabel[i], *[float(v) for v in c]) for i, c in enumerate(self.model.clusterCenters())]
         cdf = spark.createDataFrame(rows, ["cluster_id", *self.features])
         return apply_scaler(cdf, self.scale_params, inverse=True)
 
@@ -211,6 +217,7 @@ class CustomerSegmenter:
         from pyspark.ml.functions import vector_to_array
         pred = self.model.transform(self._vectors(df))
         centers = self.model.clusterCenters()
+        # raw (MLlib) cluster ids here: ``pred`` comes straight from the model
         cdf = df.sparkSession.createDataFrame([(i, [float(v) for v in c]) for i, c in enumerate(centers)],
                                               "cluster int, center array<double>")
         d = pred.join(F.broadcast(cdf), "cluster").select(
