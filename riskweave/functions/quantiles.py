@@ -52,14 +52,14 @@ def quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, float
 
     sizes = x.groupBy(*gkeys).agg(F.count(F.lit(1)).alias("_n"), F.min("_x").alias("_lo"),
                                   F.max("_x").alias("_hi"))
-    hot = _keep(sizes.where(F.col("_n") > hot_rows))  # at most rows / hot_rows groups
-    n_hot = hot.count()
+    n_hot = sizes.where(F.col("_n") > hot_rows).count()
     # one value map per group for all probabilities
     arr = F.percentile("_x", F.array(*[F.lit(float(p)) for p in probs.values()])).alias("_q")
     exact = [F.col("_q")[i].alias(n) for i, n in enumerate(probs)]
     if n_hot == 0:
         out = x.groupBy(*gkeys).agg(arr).select(*gkeys, *exact)
     else:
+        hot = _keep(sizes.where(F.col("_n") > hot_rows))  # at most rows / hot_rows groups
         hot_keys = sized_broadcast(hot.select(*gkeys), n_hot)
         cold = x.join(hot_keys, gkeys, "left_anti").groupBy(*gkeys).agg(arr).select(*gkeys, *exact)
         hot_x = x.join(hot_keys, gkeys, "left_semi")
