@@ -149,3 +149,15 @@ def q_knn(spark, sf):
     from riskweave.operators.knn import knn_impute
     e = events_with_nulls(spark, sf).select("event_id", "user_id", F.hour("ts").alias("hour"), "value")
     return rounded(knn_impute(e, ["user_id", "hour", "value"], "event_id", 5).select("event_id", "value"), 6)
+
+
+@register("feature_table_woe")
+def q_feature_table_woe(spark, sf):
+    """The processor with its WoE step: target 'order status F', WoE columns for
+    the first five numeric features with more than ten distinct values."""
+    from pyspark.sql import functions as F
+    o = table(spark, sf, "orders").withColumn("is_f", (F.col("o_orderstatus") == "F").cast("int"))
+    fp = FeatureProcessor("o_custkey", "o_orderdate", "o_totalprice", "is_f", imputation="median",
+                          encoding="onehot", scaling="standardize", id_rule=key_rule, keep_cols=("o_orderkey",),
+                          use_woe=True)
+    return rounded(fp.fit_transform(o), 6)

@@ -146,3 +146,20 @@ SELECT variable, round(pct_outliers, 2) AS pct_outliers,
        ELSE 'Likely legitimate outliers - keep or investigate individually' END AS treatment FROM iq""")
 def q_advice(spark, sf):
     return Q.outlier_advice(table(spark, sf, "lineitem"), L_NUM)
+
+
+@register("duplicate_sample", """
+WITH g AS (SELECT l_returnflag, l_linestatus, l_quantity FROM lineitem
+           GROUP BY l_returnflag, l_linestatus, l_quantity HAVING count(*) > 1
+           ORDER BY l_returnflag, l_linestatus, l_quantity LIMIT 10)
+SELECT l.l_returnflag, l.l_linestatus, l.l_quantity FROM lineitem l
+WHERE (l.l_returnflag, l.l_linestatus, l.l_quantity) IN (SELECT * FROM g)
+ORDER BY 1, 2, 3 LIMIT 10""")
+def q_dup_sample(spark, sf):
+    li = table(spark, sf, "lineitem").select("l_returnflag", "l_linestatus", "l_quantity")
+    return Q.duplicate_sample(li, ["l_returnflag", "l_linestatus", "l_quantity"], 10, 10)
+
+
+@register("missing_matrix_sample")
+def q_missing_matrix(spark, sf):
+    return Q.missing_matrix_sample(events_with_nulls(spark, sf), ["event_id"], None, 1000, 42)

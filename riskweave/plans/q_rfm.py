@@ -59,3 +59,13 @@ FROM information_schema.columns WHERE table_name = 'orders'
 """)
 def q_table_overview(spark, sf):
     return table_overview(table(spark, sf, "orders")).drop("spark_type")
+
+
+@register("dtype_frequency", """
+SELECT CASE data_type WHEN 'BIGINT' THEN 'bigint' WHEN 'VARCHAR' THEN 'string' WHEN 'DOUBLE' THEN 'double'
+                      WHEN 'TIMESTAMP' THEN 'timestamp_ntz' WHEN 'INTEGER' THEN 'int' ELSE lower(data_type) END AS dtype,
+       count(*) AS columns
+FROM information_schema.columns WHERE table_name = 'lineitem' GROUP BY 1""")
+def q_dtype_frequency(spark, sf):
+    from riskweave.operators.schema_ops import dtype_frequency
+    return dtype_frequency(table(spark, sf, "lineitem"))
