@@ -19,11 +19,12 @@ from riskweave.sources.tables import ensure_timestamp
 
 
 def _snapshot_literal(snapshot):
+    """A timestamp_ntz literal built from text, so no time zone is involved."""
     if isinstance(snapshot, str):
         snapshot = _dt.datetime.fromisoformat(snapshot)
     elif isinstance(snapshot, _dt.date) and not isinstance(snapshot, _dt.datetime):
         snapshot = _dt.datetime(snapshot.year, snapshot.month, snapshot.day)
-    return F.lit(snapshot).cast("timestamp_ntz")
+    return F.lit(snapshot.replace(tzinfo=None).isoformat(sep=" ")).cast("timestamp_ntz")
 
 
 def snapshot_date(tx: DataFrame, datetime_col: str, snapshot=None) -> DataFrame:
