@@ -258,3 +258,23 @@ def q_stream_score(spark, sf):
     q = ST.start_scoring(scored, f"{run}/out", "risk_scores_" + uuid.uuid4().hex[:8], f"{run}/ckpt")
     q.awaitTermination()
     return spark.read.parquet(f"{run}/out")
+
+
+@register("stream_rfm", """
+WITH s AS (SELECT max(o_orderdate) AS snap FROM orders)
+SELECT o_custkey,
+       CAST(floor((epoch_us(max(s.snap)) - epoch_us(max(o_orderdate))) / 86400000000.0) AS INTEGER) AS recency,
+       count(*) AS frequency, round(sum(abs(o_totalprice)), 2) AS monetary
+FROM orders, s WHERE o_custkey IS NOT NULL GROUP BY o_custkey""")
+def q_stream_rfm(spark, sf):
+    """RFM kept as streaming state: orders arrive as a file stream, a stateful
+    per-customer aggregate runs in update mode; the latest state per customer
+    equals the batch RFM."""
+    from riskweave.streaming import scoring as ST
+    o = table(spark, sf, "orders")
+    stream = ST.read_stream(spark, sf, o.schema, "orders.parquet")
+    run = f"{ensure_checkpoint_dir(spark).rstrip('/')}/stream-rfm-{uuid.uuid4().hex}"
+    q = ST.start_incremental_rfm(ST.incremental_rfm(stream, "o_custkey", "o_orderdate", "o_totalprice"),
+                                 f"{run}/state", "rfm_state_" + uuid.uuid4().hex[:8], f"{run}/ckpt")
+    q.awaitTermination()
+    return rounded(ST.read_rfm_state(spark, f"{run}/state", "o_custkey"), 2)

@@ -56,6 +56,37 @@ def start_scoring(scored: DataFrame, sink_dir: str, name: str = "risk_scores", c
 def incremental_rfm(stream: DataFrame, customer_col: str, datetime_col: str, amount_col: str) -> DataFrame:
     """Running per-customer last time, count and |amount| sum (update mode);
     recency is derived at read time against the chosen snapshot."""
-    return stream.groupBy(customer_col).agg(
-        F.max(datetime_col).alias("last_ts"), F.count(F.lit(1)).alias("frequency"),
-        F.sum(F.abs(F.col(amount_col))).alias("monetary"))
+    return (stream.where(F.col(customer_col).isNotNull()).groupBy(customer_col).agg(
+        F.max(datetime_col).cast("timestamp_ntz").alias("last_ts"), F.count(F.lit(1)).alias("frequency"),
+        F.coalesce(F.sum(F.abs(F.col(amount_col).cast("double"))), F.lit(0.0)).alias("monetary")))
+
+
+def start_incremental_rfm(state: DataFrame, sink_dir: str, name: str = "rfm_state",
+                          checkpoint: str | None = None, available_now: bool = True) -> StreamingQuery:
+    """Run the stateful aggregate; every micro-batch appends the customers it
+    changed, tagged with the batch id (the state itself lives in the state
+    store under the checkpoint)."""
+    spark = state.sparkSession
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.withColumn("batch_id", F.lit(batch_id)).write.mode("append").parquet(sink_dir)
+
+    w = (state.writeStream.outputMode("update").queryName(name).foreachBatch(write)
+         .option("checkpointLocation", _checkpoint(spark, name, checkpoint)))
+    w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="30 seconds")
+    return w.start()
+
+
+def read_rfm_state(spark: SparkSession, sink_dir: str, customer_col: str, snapshot_col_value=None) -> DataFrame:
+    """Latest row per customer (highest batch id) with recency against the
+    snapshot (default: the latest transaction time seen)."""
+    from pyspark.sql import Window
+    from riskweave.functions.exprs import floor_days_between
+    rows = spark.read.parquet(sink_dir)
+    # one row per customer per batch that touched it: a small window partition
+    w = Window.partitionBy(customer_col).orderBy(F.col("batch_id").desc())
+    latest = rows.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn", "batch_id")
+    snap = (latest.agg(F.max("last_ts").alias("_snap")) if snapshot_col_value is None
+            else spark.range(1).select(F.lit(snapshot_col_value).cast("timestamp_ntz").alias("_snap")))
+    return (latest.crossJoin(F.broadcast(snap))
+            .select(customer_col, floor_days_between("_snap", "last_ts").alias("recency"), "frequency", "monetary"))
