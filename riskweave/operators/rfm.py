@@ -2,8 +2,8 @@
 
 One hash aggregate per customer replaces the source project's per-customer
 rescan of the table.  The snapshot date, when not given, is the global
-maximum timestamp; it is derived from the per-customer maxima and joined as a
-one-row broadcast, so no value travels through the driver.
+maximum timestamp, computed as a one-row aggregate and joined as a one-row
+broadcast, so no value travels through the driver.
 """
 
 from __future__ import annotations
@@ -51,10 +51,9 @@ def rfm(tx: DataFrame, customer_col: str = "CustomerId", datetime_col: str = "Tr
                          F.count(F.lit(1)).alias("frequency"),
                          F.coalesce(F.sum(F.abs(F.col(amount_col).cast("double"))),
                                     F.lit(0.0)).alias("monetary")))
-    if snapshot is None:
-        snap = per_customer.agg(F.max("_last").alias("snapshot_date"))
-    else:
-        snap = snapshot_date(tx, datetime_col, snapshot)
+    # the default snapshot is the latest transaction of the whole table: a
+    # map-side max over one column (one row per task reaches the driver side)
+    snap = snapshot_date(tx, datetime_col, snapshot)
     out = per_customer.crossJoin(F.broadcast(snap)).select(
         customer_col,
         floor_days_between("snapshot_date", "_last").alias("recency"),
