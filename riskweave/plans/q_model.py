@@ -303,3 +303,13 @@ def q_stream_rfm(spark, sf):
                                  f"{run}/state", "rfm_state_" + uuid.uuid4().hex[:8], f"{run}/ckpt")
     q.awaitTermination()
     return rounded(ST.read_rfm_state(spark, f"{run}/state", "o_custkey"), 2)
+
+
+@register("random_search")
+def q_random_search(spark, sf):
+    """Random search with the default decision-tree space and 20 draws (seed 42)."""
+    from riskweave.operators.tuning import HyperparameterTuner
+    train, _, _ = _split_labelled(spark, sf)
+    t = HyperparameterTuner(cv=5, seed=42, key_cols=["o_orderkey"])
+    t.random_search("decision_tree", train, feature_cols(train), LABEL, n_iter=20)
+    return t.results_summary(spark)
