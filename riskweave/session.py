@@ -51,6 +51,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
-        configured = tempfile.mkdtemp(prefix="riskweave-ckpt-")
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is not set: point it at a folder shared by the cluster "
+                             "(HDFS, object store); a machine-local folder does not survive executor loss")
+        configured = tempfile.mkdtemp(prefix="riskweave-ckpt-")  # local mode only (tests, bench)
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir()
