@@ -117,7 +117,7 @@ def q_iqr(spark, sf):
 
 
 @register("zscore_outliers", "WITH " + BOUNDS + """
-SELECT variable, 3.0 AS threshold, n_outliers, round(n_outliers * 100.0 / n, 4) AS pct_outliers,
+SELECT variable, CAST(3.0 AS DOUBLE) AS threshold, n_outliers, round(n_outliers * 100.0 / n, 4) AS pct_outliers,
        round(min_outlier, 4) AS min_outlier, round(max_outlier, 4) AS max_outlier FROM zo""")
 def q_z(spark, sf):
     return rounded(Q.zscore_outliers(table(spark, sf, "lineitem"), L_NUM), 4)

@@ -28,8 +28,8 @@ def _stat_sql(full):
     for f in ("recency", "frequency", "monetary"):
         cols.append(f"round(avg({f}), 4) AS mean_{f}, round(quantile_cont({f}, 0.5), 4) AS median_{f}")
         if full:
-            cols.append(f"round(stddev_samp({f}), 4) AS std_{f}, round(min({f}), 4) AS min_{f}, "
-                        f"round(max({f}), 4) AS max_{f}")
+            cols.append(f"round(stddev_samp({f}), 4) AS std_{f}, round(CAST(min({f}) AS DOUBLE), 4) AS min_{f}, "
+                        f"round(CAST(max({f}) AS DOUBLE), 4) AS max_{f}")
     return ", ".join(cols)
 
 
