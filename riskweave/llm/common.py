@@ -48,3 +48,18 @@ def text_blocks(ids: list, texts: list, chars: int = 4_000_000) -> Iterator[tupl
             at, size = k + 1, 0
     if at < len(ids):
         yield ids[at:], texts[at:]
+
+
+def sample_by_key(df: DataFrame, key: str, id_col: str, per_key: int) -> DataFrame:
+    """About ``per_key`` rows of each value of ``key`` (null left out): those whose hashed id falls below per_key / count.
+
+    One counting pass over the key column and one filtering pass, no sort and no shuffle of texts. The number of rows
+    is binomial around ``per_key``; it does not grow with the table. Only the counts come to the driver."""
+    counts = {r[0]: r[1] for r in df.where(F.col(key).isNotNull()).groupBy(key).count().collect()}
+    if not counts:
+        return df.limit(0)
+    draw = F.pmod(F.xxhash64(F.col(id_col)), F.lit(1 << 30)) / float(1 << 30)
+    share = F.lit(None).cast("double")
+    for value, n in counts.items():
+        share = F.when(F.col(key) == F.lit(value), F.lit(min(1.0, per_key / n))).otherwise(share)
+    return df.where(F.col(key).isNotNull() & (draw < share))

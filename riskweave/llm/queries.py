@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from riskweave.llm import packing
+from riskweave.llm import langid, packing
+from riskweave.llm.common import held_out_rows
 from riskweave.sources.tables import read_table
 
 REGISTRY: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
@@ -27,3 +29,11 @@ def bpe_path() -> str:
 @register("op7_packing")
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read_table(spark, sf_dir, "documents"), bpe_path())
+
+
+@register("op3_language_id")
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    model = langid.fit(docs.where(~held_out_rows("doc_id", 4, 2)))
+    out = langid.label(docs, model)
+    return out.select("doc_id", held_out_rows("doc_id", 4, 2).alias("held_out"), "lang_pred", "score", "n_words", "switches")
