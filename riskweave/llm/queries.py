@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskweave.llm import langid, packing
+from riskweave.llm import langid, packing, toxicity
 from riskweave.llm.common import held_out_rows
 from riskweave.sources.tables import read_table
 
@@ -37,3 +37,12 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = langid.fit(docs.where(~held_out_rows("doc_id", 4, 2)))
     out = langid.label(docs, model)
     return out.select("doc_id", held_out_rows("doc_id", 4, 2).alias("held_out"), "lang_pred", "score", "n_words", "switches")
+
+
+@register("op1_toxicity")
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")
+    weights = toxicity.fit(docs, labels.where(~held_out_rows("doc_id", 5, 0)))
+    out = toxicity.score(docs, weights)
+    return out.select("doc_id", held_out_rows("doc_id", 5, 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"),
+                      "n_evidence", "evidence")
