@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskweave.llm import langid, packing, toxicity
+from riskweave.llm import extraction, langid, packing, toxicity
 from riskweave.llm.common import held_out_rows
 from riskweave.sources.tables import read_table
 
@@ -46,3 +46,8 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = toxicity.score(docs, weights)
     return out.select("doc_id", held_out_rows("doc_id", 5, 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"),
                       "n_evidence", "evidence")
+
+
+@register("op4_extraction")
+def op4_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extraction.extract(read_table(spark, sf_dir, "pages"))
