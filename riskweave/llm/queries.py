@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskweave.llm import extraction, langid, packing, toxicity
+from riskweave.llm import decontamination, extraction, langid, packing, toxicity
 from riskweave.llm.common import held_out_rows
 from riskweave.sources.tables import read_table
 
@@ -51,3 +51,8 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op4_extraction")
 def op4_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extraction.extract(read_table(spark, sf_dir, "pages"))
+
+
+@register("op5_decontamination")
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.search(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
