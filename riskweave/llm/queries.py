@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskweave.llm import decontamination, extraction, langid, packing, toxicity
+from riskweave.llm import decontamination, extraction, langid, linededup, packing, toxicity
 from riskweave.llm.common import held_out_rows
 from riskweave.sources.tables import read_table
 
@@ -56,3 +56,9 @@ def op4_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op5_decontamination")
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.search(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
+@register("op10_line_dedup")
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = linededup.classes(read_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "line_no", "class_doc_id", "class_line_no", "class_lines", "kept")

@@ -54,10 +54,29 @@ def char_shingles(texts: list[str], width: int) -> tuple[np.ndarray, np.ndarray]
     padded = np.maximum(count, width)
     flat = np.frombuffer("".join(t if len(t) >= width else t + "\0" * (width - len(t)) for t in texts).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
     n = padded - width + 1
-    size = max(len(flat) - width + 1, 0)
-    h = np.full(size, width, dtype=np.uint64)
-    for k in range(width):
-        h = (h ^ flat[k:k + size]) * np.uint64(0x9E3779B97F4A7C15)
-        h ^= h >> np.uint64(32)
-    at = np.repeat(np.concatenate([[0], np.cumsum(padded)[:-1]]) - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum()) if len(texts) else np.empty(0, np.int64)
-    return h[at], n
+    h = _polynomial(flat.astype(np.uint64), width)
+    h ^= h >> np.uint64(32)
+    h *= np.uint64(0x9E3779B97F4A7C15)
+    h ^= h >> np.uint64(29)
+    if (n == padded).all():  # width 1
+        return h, n
+    last = np.cumsum(padded)[:-1]
+    inside = np.ones(len(h), dtype=bool)  # a run may not go from one text to the next
+    for k in range(1, width):
+        inside[last[last - k < len(h)] - k] = False
+    return h[inside], n
+
+
+def _polynomial(x: np.ndarray, width: int) -> np.ndarray:
+    """Polynomial hashes (mod 2**64) of all runs of ``width`` elements, in about 2 log2(width) passes."""
+    size = max(len(x) - width + 1, 0)
+    out, have, power, span = None, 0, x, 1
+    p = 0xD6E8FEB86659FD93
+    while True:
+        if width & span:
+            out = power if out is None else out[:len(x) - have - span + 1] * np.uint64(pow(p, span, 1 << 64)) + power[have:have + len(x) - have - span + 1]
+            have += span
+        if have == width:
+            return out[:size].copy() if out is x else out[:size]
+        power = power[:len(x) - 2 * span + 1] * np.uint64(pow(p, span, 1 << 64)) + power[span:span + len(x) - 2 * span + 1]
+        span *= 2

@@ -16,10 +16,11 @@ def shingle_set(text, w):
 
 def brute(docs, items, threshold=0.8):
     out = set()
+    sets = {w: [(d, shingle_set(t, w)) for d, t in docs] for w in range(1, 6)}
     for i, q in items:
         w = min(5, len(re.findall(r"\w+", (q or "").lower())))
         own = shingle_set(q, w) if w else set()
-        out |= {(d, i) for d, t in docs if own and len(own & shingle_set(t, w)) >= threshold * len(own) - 1e-9}
+        out |= {(d, i) for d, s in sets.get(w, []) if own and len(own & s) >= threshold * len(own) - 1e-9}
     return out
 
 
