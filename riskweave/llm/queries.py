@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskweave.llm import decontamination, extraction, langid, linededup, packing, toxicity
+from riskweave.llm import decontamination, extraction, jaccardjoin, langid, linededup, packing, toxicity
 from riskweave.llm.common import held_out_rows
 from riskweave.sources.tables import read_table
 
@@ -62,3 +62,9 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = linededup.classes(read_table(spark, sf_dir, "documents"))
     return found.select("doc_id", "line_no", "class_doc_id", "class_line_no", "class_lines", "kept")
+
+
+@register("op6_jaccard_join")
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = jaccardjoin.join(read_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "class_id", "class_size", "n_links", "equal_set", "equal_docs")

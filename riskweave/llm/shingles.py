@@ -34,13 +34,11 @@ def word_shingles(flat: np.ndarray, count: np.ndarray, width: int, short: bool =
     at = np.repeat(first - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum()) if len(count) else np.empty(0, np.int64)
     got = h[at]
     if short and (few := np.flatnonzero((count > 0) & (n == 0))).size:
-        own = []
-        for i in few:
-            x = np.uint64(count[i])
-            for w in flat[first[i]:first[i] + count[i]]:
-                x = (x ^ w) * np.uint64(0x9E3779B97F4A7C15)
-                x ^= x >> np.uint64(29)
-            own.append(x)
+        own = count[few].astype(np.uint64)
+        for k in range(width - 1):
+            with_word = np.flatnonzero(count[few] > k)
+            x = (own[with_word] ^ flat[first[few[with_word]] + k]) * np.uint64(0x9E3779B97F4A7C15)
+            own[with_word] = x ^ (x >> np.uint64(29))
         got = np.insert(got, np.cumsum(n)[few], own)
         n[few] = 1
     return got, n
