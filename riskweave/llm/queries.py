@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskweave.llm import decontamination, extraction, jaccardjoin, langid, linededup, packing, toxicity
+from riskweave.llm import decontamination, extraction, jaccardjoin, langid, linededup, packing, toxicity, winnowing
 from riskweave.llm.common import held_out_rows
 from riskweave.sources.tables import read_table
 
@@ -68,3 +68,8 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = jaccardjoin.join(read_table(spark, sf_dir, "documents"))
     return found.select("doc_id", "class_id", "class_size", "n_links", "equal_set", "equal_docs")
+
+
+@register("op2_winnowing")
+def op2_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return winnowing.fingerprints(read_table(spark, sf_dir, "documents"))
