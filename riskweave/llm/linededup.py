@@ -240,11 +240,13 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wid
     roots = components(edges)
     drop_shared(spark, met_path)
     named = lines.drop("bands").join(roots.withColumnRenamed("node", "lid"), "lid", "left").select("did", "uid", "th", "line_no", F.coalesce("root", "lid").alias("class"))
-    first = named.groupBy("class").agg(F.min(F.struct("did", "line_no", "uid")).alias("kept_line"), F.count("*").alias("class_lines"))
+    # Classes of several lines only, as a table: a class of many lines can then be split over tasks by the join.
+    first, _ = write_shared(named.groupBy("class").agg(F.min(F.struct("did", "line_no", "uid")).alias("kept_line"), F.count("*").alias("class_lines")).where("class_lines > 1"), "classes")
     back = lambda c: F.when(c != LEAST, c)
-    return named.join(first, "class").select(
+    own = F.struct("did", "line_no", "uid")
+    return named.join(first, "class", "left").withColumns({"kept_line": F.coalesce("kept_line", own), "class_lines": F.coalesce("class_lines", F.lit(1))}).select(
         back(F.col("did")).alias("doc_id"), "line_no", "uid", "th", back(F.col("kept_line.did")).alias("class_doc_id"), F.col("kept_line.line_no").alias("class_line_no"),
-        "class_lines", ((F.col("did") == F.col("kept_line.did")) & (F.col("line_no") == F.col("kept_line.line_no")) & (F.col("uid") == F.col("kept_line.uid"))).alias("kept"))
+        "class_lines", (own == F.col("kept_line")).alias("kept"))
 
 
 def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
