@@ -37,13 +37,21 @@ from riskweave.llm.linededup import LEAST, line_id
 from riskweave.llm.shingles import word_hashes, word_shingles
 
 
+BLOCK_CHARS = 8_000_000
+
+
 def runs_needed(recall: float, branching: float, levels: int) -> int:
     survives = (1 - math.exp(-branching)) ** levels
     return max(1, math.ceil(math.log(1 - recall) / math.log(1 - survives)))
 
 
 def distinct_sets(texts: list[str | None], width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct shingle hashes of each text, one after another, and where each text's start."""
+    """Sorted distinct shingle hashes of each text, one after another, and where each text's start.
+
+    Words of one block of texts at a time are held as strings."""
+    if sum(len(t) for t in texts if t) > BLOCK_CHARS and len(texts) > 1:
+        parts = [distinct_sets(some, width) for some, _ in text_blocks(texts, texts, BLOCK_CHARS // 2)]
+        return np.concatenate([s for s, _ in parts]), np.concatenate([[0], np.cumsum(np.concatenate([np.diff(at) for _, at in parts]))])
     flat, count = word_hashes(texts)
     h, n = word_shingles(flat, count, width, short=True)
     of = np.repeat(np.arange(len(texts)), n)
