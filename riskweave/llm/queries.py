@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskweave.llm import decontamination, extraction, jaccardjoin, langid, linededup, packing, pii, toxicity, winnowing
+from riskweave.llm import decontamination, extraction, jaccardjoin, langid, licences, linededup, packing, pii, toxicity, winnowing
 from riskweave.llm.common import held_out_rows
 from riskweave.sources.tables import read_table
 
@@ -82,3 +82,9 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = [F.size(F.filter(F.transform(base, lambda s: s["kind"]), lambda k: k == F.lit(kind))).cast("long").alias(f"n_{kind}") for kind in pii.KINDS]  # noqa: B023
     return found.select("doc_id", *counts, F.sha2(pii.listed(base).cast("binary"), 256).alias("base_sha256"), pii.listed(F.col("spans")).alias("spans"),
                         F.size(F.filter("spans", lambda s: ~s["base"])).cast("long").alias("n_added"))
+
+
+@register("op8_licences")
+def op8_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    return licences.scan(docs, licences.fit(docs))
