@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -63,3 +64,17 @@ def sample_by_key(df: DataFrame, key: str, id_col: str, per_key: int) -> DataFra
     for value, n in counts.items():
         share = F.when(F.col(key) == F.lit(value), F.lit(min(1.0, per_key / n))).otherwise(share)
     return df.where(F.col(key).isNotNull() & (draw < share))
+
+
+def keep_rows(docs: DataFrame, text_col: str, accepted: Callable[[list], list[bool]]) -> DataFrame:
+    """The rows whose text ``accepted`` takes, with all their columns and without a shuffle."""
+    if len({c.lower() for c in docs.columns}) != len(docs.columns):
+        raise ValueError("column names must differ")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(batch.schema.get_field_index(text_col)).to_pylist()
+            keep = [x for _, some in text_blocks(texts, texts) for x in accepted(some)]
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

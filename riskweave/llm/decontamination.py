@@ -25,10 +25,11 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskweave.llm.common import docs_of, text_blocks
+from riskweave.llm.common import docs_of, keep_rows, text_blocks
 from riskweave.llm.shingles import word_hashes, word_shingles
 
 SCHEMA = "doc_id long, item_id long, containment double, shared long, item_shingles long, first_shingle long"
@@ -108,34 +109,54 @@ class Items:
                 yield d, i, h[start[d]:start[d + 1]], own
 
 
+def item_blocks(items: DataFrame, item_col: str, item_text_col: str, width: int, functions: int, block_words: int) -> Iterator[Broadcast]:
+    """The items as broadcasts of about ``block_words`` words each."""
+    queries = docs_of(items, item_col, item_text_col)
+    words = queries.agg(F.sum(F.size(F.split("text", r"\s+")))).first()[0] or 0
+    n_blocks = max(1, math.ceil(words / block_words))
+    for k in range(n_blocks):
+        rows = queries.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_blocks)) == k).collect()
+        yield items.sparkSession.sparkContext.broadcast(Items([r.doc_id for r in rows], [r.text for r in rows], width, functions))
+
+
+def contained(texts: list[str | None], block: Items, threshold: float) -> Iterator[tuple[int, int, int, int]]:
+    """(text, item, shared shingles, place of the first) of the items that the texts contain."""
+    for d, i, h, own in block.search(*word_hashes(texts)):
+        wanted = block.sets[i]
+        n = int((own[np.minimum(np.searchsorted(own, wanted), len(own) - 1)] == wanted).sum())
+        if n >= threshold * len(wanted) - 1e-9:
+            yield d, i, n, int(np.isin(h, wanted).argmax())
+
+
 def search(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text",
            width: int = 5, threshold: float = 0.8, functions: int = 32, block_words: int = 4_000_000) -> DataFrame:
     """One row per document and item of which the document has at least ``threshold`` of the distinct shingles."""
-    spark = docs.sparkSession
     texts = docs_of(docs, id_col, text_col)
-    queries = docs_of(items, item_col, item_text_col)
-    words = queries.agg(F.sum(F.size(F.split("text", r"\s+")))).first()[0] or 0
-    n_blocks = max(1, math.ceil(words / block_words))
+    kinds = [pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.int64()]
     parts = []
-    for k in range(n_blocks):
-        rows = queries.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_blocks)) == k).collect()  # about block_words words
-        shared = spark.sparkContext.broadcast(Items([r.doc_id for r in rows], [r.text for r in rows], width, functions))
+    for shared in item_blocks(items, item_col, item_text_col, width, functions, block_words):
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             block = shared.value
             for batch in batches:
                 for ids, some in text_blocks(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                    flat, count = word_hashes(some)
-                    out = []
-                    for d, i, h, own in block.search(flat, count):
-                        wanted = block.sets[i]
-                        n = int((own[np.minimum(np.searchsorted(own, wanted), len(own) - 1)] == wanted).sum())
-                        if n >= threshold * len(wanted) - 1e-9:
-                            out.append((ids[d], block.ids[i], n / len(wanted), n, len(wanted), int(np.isin(h, wanted).argmax())))
+                    out = [(ids[d], block.ids[i], n / len(block.sets[i]), n, len(block.sets[i]), at) for d, i, n, at in contained(some, block, threshold)]
                     if out:
-                        kinds = [pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.int64()]
                         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)],
                                                          names=["doc_id", "item_id", "containment", "shared", "item_shingles", "first_shingle"])
 
         parts.append(texts.mapInArrow(run, SCHEMA))
     return reduce(DataFrame.unionAll, parts)
+
+
+def drop_contaminated(docs: DataFrame, items: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", width: int = 5,
+                      threshold: float = 0.8, functions: int = 32, block_words: int = 4_000_000) -> DataFrame:
+    """The documents, all their columns, that contain no item."""
+    for shared in item_blocks(items, item_col, item_text_col, width, functions, block_words):
+
+        def accepted(texts: list[str | None], shared=shared) -> list[bool]:
+            hit = {d for d, _, _, _ in contained(texts, shared.value, threshold)}
+            return [k not in hit for k in range(len(texts))]
+
+        docs = keep_rows(docs, text_col, accepted)
+    return docs

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskweave.llm.common import docs_of, sample_by_key, text_blocks
+from riskweave.llm.common import docs_of, keep_rows, sample_by_key, text_blocks
 
 WORD = re.compile(r"[^\W\d_]+")
 WIDTH, BITS, BLOCK = 32, 16, 32
@@ -232,6 +232,35 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     return fit_rows(sorted((r.text, r.lang) for r in got))
 
 
+@dataclass
+class Labels:
+    """What the field says of a block of texts."""
+
+    pred: list[str]
+    score: np.ndarray
+    n_words: np.ndarray
+    switches: np.ndarray
+    top: list[np.ndarray]  # each word's language
+
+
+def label_texts(texts: list[str | None], m: Crf) -> Labels:
+    words = [words_of(t) if t else [] for t in texts]
+    k, n = len(m.langs), len(texts)
+    count = np.array([len(w) for w in words], dtype=np.int64)
+    if not (count.sum() and k):
+        return Labels(["und"] * n, np.zeros(n), count, np.zeros(n, dtype=np.int64), [np.empty(0, np.int64)] * n)
+    flat = pa.array([w for ws in words for w in ws]).dictionary_encode()
+    e = m.emissions(flat.dictionary.to_pylist())[flat.indices.to_numpy()]
+    doc = np.repeat(np.arange(n), count)
+    p = marginals(e, doc, n, m.transitions)
+    by = np.stack([np.bincount(doc, p[:, j], n) for j in range(k)], axis=1)
+    best = by.argmax(1)
+    top = p.argmax(1)
+    turn = np.concatenate([[0], (top[1:] != top[:-1]) & (doc[1:] == doc[:-1])])
+    return Labels([m.langs[b] if c else "und" for b, c in zip(best, count, strict=True)], np.where(count > 0, np.minimum(by[np.arange(n), best] / np.maximum(count, 1), 1.0), 0.0),
+                  count, np.bincount(doc, turn, n).astype(np.int64), np.split(top, np.cumsum(count)[:-1]))
+
+
 def label(docs: DataFrame, model: Crf, id_col: str = "doc_id", text_col: str = "text", spans: bool = False) -> DataFrame:
     """Per document: language, its share of word probability, words, language switches and, on request, the runs of
     words of one language (character offsets in the lower-cased text)."""
@@ -239,37 +268,29 @@ def label(docs: DataFrame, model: Crf, id_col: str = "doc_id", text_col: str = "
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        k = len(m.langs)
         for batch in batches:
             for ids, texts in text_blocks(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                words = [words_of(t) if t else [] for t in texts]
-                count = np.array([len(w) for w in words], dtype=np.int64)
-                pred: list[str] = ["und"] * len(ids)
-                score, switches = np.zeros(len(ids)), np.zeros(len(ids), dtype=np.int64)
-                runs: list = [None] * len(ids)
-                if count.sum() and k:
-                    flat = pa.array([w for ws in words for w in ws]).dictionary_encode()
-                    e = m.emissions(flat.dictionary.to_pylist())[flat.indices.to_numpy()]
-                    doc = np.repeat(np.arange(len(ids)), count)
-                    p = marginals(e, doc, len(ids), m.transitions)
-                    by = np.stack([np.bincount(doc, p[:, j], len(ids)) for j in range(k)], axis=1)
-                    best = by.argmax(1)
-                    score = np.where(count > 0, by[np.arange(len(ids)), best] / np.maximum(count, 1), 0.0)
-                    pred = [m.langs[b] if c else "und" for b, c in zip(best, count, strict=True)]
-                    top = p.argmax(1)
-                    turn = np.concatenate([[0], (top[1:] != top[:-1]) & (doc[1:] == doc[:-1])])
-                    switches = np.bincount(doc, turn, len(ids)).astype(np.int64)
-                    if spans:
-                        at = np.concatenate([[0], np.cumsum(count)])
-                        runs = [_runs(texts[i], top[at[i]:at[i + 1]], m.langs) for i in range(len(ids))]
+                got = label_texts(texts, m)
+                runs = [_runs(t, top, m.langs) if len(top) else [] for t, top in zip(texts, got.top, strict=True)] if spans else [None] * len(ids)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids, pa.int64()), pa.array(pred, pa.string()), pa.array(np.minimum(score, 1.0)), pa.array(count), pa.array(switches),
+                    [pa.array(ids, pa.int64()), pa.array(got.pred, pa.string()), pa.array(got.score), pa.array(got.n_words), pa.array(got.switches),
                      pa.array(runs, pa.list_(pa.struct([("lang", pa.string()), ("start", pa.int64()), ("end", pa.int64())])))],
                     names=["doc_id", "lang_pred", "score", "n_words", "switches", "runs"])
 
     return docs_of(docs, id_col, text_col).mapInArrow(run, SCHEMA)
 
 
+def keep_identified(docs: DataFrame, model: Crf, text_col: str = "text", least: float = 0.4) -> DataFrame:
+    """The documents, all their columns, that have a language with a share of at least ``least``."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def accepted(texts: list[str | None]) -> list[bool]:
+        got = label_texts(texts, shared.value)
+        return [p != "und" and s >= least for p, s in zip(got.pred, got.score, strict=True)]
+
+    return keep_rows(docs, text_col, accepted)
+
+
 def _runs(text: str | None, top: np.ndarray, langs: list[str]) -> list[dict]:
     out: list[dict] = []
     for m, j in zip(WORD.finditer((text or "").lower()), top, strict=True):
