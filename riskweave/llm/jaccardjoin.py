@@ -4,7 +4,7 @@
 2. For every run and level a set draws its shingles whose hash, under that run and level, is below ``branching`` over the size
    that the overlap of a similar pair has at least: about ``branching`` shingles, and two similar sets draw about as
    many in common. A set's paths are its draws of level 1, 2, ...: sets that share a path form a bucket. A bucket of up to
-   ``small`` sets is done; a larger one is split by the next level's draws, unless the split left it nearly whole.
+   ``small`` sets is done; a larger one is split by the next level's draws, unless that would leave it nearly whole.
 3. In finished buckets every pair is compared exactly on its 64-bit shingle hashes (by blocks of a matrix product). A pair
    counts in the first bucket that both sets share. Buckets with the same members are taken once; one of more than
    ``chunk`` sets is dealt out as pairs of its chunks.
@@ -96,27 +96,35 @@ def drawn(docs: DataFrame, id_col: str, text_col: str, width: int, threshold: fl
 
 
 def buckets(sets: DataFrame, runs: int, levels: int, small: int, whole: float = 0.8) -> DataFrame:
-    """(bucket, cls) of finished buckets of two sets or more; sets: cls, draws."""
+    """(bucket, cls, n) of finished buckets of n >= 2 sets; sets: cls, draws.
+
+    A large bucket of which one child has nearly all sets is a group of near copies: further draws would only repeat it,
+    so it is finished as it is and its children are left out."""
     spark = sets.sparkSession
-    done, paths = [], []
-    now = sets.select("cls", F.posexplode("draws").alias("k", "tokens")).where(F.col("k") % levels == 0)
-    now = now.select("cls", (F.col("k") / levels).cast("int").alias("run"), F.explode("tokens").alias("path"), F.lit(None).cast("long").alias("above"))
-    for level in range(1, levels + 1):
-        now, path = write_shared(now, "paths")
+
+    def at_level(level: int) -> DataFrame:
+        drawn_here = sets.select("cls", F.posexplode("draws").alias("k", "tokens")).where(F.col("k") % levels == level - 1)
+        return drawn_here.select("cls", (F.col("k") / levels).cast("int").alias("run"), F.explode("tokens").alias("token"))
+
+    now, path = write_shared(at_level(1).withColumnRenamed("token", "path"), "paths")
+    paths = [path]
+    sizes = now.groupBy("path").agg(F.count("*").alias("n")).where("n >= 2")
+    done, large = [now.join(sizes.where(F.col("n") <= small), "path")], now.join(sizes.where(F.col("n") > small), "path")
+    for level in range(2, levels + 1):
+        down = large.join(at_level(level), ["cls", "run"]).select("cls", "run", F.col("path").alias("up"), F.col("n").alias("above"), F.xxhash64("path", "token").alias("path"))
+        down, path = write_shared(down, "paths")
         paths.append(path)
-        sizes = now.groupBy("path").agg(F.count("*").alias("n"), F.max("above").alias("above")).where("n >= 2")
-        last = (F.col("n") <= small) | (F.col("n") >= whole * F.col("above")) if level < levels else F.lit(True)
-        sized = now.drop("above").join(sizes, "path")
-        done.append(sized.where(F.coalesce(last, F.lit(False))).select(F.col("path").alias("bucket"), "cls", "n"))
-        if level == levels:
-            break
-        large = sized.where(~F.coalesce(last, F.lit(False)))
-        if not sizes.where(~F.coalesce(last, F.lit(False))).take(1):
+        sizes = down.groupBy("path").agg(F.count("*").alias("n"), F.max("up").alias("up"), F.max("above").alias("above")).where("n >= 2")
+        stuck = sizes.where(F.col("n") >= whole * F.col("above")).select(F.col("up").alias("path")).distinct()
+        done.append(large.join(stuck, "path"))
+        sizes = sizes.join(stuck.select(F.col("path").alias("up")), "up", "left_anti").select("path", "n")
+        down = down.select("cls", "run", "path")
+        last = level == levels
+        done.append(down.join(sizes if last else sizes.where(F.col("n") <= small), "path"))
+        if last or not sizes.where(F.col("n") > small).take(1):
             break
-        deeper = sets.select("cls", F.posexplode("draws").alias("k", "tokens")).where(F.col("k") % levels == level)
-        deeper = deeper.select("cls", (F.col("k") / levels).cast("int").alias("run"), "tokens")
-        now = large.join(deeper, ["cls", "run"]).select("cls", "run", F.col("path").alias("up"), F.col("n").alias("above"), F.explode("tokens").alias("token"))
-        now = now.select("cls", "run", F.xxhash64("up", "token").alias("path"), "above")
+        large = down.join(sizes.where(F.col("n") > small), "path")
+    done = [d.select(F.col("path").alias("bucket"), "cls", "n") for d in ([*done, large] if levels == 1 else done)]
     found = reduce(DataFrame.unionAll, done)
     # The same members: the same bucket. Named by their number and a digest of them.
     names = found.groupBy("bucket").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("cls")).alias("x"), F.min("cls").alias("lo"), F.max("cls").alias("hi"))
@@ -161,23 +169,29 @@ def compare(width: int, threshold: float):
         before = np.zeros((m, len(lower)), dtype=np.float32)
         for k, x in enumerate(lower):
             before[x, k] = 1
-        overlap = np.zeros((m, m), dtype=np.float32)
+        across = bool(side.any())  # of a part of two chunks only pairs across them are new
+        left, right = (np.flatnonzero(side == 1), np.flatnonzero(side == 2)) if across else (np.arange(m), np.arange(m))
+        overlap = np.zeros((len(left), len(right)), dtype=np.float32)
         order = np.argsort(token, kind="stable")
         for lo in range(0, int(shared.sum()), 2048):  # a block of shingles at a time
             pick = order[np.searchsorted(token[order], lo):np.searchsorted(token[order], lo + 2048)]
             dense = np.zeros((m, 2048), dtype=np.float32)
             dense[row[pick], token[pick] - lo] = 1
-            overlap += dense @ dense.T
-        ok = overlap >= threshold * (size[:, None] + size[None, :] - overlap) - 1e-6
-        ok[np.arange(m), np.arange(m)] = False
-        if side.any():
-            ok &= side[:, None] != side[None, :]
-        for k in np.flatnonzero(ok.any(1)):  # groups of the part, whichever bucket counts the links
-            near = np.append(root[ok[k]], root[k])
-            root[np.isin(root, near)] = near.min()
-        if len(lower):
-            ok &= ~((before @ before.T) > 0)
-        links += (ok * weight[None, :]).sum(1)
+            overlap += dense[left] @ dense[right].T
+        for lo in range(0, len(left), 512):
+            mine = left[lo:lo + 512]
+            some = overlap[lo:lo + 512].astype(np.float64)
+            ok = some >= threshold * (size[mine, None] + size[None, right] - some) - 1e-9
+            if not across:
+                ok[np.arange(len(mine)), lo + np.arange(len(mine))] = False
+            for k in np.flatnonzero(ok.any(1)):  # groups of the part, whichever bucket counts the links
+                near = np.append(root[right[ok[k]]], root[mine[k]])
+                root[np.isin(root, near)] = near.min()
+            if len(lower):
+                ok &= ~((before[mine] @ before[right].T) > 0)
+            links[mine] += (ok * weight[None, right]).sum(1)
+            if across:
+                links[right] += (ok * weight[mine, None]).sum(0)
         return links, root
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -229,7 +243,7 @@ def compare(width: int, threshold: float):
 
 
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, threshold: float = 0.8, recall: float = 0.999,
-         branching: float = 3.0, levels: int = 4, small: int = 64, chunk: int = 1024) -> DataFrame:
+         branching: float = 3.0, levels: int = 4, small: int = 64, chunk: int = 2048) -> DataFrame:
     """One row per document: doc_id, th (hash of its text), its class of equal shingle sets (null without words) and that
     class's documents, its component and the smallest id there (its own without words), and the number of documents that are linked to it."""
     spark = docs.sparkSession
