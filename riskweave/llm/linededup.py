@@ -230,8 +230,8 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wid
     met = lines.select(F.explode("bands").alias("band"), "lid").repartition("band").sortWithinPartitions("band", "lid").mapInArrow(meet(chunk), "group long, lid long")
     met, met_path = write_shared(met.distinct(), "met")
     # The first occurrence of each line that met, by number, then its text from the documents.
-    wanted = lines.join(met.select("lid").distinct(), "lid", "left_semi").groupBy("lid").agg(F.min(F.struct("did", "line_no")).alias("at"))
-    wanted = wanted.select("lid", "at.did", "at.line_no")
+    first_at = lines.groupBy("lid").agg(F.min(F.struct("did", "line_no")).alias("at"))  # a common line shrinks before it is moved
+    wanted = first_at.join(met.select("lid").distinct(), "lid", "left_semi").select("lid", "at.did", "at.line_no")
     texts = docs_of(docs, id_col, text_col).select(F.coalesce("doc_id", F.lit(LEAST)).alias("did"), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
     # Rows with one id may differ in text: the hash tells which one is meant.
     texts = texts.join(wanted, ["did", "line_no"]).where(F.xxhash64("line") == F.col("lid")).select("lid", "line")
