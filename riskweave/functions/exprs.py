@@ -30,15 +30,6 @@ def is_missing(c) -> Column:
     return col_(c).isNull() | F.isnan(col_(c))
 
 
-def weekday0(c) -> Column:
-    """Monday = 0 ... Sunday = 6."""
-    return F.weekday(col_(c))
-
-
-def value_as_text(c) -> Column:
-    return col_(c).cast("string")
-
-
 def with_constant_key(df: DataFrame, keys: list[str], name: str = "_all"):
     """Grouping helpers accept no keys; give them a constant one."""
     if keys:
@@ -46,14 +37,7 @@ def with_constant_key(df: DataFrame, keys: list[str], name: str = "_all"):
     return df.withColumn(name, F.lit(0)), [name], True
 
 
-def sized_broadcast(df: DataFrame, n_rows: int, max_rows: int = 1_000_000) -> DataFrame:
-    """Broadcast ``df`` only when its counted size is within ``max_rows``."""
-    return F.broadcast(df) if n_rows <= max_rows else df
-
-
-def strength_label(c, bounds, labels, otherwise) -> Column:
-    """Threshold ladder: first ``c < bound`` wins."""
-    expr = None
-    for b, lab in zip(bounds, labels):
-        expr = F.when(col_(c) < F.lit(b), F.lit(lab)) if expr is None else expr.when(col_(c) < F.lit(b), F.lit(lab))
-    return expr.otherwise(F.lit(otherwise))
+def sized_broadcast(df: DataFrame, n_rows: int, max_bytes: int = 32 << 20) -> DataFrame:
+    """Broadcast ``df`` only when its counted rows, at the schema's default row size, stay within ``max_bytes``."""
+    row = sum(64 if f.dataType.typeName() in ("string", "binary", "struct", "array", "map") else 16 for f in df.schema.fields) + 16
+    return F.broadcast(df) if n_rows * row <= max_bytes else df

@@ -1,68 +1,76 @@
 """Exact, linearly interpolated quantiles that stay safe under key skew.
 
-An exact quantile needs each group's values in order.  Groups up to
-``hot_rows`` values are ranked with one sorted window over their distinct
-values.  Larger
-("hot") groups are resolved by radix-style refinement instead:
-
-1. per (group, wanted rank) keep an interval ``[a, b]`` of values and the
-   number of values below it;
-2. one pass splits each interval into ``buckets`` equal-width buckets and
-   counts rows, min and max per bucket (map-side partial aggregation, the
-   shuffle carries at most ``buckets`` rows per group and rank);
-3. the bucket holding the rank becomes the new interval, narrowed to the
-   actual min/max seen in it;
-4. once an interval holds few rows (or one distinct value) the rank is read
-   off a value-count table of those rows.
-
-The interpolation follows ``percentile``: position p*(n-1) between the
-floor and ceiling ranks; results equal the built-in ``percentile`` to the
-last bit.
+An exact quantile needs each group's values in order.  Groups up to ``hot_rows`` values are ranked with one sorted
+window over their distinct values; this and the refinement give the same value, the switch only spares small groups
+the extra passes.  Larger ("hot") groups, a NULL key's group included, are resolved by radix selection:
+
+1. every value has an order-preserving 64-bit key (``ordering.double_key``), so infinities and extremes are no special
+   case;
+2. a pass counts rows per (group, key prefix) with map-side combine and picks the prefix that holds the wanted rank;
+3. the next pass looks at the rows with that prefix and 12 more bits.  There are five passes at most, whatever the data;
+   an interval that holds at most ``final_rows`` rows, or one value, is done earlier;
+4. the rank is then read off a value-count table of the interval's rows.
+
+The interpolation follows ``percentile``: position p*(n-1) between the floor and ceiling ranks; results equal the
+built-in ``percentile`` to the last bit.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskweave.functions.exprs import sized_broadcast, with_constant_key
 from riskweave.session import ensure_checkpoint_dir
 
-HOT_ROWS = 1_000_000      # groups larger than this avoid the one-task merge
+HOT_ROWS = 1_000_000      # groups larger than this avoid the one-task sort
 FINAL_ROWS = 100_000      # an interval this small is ranked directly
-BUCKETS = 4096
-MAX_PASSES = 12
+SHIFTS = (44, 32, 20, 8, 0)  # key bits still open after each pass: sign, exponent and 8 bits first, then 12 more each
+
+
+def same_keys(a: DataFrame, b: DataFrame, keys: list[str]) -> Column:
+    """Null-safe equality of the key columns of two tables."""
+    return reduce(lambda x, y: x & y, [a[k].eqNullSafe(b[k]) for k in keys])
+
+
+def join_keys(a: DataFrame, b: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Join on ``keys`` where NULL matches NULL; the keys come out once."""
+    right = b.select(*[F.col(k).alias(f"_k_{k}") for k in keys], *[c for c in b.columns if c not in keys])
+    cond = reduce(lambda x, y: x & y, [a[k].eqNullSafe(right[f"_k_{k}"]) for k in keys])
+    return a.join(right, cond, how).drop(*[f"_k_{k}" for k in keys])
+
 
+def hot_groups(x: DataFrame, gkeys: list[str], hot_rows: int) -> tuple[DataFrame | None, int]:
+    """The groups of more than ``hot_rows`` rows with their size ``_n`` (at most rows / hot_rows of them), and their number."""
+    sizes = x.groupBy(*gkeys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > hot_rows)
+    n = sizes.count()
+    return (materialise(sizes), n) if n else (None, 0)
 
-def quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, float], *,
-              approx_accuracy: int | None = None, hot_rows: int = HOT_ROWS,
-              final_rows: int = FINAL_ROWS, buckets: int = BUCKETS) -> DataFrame:
-    """Per group of ``keys``: one column per entry of ``probs`` (name -> p).
 
-    NULL and NaN values are skipped (pandas semantics).  Groups without any
+def quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, float], *, approx_accuracy: int | None = None,
+              hot_rows: int = HOT_ROWS, final_rows: int = FINAL_ROWS) -> DataFrame:
+    """Per group of ``keys``: one column per entry of ``probs`` (name -> p); approximate only if an accuracy is asked for.
+
+    NULL and NaN values are skipped (pandas semantics); a NULL key is a group.  Groups without any
     value are absent from the result; join it back with a left join.
     """
     x = df.select(*keys, F.col(value).cast("double").alias("_x"))
     x = x.where(F.col("_x").isNotNull() & ~F.isnan("_x"))
     x, gkeys, synthetic = with_constant_key(x, keys)
-
     if approx_accuracy:
-        out = x.groupBy(*gkeys).agg(*[
-            F.percentile_approx("_x", p, approx_accuracy).alias(n) for n, p in probs.items()])
+        out = x.groupBy(*gkeys).agg(*[F.percentile_approx("_x", p, approx_accuracy).alias(n) for n, p in probs.items()])
         return out.drop("_all") if synthetic else out
-
-    sizes = x.groupBy(*gkeys).agg(F.count(F.lit(1)).alias("_n"), F.min("_x").alias("_lo"),
-                                  F.max("_x").alias("_hi"))
-    n_hot = sizes.where(F.col("_n") > hot_rows).count()
-    if n_hot == 0:
+    hot, n_hot = hot_groups(x, gkeys, hot_rows)
+    if hot is None:
         out = _small_groups(x, gkeys, probs)
     else:
-        hot = _keep(sizes.where(F.col("_n") > hot_rows))  # at most rows / hot_rows groups
         hot_keys = sized_broadcast(hot.select(*gkeys), n_hot)
-        cold = _small_groups(x.join(hot_keys, gkeys, "left_anti"), gkeys, probs)
-        hot_x = x.join(hot_keys, gkeys, "left_semi")
-        out = cold.unionByName(_refine(hot_x, hot, n_hot, gkeys, probs, final_rows, buckets))
+        cold = _small_groups(join_keys(x, hot_keys, gkeys, "left_anti"), gkeys, probs)
+        hot_x = join_keys(x, hot_keys, gkeys, "left_semi")
+        out = cold.unionByName(refine(hot_x, hot, n_hot, gkeys, probs, final_rows))
     return out.drop("_all") if synthetic else out
 
 
@@ -78,78 +86,85 @@ def _small_groups(x: DataFrame, gkeys: list[str], probs: dict[str, float]) -> Da
     holds = lambda r: (F.col("_end") - F.col("_c") <= r) & (r < F.col("_end"))
     aggs = []
     for i, p in enumerate(probs.values()):
-        _, lo, hi = _ranks(p)
+        _, lo, hi = ranks_of(p)
         aggs += [F.max(F.when(holds(lo), F.col("_x"))).alias(f"_lo{i}"),
                  F.max(F.when(holds(hi), F.col("_x"))).alias(f"_hi{i}")]
     g = vc.groupBy(*gkeys).agg(F.max("_n").alias("_n"), *aggs)
-    cols = []
-    for i, (name, p) in enumerate(probs.items()):
-        pos, lo, hi = _ranks(p)
-        vlo, vhi = F.col(f"_lo{i}"), F.col(f"_hi{i}")
-        cols.append(F.when(lo == hi, vlo).otherwise((hi - pos) * vlo + (pos - lo) * vhi).alias(name))
-    return g.select(*gkeys, *cols)
+    return g.select(*gkeys, *[between(p, F.col(f"_lo{i}"), F.col(f"_hi{i}")).alias(name) for i, (name, p) in enumerate(probs.items())])
 
 
-def _ranks(p: float):
+def ranks_of(p: float):
+    """Position, floor and ceiling rank of probability p among ``_n`` values."""
     pos = F.lit(p) * (F.col("_n") - 1)
     return pos, F.floor(pos).cast("long"), F.ceil(pos).cast("long")
 
 
+def between(p: float, lower: Column, upper: Column) -> Column:
+    """Interpolate between the values at the floor and ceiling ranks."""
+    pos, lo, hi = ranks_of(p)
+    return F.when((lo == hi) | (lower == upper), lower).otherwise((hi - pos) * lower + (pos - lo) * upper)
+
+
 def select_ranks(x: DataFrame, gkeys: list[str], targets: DataFrame, n_targets: int,
-                 final_rows: int = FINAL_ROWS, buckets: int = BUCKETS) -> DataFrame:
+                 final_rows: int = FINAL_ROWS) -> DataFrame:
     """Values at 0-based ranks of ``_x`` within groups, without sorting a group.
 
-    ``x``: gkeys + ``_x`` (non-null double).  ``targets``: gkeys + ``_r`` +
-    ``_lo``/``_hi`` (the group's min and max).  Returns gkeys, ``_r``, ``_v``
-    (the value at that rank) and ``_lt`` (how many values are smaller).
+    ``x``: gkeys, ``_x`` (any orderable type, no NULL) and ``_k`` (a long that sorts like ``_x``).  ``targets``: gkeys + ``_r``.
+    Returns gkeys, ``_r``, ``_v`` (the value at that rank) and ``_lt`` (how many values are smaller).
 
-    Ranks that currently share an interval share its histogram: each pass
-    scans the rows once per distinct interval (fan-out 1 in practice), not
-    once per wanted rank.
+    Ranks that share a prefix share its counts: a pass reads the rows once per distinct prefix, not per wanted rank.
     """
-    ival = [*gkeys, "_a", "_b", "_below"]
-    state = _keep(targets.select(*gkeys, "_r", F.col("_lo").alias("_a"), F.col("_hi").alias("_b"),
-                                 F.lit(0).cast("long").alias("_below"), F.lit(None).cast("long").alias("_cnt")))
-    active_cond = (F.coalesce(F.col("_cnt"), F.lit(final_rows + 1)) > final_rows) & (F.col("_a") < F.col("_b"))
-    for _ in range(MAX_PASSES):
-        active = state.where(active_cond)
+    state = materialise(targets.select(*gkeys, "_r", F.lit(None).cast("long").alias("_pre"), F.lit(0).cast("long").alias("_below"),
+                                       F.lit(None).cast("long").alias("_cnt"), F.lit(True).alias("_open")))
+    finished = []
+    shift_before = None
+    for shift in SHIFTS:
+        active = state.where("_open")
         if active.isEmpty():
             break
-        intervals = active.select(*ival).distinct()
-        rows = (x.join(sized_broadcast(intervals, n_targets), gkeys)
-                .where(F.col("_x").between(F.col("_a"), F.col("_b"))))
-        bucket = F.least(F.lit(buckets - 1),
-                         F.floor((F.col("_x") - F.col("_a")) / (F.col("_b") - F.col("_a"))
-                                 * F.lit(buckets)).cast("int"))
-        hist = (rows.groupBy(*ival, bucket.alias("_bucket"))
-                .agg(F.count(F.lit(1)).alias("_c"), F.min("_x").alias("_bmin"), F.max("_x").alias("_bmax")))
-        # at most ``buckets`` rows per interval: a bounded window
-        w = Window.partitionBy(*ival).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+        ival = [*gkeys, "_pre", "_below"]
+        rows = _rows_of(x, active, gkeys, shift_before, n_targets)
+        hist = rows.groupBy(*ival, F.shiftright("_k", shift).alias("_next")).agg(
+            F.count(F.lit(1)).alias("_c"), F.min("_x").alias("_a"), F.max("_x").alias("_b"))
+        # at most 2**20 (first pass) or 2**12 rows per interval: a bounded window
+        w = Window.partitionBy(*ival).orderBy("_next").rowsBetween(Window.unboundedPreceding, -1)
         hist = hist.withColumn("_start", F.col("_below") + F.coalesce(F.sum("_c").over(w), F.lit(0)))
-        chosen = (active.select(*ival, "_r").join(hist, ival)
-                  .where((F.col("_start") <= F.col("_r")) & (F.col("_r") < F.col("_start") + F.col("_c")))
-                  .select(*gkeys, "_r", F.col("_bmin").alias("_a"), F.col("_bmax").alias("_b"),
-                          F.col("_start").alias("_below"), F.col("_c").alias("_cnt")))
-        state = _keep(state.where(~active_cond).unionByName(chosen))
-
-    point = state.where(F.col("_a") == F.col("_b")).select(
-        *gkeys, "_r", F.col("_a").alias("_v"), F.col("_below").alias("_lt"))
-    spread = state.where(F.col("_a") < F.col("_b"))
-    intervals = spread.select(*ival).distinct()
-    rows = (x.join(sized_broadcast(intervals, n_targets), gkeys)
-            .where(F.col("_x").between(F.col("_a"), F.col("_b"))))
-    vc = rows.groupBy(*ival, "_x").agg(F.count(F.lit(1)).alias("_c"))
+        chosen = join_keys(active.select(*ival, "_r"), hist, ival).where((F.col("_start") <= F.col("_r")) & (F.col("_r") < F.col("_start") + F.col("_c")))
+        one = F.col("_a") == F.col("_b")
+        state = materialise(chosen.select(*gkeys, "_r", F.col("_next").alias("_pre"), F.col("_start").alias("_below"), F.col("_c").alias("_cnt"),
+                                          (~one & (F.col("_c") > final_rows)).alias("_open"), F.when(one, F.col("_a")).alias("_v")))
+        finished.append(state.where("_v is not null").select(*gkeys, "_r", "_v", F.col("_below").alias("_lt")))
+        small = state.where("_v is null and not _open")
+        if not small.isEmpty():
+            finished.append(_read_off(x, small, gkeys, shift, n_targets))
+        shift_before = shift
+    if not finished:
+        return x.limit(0).select(*gkeys, F.lit(0).cast("long").alias("_r"), F.col("_x").alias("_v"), F.lit(0).cast("long").alias("_lt"))
+    return materialise(reduce(DataFrame.unionByName, finished))
+
+
+def _rows_of(x: DataFrame, state: DataFrame, gkeys: list[str], shift: int | None, n_targets: int) -> DataFrame:
+    """The rows of ``x`` in the intervals of ``state`` (all of the group before the first pass), with ``_pre`` and ``_below``."""
+    intervals = sized_broadcast(state.select(*gkeys, "_pre", "_below").distinct(), n_targets)
+    if shift is None:
+        return join_keys(x, intervals, gkeys)
+    keyed = x.withColumn("_pre", F.shiftright("_k", shift))
+    return join_keys(keyed, intervals, [*gkeys, "_pre"])
+
+
+def _read_off(x: DataFrame, state: DataFrame, gkeys: list[str], shift: int, n_targets: int) -> DataFrame:
+    """Ranks in intervals of at most ``final_rows`` rows, from their counted distinct values."""
+    ival = [*gkeys, "_pre", "_below"]
+    vc = _rows_of(x, state, gkeys, shift, n_targets).groupBy(*ival, "_x").agg(F.count(F.lit(1)).alias("_c"))
     w = Window.partitionBy(*ival).orderBy("_x").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     vc = vc.withColumn("_end", F.col("_below") + F.sum("_c").over(w))
-    picked = (spread.select(*ival, "_r").join(vc, ival)
-              .where((F.col("_end") - F.col("_c") <= F.col("_r")) & (F.col("_r") < F.col("_end")))
-              .select(*gkeys, "_r", F.col("_x").alias("_v"), (F.col("_end") - F.col("_c")).alias("_lt")))
-    return _keep(point.unionByName(picked))
+    return (join_keys(state.select(*ival, "_r"), vc, ival)
+            .where((F.col("_end") - F.col("_c") <= F.col("_r")) & (F.col("_r") < F.col("_end")))
+            .select(*gkeys, "_r", F.col("_x").alias("_v"), (F.col("_end") - F.col("_c")).alias("_lt")))
 
 
-def _keep(df: DataFrame) -> DataFrame:
-    """Materialise a small state table (one row per group and rank) and cut
-    its lineage.
+def materialise(df: DataFrame) -> DataFrame:
+    """Materialise a narrow or small table and cut its lineage.
 
     Each refinement pass builds on the previous state twice, so an uncut
     plan would double per pass.  The table is cached first so the reliable
@@ -163,20 +178,20 @@ def _keep(df: DataFrame) -> DataFrame:
     return out
 
 
-def _refine(hot_x: DataFrame, hot: DataFrame, n_hot: int, gkeys, probs, final_rows, buckets):
+def refine(hot_x: DataFrame, hot: DataFrame, n_hot: int, gkeys, probs, final_rows: int = FINAL_ROWS) -> DataFrame:
+    """Quantiles of the hot groups (``hot``: gkeys and ``_n``) from their rows (gkeys and ``_x``)."""
+    from riskweave.functions.ordering import double_key
     wanted = []
     for p in probs.values():
-        _, lo, hi = _ranks(p)
+        _, lo, hi = ranks_of(p)
         wanted += [lo, hi]
-    targets = hot.select(*gkeys, "_lo", "_hi", F.explode(F.array_distinct(F.array(*wanted))).alias("_r"))
-    found = select_ranks(hot_x, gkeys, targets, n_hot * len(probs) * 2, final_rows, buckets)
+    targets = hot.select(*gkeys, F.explode(F.array_distinct(F.array(*wanted))).alias("_r"))
+    found = select_ranks(hot_x.withColumn("_k", double_key(F.col("_x"))), gkeys, targets, n_hot * len(probs) * 2, final_rows)
     values = (found.groupBy(*gkeys)
               .agg(F.map_from_entries(F.collect_list(F.struct("_r", "_v"))).alias("_m")))
-    out = values.join(hot.select(*gkeys, "_n"), gkeys)
+    out = join_keys(values, hot.select(*gkeys, "_n"), gkeys)
     cols = []
     for name, p in probs.items():
-        pos, lo, hi = _ranks(p)
-        vlo, vhi = F.element_at("_m", lo), F.element_at("_m", hi)
-        cols.append(F.when(lo == hi, vlo)
-                    .otherwise((hi - pos) * vlo + (pos - lo) * vhi).alias(name))
+        _, lo, hi = ranks_of(p)
+        cols.append(between(p, F.element_at("_m", lo), F.element_at("_m", hi)).alias(name))
     return out.select(*gkeys, *cols)

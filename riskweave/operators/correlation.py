@@ -1,12 +1,9 @@
 """Pearson correlation tables.
 
-All pairs come from ONE pass: per pair a population covariance and the two
-population standard deviations over the rows where both values are present
-(pairwise-complete, like pandas).  These are streaming, mergeable
-aggregates, so a task emits one partial row per pair whatever the data
-size; a constant column yields NULL instead of a divide-by-zero error.  For very
-wide inputs (hundreds of columns) ``pyspark.ml.stat.Correlation`` on
-complete rows is the alternative.
+All pairs come from one scan: one aggregate without keys holds mergeable covariance and deviation states per pair, over the rows
+where both values are present (pairwise-complete, like pandas), so a task emits one partial row whatever the data size.
+``MAX_PAIRS`` pairs share a scan, which bounds the aggregate's width; wider inputs take one more scan for as many pairs.
+The matrix is the finished pair table mirrored.  A constant column yields NULL.
 """
 
 from __future__ import annotations
@@ -22,50 +19,41 @@ STRENGTH_ELSE = "Moderate-Strong"
 BANDS = ["Very Strong (>=0.9)", "Strong (0.8-0.9)", "Moderate (0.5-0.8)", "Weak (0.3-0.5)", "Very Weak (<0.3)"]
 
 
+MAX_PAIRS = 400
+
+
 def _pair_corr(x, y):
+    """NULL without data or for a constant side; NaN counts as missing."""
     both = x.isNotNull() & y.isNotNull() & ~F.isnan(x) & ~F.isnan(y)
     xs, ys = F.when(both, x), F.when(both, y)
-    den = F.stddev_pop(xs) * F.stddev_pop(ys)
-    return F.covar_pop(xs, ys) / F.nullif(den, F.lit(0.0))
+    # not corr(): that divides by zero for a constant side
+    return F.covar_pop(xs, ys) / F.nullif(F.stddev_pop(xs) * F.stddev_pop(ys), F.lit(0.0))
 
 
 def pairs(df: DataFrame, cols: list[str] | None = None, diagonal: bool = False) -> DataFrame:
-    """Upper triangle ``(feature_1, feature_2, i, j, corr)`` in column order.
-
-    Each row is expanded to one ``(pair, x, y)`` record per pair inside the
-    task (no materialisation), rows with a missing side are dropped, and a
-    ``(pair)`` aggregate of covariance and standard deviations follows; the
-    partial aggregate leaves one row per pair per task before the shuffle.
-    A single wide aggregate with hundreds of buffers would exceed the size
-    at which generated code is compiled, so it is avoided.
-    """
+    """Upper triangle ``(feature_1, feature_2, i, j, corr)`` in column order; pairs without data keep a NULL."""
     cols = list(cols or correlation_columns(df))
-    entries = []
-    for i, a in enumerate(cols):
-        for j in range(i if diagonal else i + 1, len(cols)):
-            entries.append(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"),
-                                    F.col(a).cast("double").alias("x"), F.col(cols[j]).cast("double").alias("y")))
-    schema = "feature_1 string, feature_2 string, i int, j int, corr double"
-    if not entries:
-        return df.sparkSession.createDataFrame([], schema)
-    names = df.sparkSession.createDataFrame(
-        [(a, cols[j], i, j) for i, a in enumerate(cols) for j in range(i if diagonal else i + 1, len(cols))],
-        "feature_1 string, feature_2 string, i int, j int")
-    lv = df.select(F.explode(F.array(*entries)).alias("p")).select("p.*")
-    lv = lv.where(F.col("x").isNotNull() & F.col("y").isNotNull() & ~F.isnan("x") & ~F.isnan("y"))
-    r = lv.groupBy("i", "j").agg(
-        (F.covar_pop("x", "y") / F.nullif(F.stddev_pop("x") * F.stddev_pop("y"), F.lit(0.0))).alias("corr"))
-    # ``names`` holds one row per pair (schema metadata): pairs without data keep a NULL
-    return names.join(F.broadcast(r), ["i", "j"], "left").select("feature_1", "feature_2", "i", "j", "corr")
+    wanted = [(i, j) for i in range(len(cols)) for j in range(i if diagonal else i + 1, len(cols))]
+    if not wanted:
+        return df.sparkSession.createDataFrame([], "feature_1 string, feature_2 string, i int, j int, corr double")
+    x = df.select(*[F.col(c).cast("double").alias(f"_x{i}") for i, c in enumerate(cols)])
+    out = None
+    for at in range(0, len(wanted), MAX_PAIRS):
+        some = wanted[at:at + MAX_PAIRS]
+        wide = x.agg(*[_pair_corr(F.col(f"_x{i}"), F.col(f"_x{j}")).alias(f"_c{i}_{j}") for i, j in some])
+        rows = [F.struct(F.lit(cols[i]).alias("feature_1"), F.lit(cols[j]).alias("feature_2"), F.lit(i).alias("i"), F.lit(j).alias("j"),
+                         F.col(f"_c{i}_{j}").alias("corr")) for i, j in some]
+        part = wide.select(F.explode(F.array(*rows)).alias("p")).select("p.*")
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def corr_matrix(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     """The full symmetric matrix in long form (row, column, corr)."""
-    up = pairs(df, cols, diagonal=True)
-    low = up.where(F.col("i") != F.col("j")).select(
-        F.col("feature_2").alias("feature_1"), F.col("feature_1").alias("feature_2"),
-        F.col("j").alias("i"), F.col("i").alias("j"), "corr")
-    return up.unionByName(low).select(F.col("feature_1").alias("row"), F.col("feature_2").alias("column"), "corr")
+    both = F.array(F.struct(F.col("feature_1").alias("row"), F.col("feature_2").alias("column")),
+                   F.struct(F.col("feature_2").alias("row"), F.col("feature_1").alias("column")))
+    sides = F.when(F.col("i") == F.col("j"), F.slice(both, 1, 1)).otherwise(both)
+    return pairs(df, cols, diagonal=True).select(F.explode(sides).alias("s"), "corr").select("s.row", "s.column", "corr")
 
 
 def strength_label(r):

@@ -2,26 +2,22 @@
 
 ``fit_*`` returns a ONE-ROW parameters DataFrame (means, medians, modes,
 centres and scales); ``apply_*`` cross-joins it as a broadcast, which keeps
-the transform a narrow, codegen'd projection over the data.  Category lists
-(one-hot, label codes) are schema-defining and are collected with a
-``max_categories`` guard.
+the transform a narrow, codegen'd projection over the data.  Label codes are a
+table of any size, ranked without a single-task sort and joined.  One-hot columns
+define the schema, so only columns of up to ``max_columns`` categories are spread
+out; a wider one becomes one sparse vector column.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskweave.functions.exprs import is_missing
-from riskweave.functions.quantiles import quantiles
+from riskweave.functions.ordering import global_rank
+from riskweave.functions.quantiles import materialise, quantiles
 from riskweave.operators.profile import long_values
 
-MAX_CATEGORIES = 1000
-
-
-class TooManyCategories(ValueError):
-    pass
-
 
 def _wide_from_long(long_df: DataFrame, key: str, value: str, names: list[str], suffix: str) -> DataFrame:
     """(variable, value) rows -> one row with a column per variable."""
@@ -73,52 +69,71 @@ def apply_imputer(df: DataFrame, params: DataFrame) -> DataFrame:
     return j.withColumns(fills).drop(*params.columns)
 
 
-def categories(df: DataFrame, cols: list[str], max_categories: int = MAX_CATEGORIES) -> dict[str, list[str]]:
-    """Sorted distinct values (as text) per column; guarded collect."""
-    lv = (df.select(*[F.col(c).cast("string").alias(c) for c in cols]).unpivot([], cols, "variable", "value")
-          .where(F.col("value").isNotNull()).distinct())
+def _distinct_text(df: DataFrame, cols: list[str]) -> DataFrame:
+    """(variable, value) of the distinct non-null values as text."""
+    return (df.select(*[F.col(c).cast("string").alias(c) for c in cols]).unpivot([], cols, "variable", "value")
+            .where(F.col("value").isNotNull()).distinct())
+
+
+def categories(df: DataFrame, cols: list[str], max_columns: int = 1000) -> dict[str, list[str]]:
+    """Sorted distinct values (as text) of the columns that have at most ``max_columns`` of them; wider ones are left out."""
+    lv = materialise(_distinct_text(df, cols))
     sizes = {r["variable"]: r["k"] for r in lv.groupBy("variable").agg(F.count(F.lit(1)).alias("k")).collect()}
-    big = {c: k for c, k in sizes.items() if k > max_categories}
-    if big:
-        raise TooManyCategories(f"columns exceed {max_categories} categories: {big}")
-    out = {c: [] for c in cols}
-    for r in lv.orderBy("variable", "value").collect():   # bounded by the guard above
+    out = {c: [] for c in cols if sizes.get(c, 0) <= max_columns}
+    for r in lv.where(F.col("variable").isin(list(out))).collect():   # at most max_columns rows a column
         out[r["variable"]].append(r["value"])
-    return out
+    return {c: sorted(v, key=lambda t: t.encode()) for c, v in out.items()}
 
 
-def onehot(df: DataFrame, cols: list[str], cats: dict[str, list[str]] | None = None,
-           drop_first: bool = True) -> DataFrame:
+def onehot(df: DataFrame, cols: list[str], cats: dict[str, list[str]] | None = None, drop_first: bool = True, max_columns: int = 1000,
+           wide_codes: DataFrame | None = None) -> DataFrame:
     """``col_value`` 0/1 doubles for sorted categories, first dropped; an
-    unseen value gets all zeros; the source column is removed."""
-    cats = cats or categories(df, cols)
+    unseen value gets all zeros; the source column is removed.
+
+    A column that is not in ``cats`` (more than ``max_columns`` categories) becomes the sparse vector ``col_onehot``,
+    indexed by label code (less one with ``drop_first``), from ``wide_codes`` or codes fitted here."""
+    cats = categories(df, cols, max_columns) if cats is None else cats
+    wide = [c for c in cols if c not in cats]
     new = {}
     for c in cols:
-        values = cats[c][1:] if drop_first else cats[c]
-        for v in values:
-            new[f"{c}_{v}"] = (F.col(c).cast("string") == F.lit(v)).cast("double")
-    return df.withColumns(new).drop(*cols) if new else df.drop(*cols)
-
-
-def fit_label_codes(df: DataFrame, cols: list[str], max_categories: int = MAX_CATEGORIES) -> DataFrame:
-    """F5 fit: ``(variable, value, code)`` with codes 0..k-1 in sorted text order."""
-    lv = (df.select(*[F.col(c).cast("string").alias(c) for c in cols]).unpivot([], cols, "variable", "value")
-          .where(F.col("value").isNotNull()).distinct())
-    sizes = lv.groupBy("variable").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") > max_categories)
-    if not sizes.isEmpty():
-        raise TooManyCategories(f"columns exceed {max_categories} categories")
-    # bounded by the guard: each window partition holds at most max_categories rows
-    w = Window.partitionBy("variable").orderBy("value")
-    return lv.withColumn("code", (F.row_number().over(w) - 1).cast("int"))
-
-
-def apply_label_codes(df: DataFrame, codes: DataFrame, cols: list[str]) -> DataFrame:
-    """F5 apply: replace each column by its code (broadcast lookup)."""
+        if c in cats:
+            for v in cats[c][1:] if drop_first else cats[c]:
+                new[f"{c}_{v}"] = (F.col(c).cast("string") == F.lit(v)).cast("double")
+    out = df.withColumns(new) if new else df
+    if wide:
+        out = _onehot_vectors(out, wide, wide_codes if wide_codes is not None else fit_label_codes(df, wide), drop_first)
+    return out.drop(*cols)
+
+
+def _onehot_vectors(df: DataFrame, cols: list[str], codes: DataFrame, drop_first: bool) -> DataFrame:
+    from pyspark.ml.feature import OneHotEncoder
+    skip = 1 if drop_first else 0
+    sizes = {r["variable"]: r["k"] for r in codes.groupBy("variable").agg((F.max("code") + 1).alias("k")).collect()}  # one row per column
+    out = apply_label_codes(df.withColumns({f"_code_{c}": F.col(c) for c in cols}), codes, cols, {c: f"_code_{c}" for c in cols})
+    for c in cols:
+        n = max(1, sizes.get(c, 0) - skip)
+        code = F.col(f"_code_{c}") - skip
+        # what has no code of its own is the encoder's invalid category, which dropLast makes all zeros
+        out = out.withColumn(f"_code_{c}", F.when(code >= 0, code).otherwise(F.lit(n)).cast("double"))
+        fitted = OneHotEncoder(inputCol=f"_code_{c}", outputCol=f"{c}_onehot", handleInvalid="keep", dropLast=True).fit(
+            df.sparkSession.range(n).select(F.col("id").cast("double").alias(f"_code_{c}")))
+        out = fitted.transform(out).drop(f"_code_{c}")
+    return out
+
+
+def fit_label_codes(df: DataFrame, cols: list[str]) -> DataFrame:
+    """F5 fit: ``(variable, value, code)`` with codes 0..k-1 in sorted text order, for any number of values."""
+    ranked = global_rank(_distinct_text(df, cols), ["value"], "code", ["variable"])
+    return ranked.select("variable", "value", F.col("code").cast("int").alias("code"))
+
+
+def apply_label_codes(df: DataFrame, codes: DataFrame, cols: list[str], targets: dict[str, str] | None = None) -> DataFrame:
+    """F5 apply: replace each column (or its target) by its code; the join strategy is left to the optimizer."""
     out = df
     for c in cols:
         m = codes.where(F.col("variable") == c).select(F.col("value").alias(f"_v_{c}"), F.col("code").alias(f"_c_{c}"))
-        out = (out.join(F.broadcast(m), out[c].cast("string") == F.col(f"_v_{c}"), "left")
-               .withColumn(c, F.col(f"_c_{c}")).drop(f"_v_{c}", f"_c_{c}"))
+        out = (out.join(m, out[c].cast("string") == F.col(f"_v_{c}"), "left")
+               .withColumn((targets or {}).get(c, c), F.col(f"_c_{c}")).drop(f"_v_{c}", f"_c_{c}"))
     return out
 
 
@@ -167,9 +182,3 @@ def apply_scaler(df: DataFrame, params: DataFrame, inverse: bool = False) -> Dat
 
 def scale(df: DataFrame, cols: list[str], method: str = "standardize") -> DataFrame:
     return apply_scaler(df, fit_scaler(df, cols, method))
-
-
-def assemble(df: DataFrame, feature_cols: list[str], output: str = "features") -> DataFrame:
-    """fixed-order feature vector."""
-    from pyspark.ml.feature import VectorAssembler
-    return VectorAssembler(inputCols=list(feature_cols), outputCol=output, handleInvalid="keep").transform(df)

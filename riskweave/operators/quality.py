@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from riskweave.functions.exprs import is_missing, safe_div
+from riskweave.functions.exprs import col_, is_missing, safe_div
 from riskweave.functions.quantiles import quantiles
 from riskweave.operators.profile import _numeric_cols, long_values, moments
 
@@ -151,7 +151,7 @@ def impute_advice(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
 # ---------------------------------------------------------------- outliers
 def iqr_bounds(df: DataFrame, cols: list[str] | None = None, whisker: float = 1.5,
                extra: dict | None = None) -> DataFrame:
-    """Per variable: Q1, Q3, IQR and the fences Q1 - w*IQR, Q3 + w*IQR."""
+    """Per variable: Q1, Q3, IQR and the fences Q1 - w*IQR, Q3 + w*IQR (NULL and NaN left out)."""
     cols = _numeric_cols(df, cols)
     probs = {"q1": 0.25, "q3": 0.75, **(extra or {})}
     q = quantiles(long_values(df, cols), ["variable"], "value", probs)
@@ -162,60 +162,73 @@ def iqr_bounds(df: DataFrame, cols: list[str] | None = None, whisker: float = 1.
 
 
 def iqr_outlier_flag(c, lower, upper):
-    """Outside the fences."""
-    return (F.col(c) < lower) | (F.col(c) > upper)
+    """Outside the fences; a NaN is missing, not an outlier."""
+    x = col_(c)
+    return ~F.isnan(x) & ((x < lower) | (x > upper))
+
+
+def zscore_flag(c, mean, std_pop, threshold: float = 3.0):
+    """|z| > threshold; a NaN is missing, not an outlier."""
+    x = col_(c)
+    return ~F.isnan(x) & (F.abs(safe_div(x - mean, std_pop)) > F.lit(threshold))
+
+
+def _flagged(df: DataFrame, cols: list[str], flags: dict[str, dict]) -> DataFrame:
+    """One wide aggregate, one scan: per variable its rows, present values and, for each flag (name -> variable ->
+    predicate of a column), the flagged count, min, max and mean."""
+    aggs = []
+    for i, c in enumerate(cols):
+        x = F.col(c).cast("double")
+        aggs.append(F.count(F.when(~F.isnan(x), x)).alias(f"_n{i}"))
+        for name, of in flags.items():
+            hit = F.when(of[c](x), x) if c in of else F.lit(None).cast("double")
+            aggs += [F.count(hit).alias(f"_{name}_count{i}"), F.min(hit).alias(f"_{name}_min{i}"), F.max(hit).alias(f"_{name}_max{i}"), F.avg(hit).alias(f"_{name}_mean{i}")]
+    wide = df.agg(F.count(F.lit(1)).alias("_rows"), *aggs)
+    rows = [F.struct(F.lit(c).alias("variable"), F.col(f"_n{i}").alias("n"),
+                     *[F.col(f"_{name}_{k}{i}").alias(f"{name}_{k}") for name in flags for k in ("count", "min", "max", "mean")]) for i, c in enumerate(cols)]
+    return wide.select(F.col("_rows").alias("rows"), F.explode(F.array(*rows)).alias("v")).select("rows", "v.*")
+
+
+def _iqr_flags(bounds: list) -> dict:
+    # one row per variable: the bounds become literals of the scan that counts
+    return {r["variable"]: (lambda x, lo=r["lower"], hi=r["upper"]: iqr_outlier_flag(x, F.lit(lo), F.lit(hi))) for r in bounds}
+
+
+def _z_flags(df: DataFrame, cols: list[str], threshold: float) -> dict:
+    m = moments(df, cols).select("variable", "mean", "std_pop").collect()  # one row per variable
+    return {r["variable"]: (lambda x, mu=r["mean"], sd=r["std_pop"]: zscore_flag(x, F.lit(mu), F.lit(sd), threshold)) for r in m if r["mean"] is not None}
 
 
 def iqr_outliers(df: DataFrame, cols: list[str] | None = None, whisker: float = 1.5) -> DataFrame:
     """Per variable bounds, outlier count, pct of ALL rows, and the
     min / max / mean of the outlying values."""
     cols = _numeric_cols(df, cols)
-    b = iqr_bounds(df, cols, whisker)
-    lv = long_values(df, cols)
-    joined = lv.join(F.broadcast(b.select("variable", "lower", "upper")), "variable")
-    out = F.col("value") < F.col("lower")
-    out = out | (F.col("value") > F.col("upper"))
-    agg = joined.groupBy("variable").agg(
-        F.count(F.lit(1)).alias("rows"),
-        F.count_if(out).alias("n_outliers"),
-        F.min(F.when(out, F.col("value"))).alias("min_outlier"),
-        F.max(F.when(out, F.col("value"))).alias("max_outlier"),
-        F.avg(F.when(out, F.col("value"))).alias("mean_outlier"))
-    return (b.join(agg, "variable")
-            .select("variable", "q1", "q3", "iqr", "lower", "upper", "n_outliers",
-                    safe_div(F.col("n_outliers") * 100.0, "rows").alias("pct_outliers"),
-                    "min_outlier", "max_outlier", "mean_outlier"))
+    bounds = iqr_bounds(df, cols, whisker).collect()  # one row per variable
+    schema = "variable string, q1 double, q3 double, iqr double, lower double, upper double"
+    b = df.sparkSession.createDataFrame([tuple(r) for r in bounds], schema)
+    found = _flagged(df, cols, {"iqr": _iqr_flags(bounds)})
+    return (found.join(F.broadcast(b), "variable")  # one row per variable
+            .select("variable", "q1", "q3", "iqr", "lower", "upper", F.col("iqr_count").alias("n_outliers"),
+                    safe_div(F.col("iqr_count") * 100.0, "rows").alias("pct_outliers"),
+                    F.col("iqr_min").alias("min_outlier"), F.col("iqr_max").alias("max_outlier"), F.col("iqr_mean").alias("mean_outlier")))
 
 
 def zscore_outliers(df: DataFrame, cols: list[str] | None = None, threshold: float = 3.0) -> DataFrame:
     """|x - mean| / std_pop > threshold; pct of the NON-NULL values."""
     cols = _numeric_cols(df, cols)
-    m = moments(df, cols).select("variable", "mean", "std_pop")
-    lv = long_values(df, cols).where(F.col("value").isNotNull() & ~F.isnan("value"))
-    z = F.abs(safe_div(F.col("value") - F.col("mean"), "std_pop"))
-    out = z > F.lit(threshold)
-    agg = lv.join(F.broadcast(m), "variable").groupBy("variable").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.count_if(out).alias("n_outliers"),
-        F.min(F.when(out, F.col("value"))).alias("min_outlier"),
-        F.max(F.when(out, F.col("value"))).alias("max_outlier"))
-    return agg.select("variable", F.lit(threshold).alias("threshold"), "n_outliers",
-                      safe_div(F.col("n_outliers") * 100.0, "n").alias("pct_outliers"),
-                      "min_outlier", "max_outlier")
-
-
-def zscore_flag(c, mean, std_pop, threshold: float = 3.0):
-    """|z| > threshold."""
-    return F.abs(safe_div(F.col(c) - mean, std_pop)) > F.lit(threshold)
+    flags = _z_flags(df, cols, threshold)
+    return _flagged(df, cols, {"z": flags}).where(F.col("variable").isin(list(flags))).select(
+        "variable", F.lit(threshold).alias("threshold"), F.col("z_count").alias("n_outliers"),
+        safe_div(F.col("z_count") * 100.0, "n").alias("pct_outliers"), F.col("z_min").alias("min_outlier"), F.col("z_max").alias("max_outlier"))
 
 
 def outlier_compare(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
-    """IQR and z-score counts side by side, and their difference."""
-    i = iqr_outliers(df, cols).select("variable", F.col("n_outliers").alias("iqr_count"),
-                                      F.col("pct_outliers").alias("iqr_pct"))
-    z = zscore_outliers(df, cols).select("variable", F.col("n_outliers").alias("z_count"),
-                                         F.col("pct_outliers").alias("z_pct"))
-    return i.join(z, "variable").withColumn("difference", F.col("iqr_count") - F.col("z_count"))
+    """IQR and z-score counts side by side, and their difference: both predicates in one scan."""
+    cols = _numeric_cols(df, cols)
+    iqr = _iqr_flags(iqr_bounds(df, cols).collect())  # one row per variable
+    found = _flagged(df, cols, {"iqr": iqr, "z": _z_flags(df, cols, 3.0)}).where(F.col("variable").isin(list(iqr)))
+    return found.select("variable", F.col("iqr_count"), safe_div(F.col("iqr_count") * 100.0, "rows").alias("iqr_pct"), F.col("z_count"),
+                        safe_div(F.col("z_count") * 100.0, "n").alias("z_pct"), (F.col("iqr_count") - F.col("z_count")).alias("difference"))
 
 
 def high_outlier_features(df: DataFrame, cols: list[str] | None = None, share: float = 0.05) -> DataFrame:

@@ -1,9 +1,8 @@
-"""Experiment runs and model versions as append-only tables.
+"""Experiment runs and model versions as tables.
 
-A run is one row ``(run_id, run_name, experiment, start_time, params
-MAP<STRING,STRING>, metrics MAP<STRING,DOUBLE>, tags MAP<STRING,STRING>)``
-appended to a Parquet table; versions and stage changes are events in two
-more tables, and "current" is the latest event per key (a window).
+A run is one row ``(run_id, run_name, experiment, start_time, params MAP<STRING,STRING>, metrics MAP<STRING,DOUBLE>, tags
+MAP<STRING,STRING>)``; versions and stage changes are events, and "current" is the latest event per key (a window).  The
+queries are functions of such tables, wherever they come from; ``RunStore`` keeps them as append-only Parquet.
 """
 
 from __future__ import annotations
@@ -20,19 +19,55 @@ VERSION_SCHEMA = "model_name string, version int, run_id string, model_path stri
 STAGE_SCHEMA = "model_name string, version int, stage string, changed timestamp_ntz, seq long"
 
 
+# --------------------------------------------------------------------------- queries over run tables
+def best_run(runs: DataFrame, metric: str = "test_roc_auc", experiment: str | None = None, ascending: bool = False) -> DataFrame:
+    """The best run (of the experiment) that has the metric, as at most one row; the earliest wins a tie."""
+    r = runs if experiment is None else runs.where(F.col("experiment") == experiment)
+    score = F.col("metrics")[metric]
+    return r.where(score.isNotNull() & ~F.isnan(score)).orderBy(score.asc() if ascending else score.desc(), "start_time", "run_id").limit(1)
+
+
+def compare_runs(runs: DataFrame, run_ids: list[str] | None = None, metric: str = "test_roc_auc", experiment: str | None = None) -> DataFrame:
+    """One row per run with a column per metric and param, best first."""
+    r = runs if experiment is None else runs.where(F.col("experiment") == experiment)
+    if run_ids:
+        r = r.where(F.col("run_id").isin(list(run_ids)))
+    names = {kind: sorted(x[0] for x in r.select(F.explode(F.map_keys(kind))).distinct().collect()) for kind in ("metrics", "params")}  # column names
+    out = r.select("run_id", "run_name", *[F.col(kind)[k].alias(f"{kind}.{k}") for kind in names for k in names[kind]])
+    if metric in names["metrics"]:
+        out = out.orderBy(F.col(f"`metrics.{metric}`").desc_nulls_last(), "run_id")
+    return out
+
+
+def current_stages(events: DataFrame) -> DataFrame:
+    """The latest stage event per (model, version)."""
+    w = Window.partitionBy("model_name", "version").orderBy(F.col("seq").desc())
+    return events.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
+
+
+def latest_versions(events: DataFrame) -> DataFrame:
+    """The newest version currently in each stage of each model."""
+    w = Window.partitionBy("model_name", "stage").orderBy(F.col("version").desc())
+    return current_stages(events).withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
+
+
+# --------------------------------------------------------------------------- store
 class RunStore:
+    """Runs, versions and stage events as append-only Parquet tables; reads see the store's experiment only."""
+
     def __init__(self, spark: SparkSession, root: str, experiment: str = "credit_risk_model"):
         self.spark, self.root, self.experiment = spark, root.rstrip("/"), experiment
 
     # ------------------------------------------------------------------ tables
     def _read(self, name: str, schema: str) -> DataFrame:
-        try:
-            return self.spark.read.schema(schema).parquet(f"{self.root}/{name}")
-        except Exception:  # noqa: BLE001 - nothing written yet
+        """The table, empty only if nothing was ever written; any other failure to read it is an error."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
+        if not path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path):
             return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(f"{self.root}/{name}")
 
     def runs(self) -> DataFrame:
-        return self._read("runs", RUN_SCHEMA)
+        return self._read("runs", RUN_SCHEMA).where(F.col("experiment") == self.experiment)
 
     def versions(self) -> DataFrame:
         return self._read("model_versions", VERSION_SCHEMA)
@@ -72,30 +107,17 @@ class RunStore:
     # ------------------------------------------------------------------ queries
     def best_run(self, metric: str = "test_roc_auc", ascending: bool = False) -> DataFrame:
         """One row (error when there is no run with the metric)."""
-        r = self.runs().where(F.col("metrics")[metric].isNotNull())
-        o = F.col("metrics")[metric]
-        best = r.orderBy(o.asc() if ascending else o.desc(), "start_time", "run_id").limit(1)
+        best = best_run(self.runs(), metric, None, ascending)
         if best.isEmpty():
             raise ValueError(f"No runs with metric {metric!r}")
         return best
 
     def compare_runs(self, run_ids: list[str] | None = None, metric: str = "test_roc_auc") -> DataFrame:
-        """One row per run with a column per metric and param, best first."""
-        r = self.runs()
-        if run_ids:
-            r = r.where(F.col("run_id").isin(list(run_ids)))
-        keys = r.select(F.explode(F.map_keys("metrics")).alias("k")).distinct().collect()  # metric names
-        pkeys = r.select(F.explode(F.map_keys("params")).alias("k")).distinct().collect()
-        cols = [F.col("metrics")[k["k"]].alias(f"metrics.{k['k']}") for k in sorted(keys, key=lambda x: x["k"])]
-        cols += [F.col("params")[k["k"]].alias(f"params.{k['k']}") for k in sorted(pkeys, key=lambda x: x["k"])]
-        out = r.select("run_id", "run_name", *cols)
-        if f"metrics.{metric}" in out.columns:
-            out = out.orderBy(F.col(f"`metrics.{metric}`").desc_nulls_last(), "run_id")
-        return out
+        return compare_runs(self.runs(), run_ids, metric)
 
     # ------------------------------------------------------------------ registry
     def register_model(self, model_name: str, run_id: str, model_path: str) -> int:
-        """Next version number for the name."""
+        """Next version number for the name (one writer at a time)."""
         cur = self.versions().where(F.col("model_name") == model_name).agg(F.max("version")).first()[0] or 0
         v = int(cur) + 1
         self.spark.createDataFrame([(model_name, v, run_id, model_path, dt.datetime.now())], VERSION_SCHEMA) \
@@ -107,14 +129,8 @@ class RunStore:
         self.spark.createDataFrame([(model_name, int(version), stage, dt.datetime.now(), int(seq) + 1)],
                                    STAGE_SCHEMA).write.mode("append").parquet(f"{self.root}/stage_events")
 
-    def current_stages(self) -> DataFrame:
-        """Latest stage event per (model, version)."""
-        w = Window.partitionBy("model_name", "version").orderBy(F.col("seq").desc())
-        return self.stage_events().withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
-
     def latest_version_per_stage(self) -> DataFrame:
-        w = Window.partitionBy("model_name", "stage").orderBy(F.col("version").desc())
-        return self.current_stages().withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
+        return latest_versions(self.stage_events())
 
     def model_path(self, model_name: str, stage: str = "Production") -> str:
         """X8 lookup: path of the newest version currently in ``stage``."""

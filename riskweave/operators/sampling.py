@@ -7,14 +7,14 @@ from pyspark.sql import functions as F
 
 
 def seeded_sample(df: DataFrame, key_cols: list[str], n: int, seed: int = 42) -> DataFrame:
-    """Exactly ``min(n, rows)`` rows, chosen by a seeded hash of the key.
+    """Exactly ``min(n, rows)`` rows, chosen by md5(seed | key).
 
     ``orderBy(...).limit(n)`` plans as TakeOrderedAndProject: every task keeps
     its own top ``n`` and only those reach the final merge (no full sort).
     The choice does not depend on partitioning.
     """
-    h = F.xxhash64(F.lit(seed), *[F.col(c) for c in key_cols])
-    return df.withColumn("_h", h).orderBy("_h", *key_cols).limit(n).drop("_h")
+    from riskweave.operators.splits import hash_hex
+    return df.withColumn("_h", hash_hex(key_cols, seed)).orderBy("_h", *key_cols).limit(n).drop("_h")
 
 
 def head(df: DataFrame, order_cols: list, n: int = 5) -> DataFrame:

@@ -11,17 +11,18 @@ N_FEATURES = 26
 
 
 def risk_level(pred_col: str = "prediction"):
-    """P10: 'high' when the prediction is 1, else 'low'."""
-    return F.when(F.col(pred_col) == 1, F.lit("high")).otherwise(F.lit("low"))
+    """P10: 'high' when the prediction is 1, else 'low'; none without a prediction."""
+    p = F.col(pred_col)
+    return F.when(p.isNull(), F.lit(None).cast("string")).when(p == 1, F.lit("high")).otherwise(F.lit("low"))
 
 
 def risk_band(prob_col: str = "probability", low: float = LOW_THRESHOLD, high: float = HIGH_THRESHOLD):
     """(band, decision): < low -> low/approve, <= high -> medium/review,
-    else high/reject."""
+    else high/reject; a row without a score (NULL or NaN) has neither."""
     p = F.col(prob_col)
-    band = F.when(p < low, F.lit("low")).when(p <= high, F.lit("medium")).otherwise(F.lit("high"))
-    decision = F.when(p < low, F.lit("approve")).when(p <= high, F.lit("review")).otherwise(F.lit("reject"))
-    return band, decision
+    none = F.lit(None).cast("string")
+    ladder = lambda a, b, c: F.when(p.isNull() | F.isnan(p), none).when(p < low, F.lit(a)).when(p <= high, F.lit(b)).otherwise(F.lit(c))
+    return ladder("low", "medium", "high"), ladder("approve", "review", "reject")
 
 
 def with_risk_bands(df: DataFrame, prob_col: str = "probability", low: float = LOW_THRESHOLD,
@@ -36,26 +37,41 @@ def valid_width(features_col: str = "features", n: int = N_FEATURES):
     return arr.isNotNull() & (F.size(arr) == n) & F.forall(arr, lambda x: x.isNotNull())
 
 
+def reject_reason(features_col: str = "features", n: int = N_FEATURES):
+    """Why a row cannot be scored (expected and received width, or a missing cell); NULL for a good row."""
+    width = F.coalesce(F.size(features_col), F.lit(0))
+    return (F.when(F.coalesce(valid_width(features_col, n), F.lit(False)), F.lit(None).cast("string"))
+            .when(width == n, F.lit("missing value in features"))
+            .otherwise(F.format_string(f"expected {n} features, got %d", width)))
+
+
 def split_valid(df: DataFrame, features_col: str = "features", n: int = N_FEATURES):
     """(good rows, quarantined rows with a reason)."""
-    ok = valid_width(features_col, n)
-    good = df.where(ok)
-    bad = df.where(~ok | ok.isNull()).withColumn(
-        "reject_reason", F.format_string(f"expected {n} features, got %d", F.coalesce(F.size(features_col), F.lit(-1))))
-    return good, bad
+    marked = df.withColumn("reject_reason", reject_reason(features_col, n))
+    return marked.where("reject_reason is null").drop("reject_reason"), marked.where("reject_reason is not null")
 
 
 def batch_score(model, df: DataFrame, features_col: str = "features", n: int = N_FEATURES) -> DataFrame:
-    """Score rows carrying a ``features`` array; invalid rows are left out
-    (see ``split_valid`` for the quarantine side)."""
+    """Score rows carrying a ``features`` array.  Every input row comes back: one that cannot be scored has a
+    ``reject_reason`` and no prediction.  One pass: a rejected row is given zeros to go through the model."""
     from pyspark.ml.functions import array_to_vector, vector_to_array
-    good, _ = split_valid(df, features_col, n)
     stage = model.stages[-1] if hasattr(model, "stages") else model
     fc = stage.getFeaturesCol()
-    vec = good.withColumn("_raw", F.col(features_col)).withColumn(fc, array_to_vector(F.col("_raw")))
-    out = stage.transform(vec)
-    prob = (vector_to_array("probability")[1] if "probability" in out.columns
-            else F.col("prediction").cast("double"))
-    out = out.withColumn("_p", prob).drop("probability", "rawPrediction").withColumnRenamed("_p", "probability")
-    out = out.withColumn("prediction", F.col("prediction").cast("int")).withColumn("risk_level", risk_level())
-    return out.drop(fc).withColumnRenamed("_raw", features_col)
+    marked = df.withColumnRenamed(features_col, "_raw").withColumn("reject_reason", reject_reason("_raw", n))
+    good = F.col("reject_reason").isNull()
+    zeros = F.array_repeat(F.lit(0.0), n)
+    out = stage.transform(marked.withColumn(fc, array_to_vector(F.when(good, F.col("_raw").cast("array<double>")).otherwise(zeros))))
+    prob = vector_to_array("probability")[1] if "probability" in out.columns else F.col("prediction").cast("double")
+    out = out.withColumns({"_p": F.when(good, prob), "_y": F.when(good, F.col("prediction").cast("int"))})
+    out = out.drop("probability", "rawPrediction", "prediction", fc).withColumnsRenamed({"_p": "probability", "_y": "prediction", "_raw": features_col})
+    return out.withColumn("risk_level", risk_level())
+
+
+def linear_score(df: DataFrame, coefficients: list[float], intercept: float, features_col: str = "features") -> DataFrame:
+    """Score with given logistic coefficients, as one expression: probability, prediction (from 0.5 on) and level, rejects as in ``batch_score``."""
+    n = len(coefficients)
+    marked = df.withColumn("reject_reason", reject_reason(features_col, n))
+    terms = F.zip_with(F.col(features_col).cast("array<double>"), F.array(*[F.lit(float(c)) for c in coefficients]), lambda x, w: x * w)
+    z = F.aggregate(terms, F.lit(float(intercept)), lambda a, t: a + t)
+    marked = marked.withColumn("probability", F.when(F.col("reject_reason").isNull(), 1 / (1 + F.exp(-z))))
+    return marked.withColumn("prediction", (F.col("probability") >= 0.5).cast("int")).withColumn("risk_level", risk_level())

@@ -13,7 +13,8 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskweave.functions.quantiles import quantiles
+from riskweave.functions.exprs import is_missing
+from riskweave.functions.quantiles import materialise, quantiles
 from riskweave.sources.schemas import require_columns
 
 RFM = ("recency", "frequency", "monetary")
@@ -102,10 +103,10 @@ def label_customers(df: DataFrame, worst: DataFrame | int, cluster_col: str = "c
 
 def label_transactions(tx: DataFrame, labelled: DataFrame, customer_col: str = "CustomerId",
                        label_col: str = "is_high_risk", cluster_col: str | None = "cluster") -> DataFrame:
-    """Customer labels joined onto transactions (left); one label per
-    customer (duplicates removed); unmatched rows get label 0."""
+    """Customer labels joined onto transactions (left); a customer with several
+    labels has the highest (with it, the highest cluster); unmatched rows get label 0."""
     cols = [customer_col, label_col] + ([cluster_col] if cluster_col and cluster_col in labelled.columns else [])
-    lab = labelled.select(*cols).dropDuplicates([customer_col])
+    lab = labelled.groupBy(customer_col).agg(F.max(F.struct(*cols[1:])).alias("_l")).select(customer_col, "_l.*")
     tx = tx.drop(*[c for c in cols[1:] if c in tx.columns])
     return tx.join(lab, customer_col, "left").withColumn(label_col, F.coalesce(F.col(label_col), F.lit(0)))
 
@@ -114,7 +115,7 @@ def attach_target(features: DataFrame, labelled_tx: DataFrame, key: str = "Trans
                   label_col: str = "is_high_risk") -> DataFrame:
     """Add the label to the processed feature table by transaction key
     (positional pairing has no meaning on a distributed table)."""
-    lab = labelled_tx.select(key, label_col).dropDuplicates([key])
+    lab = labelled_tx.groupBy(key).agg(F.max(label_col).alias(label_col))
     return features.join(lab, key, "left").withColumn(label_col, F.coalesce(F.col(label_col), F.lit(0)).cast("int"))
 
 
@@ -170,11 +171,11 @@ class CustomerSegmenter:
         from pyspark.ml.clustering import KMeans
         from riskweave.operators.prepare import fit_scaler
         require_columns(df, self.features, "RFM table")
-        nulls = df.agg(*[F.count_if(F.col(f).isNull()).alias(f) for f in self.features]).first()
+        nulls = df.agg(*[F.count_if(is_missing(F.col(f).cast("double"))).alias(f) for f in self.features]).first()
         bad = [f for f in self.features if nulls[f]]
         if bad:
             raise ValueError(f"RFM features contain missing values: {bad}")
-        self.scale_params = fit_scaler(df, self.features, self.scaling or "none").cache()
+        self.scale_params = materialise(fit_scaler(df, self.features, self.scaling or "none"))
         data = self._vectors(df).select("_features").persist(StorageLevel.MEMORY_AND_DISK)
         try:
             best = None
@@ -194,7 +195,7 @@ class CustomerSegmenter:
 
     def predict(self, df: DataFrame) -> DataFrame:
         if self.model is None:
-            raise ValueError("Clustering model has not been fitted yet. Call fit() first.")
+            raise ValueError("the segmenter has not been fitted")
         out = self.model.transform(self._vectors(df)).drop("_features")
         mapping = F.create_map(*[F.lit(x) for kv in self.relabel.items() for x in kv])
         return out.withColumn("cluster", mapping[F.col("cluster")].cast("int"))
@@ -224,3 +225,22 @@ class CustomerSegmenter:
             F.aggregate(F.zip_with(vector_to_array("_features"), "center", lambda a, b: (a - b) * (a - b)),
                         F.lit(0.0), lambda acc, v: acc + v).alias("d2"))
         return float(d.agg(F.sum("d2")).first()[0])
+
+
+def assign_nearest(df: DataFrame, centres: list[list[float]], features=RFM, cluster_col: str = "cluster") -> DataFrame:
+    """K2 with given centres (in the features' own units): the nearest one's number and the squared distance ``cost``.
+
+    A projection: the centres are literals.  The lowest number wins a tie; a missing feature leaves both NULL."""
+    def cost(c):
+        out = None
+        for f, v in zip(features, c, strict=True):
+            d = (F.col(f).cast("double") - F.lit(float(v)))
+            out = d * d if out is None else out + d * d
+        return out
+
+    best = F.array_min(F.array(*[F.struct(cost(c).alias("cost"), F.lit(i).alias("id")) for i, c in enumerate(centres)]))
+    known = None
+    for f in features:
+        ok = ~is_missing(F.col(f).cast("double"))
+        known = ok if known is None else known & ok
+    return df.withColumn("_best", F.when(known, best)).withColumns({cluster_col: F.col("_best.id"), "cost": F.col("_best.cost")}).drop("_best")

@@ -92,6 +92,14 @@ def q_target_corr(spark, sf):
     return rounded(CR.target_corr(df, "is_r", CC), 6)
 
 
-@register("scatter_sample")
+def _scatter_sql():
+    value = lambda side: "CASE " + " ".join(f"WHEN t.{side} = '{c}' THEN s.{c}" for c in CC) + " END"
+    return "WITH " + _pairs_sql() + f""",
+t AS (SELECT feature_1, feature_2 FROM p WHERE abs(corr) >= 0.7 ORDER BY abs(corr) DESC, feature_1, feature_2 LIMIT 6),
+s AS (SELECT * FROM lx ORDER BY md5('42|' || l_orderkey || '|' || l_linenumber), l_orderkey, l_linenumber LIMIT 5000)
+SELECT l_orderkey, l_linenumber, feature_1, feature_2, round({value('feature_1')}, 8) AS x, round({value('feature_2')}, 8) AS y FROM s, t"""
+
+
+@register("scatter_sample", _scatter_sql())
 def q_scatter(spark, sf):
-    return CR.scatter_sample(li(spark, sf), ["l_orderkey", "l_linenumber"], CC, 6, 5000, 42)
+    return rounded(CR.scatter_sample(li(spark, sf), ["l_orderkey", "l_linenumber"], CC, 6, 5000, 42), 8)

@@ -10,11 +10,13 @@ from pyspark.sql import functions as F
 
 from riskweave.operators import metrics as ME
 from riskweave.operators import models as MO
+from riskweave.operators import runs as RU
 from riskweave.operators import scoring as SC
 from riskweave.operators import segments as SG
 from riskweave.operators import splits as SP
 from riskweave.operators.sampling import seeded_sample
 from riskweave.plans.catalog import register, rounded, table
+from riskweave.plans.derived import LINEITEM_MISSING_SQL, lineitem_with_missing
 from riskweave.plans.q_prepare import feature_processor
 from riskweave.plans.q_segments import rfm_banded
 from riskweave.session import ensure_checkpoint_dir
@@ -22,19 +24,7 @@ from riskweave.session import ensure_checkpoint_dir
 LABEL = "is_high_risk"
 
 
-_LABELLED: dict = {}
-
-
 def labelled_features(spark, sf):
-    """Fitted once per session and data directory (the fit runs small jobs
-    eagerly); the returned plan is lazy."""
-    key = (spark.sparkContext.applicationId, sf)
-    if key not in _LABELLED:
-        _LABELLED[key] = _build_labelled(spark, sf)
-    return _LABELLED[key]
-
-
-def _build_labelled(spark, sf):
     o = table(spark, sf, "orders")
     feats = feature_processor().fit_transform(o)
     lab = SG.create_high_risk_target(rfm_banded(spark, sf), o, "o_custkey")["transactions"]
@@ -51,12 +41,7 @@ def status_labelled(spark, sf):
     return o.select("o_orderkey", (F.col("o_orderstatus") == "F").cast("int").alias("y"))
 
 
-@register("stratified_split")
-def q_strat_split(spark, sf):
-    return SP.assign_split(status_labelled(spark, sf), ["o_orderkey"], "y", 0.2, 0.1, 42)
-
-
-@register("stratified_split_counts", """
+QUOTAS = """
 WITH o AS (SELECT CAST(o_orderstatus = 'F' AS INTEGER) AS y FROM orders),
 c AS (SELECT y, count(*) AS n FROM o GROUP BY y),
 t AS (SELECT sum(n) AS tot, CAST(ceil(sum(n) * 0.2) AS BIGINT) AS nt FROM c),
@@ -69,7 +54,18 @@ vt AS (SELECT sum(rem) AS tr, CAST(ceil(sum(rem) * 0.1 / 0.8) AS BIGINT) AS nv F
 vr AS (SELECT y, rem, nt, rem * nv / tr AS raw, floor(rem * nv / tr) AS base FROM v1, vt),
 vk AS (SELECT *, row_number() OVER (ORDER BY raw - base DESC, CAST(y AS VARCHAR)) AS rk,
               (SELECT nv FROM vt) - sum(base) OVER () AS rest FROM vr),
-fin AS (SELECT y, nt, CAST(base + CASE WHEN rk <= rest THEN 1 ELSE 0 END AS BIGINT) AS nv, rem FROM vk)
+fin AS (SELECT y, nt, CAST(base + CASE WHEN rk <= rest THEN 1 ELSE 0 END AS BIGINT) AS nv, rem FROM vk)"""
+
+
+@register("stratified_split", QUOTAS + """,
+h AS (SELECT o_orderkey, CAST(o_orderstatus = 'F' AS INTEGER) AS y, md5('42|' || o_orderkey) AS h FROM orders),
+rk AS (SELECT *, row_number() OVER (PARTITION BY y ORDER BY substr(h, 1, 13), o_orderkey) AS rn FROM h)
+SELECT o_orderkey, y, CASE WHEN rn <= nt THEN 'test' WHEN rn <= nt + nv THEN 'val' ELSE 'train' END AS split FROM rk JOIN fin USING (y)""")
+def q_strat_split(spark, sf):
+    return SP.assign_split(status_labelled(spark, sf), ["o_orderkey"], "y", 0.2, 0.1, 42)
+
+
+@register("stratified_split_counts", QUOTAS + """
 SELECT 'test' AS split, y, nt AS n FROM fin
 UNION ALL SELECT 'val', y, nv FROM fin
 UNION ALL SELECT 'train', y, rem - nv FROM fin""")
@@ -105,6 +101,29 @@ def q_class_drift(spark, sf):
     return rounded(SP.class_drift(_ordered_split(spark, sf), "y"), 6)
 
 
+BY_DATE = ORDERED.replace("ORDER BY o_orderkey DESC", "ORDER BY o_orderdate DESC, o_orderkey DESC")
+
+
+def _dated_split(spark, sf):
+    o = table(spark, sf, "orders").select("o_orderkey", "o_orderdate", (F.col("o_orderstatus") == "F").cast("int").alias("y"))
+    return SP.assign_split(o, ["o_orderkey"], None, 0.2, None, stratify=False, order_col="o_orderdate")
+
+
+@register("split_summary_by_date", BY_DATE + """
+SELECT split, rows, class_0, class_1, round(pct_class_1, 6) AS pct_class_1 FROM sm""")
+def q_split_summary_by_date(spark, sf):
+    return rounded(SP.split_summary(_dated_split(spark, sf), "y"), 6)
+
+
+@register("class_drift_by_date", BY_DATE + """
+SELECT split, rows, class_0, class_1, round(pct_class_1, 6) AS pct_class_1,
+       round((SELECT avg(y) * 100 FROM o), 6) AS overall_pct,
+       round(abs(pct_class_1 - (SELECT avg(y) * 100 FROM o)), 6) AS drift_pct,
+       abs(pct_class_1 - (SELECT avg(y) * 100 FROM o)) < 1.0 AS balanced FROM sm""")
+def q_class_drift_by_date(spark, sf):
+    return rounded(SP.class_drift(_dated_split(spark, sf), "y"), 6)
+
+
 @register("fold_counts", """
 WITH c AS (SELECT CAST(o_orderstatus = 'F' AS INTEGER) AS y, count(*) AS n FROM orders GROUP BY 1),
 f AS (SELECT y, CAST(j AS INTEGER) AS fold,
@@ -116,7 +135,7 @@ def q_fold_counts(spark, sf):
     return f.groupBy("fold", "y").agg(F.count(F.lit(1)).alias("n"))
 
 
-@register("seeded_sample")
+@register("seeded_sample", "SELECT * FROM orders ORDER BY md5('42|' || o_orderkey), o_orderkey LIMIT 1000")
 def q_seeded_sample(spark, sf):
     return seeded_sample(table(spark, sf, "orders"), ["o_orderkey"], 1000, 42)
 
@@ -164,10 +183,23 @@ def q_risk_bands(spark, sf):
     return SC.with_risk_bands(li)
 
 
+@register("risk_bands_missing", f"""WITH {LINEITEM_MISSING_SQL}
+SELECT l_orderkey, l_linenumber,
+       CASE WHEN l_discount * 10 < 0.3 THEN 'low' WHEN l_discount * 10 <= 0.6 THEN 'medium' WHEN l_discount * 10 > 0.6 THEN 'high' END AS risk_band,
+       CASE WHEN l_discount * 10 < 0.3 THEN 'approve' WHEN l_discount * 10 <= 0.6 THEN 'review' WHEN l_discount * 10 > 0.6 THEN 'reject' END
+         AS decision
+FROM lineitem_m""")
+def q_risk_bands_missing(spark, sf):
+    """Rows without a score (NULL or NaN) have no band and no decision."""
+    li = lineitem_with_missing(spark, sf).select("l_orderkey", "l_linenumber", (F.col("l_discount") * 10).alias("probability"))
+    return SC.with_risk_bands(li).drop("probability")
+
+
 # --------------------------------------------------------------------------- models
 def _split_labelled(spark, sf):
-    d = SP.assign_split(labelled_features(spark, sf), ["o_orderkey"], LABEL, 0.2, None, 42).cache()
-    return d.where("split = 'train'").drop("split"), d.where("split = 'test'").drop("split"), d
+    """(train, test) of the labelled features; what reads them several times persists and releases them."""
+    d = SP.assign_split(labelled_features(spark, sf), ["o_orderkey"], LABEL, 0.2, None, 42)
+    return d.where("split = 'train'").drop("split"), d.where("split = 'test'").drop("split")
 
 
 # The example training parameters of the source project.
@@ -178,11 +210,11 @@ EXAMPLE_PARAMS = {"logistic_regression": {"max_iter": 1000, "C": 1.0},
 
 @register("model_metrics")
 def q_model_metrics(spark, sf):
-    """Logistic regression and a decision tree with the example parameters:
-    train and test metrics per model (the same trained models as the run
-    tracking queries)."""
-    _, trainer = _tracked(spark, sf)
-    return trainer.metrics_summary(spark)
+    """The three example models with their parameters: train and test metrics per model."""
+    train, test = _split_labelled(spark, sf)
+    t = MO.ModelTrainer(42)
+    t.train_multiple(list(EXAMPLE_PARAMS), train, test, feature_cols(train), LABEL, EXAMPLE_PARAMS)
+    return t.metrics_summary(spark)
 
 
 # The example logistic-regression search space of the source project.
@@ -192,73 +224,130 @@ EXAMPLE_LR_GRID = {"C": [0.01, 0.1, 1.0, 10.0, 100.0], "penalty": ["l1", "l2"],
 @register("grid_search")
 def q_grid_search(spark, sf):
     from riskweave.operators.tuning import HyperparameterTuner
-    train, _, _ = _split_labelled(spark, sf)
+    train, _ = _split_labelled(spark, sf)
     t = HyperparameterTuner(cv=5, seed=42, key_cols=["o_orderkey"])
     t.grid_search("logistic_regression", train, feature_cols(train), LABEL, EXAMPLE_LR_GRID)
-    return t.results_summary(spark)
-
+    return t.candidates_table(spark, "logistic_regression")
 
-_TRACKED: dict = {}
 
-
-def _tracked(spark, sf):
-    """Train two models, log them as runs, register the best in Production.
-
-    The run store is built once per session and data directory; the run,
-    comparison, registry and scoring queries all read the same store."""
-    key = (spark.sparkContext.applicationId, sf)
-    if key not in _TRACKED:
-        _TRACKED[key] = _build_tracked(spark, sf)
-    return _TRACKED[key]
+@register("random_search")
+def q_random_search(spark, sf):
+    """Random search with the default decision-tree space and 20 draws (seed 42)."""
+    from riskweave.operators.tuning import HyperparameterTuner
+    train, _ = _split_labelled(spark, sf)
+    t = HyperparameterTuner(cv=5, seed=42, key_cols=["o_orderkey"])
+    t.random_search("decision_tree", train, feature_cols(train), LABEL, n_iter=20)
+    return t.candidates_table(spark, "decision_tree")
 
 
-def _build_tracked(spark, sf):
-    from riskweave.operators.runs import RunStore
-    root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/runstore-{uuid.uuid4().hex}"
-    store = RunStore(spark, root)
-    train, test, _ = _split_labelled(spark, sf)
-    t = MO.ModelTrainer(42)
-    t.train_multiple(["logistic_regression", "decision_tree"], train, test, feature_cols(train), LABEL,
-                     EXAMPLE_PARAMS)
-    for name, m in t.metrics.items():
-        store.log_run(name, EXAMPLE_PARAMS.get(name, {}), m, {"model_type": name}, train, LABEL)
-    best = store.best_run("test_roc_auc").first()
-    path = f"{root}/models/{best['run_name']}"
-    t.save_model(best["run_name"], path)
-    v = store.register_model("credit_risk_model", best["run_id"], path)
-    store.transition_stage("credit_risk_model", v, "Staging")
-    store.transition_stage("credit_risk_model", v, "Production")
-    return store, t
+# --------------------------------------------------------------------------- runs
+RUNS_SQL = """runs AS (
+  SELECT 'run' || l_linenumber AS run_id, 'rule on line ' || l_linenumber AS run_name,
+         CASE WHEN l_linenumber <= 4 THEN 'early' ELSE 'late' END AS experiment, min(l_shipdate) AS start_time,
+         CAST(l_linenumber AS VARCHAR) AS line, round(avg(CAST((l_discount > 0.05) = (l_returnflag = 'R') AS INTEGER)), 6) AS accuracy,
+         CAST(count(*) AS DOUBLE) AS n_rows
+  FROM lineitem GROUP BY l_linenumber)"""
 
 
-@register("best_run")
+def line_runs(spark, sf):
+    """One run per line number: how well the rule 'discount above 5 %' tells returned lines."""
+    li = table(spark, sf, "lineitem")
+    right = ((F.col("l_discount") > 0.05) == (F.col("l_returnflag") == "R")).cast("int")
+    line = F.col("l_linenumber").cast("string")
+    g = li.groupBy("l_linenumber").agg(F.min("l_shipdate").alias("start_time"), F.round(F.avg(right), 6).alias("accuracy"), F.count(F.lit(1)).cast("double").alias("n_rows"))
+    return g.select(F.concat(F.lit("run"), line).alias("run_id"), F.concat(F.lit("rule on line "), line).alias("run_name"),
+                    F.when(F.col("l_linenumber") <= 4, "early").otherwise("late").alias("experiment"), "start_time",
+                    F.create_map(F.lit("line"), line, F.lit("threshold"), F.lit("0.05")).alias("params"),
+                    F.create_map(F.lit("test_accuracy"), F.col("accuracy"), F.lit("n_rows"), F.col("n_rows")).alias("metrics"),
+                    F.create_map(F.lit("model_type"), F.lit("rule")).alias("tags"))
+
+
+@register("best_run", f"""WITH {RUNS_SQL}
+SELECT run_id, run_name, accuracy AS test_accuracy FROM runs WHERE experiment = 'early' ORDER BY accuracy DESC, start_time, run_id LIMIT 1""")
 def q_best_run(spark, sf):
-    store, _ = _tracked(spark, sf)
-    return store.best_run("test_roc_auc").select("run_name", F.col("metrics")["test_roc_auc"].alias("test_roc_auc"))
+    best = RU.best_run(line_runs(spark, sf), "test_accuracy", "early")
+    return best.select("run_id", "run_name", F.col("metrics")["test_accuracy"].alias("test_accuracy"))
 
 
-@register("compare_runs")
+@register("compare_runs", f"""WITH {RUNS_SQL}
+SELECT run_id, run_name, n_rows AS "metrics.n_rows", accuracy AS "metrics.test_accuracy", line AS "params.line", '0.05' AS "params.threshold"
+FROM runs WHERE experiment = 'late'""")
 def q_compare_runs(spark, sf):
-    store, _ = _tracked(spark, sf)
-    return store.compare_runs(None, "test_roc_auc")
+    return RU.compare_runs(line_runs(spark, sf), None, "test_accuracy", "late")
 
 
-@register("latest_version_per_stage")
+@register("latest_version_per_stage", """
+WITH e AS (SELECT o_orderpriority AS model_name, CAST(year(o_orderdate) - 1990 AS INTEGER) AS version, o_orderstatus AS stage, o_orderkey AS seq FROM orders),
+c AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY model_name, version ORDER BY seq DESC) AS rn FROM e) WHERE rn = 1)
+SELECT model_name, version, stage, seq FROM (SELECT *, row_number() OVER (PARTITION BY model_name, stage ORDER BY version DESC) AS k FROM c) WHERE k = 1""")
 def q_latest_versions(spark, sf):
-    store, _ = _tracked(spark, sf)
-    return store.latest_version_per_stage()
+    """Orders as stage events: priority as model, year as version, status as stage, the order key as their sequence."""
+    o = table(spark, sf, "orders")
+    events = o.select(F.col("o_orderpriority").alias("model_name"), (F.year("o_orderdate") - 1990).cast("int").alias("version"),
+                      F.col("o_orderstatus").alias("stage"), F.col("o_orderkey").alias("seq"))
+    return RU.latest_versions(events)
 
 
+# --------------------------------------------------------------------------- scoring
 @register("batch_score")
 def q_batch_score(spark, sf):
-    """Score feature arrays with the Production model looked up by name."""
-    store, _ = _tracked(spark, sf)
-    model = store.load_model("credit_risk_model", "Production")
+    """Score feature arrays with a model that was trained, logged, registered and looked up by name and stage; every
+    tenth array is cut short and comes back rejected."""
+    train, test = _split_labelled(spark, sf)
+    cols = feature_cols(train)
+    t = MO.ModelTrainer(42)
+    t.train_multiple(["logistic_regression"], train, test, cols, LABEL, EXAMPLE_PARAMS)
+    root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/runstore-{uuid.uuid4().hex}"
+    store = RU.RunStore(spark, root)
+    for name, m in t.metrics.items():
+        store.log_run(name, EXAMPLE_PARAMS[name], m, {"model_type": name}, train, LABEL)
+    best = store.best_run("test_roc_auc").first()
+    t.save_model(best["run_name"], f"{root}/models/{best['run_name']}")
+    v = store.register_model("credit_risk_model", best["run_id"], f"{root}/models/{best['run_name']}")
+    for stage in ("Staging", "Production"):
+        store.transition_stage("credit_risk_model", v, stage)
     d = labelled_features(spark, sf)
-    cols = feature_cols(d)
-    arr = d.select("o_orderkey", F.array(*[F.col(c).cast("double") for c in cols]).alias("features"))
-    return SC.batch_score(model, arr, "features", len(cols)).select("o_orderkey", "prediction", "probability",
-                                                                     "risk_level")
+    arr = F.array(*[F.col(c).cast("double") for c in cols])
+    rows = d.select("o_orderkey", F.when(F.col("o_orderkey") % 10 == 0, F.slice(arr, 1, 2)).otherwise(arr).alias("features"))
+    scored = SC.batch_score(store.load_model("credit_risk_model", "Production"), rows, "features", len(cols))
+    return scored.select("o_orderkey", "prediction", "probability", "risk_level", "reject_reason")
+
+
+# Coefficients of a given scorecard on (price in 100,000s, month, day).
+CARD, CARD_BIAS = [1.5, -0.2, 0.03], -1.0
+CARD_SQL = """p AS (SELECT o_orderkey, CASE WHEN o_orderkey % 10 <> 0 THEN
+    1 / (1 + exp(-(-1.0 + 1.5 * (o_totalprice / 100000) + -0.2 * month(o_orderdate) + 0.03 * day(o_orderdate)))) END AS probability FROM orders)
+SELECT {key} AS {name}, CAST(probability >= 0.5 AS INTEGER) AS prediction, round(probability, 6) AS probability,
+       CASE WHEN probability >= 0.5 THEN 'high' WHEN probability < 0.5 THEN 'low' END AS risk_level,
+       {more} CASE WHEN probability IS NULL THEN 'expected 3 features, got 2' END AS reject_reason FROM p"""
+
+
+def card_rows(o):
+    arr = F.array(F.col("o_totalprice") / 100000, F.month("o_orderdate").cast("double"), F.dayofmonth("o_orderdate").cast("double"))
+    return o.select("o_orderkey", F.when(F.col("o_orderkey") % 10 == 0, F.slice(arr, 1, 2)).otherwise(arr).alias("features"))
+
+
+@register("batch_score_card", "WITH " + CARD_SQL.format(key="o_orderkey", name="o_orderkey", more=""))
+def q_batch_card(spark, sf):
+    """Given coefficients over feature arrays; every row comes back, the short arrays with a reason."""
+    scored = SC.linear_score(card_rows(table(spark, sf, "orders")), CARD, CARD_BIAS)
+    return rounded(scored.select("o_orderkey", "prediction", "probability", "risk_level", "reject_reason"), 6)
+
+
+BANDS_SQL = """CASE WHEN probability < 0.3 THEN 'low' WHEN probability <= 0.6 THEN 'medium' WHEN probability > 0.6 THEN 'high' END AS risk_band,
+       CASE WHEN probability < 0.3 THEN 'approve' WHEN probability <= 0.6 THEN 'review' WHEN probability > 0.6 THEN 'reject' END AS decision,"""
+
+
+@register("stream_score_requests", "WITH " + CARD_SQL.format(key="CAST(o_orderkey AS VARCHAR)", name="id", more=BANDS_SQL))
+def q_stream_requests(spark, sf):
+    """Orders arrive as a file stream of JSON requests with a features array; wrong widths are rejected on the stream."""
+    from riskweave.streaming import scoring as ST
+    stream = ST.read_stream(spark, sf, table(spark, sf, "orders").schema, "orders.parquet")
+    payload = card_rows(stream).select(F.to_json(F.struct(F.col("o_orderkey").cast("string").alias("id"), "features")).alias("value"))
+    run = f"{ensure_checkpoint_dir(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
+    q = ST.start_scoring(ST.score_requests(payload, CARD, CARD_BIAS), f"{run}/out", "requests_" + uuid.uuid4().hex[:8], f"{run}/ckpt")
+    q.awaitTermination()
+    return rounded(spark.read.parquet(f"{run}/out"), 6, only=["probability"])
 
 
 @register("stream_score")
@@ -275,8 +364,8 @@ def q_stream_score(spark, sf):
     train = (lab.select("o_orderkey", "o_custkey", "o_totalprice", LABEL).join(cust, "o_custkey", "left")
              .withColumn(LABEL, F.col(LABEL).cast("double")))
     cols = ["o_totalprice", *AGGREGATE_FEATURES]
-    model = Pipeline(stages=[VectorAssembler(inputCols=cols, outputCol="features", handleInvalid="keep"),
-                             LogisticRegression(labelCol=LABEL, maxIter=100)]).fit(train)
+    model = Pipeline(stages=[VectorAssembler(inputCols=cols, outputCol="features", handleInvalid="error"),
+                             LogisticRegression(labelCol=LABEL, maxIter=1000)]).fit(train)
     stream = ST.read_stream(spark, sf, o.schema, "orders.parquet")
     scored = ST.score_stream(stream, cust, "o_custkey", model, ["o_orderkey", "o_custkey"])
     run = f"{ensure_checkpoint_dir(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
@@ -300,16 +389,6 @@ def q_stream_rfm(spark, sf):
     stream = ST.read_stream(spark, sf, o.schema, "orders.parquet")
     run = f"{ensure_checkpoint_dir(spark).rstrip('/')}/stream-rfm-{uuid.uuid4().hex}"
     q = ST.start_incremental_rfm(ST.incremental_rfm(stream, "o_custkey", "o_orderdate", "o_totalprice"),
-                                 f"{run}/state", "rfm_state_" + uuid.uuid4().hex[:8], f"{run}/ckpt")
+                                 f"{run}/state", "o_custkey", "rfm_state_" + uuid.uuid4().hex[:8], f"{run}/ckpt")
     q.awaitTermination()
     return rounded(ST.read_rfm_state(spark, f"{run}/state", "o_custkey"), 2)
-
-
-@register("random_search")
-def q_random_search(spark, sf):
-    """Random search with the default decision-tree space and 20 draws (seed 42)."""
-    from riskweave.operators.tuning import HyperparameterTuner
-    train, _, _ = _split_labelled(spark, sf)
-    t = HyperparameterTuner(cv=5, seed=42, key_cols=["o_orderkey"])
-    t.random_search("decision_tree", train, feature_cols(train), LABEL, n_iter=20)
-    return t.results_summary(spark)

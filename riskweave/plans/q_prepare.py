@@ -5,6 +5,7 @@ from riskweave.operators.processor import FeatureProcessor
 from riskweave.plans.catalog import register, rounded, table
 from riskweave.plans.derived import EVENTS_NULLS_SQL, events_with_nulls
 from riskweave.plans.q_profile import L_NUM
+from riskweave.sources.schemas import ID_RULES
 
 
 def _impute(spark, sf, method):
@@ -68,6 +69,14 @@ def q_label(spark, sf):
     return PR.label_encode(o, list(ORD_CATS))
 
 
+@register("label_encode_wide", """
+WITH k AS (SELECT c_name, CAST(row_number() OVER (ORDER BY c_name) - 1 AS INTEGER) AS code FROM (SELECT DISTINCT c_name FROM customer))
+SELECT c_custkey, code AS c_name FROM customer JOIN k USING (c_name)""")
+def q_label_wide(spark, sf):
+    """As many categories as rows: codes are a distributed rank, joined back."""
+    return PR.label_encode(table(spark, sf, "customer").select("c_custkey", "c_name"), ["c_name"])
+
+
 def _scale_sql(center, spread):
     params = ", ".join(f"{center.format(c=c)} AS {c}__c, {spread.format(c=c)} AS {c}__s" for c in L_NUM)
     body = ", ".join(f"round(({c} - {c}__c) / CASE WHEN {c}__s = 0 THEN 1 ELSE {c}__s END, 6) AS {c}" for c in L_NUM)
@@ -119,14 +128,12 @@ p AS (SELECT {params} FROM b2)
 SELECT o_orderkey, {scaled}, {_onehot_sql()} FROM b2, p"""
 
 
-def key_rule(name: str) -> bool:
-    """Driver tables name their ids '*key'; treat them like '*Id' columns."""
-    return "key" in name or "Id" in name or "id" in name
+key_rule = ID_RULES["key_or_id"]
 
 
 def feature_processor():
     return FeatureProcessor("o_custkey", "o_orderdate", "o_totalprice", None, imputation="median",
-                            encoding="onehot", scaling="standardize", id_rule=key_rule, keep_cols=("o_orderkey",))
+                            encoding="onehot", scaling="standardize", id_rule="key_or_id", keep_cols=("o_orderkey",))
 
 
 @register("feature_table", _feature_sql())
@@ -158,6 +165,6 @@ def q_feature_table_woe(spark, sf):
     from pyspark.sql import functions as F
     o = table(spark, sf, "orders").withColumn("is_f", (F.col("o_orderstatus") == "F").cast("int"))
     fp = FeatureProcessor("o_custkey", "o_orderdate", "o_totalprice", "is_f", imputation="median",
-                          encoding="onehot", scaling="standardize", id_rule=key_rule, keep_cols=("o_orderkey",),
+                          encoding="onehot", scaling="standardize", id_rule="key_or_id", keep_cols=("o_orderkey",),
                           use_woe=True)
     return rounded(fp.fit_transform(o), 6)

@@ -3,7 +3,7 @@ on events with injected NULLs, outliers on lineitem's measures."""
 
 from riskweave.operators import quality as Q
 from riskweave.plans.catalog import register, rounded, table
-from riskweave.plans.derived import EVENTS_NULLS_SQL, events_with_nulls
+from riskweave.plans.derived import EVENTS_NULLS_SQL, LINEITEM_MISSING_SQL, ORDERS_HOT_SQL, events_with_nulls, lineitem_with_missing, orders_hot
 from riskweave.plans.q_profile import L_NUM, LONG
 
 EV_COLS = ["event_id", "ts", "user_id", "event_type", "value", "props"]
@@ -160,6 +160,41 @@ def q_dup_sample(spark, sf):
     return Q.duplicate_sample(li, ["l_returnflag", "l_linestatus", "l_quantity"], 10, 10)
 
 
-@register("missing_matrix_sample")
+@register("missing_matrix_sample", f"""WITH {EVENTS_NULLS_SQL},
+s AS (SELECT * FROM events_n ORDER BY md5('42|' || event_id), event_id LIMIT 1000)
+SELECT event_id, CAST(ts IS NULL AS INTEGER) AS ts, CAST(user_id IS NULL AS INTEGER) AS user_id,
+       CAST(event_type IS NULL AS INTEGER) AS event_type, CAST(value IS NULL AS INTEGER) AS value,
+       CAST(props IS NULL AS INTEGER) AS props FROM s""")
 def q_missing_matrix(spark, sf):
     return Q.missing_matrix_sample(events_with_nulls(spark, sf), ["event_id"], None, 1000, 42)
+
+
+# --------------------------------------------------------------------------- the same on a table with NaN and NULL cells
+LONG_M = "l AS (" + " UNION ALL ".join(f"SELECT '{c}' AS variable, CAST({c} AS DOUBLE) AS value FROM lineitem_m" for c in L_NUM) + ")"
+BOUNDS_M = f"WITH {LINEITEM_MISSING_SQL}, " + BOUNDS.replace(LONG, LONG_M)
+
+
+@register("iqr_outliers_missing", BOUNDS_M + """
+SELECT variable, round(lower, 4) AS lower, round(upper, 4) AS upper, n_outliers, round(pct_outliers, 4) AS pct_outliers,
+       round(min_outlier, 4) AS min_outlier, round(max_outlier, 4) AS max_outlier, round(mean_outlier, 4) AS mean_outlier FROM iq""")
+def q_iqr_missing(spark, sf):
+    out = Q.iqr_outliers(lineitem_with_missing(spark, sf), L_NUM)
+    return rounded(out.select("variable", "lower", "upper", "n_outliers", "pct_outliers", "min_outlier", "max_outlier", "mean_outlier"), 4)
+
+
+@register("outlier_compare_missing", BOUNDS_M + """
+SELECT variable, iq.n_outliers AS iqr_count, round(iq.pct_outliers, 4) AS iqr_pct, zo.n_outliers AS z_count,
+       round(zo.n_outliers * 100.0 / zo.n, 4) AS z_pct, iq.n_outliers - zo.n_outliers AS difference
+FROM iq JOIN zo USING (variable)""")
+def q_compare_missing(spark, sf):
+    return rounded(Q.outlier_compare(lineitem_with_missing(spark, sf), L_NUM), 4)
+
+
+@register("quantiles_hot_groups", f"""WITH {ORDERS_HOT_SQL}
+SELECT priority, round(quantile_cont(amount, 0.1), 4) AS p10, round(quantile_cont(amount, 0.5), 4) AS p50,
+       round(quantile_cont(amount, 0.9), 4) AS p90 FROM orders_hot GROUP BY priority""")
+def q_quantiles_hot(spark, sf):
+    """A NULL group with a third of the rows and infinite values; the size from which a group counts as hot is set low,
+    so that the radix selection runs at every table size."""
+    from riskweave.functions.quantiles import quantiles
+    return rounded(quantiles(orders_hot(spark, sf), ["priority"], "amount", {"p10": 0.1, "p50": 0.5, "p90": 0.9}, hot_rows=100, final_rows=50), 4)

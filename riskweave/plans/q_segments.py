@@ -123,10 +123,9 @@ def q_top_per_group(spark, sf):
                                                                      "monetary")
 
 
-def _segmenter(spark, sf, n_init=3):
+def _segmenter(spark, sf):
     r = orders_rfm(spark, sf)
-    seg = SG.CustomerSegmenter(3, "standardize", 42, n_init=n_init, max_iter=100).fit(r)
-    return r, seg
+    return r, SG.CustomerSegmenter(3, "standardize", 42).fit(r)
 
 
 @register("kmeans_segments")
@@ -147,3 +146,21 @@ def q_kmeans_label(spark, sf):
     r, seg = _segmenter(spark, sf)
     out = SG.create_high_risk_target(seg.predict(r), None, "o_custkey")
     return out["customers"].select("o_custkey", "cluster", "is_high_risk")
+
+
+# Segment centres in the features' own units (recency, frequency, monetary).
+CENTRES = [[30.0, 12.0, 2000000.0], [200.0, 8.0, 1200000.0], [700.0, 3.0, 300000.0]]
+
+
+def _cost_sql(i):
+    r, f, m = CENTRES[i]
+    return f"(recency - {r}) * (recency - {r}) + (frequency - {f}) * (frequency - {f}) + (monetary - {m}) * (monetary - {m})"
+
+
+@register("kmeans_assign", "WITH r AS (" + RFM_SQL + f"""),
+d AS (SELECT o_custkey, {_cost_sql(0)} AS c0, {_cost_sql(1)} AS c1, {_cost_sql(2)} AS c2 FROM r)
+SELECT o_custkey, CASE WHEN c0 <= c1 AND c0 <= c2 THEN 0 WHEN c1 <= c2 THEN 1 ELSE 2 END AS cluster, round(least(c0, c1, c2), 0) AS cost FROM d""")
+def q_assign(spark, sf):
+    """K2 with given centres: each customer's nearest centre and its squared distance."""
+    r = orders_rfm(spark, sf).withColumn("monetary", F.round("monetary", 2))
+    return rounded(SG.assign_nearest(r, CENTRES).select("o_custkey", "cluster", "cost"), 0)

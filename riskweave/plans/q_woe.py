@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from riskweave.operators import woe as W
 from riskweave.plans.catalog import register, rounded, table
+from riskweave.plans.derived import LINEITEM_MISSING_SQL, lineitem_with_missing
 from riskweave.plans.q_prepare import key_rule
 
 T = "is_r"
@@ -108,6 +109,36 @@ def q_woe_transformer(spark, sf):
     return rounded(out, 6)
 
 
-@register("monotonic_bins")
+def _monotonic_sql(lo=3, hi=20):
+    fracs = sorted({k / n for n in range(lo, hi + 1) for k in range(1, n)})
+    at = {f: i + 1 for i, f in enumerate(fracs)}
+    edges = " UNION ALL ".join(f"SELECT {n} AS n, list_sort(list_distinct([{', '.join(f'q[{at[k / n]}]' for k in range(1, n))}])) AS e FROM q" for n in range(lo, hi + 1))
+    return f"""WITH {LT}, x AS (SELECT l_extendedprice AS x, is_r AS t FROM lt),
+q AS (SELECT quantile_cont(x, [{', '.join(repr(f) for f in fracs)}]) AS q FROM x),
+ed AS ({edges}),
+b AS (SELECT n, len(list_filter(e, lambda v: v < x)) + 1 AS b, t FROM x, ed),
+g AS (SELECT n, b, count(*) AS total, sum(t) AS good FROM b GROUP BY n, b),
+m AS (SELECT n, good / total AS mean, lag(good / total) OVER (PARTITION BY n ORDER BY b) AS prev FROM g),
+ok AS (SELECT n FROM m GROUP BY n HAVING count(*) >= 2 AND (bool_and(prev IS NULL OR mean >= prev) OR bool_and(prev IS NULL OR mean <= prev))),
+pick AS (SELECT coalesce(max(n), {lo}) AS n FROM ok)
+SELECT CAST(g.n AS INTEGER) AS bins, CAST(row_number() OVER (ORDER BY b) AS INTEGER) AS bin, round(e[b - 1], 4) AS bin_lo, round(e[b], 4) AS bin_hi,
+       total, good, round(good / total, 6) AS mean FROM g JOIN pick USING (n) JOIN ed USING (n)"""
+
+
+@register("monotonic_bins", _monotonic_sql())
 def q_monotonic(spark, sf):
-    return W.monotonic_bins(lt(spark, sf), "l_extendedprice", T)
+    out = W.monotonic_bins(lt(spark, sf), "l_extendedprice", T)
+    return rounded(rounded(out, 4, only=["bin_lo", "bin_hi"]), 6, only=["mean"])
+
+
+# --------------------------------------------------------------------------- values the fit has not seen
+MISSING_ENC = _encode_sql(ENC, "lr.l_orderkey, lr.l_linenumber").replace(f"WITH {LT}", f"WITH {LINEITEM_MISSING_SQL}, " + LT.replace("FROM lineitem", "FROM lineitem_m")).replace("* FROM lineitem)", "* FROM lineitem_m)")
+
+
+@register("woe_encode_missing", MISSING_ENC)
+def q_woe_encode_missing(spark, sf):
+    """NULL and NaN take part in neither the fit nor the lookup: their WoE is 0."""
+    df = lineitem_with_missing(spark, sf).withColumn(T, (F.col("l_returnflag") == "R").cast("int"))
+    feats = [f for f, _ in ENC]
+    out = W.apply_woe(df, W.woe_table(df, T, feats, 10), feats, 10)
+    return rounded(out.select("l_orderkey", "l_linenumber", *[f"{f}_woe" for f in feats]), 6)

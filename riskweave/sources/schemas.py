@@ -66,6 +66,20 @@ def _looks_like_id(name: str) -> bool:
     return "Id" in name or "id" in name
 
 
+def _key_or_id(name: str) -> bool:
+    # The driver tables name their ids '*key'.
+    return "key" in name or _looks_like_id(name)
+
+
+#: Named rules for id columns, so that a saved processor can name its own; add to it for rules of your own.
+ID_RULES = {"id_substring": _looks_like_id, "key_or_id": _key_or_id, "none": None}
+
+
+def id_rule_name(rule) -> str | None:
+    """The name under which a rule is known; None for an unnamed function."""
+    return next((name for name, r in ID_RULES.items() if r is rule), None)
+
+
 def detect_roles(df: DataFrame, customer_col: str | None = None, datetime_col: str | None = None,
                  target_col: str | None = None, id_rule=_looks_like_id):
     """Split columns into (categorical, numeric) feature lists.
@@ -97,7 +111,3 @@ def detect_target(df: DataFrame, candidates=TARGET_CANDIDATES) -> str | None:
         if c in usable:
             return c
     return None
-
-
-def dtype_name(dt: T.DataType) -> str:
-    return dt.simpleString()

@@ -44,6 +44,19 @@ def score_stream(stream: DataFrame, customer_features: DataFrame, customer_col:
             .select(*keep_cols, "prediction", "probability", "risk_level", "risk_band", "decision"))
 
 
+def parse_requests(stream: DataFrame, payload_col: str = "value") -> DataFrame:
+    """JSON request rows ``{"id": ..., "features": [...]}`` to ``id`` and ``features``; a payload that is no such JSON has NULLs."""
+    body = F.from_json(F.col(payload_col).cast("string"), "id STRING, features ARRAY<DOUBLE>", {"mode": "PERMISSIVE"})
+    return stream.withColumn("_body", body).withColumns({"id": F.col("_body.id"), "features": F.col("_body.features")}).drop("_body")
+
+
+def score_requests(stream: DataFrame, coefficients: list[float], intercept: float, payload_col: str = "value") -> DataFrame:
+    """X7 for requests that carry their features: width check, score and bands on the stream; every request has a row."""
+    from riskweave.operators.scoring import linear_score, with_risk_bands
+    scored = linear_score(parse_requests(stream, payload_col), coefficients, intercept)
+    return with_risk_bands(scored).select("id", "prediction", "probability", "risk_level", "risk_band", "decision", "reject_reason")
+
+
 def start_scoring(scored: DataFrame, sink_dir: str, name: str = "risk_scores", checkpoint: str | None = None,
                   available_now: bool = True, fmt: str = "parquet") -> StreamingQuery:
     spark = scored.sparkSession
@@ -61,15 +74,23 @@ def incremental_rfm(stream: DataFrame, customer_col: str, datetime_col: str, amo
         F.coalesce(F.sum(F.abs(F.col(amount_col).cast("double"))), F.lit(0.0)).alias("monetary")))
 
 
-def start_incremental_rfm(state: DataFrame, sink_dir: str, name: str = "rfm_state",
+def start_incremental_rfm(state: DataFrame, sink_dir: str, customer_col: str, name: str = "rfm_state",
                           checkpoint: str | None = None, available_now: bool = True) -> StreamingQuery:
-    """Run the stateful aggregate; every micro-batch appends the customers it
-    changed, tagged with the batch id (the state itself lives in the state
-    store under the checkpoint)."""
+    """Run the stateful aggregate; the sink holds one row per customer.
+
+    Each micro-batch writes the sink's next version: the customers it changed, and the others as they were.  A
+    batch that is run again writes the same version again, from the one before.  Two versions are kept."""
     spark = state.sparkSession
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.withColumn("batch_id", F.lit(batch_id)).write.mode("append").parquet(sink_dir)
+        before = [v for v in _versions(spark, sink_dir) if v < batch_id]
+        rows = batch
+        if before:
+            old = spark.read.parquet(f"{sink_dir}/version={before[-1]}")
+            rows = batch.unionByName(old.join(batch.select(customer_col), customer_col, "left_anti"))
+        rows.write.mode("overwrite").parquet(f"{sink_dir}/version={batch_id}")
+        for v in before[:-1]:
+            _path(spark, f"{sink_dir}/version={v}", delete=True)
 
     w = (state.writeStream.outputMode("update").queryName(name).foreachBatch(write)
          .option("checkpointLocation", _checkpoint(spark, name, checkpoint)))
@@ -77,16 +98,30 @@ def start_incremental_rfm(state: DataFrame, sink_dir: str, name: str = "rfm_stat
     return w.start()
 
 
+def _path(spark: SparkSession, path: str, delete: bool = False):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    if delete:
+        fs.delete(p, True)
+    return fs, p
+
+
+def _versions(spark: SparkSession, sink_dir: str) -> list[int]:
+    """The sink's finished versions, ascending."""
+    fs, top = _path(spark, sink_dir)
+    if not fs.exists(top):
+        return []
+    done = [s.getPath() for s in fs.listStatus(top) if s.getPath().getName().startswith("version=")]
+    jvm = spark._jvm.org.apache.hadoop.fs
+    return sorted(int(p.getName().split("=")[1]) for p in done if fs.exists(jvm.Path(p, "_SUCCESS")))
+
+
 def read_rfm_state(spark: SparkSession, sink_dir: str, customer_col: str, snapshot_col_value=None) -> DataFrame:
-    """Latest row per customer (highest batch id) with recency against the
+    """The newest version's row per customer with recency against the
     snapshot (default: the latest transaction time seen)."""
-    from pyspark.sql import Window
     from riskweave.functions.exprs import floor_days_between
-    rows = spark.read.parquet(sink_dir)
-    # one row per customer per batch that touched it: a small window partition
-    w = Window.partitionBy(customer_col).orderBy(F.col("batch_id").desc())
-    latest = rows.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn", "batch_id")
+    latest = spark.read.parquet(f"{sink_dir}/version={_versions(spark, sink_dir)[-1]}")
     snap = (latest.agg(F.max("last_ts").alias("_snap")) if snapshot_col_value is None
             else spark.range(1).select(F.lit(snapshot_col_value).cast("timestamp_ntz").alias("_snap")))
-    return (latest.crossJoin(F.broadcast(snap))
+    return (latest.crossJoin(F.broadcast(snap))  # one row
             .select(customer_col, floor_days_between("_snap", "last_ts").alias("recency"), "frequency", "monetary"))

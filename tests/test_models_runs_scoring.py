@@ -7,7 +7,8 @@ from riskweave.operators import metrics as ME
 from riskweave.operators import models as MO
 from riskweave.operators import scoring as SC
 from riskweave.operators.runs import RunStore
-from riskweave.operators.tuning import HyperparameterTuner, expand_grid
+from riskweave.operators.tuning import (DEFAULT_GRIDS, HyperparameterTuner, candidate_rows, distinct_candidates, draw_candidates, expand_grid,
+                                        tune_hyperparameters)
 
 
 def data(spark, n=200):
@@ -45,26 +46,83 @@ def test_train_evaluate_best(spark):
     name, _, score = t.best_model("test_roc_auc")
     assert score == max(m["test_roc_auc"] for m in t.metrics.values())
     assert t.metrics_summary(spark).count() == 2
+    t.metrics["decision_tree"].pop("test_roc_auc")  # a model without the metric is passed over
+    assert t.best_model("test_roc_auc")[0] == "logistic_regression"
     with pytest.raises(ValueError):
         MO.train_model("svm", train, FEATS, "y")
     with pytest.raises(ValueError):
         t.best_model("nope")
 
 
-def test_grid_and_random_search(spark):
+def test_forest_and_boosted_trees_train(spark, tmp_path):
     df = data(spark)
-    grid = {"C": [0.1, 1.0], "penalty": ["l2"], "solver": ["lbfgs"]}
+    train, test = df.where("id % 5 != 0"), df.where("id % 5 = 0")
+    params = {"random_forest": {"n_estimators": 10, "max_depth": 4, "min_samples_split": 20, "max_features": None}, "xgboost": {"n_estimators": 5, "max_depth": 3, "colsample_bytree": 0.8},
+              "lightgbm": {"n_estimators": 5, "num_leaves": 5, "subsample": 0.9}}
+    t = MO.train_models(train, test, FEATS, "y", list(params))
+    t.train_multiple(list(params), train, test, FEATS, "y", params)
+    assert set(t.metrics) == set(params) and all(m["test_roc_auc"] > 0.7 for m in t.metrics.values())
+    assert t.models["lightgbm"].stages[-1].getMaxDepth() == 2  # at most five leaves
+    t.save_model("random_forest", str(tmp_path / "rf"))
+    from pyspark.ml import PipelineModel
+    assert PipelineModel.load(str(tmp_path / "rf")).transform(test).count() == test.count()
+    with pytest.raises(ValueError):
+        MO.ModelTrainer().best_model()
+
+
+def test_depth_and_parameters_that_cannot_be_honoured():
+    assert MO.not_honoured("decision_tree", {"max_depth": 3, "min_samples_split": 20}) == ["min_samples_split"]
+
+
+def test_unlimited_depth_is_its_own(spark):
+    none, twenty = MO.build_estimator("decision_tree", max_depth=None), MO.build_estimator("decision_tree", max_depth=20)
+    assert (none.getMaxDepth(), twenty.getMaxDepth()) == (30, 20)
+    assert MO.build_estimator("decision_tree", max_depth=None, unlimited_depth=12).getMaxDepth() == 12
+
+
+def test_missing_features_are_an_error(spark):
+    df = data(spark).withColumn("feature1", F.when(F.col("id") == 3, float("nan")).otherwise(F.col("feature1")))
+    with pytest.raises(Exception, match="NaN"):
+        MO.train_model("decision_tree", df, FEATS, "y")
+
+
+def test_grid_and_random_search(spark, tmp_path):
+    df = data(spark)
+    grid = {"C": [0.1, 1.0], "penalty": ["l2"], "solver": ["lbfgs", "liblinear"]}
     t = HyperparameterTuner(cv=3, seed=42, key_cols=["id"])
     r = t.grid_search("logistic_regression", df, FEATS, "y", grid)
-    assert r["best_params"] in expand_grid(grid)
-    r2 = t.random_search("decision_tree", df, FEATS, "y", {"max_depth": [2, 3, 4], "criterion": ["gini"]}, n_iter=2)
-    assert len(r2["params"]) == 2
+    assert r["best_params"] in expand_grid(grid) and len(r["params"]) == 4 and r["n_fits"] == 2
+    assert all(0.5 < s <= 1 for s in r["train_scores"] + r["cv_scores"])
+    table = t.candidates_table(spark, "logistic_regression").collect()
+    assert len(table) == 4 and sorted(x["rank"] for x in table) == [1, 2, 3, 4] and all(x["mean_train_score"] > 0.5 for x in table)
+    r2 = t.random_search("decision_tree", df, FEATS, "y", {"max_depth": [2, 3, 4], "criterion": ["gini"], "min_samples_split": [2, 5]}, n_iter=2)
+    assert len(r2["params"]) == 2 and r2["n_fits"] == 2 and r2["not_honoured"] == [["min_samples_split"]] * 2
     assert t.results_summary(spark).count() == 2
+    t.save_best("decision_tree", str(tmp_path / "best"))
+    from pyspark.ml import PipelineModel
+    assert PipelineModel.load(str(tmp_path / "best")).transform(df).count() == df.count()
     with pytest.raises(ValueError):
         t.best("random_forest")
     assert len(expand_grid({"C": [1, 2], "penalty": ["l1", "l2"], "solver": ["liblinear", "lbfgs"]})) == 6
 
 
+def test_one_call_tuning(spark):
+    t = tune_hyperparameters(data(spark), FEATS, "y", ["decision_tree"], "random", n_iter=2, cv=2, key_cols=["id"], grids={"decision_tree": {"max_depth": [1, 2, 3]}})
+    assert len(t.results["decision_tree"]["params"]) == 2
+    with pytest.raises(ValueError):
+        tune_hyperparameters(data(spark), FEATS, "y", method="other")
+
+
+def test_candidates_of_the_default_grids(spark):
+    """Every candidate is reported; those MLlib cannot tell apart name the one they share a fit with."""
+    full = {"decision_tree": (160, 40), "random_forest": (405, 135), "xgboost": (324, 324), "lightgbm": (324, 108)}
+    for name, (n, n_fits) in full.items():
+        rows = candidate_rows(spark, name, expand_grid(DEFAULT_GRIDS[name])).collect()
+        assert len(rows) == n and len({r["fitted_as"] for r in rows}) == n_fits == len(distinct_candidates(name, expand_grid(DEFAULT_GRIDS[name]))), name
+        assert all(("min_samples_split" in r["not_honoured"]) == ("min_samples_split" in r["params"]) for r in rows)
+    assert len(draw_candidates("decision_tree", expand_grid(DEFAULT_GRIDS["decision_tree"]), 20, 42)) == 20
+
+
 def test_run_store(spark, tmp_path):
     store = RunStore(spark, str(tmp_path / "runs"))
     ids = [store.log_run(f"m{i}", {"C": 1}, {"test_roc_auc": v}) for i, v in enumerate([0.85, 0.90, 0.88])]
@@ -79,6 +137,26 @@ def test_run_store(spark, tmp_path):
     assert store.model_path("risk", "Production") == "/x/1"
     with pytest.raises(ValueError):
         store.best_run("missing_metric")
+    other = RunStore(spark, str(tmp_path / "runs"), "another")
+    other.log_run("m9", {"C": 2}, {"test_roc_auc": 0.99})
+    assert store.best_run("test_roc_auc").first()["run_name"] == "m1" and store.compare_runs().count() == 3
+    assert other.best_run("test_roc_auc").first()["run_name"] == "m9"
+
+
+def test_a_broken_run_table_is_an_error(spark, tmp_path):
+    store = RunStore(spark, str(tmp_path / "runs"))
+    assert store.runs().count() == 0
+    (tmp_path / "runs" / "runs").mkdir(parents=True)
+    (tmp_path / "runs" / "runs" / "part-0.parquet").write_text("not parquet")
+    with pytest.raises(Exception, match="(?i)parquet"):
+        store.runs().count()
+
+
+def test_log_tuning(spark, tmp_path):
+    store = RunStore(spark, str(tmp_path / "runs"))
+    store.log_tuning("decision_tree", {"cv_scores": [0.5, 0.7], "best_score": 0.7, "best_params": {"max_depth": 3}, "params": [1, 2]})
+    m = store.runs().first()["metrics"]
+    assert (m["cv_best_score"], m["n_combinations"]) == (0.7, 2.0) and abs(m["cv_mean_score"] - 0.6) < 1e-12
 
 
 def test_scoring_bands_and_width(spark):
@@ -89,8 +167,16 @@ def test_scoring_bands_and_width(spark):
     m = MO.train_model("logistic_regression", d, FEATS, "y")
     arr = d.select("id", F.array(*FEATS).alias("features"))
     bad = spark.createDataFrame([(999, [1.0, 2.0])], "id long, features array<double>")
-    scored = SC.batch_score(m, arr.unionByName(bad), "features", 3)
-    assert scored.count() == 200
-    assert {r["risk_level"] for r in scored.collect()} <= {"high", "low"}
+    rows = arr.unionByName(bad).unionByName(spark.createDataFrame([(998, None), (997, [1.0, None, 2.0])], "id long, features array<double>"))
+    scored = {r["id"]: r for r in SC.batch_score(m, rows, "features", 3).collect()}
+    assert len(scored) == 203
+    assert {r["risk_level"] for i, r in scored.items() if i < 900} <= {"high", "low"}
+    assert scored[999]["reject_reason"] == "expected 3 features, got 2" and scored[998]["reject_reason"] == "expected 3 features, got 0"
+    assert "missing" in scored[997]["reject_reason"] and all(scored[i]["prediction"] is None and scored[i]["risk_level"] is None for i in (997, 998, 999))
     _, quarantined = SC.split_valid(arr.unionByName(bad), "features", 3)
     assert quarantined.count() == 1
+    missing = spark.createDataFrame([(None,), (float("nan"),)], "probability double")
+    assert {(r["risk_band"], r["decision"]) for r in SC.with_risk_bands(missing).collect()} == {(None, None)}
+    lr = m.stages[-1]
+    card = {r["id"]: r for r in SC.linear_score(rows, list(lr.coefficients), lr.intercept).collect()}
+    assert all(abs(card[i]["probability"] - scored[i]["probability"]) < 1e-9 for i in range(200)) and card[999]["prediction"] is None

@@ -69,3 +69,46 @@ def test_numeric_bins_and_apply(spark):
     assert sorted(r["total"] for r in t.collect()) == [20, 20, 20, 20, 20]
     applied = W.apply_woe(df, t, ["x"], 5)
     assert applied.where(F.col("x_woe").isNull()).count() == 0
+
+
+def test_unseen_values_have_no_woe(spark):
+    df = spark.range(100).select(F.col("id").cast("double").alias("x"), F.when(F.col("id") < 30, "a").otherwise("b").alias("c"), (F.col("id") % 4 == F.when(F.col("id") < 50, 0).otherwise(9)).cast("int").alias("y"))
+    t = W.woe_table(df, "y", ["x", "c"], 5)
+    other = spark.createDataFrame([(float("nan"), "z"), (None, None), (-1.0, "a"), (99.5, "b"), (0.0, "a"), (99.0, "b")], "x double, c string")
+    got = W.apply_woe(other, t, ["x", "c"], 5).collect()
+    assert [r["x_woe"] == 0.0 for r in got] == [True] * 4 + [False] * 2
+    assert [r["c_woe"] == 0.0 for r in got] == [True, True, False, False, False, False]
+
+
+def test_distinct_gate_is_exact(spark):
+    df = spark.range(2000).select(*[(F.col("id") % k).alias(f"c{k}") for k in (9, 10, 11, 12, 500)])
+    assert W.more_distinct_than(df, df.columns, 10) == ["c11", "c12", "c500"]
+    assert W.more_distinct_than(df, [], 10) == []
+
+
+def test_monotonic_bins_have_exact_edges(spark):
+    import numpy as np
+    df = spark.range(1, 1001).select(F.col("id").cast("double").alias("x"), (F.col("id") > 600).cast("int").alias("y"))
+    rows = sorted(W.monotonic_bins(df, "x", "y").collect(), key=lambda r: r["bin"])
+    assert len(rows) == rows[0]["bins"] == 20
+    assert np.allclose([r["bin_hi"] for r in rows[:-1]], np.quantile(np.arange(1, 1001), np.arange(1, 20) / 20)) and rows[-1]["bin_hi"] is None
+    assert sum(r["total"] for r in rows) == 1000 and [r["total"] for r in rows] == [50] * 20
+    assert W.monotonic_bins(df.limit(0), "x", "y").collect() == []
+
+
+def test_wide_columns_are_encoded(spark):
+    df = spark.range(1500).select(F.format_string("v%05d", "id").alias("k"), F.lit("a").alias("n"))
+    codes = sorted((r["k0"], r["k"]) for r in PR.label_encode(df.withColumn("k0", F.col("k")), ["k"]).collect())
+    assert [c for _, c in codes] == list(range(1500))
+    out = PR.onehot(df.withColumn("k0", F.col("k")).unionByName(spark.createDataFrame([(None, "a", None)], "k string, n string, k0 string")), ["k", "n"])
+    assert out.columns == ["k0", "k_onehot"]
+    got = {r["k0"]: r["k_onehot"] for r in out.collect()}
+    assert got["v00000"].numNonzeros() == 0 and got[None].numNonzeros() == 0 and got["v00007"].indices.tolist() == [6] and got["v00007"].size == 1499
+
+
+def test_scaling_none_and_inverse(spark):
+    df = spark.createDataFrame([(1.0,), (5.0,)], "x double")
+    assert [r["x"] for r in PR.scale(df, ["x"], "none").collect()] == [1.0, 5.0]
+    for method in ("standardize", "normalize", "robust", "none"):
+        p = PR.fit_scaler(df, ["x"], method)
+        assert [round(r["x"], 9) for r in PR.apply_scaler(PR.apply_scaler(df, p), p, inverse=True).collect()] == [1.0, 5.0]

@@ -1,13 +1,21 @@
+import math
+
+import numpy as np
+import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
-from riskweave.functions.quantiles import quantiles
+from riskweave.functions import quantiles as Q
+from riskweave.functions.ordering import double_key, global_rank, running_total
 from tests.conftest import SF
 
+quantiles = Q.quantiles
 PROBS = {"q0": 0.0, "q1": 0.25, "med": 0.5, "q3": 0.75, "q99": 0.99, "q100": 1.0}
+INF = float("inf")
 
 
 def test_small_values_interpolate_like_pandas(spark):
-    df = spark.createDataFrame([(1.0,), (2.0,), (4.0,), (100.0,), (None,)], "x double")
+    df = spark.createDataFrame([(1.0,), (2.0,), (4.0,), (100.0,), (None,), (float("nan"),)], "x double")
     r = quantiles(df, [], "x", {"q1": 0.25, "med": 0.5}).first()
     assert r["q1"] == 1.75 and r["med"] == 3.0
 
@@ -16,7 +24,7 @@ def test_hot_group_path_equals_builtin(spark):
     o = spark.read.parquet(f"{SF}/orders.parquet").withColumn("g", (F.col("o_custkey") % 2).cast("int"))
     o = o.withColumn("v", F.when(F.col("o_orderkey") % 4 == 0, F.lit(5.0)).otherwise(F.col("o_totalprice")))
     cold = {r["g"]: r.asDict() for r in quantiles(o, ["g"], "v", PROBS).collect()}
-    hot = {r["g"]: r.asDict() for r in quantiles(o, ["g"], "v", PROBS, hot_rows=5, final_rows=7, buckets=4).collect()}
+    hot = {r["g"]: r.asDict() for r in quantiles(o, ["g"], "v", PROBS, hot_rows=5, final_rows=7).collect()}
     assert cold == hot
 
 
@@ -24,3 +32,57 @@ def test_all_equal_values(spark):
     df = spark.range(50).select(F.lit(3.0).alias("x"), F.lit("a").alias("g"))
     r = quantiles(df, ["g"], "x", PROBS, hot_rows=5).first()
     assert all(r[k] == 3.0 for k in PROBS)
+
+
+def test_null_group_infinities_and_extremes_in_bounded_passes(spark, monkeypatch):
+    rng = np.random.default_rng(0)
+    values = [*rng.normal(size=300), INF, -INF, 1e308, -1e308, 5e-324, 0.0, -0.0, *([7.0] * 40)]
+    rows = [(None if i % 3 else "a", float(v)) for i, v in enumerate(values)]
+    passes = []
+    plain = Q._rows_of
+    monkeypatch.setattr(Q, "_rows_of", lambda *a: passes.append(1) or plain(*a))
+    got = {r["g"]: r for r in quantiles(spark.createDataFrame(rows, "g string, x double"), ["g"], "x", PROBS, hot_rows=10, final_rows=5).collect()}
+    assert len(passes) <= 2 * len(Q.SHIFTS)
+    for g in (None, "a"):
+        own = sorted(v for k, v in rows if k == g)
+        for name, p in PROBS.items():
+            pos = p * (len(own) - 1)
+            lo, hi = own[math.floor(pos)], own[math.ceil(pos)]
+            want = lo if lo == hi else (math.ceil(pos) - pos) * lo + (pos - math.floor(pos)) * hi
+            assert got[g][name] == pytest.approx(want, rel=1e-12)
+
+
+def test_no_window_partition_exceeds_the_final_size(spark, monkeypatch):
+    """What is ranked in one task after the passes are at most final_rows rows."""
+    df = spark.range(5000).select((F.col("id") * 1.5).alias("x"))
+    sizes = []
+    plain = Q._read_off
+    monkeypatch.setattr(Q, "_read_off", lambda x, state, *a: sizes.extend(r["_cnt"] for r in state.collect()) or plain(x, state, *a))
+    r = quantiles(df, [], "x", {"med": 0.5}, hot_rows=100, final_rows=50).first()
+    assert r["med"] == 2499.5 * 1.5 and max(sizes, default=0) <= 50
+
+
+def test_double_key_sorts_like_the_value(spark):
+    rng = np.random.default_rng(1)
+    xs = [0.0, INF, -INF, 5e-324, -5e-324, 2.2250738585072014e-308, 1.7976931348623157e308, 1.0, 2.0, 0.5, np.nextafter(1, 0), np.nextafter(2, 0), np.nextafter(2, 3)]
+    xs += list(np.ldexp(rng.normal(size=400), rng.integers(-1070, 1020, 400))) + [float(2.0 ** k) for k in range(-1074, 1024, 37)]
+    xs = sorted(set(float(x) for x in xs))
+    got = spark.createDataFrame([(x,) for x in xs], "x double").select("x", double_key(F.col("x")).alias("k")).collect()
+    key = {r["x"]: r["k"] for r in got}
+    bits = lambda x: int(np.float64(abs(x)).view(np.int64)) * (-1 if x < 0 else 1)
+    assert [key[x] for x in xs] == [bits(x) for x in xs]
+
+
+def test_global_rank_and_running_total(spark):
+    rng = np.random.default_rng(2)
+    pdf = pd.DataFrame({"g": rng.choice(["a", "b", None], 400), "v": rng.integers(0, 20, 400), "id": np.arange(400)})
+    df = spark.createDataFrame([(g, int(v), int(i)) for g, v, i in pdf.itertuples(index=False)], "g string, v int, id int").repartition(7)
+    got = {r["id"]: r["rank"] for r in global_rank(df, ["v", "id"], "rank", ["g"]).collect()}
+    for g in ("a", "b", None):
+        own = sorted((int(v), int(i)) for gg, v, i in pdf.itertuples(index=False) if gg is g or gg == g)
+        assert [got[i] for _, i in own] == list(range(len(own)))
+    total = {r["id"]: r["t"] for r in running_total(df, ["v", "id"], F.col("v"), "t").collect()}
+    at = 0
+    for v, i in sorted((int(v), int(i)) for _, v, i in pdf.itertuples(index=False)):
+        assert total[i] == at
+        at += v

@@ -48,6 +48,18 @@ def test_label_transactions_one_label_per_customer(spark):
     assert out == {"T1": 1, "T2": 1, "T3": 0}
 
 
+def test_several_labels_of_a_customer(spark):
+    lab = spark.createDataFrame([("A", 0, 2), ("A", 1, 1), ("B", 0, 0)], "CustomerId string, is_high_risk int, cluster int")
+    tx = spark.createDataFrame([("A", "T1"), ("B", "T2")], "CustomerId string, TransactionId string")
+    assert {(r["TransactionId"], r["is_high_risk"], r["cluster"]) for r in SG.label_transactions(tx, lab).collect()} == {("T1", 1, 1), ("T2", 0, 0)}
+
+
+def test_nearest_of_given_centres(spark):
+    df = spark.createDataFrame([(0.0, 0.0, 0.0), (9.0, 0.0, 0.0), (5.0, 0.0, 0.0), (None, 1.0, 1.0)], "recency double, frequency double, monetary double")
+    got = [(r["cluster"], r["cost"]) for r in SG.assign_nearest(df, [[0, 0, 0], [10, 0, 0]]).collect()]
+    assert got == [(0, 0.0), (1, 1.0), (0, 25.0), (None, None)]
+
+
 def test_kmeans_segmenter(spark):
     df = rfm_fixture(spark, with_cluster=False)
     seg = SG.CustomerSegmenter(3, "standardize", 42, n_init=3, max_iter=50).fit(df)
@@ -59,8 +71,19 @@ def test_kmeans_segmenter(spark):
     a = {r["CustomerId"]: r["cluster"] for r in pred.collect()}
     b = {r["CustomerId"]: r["cluster"] for r in again.collect()}
     assert a == b
-    with pytest.raises(ValueError):
+    with pytest.raises(ValueError, match="not been fitted"):
         SG.CustomerSegmenter().predict(df)
+    # every row is with its nearest centre, and the cost is the sum of the squared distances
+    from riskweave.operators.prepare import apply_scaler
+    scaled = apply_scaler(pred.select(*SG.RFM, "cluster"), seg.scale_params)
+    model = seg.model.clusterCenters()
+    centres = [list(model[old]) for old, _ in sorted(seg.relabel.items(), key=lambda x: x[1])]
+    near = SG.assign_nearest(scaled.withColumnRenamed("cluster", "given"), centres).collect()
+    assert all(r["given"] == r["cluster"] for r in near) and abs(sum(r["cost"] for r in near) - seg.inertia()) < 1e-6
+    assert abs(seg.inertia(df) - seg.inertia()) < 1e-6
+    nan = df.withColumn("recency", F.when(F.col("CustomerId") == "C00", float("nan")).otherwise(F.col("recency")))
+    with pytest.raises(ValueError, match="missing"):
+        SG.CustomerSegmenter(n_init=1).fit(nan)
     bad = df.withColumn("recency", F.when(F.col("CustomerId") == "C00", None).otherwise(F.col("recency")))
     with pytest.raises(ValueError, match="missing"):
         SG.CustomerSegmenter(n_init=1).fit(bad)
@@ -107,3 +130,27 @@ def test_save_and_load_splits(spark, tmp_path):
     SP.save_splits(s, str(tmp_path / "splits"))
     assert SP.load_split(spark, str(tmp_path / "splits"), "test").count() == 20
     assert SP.load_split(spark, str(tmp_path / "splits"), "train").count() == 80
+
+
+def test_null_labels_are_a_class(spark):
+    df = _xy(spark).withColumn("y", F.when(F.col("id") >= 20, F.when(F.col("id") < 60, 0)).otherwise(1))
+    c = {(r["split"], r["y"]): r["count"] for r in SP.assign_split(df, ["id"], "y", 0.2).groupBy("split", "y").count().collect()}
+    assert c[("test", None)] == 8 and c[("test", 0)] == 8 and c[("test", 1)] == 4
+
+
+@pytest.mark.parametrize("kind", ["timestamp_ntz", "date", "string", "long"])
+def test_order_by_any_type(spark, kind):
+    day = F.date_add(F.lit("2020-01-01").cast("date"), (F.col("id") / 10).cast("int"))  # ten rows share a value
+    df = _xy(spark).withColumn("o", (F.col("id") % 10 if kind == "long" else day).cast(kind))
+    s = SP.assign_split(df.repartition(6), ["id"], None, 0.25, 0.15, stratify=False, order_col="o").collect()
+    order = sorted(s, key=lambda r: (r["o"], r["id"]))
+    assert [r["split"] for r in order] == ["train"] * 60 + ["val"] * 15 + ["test"] * 25
+
+
+def test_load_split_save(spark, tmp_path):
+    _xy(spark).coalesce(1).write.option("header", True).csv(str(tmp_path / "in"))
+    counts = SP.load_split_save(spark, str(tmp_path / "in"), str(tmp_path / "out"), ["id"], "y", fmt="csv", test_size=0.2, val_size=0.1)
+    assert counts == {"train": 70, "val": 10, "test": 20}
+    assert SP.load_split(spark, str(tmp_path / "out"), "val").count() == 10
+    with pytest.raises(ValueError, match="Missing required columns"):
+        SP.load_split_save(spark, str(tmp_path / "in"), str(tmp_path / "out2"), ["id"], "no_such", fmt="csv")

@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from tests.conftest import SF
@@ -11,16 +12,59 @@ def test_stream_rfm_equals_batch_rfm(spark):
     assert streamed == batch and len(batch) > 0
 
 
-def test_processor_save_load_roundtrip(spark, tmp_path):
-    from riskweave.plans.q_prepare import feature_processor
+OPTIONS = [dict(imputation="median", encoding="onehot", scaling="standardize"), dict(imputation="mode", encoding="label", scaling="robust"),
+           dict(imputation="remove", encoding="onehot", scaling=None), dict(imputation="knn", encoding="label", scaling="normalize", key_col="o_orderkey"),
+           dict(imputation="mean", encoding="onehot", scaling="standardize", use_woe=True, target_col="is_f")]
+
+
+@pytest.mark.parametrize("options", OPTIONS, ids=lambda o: "-".join(str(v) for v in o.values()))
+def test_processor_save_load_roundtrip(spark, tmp_path, options):
     from riskweave.operators.processor import FeatureProcessor
-    o = spark.read.parquet(f"{SF}/orders.parquet")
-    fp = feature_processor().fit(o)
+    o = spark.read.parquet(f"{SF}/orders.parquet").withColumn("is_f", (F.col("o_orderstatus") == "F").cast("int")).limit(600)
+    o = o.withColumn("o_totalprice", F.when(F.col("o_orderkey") % 40 != 0, F.col("o_totalprice")))
+    fp = FeatureProcessor("o_custkey", "o_orderdate", "o_totalprice", id_rule="key_or_id", keep_cols=("o_orderkey",), **options)
+    direct = fp.fit_transform(o)
     fp.save(str(tmp_path / "proc"))
-    loaded = FeatureProcessor.load(spark, str(tmp_path / "proc"), id_rule=fp.id_rule)
-    a = sorted(map(tuple, fp.transform(o).collect()))
-    b = sorted(map(tuple, loaded.transform(o).collect()))
-    assert a == b
+    loaded = FeatureProcessor.load(spark, str(tmp_path / "proc"))
+    out = loaded.transform(o)
+    assert out.columns == direct.columns and len(loaded.feature_names) == len(fp.feature_names)
+    assert sum(c.endswith("_woe") for c in out.columns) == (5 if options.get("use_woe") else 0)
+    rows = [sorted(tuple(round(v, 9) if isinstance(v, float) else v for v in r) for r in d.collect()) for d in (direct, out, fp.transform(o))]
+    assert rows[0] == rows[1] == rows[2] and len(rows[0]) > 500
+
+
+def test_processor_options_that_cannot_work(spark, tmp_path):
+    from riskweave.operators.processor import FeatureProcessor
+    with pytest.raises(ValueError, match="key_col"):
+        FeatureProcessor(imputation="knn")
+    own = FeatureProcessor("o_custkey", "o_orderdate", "o_totalprice", id_rule=lambda c: "key" in c)
+    own.fit(spark.read.parquet(f"{SF}/orders.parquet"))
+    own.save(str(tmp_path / "p"))
+    with pytest.raises(ValueError, match="id rule"):
+        FeatureProcessor.load(spark, str(tmp_path / "p"))
+    assert FeatureProcessor.load(spark, str(tmp_path / "p"), id_rule=own.id_rule).num_cols == own.num_cols
+
+
+def test_requests_on_a_stream(spark):
+    from riskweave.streaming import scoring as ST
+    rows = [('{"id": "a", "features": [1, 2]}',), ('{"id": "b", "features": [1]}',), ("no json",), ('{"id": "c", "features": [1, null]}',), (None,)]
+    out = {r["id"]: r for r in ST.score_requests(spark.createDataFrame(rows, "value string"), [1.0, -1.0], 0.0).collect()}
+    assert abs(out["a"]["probability"] - 0.2689414213699951) < 1e-12 and out["a"]["decision"] == "approve" and out["a"]["reject_reason"] is None
+    assert out["b"]["reject_reason"] == "expected 2 features, got 1" and out["b"]["decision"] is None and "missing" in out["c"]["reject_reason"]
+    assert out[None]["reject_reason"] == "expected 2 features, got 0"
+
+
+def test_rfm_sink_holds_one_row_per_customer(spark, tmp_path):
+    from riskweave.streaming import scoring as ST
+    o = spark.read.parquet(f"{SF}/orders.parquet").repartition(4)
+    o.write.parquet(str(tmp_path / "in"))
+    stream = ST.read_stream(spark, str(tmp_path / "in"), o.schema, "*.parquet", max_files_per_trigger=1)
+    q = ST.start_incremental_rfm(ST.incremental_rfm(stream, "o_custkey", "o_orderdate", "o_totalprice"), str(tmp_path / "sink"), "o_custkey", "rfm_compact", str(tmp_path / "ck"))
+    q.awaitTermination()
+    assert ST._versions(spark, str(tmp_path / "sink")) == [2, 3]
+    state = ST.read_rfm_state(spark, str(tmp_path / "sink"), "o_custkey").collect()
+    assert len(state) == len({r["o_custkey"] for r in state}) == o.select("o_custkey").distinct().count()
+    assert sum(r["frequency"] for r in state) == o.count()
 
 
 def test_scan_pushdown_and_pruning(spark):
