@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskweave.llm import decontamination, extraction, jaccardjoin, langid, licences, linededup, packing, pii, toxicity, winnowing
+from riskweave.llm import decontamination, extraction, jaccardjoin, langid, licences, linededup, oracles, packing, pii, toxicity, winnowing
 from riskweave.llm.common import held_out_rows
 from riskweave.sources.tables import read_table
 
@@ -53,21 +53,21 @@ def op4_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extraction.extract(read_table(spark, sf_dir, "pages"))
 
 
-@register("op5_decontamination")
+@register("op5_decontamination", oracles.DECONTAMINATION)
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.search(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
 
-@register("op10_line_dedup")
+@register("op10_line_dedup", oracles.LINE_DEDUP)
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = linededup.classes(read_table(spark, sf_dir, "documents"))
     return found.select("doc_id", "line_no", "class_doc_id", "class_line_no", "class_lines", "kept")
 
 
-@register("op6_jaccard_join")
+@register("op6_jaccard_join", oracles.JACCARD_JOIN)
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = jaccardjoin.join(read_table(spark, sf_dir, "documents"))
-    return found.select("doc_id", "class_id", "class_size", "n_links", "equal_set", "equal_docs")
+    return found.select("doc_id", "class_id", "class_size", "n_links", "equal_docs")
 
 
 @register("op2_winnowing")
