@@ -90,12 +90,11 @@ def corr_bands(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
 def top_pairs(df: DataFrame, cols: list[str] | None = None, k: int = 10) -> DataFrame:
     """The ``k`` most positive and ``k`` most negative pairs."""
     p = pairs(df, cols).where(F.col("corr").isNotNull())
-    pos = Window.orderBy(F.col("corr").desc(), "i", "j")
-    neg = Window.orderBy(F.col("corr").asc(), "i", "j")
-    # the pair table holds k*(k-1)/2 rows for k columns: a global window is fine here
-    a = p.withColumn("rank", F.row_number().over(pos)).where(F.col("rank") <= k).withColumn("side", F.lit("positive"))
-    b = p.withColumn("rank", F.row_number().over(neg)).where(F.col("rank") <= k).withColumn("side", F.lit("negative"))
-    return a.unionByName(b).select("side", "rank", "feature_1", "feature_2", "corr")
+    # the pair table holds k*(k-1)/2 rows for k columns: global windows are fine here
+    ranks = {"positive": Window.orderBy(F.col("corr").desc(), "i", "j"), "negative": Window.orderBy(F.col("corr").asc(), "i", "j")}
+    ranked = p.select("*", *[F.row_number().over(w).alias(side) for side, w in ranks.items()])
+    sides = F.filter(F.array(*[F.struct(F.lit(side).alias("side"), F.col(side).alias("rank")) for side in ranks]), lambda s: s["rank"] <= k)
+    return ranked.select(F.explode(sides).alias("s"), "feature_1", "feature_2", "corr").select("s.side", "s.rank", "feature_1", "feature_2", "corr")
 
 
 def target_corr(df: DataFrame, target: str, cols: list[str] | None = None) -> DataFrame:
