@@ -7,7 +7,7 @@ is taken, the rightmost of equal ones. The taken (hash, position) pairs are the
 
 A hash and its position share one long, hash first and position complemented, so the least long is the rightmost least
 hash. Window minima come from three passes that each take the least of 2 or 4 elements. Arrays are bound to lambda
-variables (``let``): read from a column, a value would be copied for every element.
+variables (``let``): read from a column, a value would be copied for every element. Long texts are read in stretches.
 
 Documents follow each other by id, then text hash. For neighbours, ids alone are first split into ranges; texts then
 move once, to their range, with the first document of the next range added as a sentinel, and a window function
@@ -37,16 +37,15 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def grams(text: Column, k: int) -> Column:
-    """hash << 32 | (LOW - position) of every k-gram, positions from 1."""
-    n = F.length(text)
+def grams(code: Column, k: int) -> Column:
+    """hash << 32 | (LOW - position) of every k-gram of a text that is not empty, positions from 1; code: its UTF-32."""
+    n = (F.octet_length(code) / 4).cast("int")
     places = F.sequence(F.lit(1), F.greatest(n - (k - 1), F.lit(1)))
-    key = lambda b: F.transform(places, lambda i: F.xxhash64(F.substring(b, i * 4 - 3, F.lit(4 * k))).bitwiseAND(F.lit(0x7FFFFFFF00000000)).bitwiseOR(F.lit(LOW) - i))
-    return F.when(n > 0, let(F.encode(text, "UTF-32"), key)).otherwise(F.array().cast("array<bigint>"))
+    return let(code, lambda b: F.transform(places, lambda i: F.xxhash64(F.substring(b, i * 4 - 3, F.lit(4 * k))).bitwiseAND(F.lit(0x7FFFFFFF00000000)).bitwiseOR(F.lit(LOW) - i)))
 
 
 def minima(keys: Column, window: int) -> Column:
-    """The least key of every whole window (of all keys, where there are fewer). window: 2, 4 or 8 times a power of 4."""
+    """The least key of every whole window (of all keys, where there are fewer)."""
     steps, span = [], 1
     while span < window:
         fold = 4 if window % (span * 4) == 0 else 2
@@ -64,9 +63,20 @@ def minima(keys: Column, window: int) -> Column:
     return let(keys, lambda a: passes(a, steps))
 
 
-def winnow(text: Column, k: int, window: int) -> Column:
-    """The taken keys of a text, in order of position."""
-    return F.array_distinct(minima(grams(text, k), window))
+def winnow(text: Column, k: int, window: int, stretch: int = 1 << 14) -> Column:
+    """The taken keys of a text, in order of position.
+
+    A stretch of windows at a time, so that a long text needs arrays of that length only, beside its taken keys."""
+    more = k + window - 2  # code points that the last window of a stretch goes on
+
+    def part(b: Column, c: Column) -> Column:
+        own = F.array_distinct(minima(grams(F.substring(b, c * (4 * stretch) + 1, F.lit(4 * (stretch + more))), k), window))
+        return F.transform(own, lambda x: x - c * stretch)
+
+    windows = F.greatest(F.length(text) - more, F.lit(1))
+    stretches = F.sequence(F.lit(0), F.floor((windows - 1) / stretch).cast("int"))
+    taken = let(F.encode(text, "UTF-32"), lambda b: F.flatten(F.transform(stretches, lambda c: part(b, c))))
+    return F.when(F.length(text) > 0, F.array_distinct(taken)).otherwise(F.array().cast("array<bigint>"))
 
 
 def shown(keys: Column) -> Column:
@@ -123,18 +133,19 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     cut = n - F.floor(n / edit).cast("int")
     # Windows that lie in the kept part are those of the text itself: only the rest of the edited text is read again.
     kept = F.greatest(cut - (k + window - 2), F.lit(0))
-    taken = let(minima(grams(F.col("text"), k), window), lambda m: F.struct(F.array_distinct(m).alias("keys"), F.get(m, F.col("kept") - 1).alias("last")))
-    rows = rows.withColumn("kept", kept).withColumn("taken", taken)
+    rows = rows.withColumns({"kept": kept, "keys": winnow(F.col("text"), k, window)})
     following = Window.partitionBy("range").orderBy(*order)
-    rows = rows.select("*", F.lead("text").over(following).alias("next_text"), F.lead("taken.keys").over(following).alias("next_keys")).where("sentinel = 0")
+    rows = rows.select("*", F.lead("text").over(following).alias("next_text"), F.lead("keys").over(following).alias("next_keys")).where("sentinel = 0")
     rows = rows.withColumn("inserted", F.substring("next_text", F.lit(1), F.floor(n / edit).cast("int")))
     rows = rows.withColumn("edited", F.concat(F.substring("text", F.lit(1), cut), "inserted"))
     tail = winnow(F.substring("edited", F.col("kept") + 1, F.length("edited")), k, window)
     moved = let(tail, lambda a: F.transform(a, lambda x: x - F.col("kept")))
-    before = F.slice("taken.keys", F.lit(1), F.array_position("taken.keys", F.col("taken.last")).cast("int"))
+    # what the last kept window takes is the last of the kept windows' keys
+    last = F.array_min(grams(F.encode(F.substring("text", F.col("kept"), F.lit(k + window - 1)), "UTF-32"), k)) - F.col("kept") + 1
+    before = F.slice("keys", F.lit(1), F.array_position("keys", last).cast("int"))
     edited_keys = F.when(F.col("kept") == 0, tail).when(F.col("inserted") == "", before).otherwise(F.array_distinct(F.concat(before, moved)))
     rows = rows.withColumn("edited_keys", edited_keys)
-    return rows.withColumns({"a": hashes(F.col("taken.keys")), "b": hashes(F.col("edited_keys")), "c": hashes(F.col("next_keys"))}).select(
+    return rows.withColumns({"a": hashes(F.col("keys")), "b": hashes(F.col("edited_keys")), "c": hashes(F.col("next_keys"))}).select(
         F.when(F.col("did") != LEAST, F.col("did")).alias("doc_id"), n.cast("long").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
-        shown(F.col("taken.keys")).alias("fingerprint"), shown(F.col("edited_keys")).alias("edited_fingerprint"),
-        likeness(F.col("a"), F.col("b")).alias("near_edited"), likeness(F.col("a"), F.col("c")).alias("near_next"), F.size("taken.keys").alias("n_taken"))
+        shown(F.col("keys")).alias("fingerprint"), shown(F.col("edited_keys")).alias("edited_fingerprint"),
+        likeness(F.col("a"), F.col("b")).alias("near_edited"), likeness(F.col("a"), F.col("c")).alias("near_next"), F.size("keys").alias("n_taken"))

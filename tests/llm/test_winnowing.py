@@ -26,8 +26,10 @@ def jaccard(a, b):
     return len(a & b) / len(a | b) if a | b else 1.0
 
 
-@pytest.mark.parametrize(("k", "w"), [(16, 32), (5, 8)])
-def test_equals_definition(spark, docs_schema, k, w):
+@pytest.mark.parametrize(("k", "w", "stretch"), [(16, 32, 1 << 14), (5, 8, 37)])
+def test_equals_definition(spark, docs_schema, monkeypatch, k, w, stretch):
+    plain = winnowing.winnow
+    monkeypatch.setattr(winnowing, "winnow", lambda t, k, w: plain(t, k, w, stretch))
     rng = random.Random(6)
     texts = ["", None, "ab", "x" * 400, "é日本語🙂" * 30, "short text", "a b " * 9000]
     texts += ["".join(rng.choice("abcde 日🙂é") for _ in range(rng.randrange(1, 500))) for _ in range(60)]
