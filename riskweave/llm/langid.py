@@ -33,7 +33,9 @@ SCHEMA = ("doc_id long, lang_pred string, score double, n_words long, switches l
 
 
 def words_of(text: str) -> list[str]:
-    return WORD.findall(text.lower())
+    """Lower-cased words; none if there is no letter among them (other numerals than digits look like words too)."""
+    words = WORD.findall(text.lower())
+    return words if any(c.isalpha() for w in words for c in w) else []
 
 
 def _codes(words: list[str]) -> np.ndarray:
@@ -293,7 +295,7 @@ def keep_identified(docs: DataFrame, model: Crf, text_col: str = "text", least:
 
 def _runs(text: str | None, top: np.ndarray, langs: list[str]) -> list[dict]:
     out: list[dict] = []
-    for m, j in zip(WORD.finditer((text or "").lower()), top, strict=True):
+    for m, j in zip(WORD.finditer((text or "").lower()), top, strict=True):  # only for texts with a letter
         if out and out[-1]["lang"] == langs[j]:
             out[-1]["end"] = m.end()
         else:

@@ -43,14 +43,14 @@ def test_marginals_equal_enumeration(monkeypatch):
 
 def test_code_switched_runs_and_edges(spark, model, docs_schema):
     text = " ".join(WORDS["aa"] * 2 + WORDS["bb"] * 2)
-    rows = [(1, text), (2, None), (3, ""), (4, "12 34 !?"), (5, "the " * 30_000), (5, "the"), (None, "schnee"), (6, "q" * 50_000)]
+    rows = [(1, text), (2, None), (3, ""), (4, "12 34 !?"), (5, "the " * 30_000), (5, "the"), (None, "schnee"), (6, "q" * 50_000), (7, "½ Ⅷ ²")]
     df = spark.createDataFrame([(i, t, "x", None, None, "e") for i, t in rows], docs_schema)
     got = langid.label(df, model, spans=True).collect()
     assert len(got) == len(rows)
     by = {r.doc_id: r for r in got if r.doc_id != 5}
     assert [x.lang for x in by[1].runs] == ["aa", "bb"] and by[1].switches == 1
     assert text[by[1].runs[1].start:by[1].runs[1].end] == " ".join(WORDS["bb"] * 2)
-    assert [by[k].lang_pred for k in (2, 3, 4)] == ["und"] * 3 and by[2].score == 0
+    assert [by[k].lang_pred for k in (2, 3, 4, 7)] == ["und"] * 4 and by[2].score == 0
     assert by[None].lang_pred == "bb" and all(0 <= r.score <= 1 for r in got)
     assert langid.label(spark.createDataFrame([], docs_schema), model).collect() == []
 
