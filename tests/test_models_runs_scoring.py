@@ -59,7 +59,7 @@ def test_forest_and_boosted_trees_train(spark, tmp_path):
     train, test = df.where("id % 5 != 0"), df.where("id % 5 = 0")
     params = {"random_forest": {"n_estimators": 10, "max_depth": 4, "min_samples_split": 20, "max_features": None}, "xgboost": {"n_estimators": 5, "max_depth": 3, "colsample_bytree": 0.8},
               "lightgbm": {"n_estimators": 5, "num_leaves": 5, "subsample": 0.9}}
-    t = MO.train_models(train, test, FEATS, "y", list(params))
+    t = MO.ModelTrainer(42)
     t.train_multiple(list(params), train, test, FEATS, "y", params)
     assert set(t.metrics) == set(params) and all(m["test_roc_auc"] > 0.7 for m in t.metrics.values())
     assert t.models["lightgbm"].stages[-1].getMaxDepth() == 2  # at most five leaves
@@ -70,6 +70,11 @@ def test_forest_and_boosted_trees_train(spark, tmp_path):
         MO.ModelTrainer().best_model()
 
 
+def test_train_models_in_one_call(spark):
+    df = data(spark)
+    assert set(MO.train_models(df, df, FEATS, "y", ["logistic_regression"]).metrics) == {"logistic_regression"}
+
+
 def test_depth_and_parameters_that_cannot_be_honoured():
     assert MO.not_honoured("decision_tree", {"max_depth": 3, "min_samples_split": 20}) == ["min_samples_split"]
 
