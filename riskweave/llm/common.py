@@ -51,12 +51,14 @@ def text_blocks(ids: list, texts: list, chars: int = 4_000_000) -> Iterator[tupl
         yield ids[at:], texts[at:]
 
 
-def sample_by_key(df: DataFrame, key: str, id_col: str, per_key: int) -> DataFrame:
+def sample_by_key(df: DataFrame, key: str, id_col: str, per_key: int, max_keys: int = 200) -> DataFrame:
     """About ``per_key`` rows of each value of ``key`` (null left out): those whose hashed id falls below per_key / count.
+    Of more than ``max_keys`` values the most frequent are sampled.
 
     One counting pass over the key column and one filtering pass, no sort and no shuffle of texts. The number of rows
     is binomial around ``per_key``; it does not grow with the table. Only the counts come to the driver."""
-    counts = {r[0]: r[1] for r in df.where(F.col(key).isNotNull()).groupBy(key).count().collect()}
+    tally = df.where(F.col(key).isNotNull()).groupBy(key).count()
+    counts = {r[0]: r[1] for r in tally.orderBy(F.col("count").desc(), key).limit(max_keys).collect()}
     if not counts:
         return df.limit(0)
     draw = F.pmod(F.xxhash64(F.col(id_col)), F.lit(1 << 30)) / float(1 << 30)

@@ -7,7 +7,7 @@
    ``small`` sets is done; a larger one is split by the next level's draws, unless that would leave it nearly whole.
 3. In finished buckets every pair is compared exactly on its 64-bit shingle hashes (by blocks of a matrix product). A pair
    counts in the first bucket that both sets share. Buckets with the same members are taken once; one of more than
-   ``chunk`` sets is dealt out as pairs of its chunks.
+   ``chunk`` sets, or ``chunk_shingles`` shingles, is dealt out as pairs of its chunks.
 4. Links between classes are counted with their documents, and joined to components by distributed union-find.
 
 Two similar sets share a draw of one level with a chance of about ``1 - exp(-branching)``. ``runs`` follows from the
@@ -62,7 +62,8 @@ def distinct_sets(texts: list[str | None], width: int) -> tuple[np.ndarray, np.n
 
 
 def drawn(docs: DataFrame, id_col: str, text_col: str, width: int, threshold: float, branching: float, runs: int, levels: int) -> DataFrame:
-    """did, th (hash of the text), cls (hash of the shingle set; null without words), draws[run * levels + level] of each document."""
+    """did, th (hash of the text), cls (hash of the shingle set; null without words), size (its shingles), draws[run * levels + level]
+    of each document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seeds = mix(np.arange(1, runs * levels + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
@@ -90,9 +91,9 @@ def drawn(docs: DataFrame, id_col: str, text_col: str, width: int, threshold: fl
                 outer = pa.ListArray.from_arrays(pa.array(np.arange(len(ids) + 1) * len(seeds), pa.int32()), inner)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([LEAST if i is None else i for i in ids], pa.int64()), pa.array([None if t is None else line_id(t) for t in texts], pa.int64()),
-                     pa.array(cls.view(np.int64), mask=size == 0), outer], names=["did", "th", "cls", "draws"])
+                     pa.array(cls.view(np.int64), mask=size == 0), pa.array(size, pa.int64()), outer], names=["did", "th", "cls", "size", "draws"])
 
-    return docs_of(docs, id_col, text_col).mapInArrow(run, "did long, th long, cls long, draws array<array<long>>")
+    return docs_of(docs, id_col, text_col).mapInArrow(run, "did long, th long, cls long, size long, draws array<array<long>>")
 
 
 def buckets(sets: DataFrame, runs: int, levels: int, small: int, whole: float = 0.8) -> DataFrame:
@@ -135,13 +136,14 @@ def buckets(sets: DataFrame, runs: int, levels: int, small: int, whole: float =
     return out
 
 
-def dealt(found: DataFrame, chunk: int) -> DataFrame:
-    """(part, bucket, cls, side): a bucket is one part, or one part for each pair of its chunks; only sides 0 and 1 of a
-    part of two chunks are compared with each other."""
-    fits = found.where(F.col("n") <= chunk).select(F.col("bucket").alias("part"), "bucket", "cls", F.lit(0).alias("side"))
-    big = found.where(F.col("n") > chunk)
-    parts = F.ceil(F.col("n") / chunk).cast("int")
-    own = big.withColumn("parts", parts).withColumn("c", F.pmod(F.xxhash64("cls"), F.col("parts")).cast("int"))
+def dealt(found: DataFrame, sizes: DataFrame, chunk: int, chunk_shingles: int) -> DataFrame:
+    """(part, bucket, cls, side): a bucket is one part, or one part for each pair of its chunks; only sides 1 and 2 of a
+    part of two chunks are compared with each other. sizes: cls, size."""
+    parts = F.greatest(F.ceil(F.count("*") / chunk), F.ceil(F.sum("size") / chunk_shingles)).cast("int")
+    several = found.join(sizes, "cls").groupBy("bucket").agg(parts.alias("parts")).where("parts > 1")
+    found = found.drop("n").join(several, "bucket", "left")
+    fits = found.where("parts is null").select(F.col("bucket").alias("part"), "bucket", "cls", F.lit(0).alias("side"))
+    own = found.where("parts is not null").withColumn("c", F.pmod(F.xxhash64("cls"), F.col("parts")).cast("int"))
     pairs = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     name = F.xxhash64("bucket", F.least("c", "other"), F.greatest("c", "other"))
     return fits.unionAll(pairs.select(name.alias("part"), "bucket", "cls", F.when(F.col("c") == F.col("other"), 0).when(F.col("c") < F.col("other"), 1).otherwise(2).alias("side")))
@@ -243,7 +245,7 @@ def compare(width: int, threshold: float):
 
 
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, threshold: float = 0.8, recall: float = 0.999,
-         branching: float = 3.0, levels: int = 4, small: int = 64, chunk: int = 2048) -> DataFrame:
+         branching: float = 3.0, levels: int = 4, small: int = 64, chunk: int = 2048, chunk_shingles: int = 8_000_000) -> DataFrame:
     """One row per document: doc_id, th (hash of its text), its class of equal shingle sets (null without words) and that
     class's documents, its component and the smallest id there (its own without words), and the number of documents that are linked to it."""
     spark = docs.sparkSession
@@ -252,14 +254,14 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width:
     rows, _ = write_shared(drawn(docs, id_col, text_col, width, threshold, branching, runs, levels), "draws")
     # One document of each class speaks for it; all draw the same, so any row's draws do.
     known = rows.where("cls is not null")
-    speaker = known.groupBy("cls").agg(F.min(F.struct("did", "th")).alias("at"), F.count("*").alias("weight"))
-    speaker, speaker_path = write_shared(speaker.select("cls", "at.did", "at.th", "weight"), "classes")
+    speaker = known.groupBy("cls").agg(F.min(F.struct("did", "th")).alias("at"), F.count("*").alias("weight"), F.max("size").alias("size"))
+    speaker, speaker_path = write_shared(speaker.select("cls", "at.did", "at.th", "weight", "size"), "classes")
     sets = known.join(speaker.select("cls", "did", "th"), ["cls", "did", "th"], "left_semi").dropDuplicates(["cls"]).select("cls", "draws")
     found = buckets(sets, runs, levels, small)
     homes = found.groupBy("cls").agg(F.collect_list("bucket").alias("homes"))  # some draws a run: bounded by the method
     met = homes.join(speaker, "cls").select("cls", "did", "th", "weight", "homes")
     text_of = texts.select(F.coalesce("doc_id", F.lit(LEAST)).alias("did"), F.xxhash64("text").alias("th"), "text").join(met, ["did", "th"]).select("cls", "weight", "homes", "text")
-    parts = dealt(found, chunk).join(text_of, "cls").select("part", "bucket", "cls", "side", "text", "weight", "homes")
+    parts = dealt(found, speaker.select("cls", "size"), chunk, chunk_shingles).join(text_of, "cls").select("part", "bucket", "cls", "side", "text", "weight", "homes")
     parts = parts.repartition("part").sortWithinPartitions("part")
     links, links_path = write_shared(parts.mapInArrow(compare(width, threshold), "cls long, links long, root long"), "links")
     roots = components(links, "cls", "root")

@@ -37,8 +37,8 @@ def texts():
     return out
 
 
-@pytest.mark.parametrize(("small", "chunk", "levels"), [(64, 2048, 4), (4, 2048, 3), (64, 16, 2)])
-def test_equals_all_pairs(spark, texts, small, chunk, levels):
+@pytest.mark.parametrize(("small", "chunk", "mass", "levels"), [(64, 2048, 10**7, 4), (4, 2048, 10**7, 3), (64, 16, 10**7, 2), (64, 2048, 900, 2)])
+def test_equals_all_pairs(spark, texts, small, chunk, mass, levels):
     n = len(texts)
     sets = [grams(t) for t in texts]
     pairs = [(i, j) for i in range(n) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) - 1e-9]
@@ -55,7 +55,7 @@ def test_equals_all_pairs(spark, texts, small, chunk, levels):
         a, b = sorted((find(i), find(j)))
         parent[b] = a
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    got = {r.doc_id: r for r in jaccardjoin.join(df, recall=0.999999, levels=levels, small=small, chunk=chunk).collect()}
+    got = {r.doc_id: r for r in jaccardjoin.join(df, recall=0.999999, levels=levels, small=small, chunk=chunk, chunk_shingles=mass).collect()}
     assert [got[i].n_links for i in range(n)] == links
     assert [got[i].class_id for i in range(n)] == [find(i) for i in range(n)]
 
