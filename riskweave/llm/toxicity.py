@@ -117,25 +117,48 @@ def fit_rows(rows: list[tuple[str, int, float]], terms: list[list[str]] | None =
 
     Of several strengths ``l1`` the one with the least log loss on a fifth of the rows, left out of those fits, is taken."""
     line_of = {w: line for line in (IDENTITY_TERMS if terms is None else terms) if len(line) > 1 for w in line}
-    base = [tokens(t or "") for t, _, _ in rows]
     y, weight = np.array([float(v) for _, v, _ in rows]), np.array([w for _, _, w in rows])
     if not len(y) or y.min() == y.max():
         p = float(np.clip((y @ weight) / weight.sum(), 1e-6, 1 - 1e-6)) if len(y) else 0.0
         return Weights(float(np.log(p / (1 - p))) if p else -30.0, {}, {})
     weight = weight / weight.sum()
-    swapped = [(i, w) for i, ws in enumerate(base) for s in range(swaps) if (w := swap(ws, line_of, s))]
-    texts = [features(ws) for ws in base] + [features(w) for _, w in swapped]
-    df = Counter(f for x in texts for f in x)
-    toxic = Counter(f for x, v in zip(texts, y, strict=False) if v for f in x)
-    share = y.mean()
+    n = len(rows)
+
+    def texts() -> Iterator[tuple[int, list[str]]]:
+        """(row, words) of the labelled texts, then of their swapped forms; made anew for each reading, to hold few at a time."""
+        for i, (t, _, _) in enumerate(rows):
+            yield i, tokens(t or "")
+        for i, (t, _, _) in enumerate(rows):
+            words = tokens(t or "")
+            for s in range(swaps if any(w in line_of for w in words) else 0):
+                yield i, swap(words, line_of, s)
+
+    # Most features are in one text only: a table of hashed counts keeps them from ever being held.
+    hashed = np.zeros(1 << 22, dtype=np.int32)
+    slot = lambda words: [(f, hash(f) & (len(hashed) - 1)) for f in features(words)]
+    origin: list[int] = []
+    for i, words in texts():
+        origin.append(i)
+        hashed[np.unique([h for _, h in slot(words)]).astype(np.int64)] += 1
+    seen: dict = {}
+    got = [np.array([seen.setdefault(f, len(seen)) for f, h in slot(words) if hashed[h] >= min_docs], dtype=np.int32) for _, words in texts()]
+    m, origin = len(origin), np.array(origin[n:], dtype=np.int64)
+    count = np.bincount(np.concatenate(got), minlength=len(seen))
+    toxic = np.bincount(np.concatenate([np.empty(0, np.int32), *(g for g, v in zip(got, y, strict=False) if v)]), minlength=len(seen))
     # The features whose document counts are least like chance; the rest could only add noise.
-    unlike = {f: abs(toxic[f] - c * share) / np.sqrt(c) for f, c in df.items() if c >= min_docs}
-    index = {f: k for k, f in enumerate(sorted(sorted(unlike, key=lambda f: (-unlike[f], repr(f)))[:max_features], key=repr))}
-    got = [[index[f] for f in x if f in index] for x in texts]
-    row = np.repeat(np.arange(len(got)), [len(x) for x in got])
-    col = np.array([k for x in got for k in x], dtype=np.int64)
-    n, m, d = len(base), len(texts), len(index)
-    origin = np.array([i for i, _ in swapped], dtype=np.int64)
+    unlike = np.where(count >= min_docs, np.abs(toxic - count * y.mean()) / np.sqrt(np.maximum(count, 1)), -1.0)
+    names = list(seen)
+    kept = sorted((k for k in np.flatnonzero(unlike >= 0)), key=lambda k: (-unlike[k], repr(names[k])))[:max_features]
+    index = {names[k]: j for j, k in enumerate(sorted(kept, key=lambda k: repr(names[k])))}
+    place = np.full(len(seen), -1)
+    for f, j in index.items():
+        place[seen[f]] = j
+    got = [place[g] for g in got]
+    got = [np.sort(g[g >= 0]) for g in got]
+    row = np.repeat(np.arange(m), [len(g) for g in got])
+    col = np.concatenate(got) if got else np.empty(0, np.int64)
+    d = len(index)
+    del seen, names, hashed, got
 
     def forward(v: np.ndarray) -> np.ndarray:
         return np.bincount(row, v[:-1][col], m) + v[-1]
@@ -143,13 +166,13 @@ def fit_rows(rows: list[tuple[str, int, float]], terms: list[list[str]] | None =
     def solve(strength: float, used: np.ndarray, n_steps: int) -> np.ndarray:
         """Weights and intercept from the rows with a weight in ``used``."""
         used = used / used.sum()
-        pair_weight = counterfactual * used[origin] / swaps if len(swapped) else np.zeros(0)
+        pair_weight = counterfactual * used[origin] / swaps if len(origin) else np.zeros(0)
 
         def pull(outer: np.ndarray, z: np.ndarray) -> np.ndarray:
             """Gradient for each text: the loss's for the labelled ones, and both ends of each swap."""
             g = np.zeros(m)
             g[:n] = outer
-            if len(swapped):
+            if len(origin):
                 change = 2 * pair_weight * (z[n:] - z[origin])
                 g[n:] += change
                 g[:n] -= np.bincount(origin, change, n)
