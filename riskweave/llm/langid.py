@@ -193,8 +193,9 @@ def fit_rows(texts: list[tuple[str, str]], length: int = 48, steps: int = 40, ra
     gold_pairs = np.zeros((k, k))
     np.add.at(gold_pairs, (y[:, :-1].ravel(), y[:, 1:].ravel()), 1.0)
     sums = [np.zeros_like(model.weights), np.zeros_like(model.lexicon_weights), np.zeros_like(model.transitions)]
+    cuts = range(0, len(words), 8192)  # words at a time: their gathered weights and gradients are large
     for _ in range(steps):
-        e = (model.weights[f].sum(1) + model.lexicon_weights[lex])[x]
+        e = (np.concatenate([model.weights[f[at:at + 8192]].sum(1) for at in cuts]) + model.lexicon_weights[lex])[x]
         a = np.exp(model.transitions)
         b = np.exp(e - e.max(2, keepdims=True))
         ahead, back = np.empty_like(b), np.ones_like(b)
@@ -214,8 +215,13 @@ def fit_rows(texts: list[tuple[str, str]], length: int = 48, steps: int = 40, ra
             pairs += (q / q.sum((1, 2), keepdims=True)).sum(0)
         flat = (gold - p).reshape(-1, k)
         by_word = np.stack([np.bincount(x.ravel(), flat[:, j], len(words)) for j in range(k)], axis=1)
+        by_feature = np.zeros_like(model.weights)
+        for at in cuts:
+            some = f[at:at + 8192].ravel()
+            for j in range(k):
+                by_feature[:, j] += np.bincount(some, np.repeat(by_word[at:at + 8192, j], f.shape[1]), 1 << BITS)
         grads = [
-            np.stack([np.bincount(f.ravel(), np.repeat(by_word[:, j], f.shape[1]), 1 << BITS) for j in range(k)], axis=1) / n - l2 * model.weights,
+            by_feature / n - l2 * model.weights,
             np.stack([np.bincount(lex, by_word[:, j], k + 1) for j in range(k)], axis=1) / n - l2 * model.lexicon_weights,
             (gold_pairs - pairs) / n - 1e-3 * model.transitions,
         ]
