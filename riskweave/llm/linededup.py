@@ -37,6 +37,7 @@ from riskweave.llm.shingles import char_shingles
 
 LEAST = -(1 << 63)  # stands for a null id
 EMPTY = np.uint32(0xFFFFFFFF)
+SMALL = 16  # lines of a group that is compared together with others
 
 
 def line_id(line: str) -> int:
@@ -194,27 +195,36 @@ def link(width: int, threshold: float):
             sets, at = shingle_sets(table.column("line").to_pylist(), width)
             ends = np.concatenate([starts[1:], [len(lid)]])
             size = ends - starts
-            p, q = [], []
-            for m in range(2, 7):  # small groups: all their pairs at once
-                for i in range(m):
-                    for j in range(i + 1, m):
-                        p.append(starts[size == m] + i)
-                        q.append(starts[size == m] + j)
-            p, q = np.concatenate(p), np.concatenate(q)
-            ok = similar(sets, at, p, q, threshold)
-            a, b = [lid[p[ok]]], [lid[q[ok]]]
-            for g in np.flatnonzero(size > 6):
-                root = np.arange(size[g])  # of each line's part so far
+            root = np.arange(len(lid))  # of each line's part of its group so far
+            group = np.repeat(np.arange(len(starts)), size)
+            a, b = [], []
+            for i in range(SMALL - 1):  # small groups together: their i-th lines with the later ones that are not connected
+                own = np.flatnonzero((size <= SMALL) & (size > i + 1))
+                later = size[own] - i - 1
+                p = np.repeat(starts[own] + i, later)
+                q = p + 1 + np.arange(len(p)) - np.repeat(np.cumsum(later) - later, later)
+                apart = root[p] != root[q]
+                p, q = p[apart], q[apart]
+                ok = similar(sets, at, p, q, threshold)
+                for x, y in zip(p[ok], q[ok], strict=True):
+                    if root[x] != root[y]:
+                        a.append(lid[root[x]])
+                        b.append(lid[root[y]])
+                        part = root[starts[group[x]]:ends[group[x]]]
+                        part[part == root[y]] = root[x]
+            a, b = [np.array(a, dtype=np.int64)], [np.array(b, dtype=np.int64)]
+            for g in np.flatnonzero(size > SMALL):
+                lo, part = starts[g], np.arange(size[g])
                 for i in range(size[g] - 1):
-                    rest = np.flatnonzero(root[i + 1:] != root[i]) + i + 1
+                    rest = np.flatnonzero(part[i + 1:] != part[i]) + i + 1
                     if not rest.size:
                         continue
-                    hit = rest[similar(sets, at, np.full(len(rest), starts[g] + i), starts[g] + rest, threshold)]
+                    hit = rest[similar(sets, at, np.full(len(rest), lo + i), lo + rest, threshold)]
                     if hit.size:
-                        joined = np.unique(root[hit])
-                        a.append(np.full(len(joined), lid[starts[g] + root[i]]))
-                        b.append(lid[starts[g] + joined])
-                        root[np.isin(root, joined)] = root[i]
+                        joined = np.unique(part[hit])
+                        a.append(np.full(len(joined), lid[lo + part[i]]))
+                        b.append(lid[lo + joined])
+                        part[np.isin(part, joined)] = part[i]
             a, b = np.concatenate(a), np.concatenate(b)
             if a.size:
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
