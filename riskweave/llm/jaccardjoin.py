@@ -251,13 +251,15 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width:
     spark = docs.sparkSession
     runs = runs_needed(recall, branching, levels)
     texts = docs_of(docs, id_col, text_col)
-    rows, _ = write_shared(drawn(docs, id_col, text_col, width, threshold, branching, runs, levels), "draws")
+    draws, draws_path = write_shared(drawn(docs, id_col, text_col, width, threshold, branching, runs, levels), "draws")
     # One document of each class speaks for it; all draw the same, so any row's draws do.
-    known = rows.where("cls is not null")
+    rows, _ = write_shared(draws.select("did", "th", "cls"), "documents")
+    known = draws.where("cls is not null")
     speaker = known.groupBy("cls").agg(F.min(F.struct("did", "th")).alias("at"), F.count("*").alias("weight"), F.max("size").alias("size"))
     speaker, speaker_path = write_shared(speaker.select("cls", "at.did", "at.th", "weight", "size"), "classes")
     sets = known.join(speaker.select("cls", "did", "th"), ["cls", "did", "th"], "left_semi").dropDuplicates(["cls"]).select("cls", "draws")
     found = buckets(sets, runs, levels, small)
+    drop_shared(spark, draws_path)  # before texts are moved
     homes = found.groupBy("cls").agg(F.collect_list("bucket").alias("homes"))  # some draws a run: bounded by the method
     met = homes.join(speaker, "cls").select("cls", "did", "th", "weight", "homes")
     text_of = texts.select(F.coalesce("doc_id", F.lit(LEAST)).alias("did"), F.xxhash64("text").alias("th"), "text").join(met, ["did", "th"]).select("cls", "weight", "homes", "text")
