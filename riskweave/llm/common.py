@@ -51,8 +51,16 @@ def text_blocks(ids: list, texts: list, chars: int = 4_000_000) -> Iterator[tupl
         yield ids[at:], texts[at:]
 
 
-def sample_by_key(df: DataFrame, key: str, id_col: str, per_key: int, max_keys: int = 200) -> DataFrame:
-    """About ``per_key`` rows of each value of ``key`` (null left out): those whose hashed id falls below per_key / count.
+def row_draws(df: DataFrame, *cols: str) -> DataFrame:
+    """With a column ``_draw``, from 0 to 1, hashed from ``cols`` and the row's place in the table: rows that are equal in
+    ``cols``, or null there, have draws of their own. Which rows have low ones depends on how the table is partitioned."""
+    salted = df.withColumn("_place", F.monotonically_increasing_id())
+    return salted.withColumn("_draw", F.pmod(F.xxhash64(*cols, "_place"), F.lit(1 << 30)) / float(1 << 30)).drop("_place")
+
+
+def sample_by_key(df: DataFrame, key: str, id_col: str, per_key: int, max_keys: int = 200, unique_ids: bool = False) -> DataFrame:
+    """About ``per_key`` rows of each value of ``key`` (null left out): those whose draw falls below per_key / count. Draws
+    are by row, whatever ids and texts are null or repeated; by id alone where ``unique_ids`` says that no id is.
     Of more than ``max_keys`` values the most frequent are sampled.
 
     One counting pass over the key column and one filtering pass, no sort and no shuffle of texts. The number of rows
@@ -61,11 +69,12 @@ def sample_by_key(df: DataFrame, key: str, id_col: str, per_key: int, max_keys:
     counts = {r[0]: r[1] for r in tally.orderBy(F.col("count").desc(), key).limit(max_keys).collect()}
     if not counts:
         return df.limit(0)
-    draw = F.pmod(F.xxhash64(F.col(id_col)), F.lit(1 << 30)) / float(1 << 30)
     share = F.lit(None).cast("double")
     for value, n in counts.items():
         share = F.when(F.col(key) == F.lit(value), F.lit(min(1.0, per_key / n))).otherwise(share)
-    return df.where(F.col(key).isNotNull() & (draw < share))
+    if unique_ids:
+        return df.where(F.col(key).isNotNull() & (F.pmod(F.xxhash64(F.col(id_col)), F.lit(1 << 30)) / float(1 << 30) < share))
+    return row_draws(df, *df.columns).where(F.col(key).isNotNull() & (F.col("_draw") < share)).drop("_draw")
 
 
 def keep_rows(docs: DataFrame, text_col: str, accepted: Callable[[list], list[bool]]) -> DataFrame:

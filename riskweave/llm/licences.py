@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskweave.llm.common import docs_of, text_blocks
+from riskweave.llm.common import docs_of, row_draws, text_blocks
 
 TOKEN = re.compile(r"\w+(?:\.\d+)*")
 NUMBER = re.compile(r"[v\d][\d.]*\d|\d|v\d")
@@ -206,11 +206,11 @@ def fit_rows(ordinary: list[str], copies: int = 16, steps: int = 150, l2: float
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_docs: int = 150, longest: int = 80, **options) -> Scanner:
-    """Fit with the paragraphs of about ``sample_docs`` documents, drawn by hashed id, as ordinary text."""
+    """Fit with the paragraphs of about ``sample_docs`` documents, drawn by row, as ordinary text."""
     rows = docs_of(docs, id_col, text_col).where("text is not null")
     n = rows.count()
-    draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
-    got = sorted(r.text for r in rows.where(draw < min(1.0, sample_docs / max(n, 1))).select("text").collect())
+    drawn = row_draws(rows, "doc_id", "text").where(F.col("_draw") < min(1.0, sample_docs / max(n, 1)))
+    got = sorted(r.text for r in drawn.select("text").collect())
     return fit_rows([t[a:b] for t in got for _, a, b in paragraphs(t, longest)], **options)
 
 

@@ -228,7 +228,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     truth = truth.join(ids.select("doc_id").distinct(), "doc_id", "left_semi").persist()
     counts = {r.y: r["count"] for r in truth.groupBy("y").count().collect()}
     # The sample's ids are few by construction, so they are broadcast to the texts.
-    sample = sample_by_key(truth, "y", "doc_id", per_class)
+    sample = sample_by_key(truth, "y", "doc_id", per_class, unique_ids=True)
     got = ids.join(F.broadcast(sample), "doc_id").select("text", "y").collect()
     truth.unpersist()
     taken = Counter(r.y for r in got)
