@@ -4,7 +4,8 @@
    use one-permutation hashing (a shingle goes to one bin), short ones one function per value; lines between use both,
    so similar lines always share a scheme. A block of documents gives the bands of a repeated line once.
 2. Lines that share a band meet after a shuffle of (band, line) numbers. Groups with the same members in several bands
-   are taken once. A group of more than ``chunk`` lines is dealt out as pairs of its chunks.
+   are taken once. A group of more than ``chunk`` lines, or ``chunk_chars`` characters, is dealt out as pairs of its chunks;
+   bands that may be so large are found by counts of band hashes modulo a number of slots, and no task holds one.
 3. Only lines that met are fetched. In each group they are linked where the exact Jaccard similarity of their shingle sets
    reaches the threshold; a pair that is connected already needs no comparison, so large groups of near copies cost
    little more than their size.
@@ -21,11 +22,13 @@ which the first keeps its lines; a null id sorts first; an empty table gives no
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -38,6 +41,7 @@ from riskweave.llm.shingles import char_shingles
 LEAST = -(1 << 63)  # stands for a null id
 EMPTY = np.uint32(0xFFFFFFFF)
 SMALL = 16  # lines of a group that is compared together with others
+BLOCK_BYTES = 4_000_000  # of the lines of several groups whose shingles are held at once
 
 
 def line_id(line: str) -> int:
@@ -97,7 +101,7 @@ class Banding:
 
 
 def lines_of(docs: DataFrame, id_col: str, text_col: str, banding: Banding) -> DataFrame:
-    """did, uid (a number for the row), th (hash of its text), line_no, lid, bands of every non-blank line."""
+    """did, uid (a number for the row), th (hash of its text), line_no, lid, chars, bands of every non-blank line."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -112,52 +116,66 @@ def lines_of(docs: DataFrame, id_col: str, text_col: str, banding: Banding) -> D
                         for k, line in enumerate(text.split("\n")):
                             if line.strip():
                                 lid = line_id(line)
-                                rows.append((LEAST if doc is None else doc, uid, th, k, lid, lid not in seen))
+                                rows.append((LEAST if doc is None else doc, uid, th, k, lid, len(line), lid not in seen))
                                 if lid not in seen:
                                     seen.add(lid)
                                     fresh.append(line)
                     uid += 1
                 if rows:
                     hashes, count = banding(fresh)
-                    did, uids, th, no, lid, new = (np.array(c) for c in zip(*rows, strict=True))
+                    did, uids, th, no, lid, chars, new = (np.array(c) for c in zip(*rows, strict=True))
                     sizes = np.zeros(len(rows), dtype=np.int64)
                     sizes[new] = count
                     bands = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(hashes))
-                    yield pa.RecordBatch.from_arrays([pa.array(did, pa.int64()), pa.array(uids, pa.int64()), pa.array(th, pa.int64()), pa.array(no, pa.int32()), pa.array(lid, pa.int64()), bands],
-                                                     names=["did", "uid", "th", "line_no", "lid", "bands"])
+                    yield pa.RecordBatch.from_arrays([pa.array(did, pa.int64()), pa.array(uids, pa.int64()), pa.array(th, pa.int64()), pa.array(no, pa.int32()), pa.array(lid, pa.int64()),
+                                                      pa.array(chars, pa.int32()), bands], names=["did", "uid", "th", "line_no", "lid", "chars", "bands"])
 
-    return docs_of(docs, id_col, text_col).mapInArrow(run, "did long, uid long, th long, line_no int, lid long, bands array<long>")
+    return docs_of(docs, id_col, text_col).mapInArrow(run, "did long, uid long, th long, line_no int, lid long, chars int, bands array<long>")
 
 
-def meet(chunk: int):
+def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sorted (band, lid) rows to (group, lid): groups of two lines or more, named by their members."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table, starts in whole_groups(batches, "band"):
-            lid = table.column("lid").to_numpy()
-            group = np.repeat(np.arange(len(starts)), np.diff(np.concatenate([starts, [len(lid)]])))
-            new = np.concatenate([[True], (lid[1:] != lid[:-1]) | (group[1:] != group[:-1])])
-            lid, group = lid[new], group[new]
-            size = np.bincount(group)
-            keep = size[group] >= 2
-            lid, group = lid[keep], group[keep]
-            if not lid.size:
-                continue
-            first = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
-            size = np.diff(np.concatenate([first, [len(lid)]]))
-            name = mix(np.add.reduceat(mix(lid.view(np.uint64)), first) + size.astype(np.uint64))
-            small = np.repeat(size <= chunk, size)
-            keys, lids = [np.repeat(name, size)[small]], [lid[small]]
-            for g in np.flatnonzero(size > chunk):
-                parts = [lid[first[g] + k:min(first[g] + k + chunk, first[g] + size[g])] for k in range(0, size[g], chunk)]
-                for i in range(len(parts)):
-                    for j in range(i + 1, len(parts)):
-                        both = np.concatenate([parts[i], parts[j]])
-                        lids.append(both)
-                        keys.append(np.full(len(both), mix(name[g:g + 1] + np.uint64(1 + i * len(parts) + j))[0]))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(lids))], names=["group", "lid"])
-
-    return run
+    for table, starts in whole_groups(batches, "band"):
+        lid = table.column("lid").to_numpy()
+        group = np.repeat(np.arange(len(starts)), np.diff(np.concatenate([starts, [len(lid)]])))
+        new = np.concatenate([[True], (lid[1:] != lid[:-1]) | (group[1:] != group[:-1])])
+        lid, group = lid[new], group[new]
+        keep = np.bincount(group)[group] >= 2
+        lid, group = lid[keep], group[keep]
+        if not lid.size:
+            continue
+        first = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
+        size = np.diff(np.concatenate([first, [len(lid)]]))
+        name = mix(np.add.reduceat(mix(lid.view(np.uint64)), first) + size.astype(np.uint64))
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(name, size).view(np.int64)), pa.array(lid)], names=["group", "lid"])
+
+
+def dealt(own: DataFrame, chunk: int, chunk_chars: int) -> DataFrame:
+    """(band, lid, chars) rows, repeats among them, to (group, lid): a band's lines are one group, or one group for each pair
+    of their chunks. Bands with the same lines are taken once."""
+    own = own.distinct()
+    parts = F.greatest(F.ceil(F.count("*") / chunk), F.ceil(F.sum("chars") / chunk_chars)).cast("int")
+    names = own.groupBy("band").agg(F.count("*").alias("n"), parts.alias("parts"), F.bit_xor(F.xxhash64("lid")).alias("x"), F.min("lid").alias("lo"), F.max("lid").alias("hi"))
+    names = names.where("n >= 2").select("band", F.xxhash64("n", "x", "lo", "hi").alias("name"), F.least("parts", "n").cast("int").alias("parts"))
+    held = own.join(names, "band").select("name", "parts", "lid").distinct().withColumn("c", F.pmod(F.xxhash64("lid"), F.col("parts")).cast("int"))
+    others = F.when(F.col("parts") > 1, F.filter(F.sequence(F.lit(0), F.col("parts") - 1), lambda k: k != F.col("c"))).otherwise(F.array(F.lit(0)))
+    pairs = held.withColumn("other", F.explode(others))
+    pair = F.xxhash64("name", F.least("c", "other"), F.greatest("c", "other"))
+    return pairs.select(F.when(F.col("parts") > 1, pair).otherwise(F.col("name")).alias("group"), "lid")
+
+
+def met_lines(lines: DataFrame, bands: int, chunk: int, chunk_chars: int) -> DataFrame:
+    """(group, lid) of lines that share a band; lines: lid, chars, bands (at most twice ``bands`` each)."""
+    total = lines.agg(F.count("*").alias("n"), F.coalesce(F.sum("chars"), F.lit(0)).alias("chars")).first()
+    # So many slots that one is over the bounds on account of a large band, hardly of many small ones.
+    slots = max(1, math.ceil(4 * bands * max(total.n / chunk, total.chars / chunk_chars)))
+    rows = lines.select(F.explode("bands").alias("band"), "lid", "chars").withColumn("slot", F.pmod("band", F.lit(slots)))
+    over = (F.count("*") > chunk) | (F.sum("chars") > chunk_chars)
+    busy, _ = write_shared(rows.groupBy("slot").agg(over.alias("over")).where("over").select("slot"), "slots")
+    meet_in = lambda some: some.select("band", "lid").repartition("band").sortWithinPartitions("band", "lid").mapInArrow(meet, "group long, lid long").distinct()
+    if not busy.take(1):
+        return meet_in(rows)
+    return meet_in(rows.join(busy, "slot", "left_anti")).unionAll(dealt(rows.join(busy, "slot", "left_semi").select("band", "lid", "chars"), chunk, chunk_chars))
 
 
 def shingle_sets(lines: list[str], width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -186,11 +204,22 @@ def similar(sets: np.ndarray, at: np.ndarray, p: np.ndarray, q: np.ndarray, thre
     return out
 
 
+def group_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """As whole_groups, by runs of groups whose lines have together not much over BLOCK_BYTES."""
+    for table, starts in whole_groups(batches, "group"):
+        ends = np.concatenate([starts[1:], [len(table)]])
+        upto = np.cumsum(pc.binary_length(table.column("line")).to_numpy().astype(np.int64))[ends - 1]
+        block = upto // BLOCK_BYTES
+        for k in np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]])):
+            last = np.searchsorted(block, block[k], "right")
+            yield table.slice(starts[k], ends[last - 1] - starts[k]), starts[k:last] - starts[k]
+
+
 def link(width: int, threshold: float):
     """Sorted (group, lid, line) rows to edges (a, b) that connect all similar lines of each group."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table, starts in whole_groups(batches, "group"):
+        for table, starts in group_blocks(batches):
             lid = table.column("lid").to_numpy()
             sets, at = shingle_sets(table.column("line").to_pylist(), width)
             ends = np.concatenate([starts[1:], [len(lid)]])
@@ -233,12 +262,11 @@ def link(width: int, threshold: float):
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 8, threshold: float = 0.8, bands: int = 10, rows: int = 4,
-            chunk: int = 4096) -> DataFrame:
+            chunk: int = 4096, chunk_chars: int = 2_000_000) -> DataFrame:
     """One row per non-blank line: doc_id, line_no (from 0), uid and th of its row, the line kept for its class, and whether it is that line."""
     spark = docs.sparkSession
     lines, _ = write_shared(lines_of(docs, id_col, text_col, Banding(width, bands, rows)), "lines")
-    met = lines.select(F.explode("bands").alias("band"), "lid").repartition("band").sortWithinPartitions("band", "lid").mapInArrow(meet(chunk), "group long, lid long")
-    met, met_path = write_shared(met.distinct(), "met")
+    met, met_path = write_shared(met_lines(lines, bands, chunk, chunk_chars), "met")
     # The first occurrence of each line that met, by number, then its text from the documents.
     first_at = lines.groupBy("lid").agg(F.min(F.struct("did", "line_no")).alias("at"))  # a common line shrinks before it is moved
     wanted = first_at.join(met.select("lid").distinct(), "lid", "left_semi").select("lid", "at.did", "at.line_no")
@@ -249,7 +277,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wid
     edges = together.mapInArrow(link(width, threshold), "a long, b long")
     roots = components(edges)
     drop_shared(spark, met_path)
-    named = lines.drop("bands").join(roots.withColumnRenamed("node", "lid"), "lid", "left").select("did", "uid", "th", "line_no", F.coalesce("root", "lid").alias("class"))
+    named = lines.drop("chars", "bands").join(roots.withColumnRenamed("node", "lid"), "lid", "left").select("did", "uid", "th", "line_no", F.coalesce("root", "lid").alias("class"))
     # Classes of several lines only, as a table: a class of many lines can then be split over tasks by the join.
     first, _ = write_shared(named.groupBy("class").agg(F.min(F.struct("did", "line_no", "uid")).alias("kept_line"), F.count("*").alias("class_lines")).where("class_lines > 1"), "classes")
     back = lambda c: F.when(c != LEAST, c)

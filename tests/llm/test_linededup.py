@@ -2,6 +2,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from riskweave.llm import linededup
@@ -100,3 +101,30 @@ def test_shingles_of_many_texts_are_those_of_each():
     at = np.concatenate([[0], np.cumsum(n)])
     for k, t in enumerate(texts):
         assert (char_shingles([t], 8)[0] == h[at[k]:at[k + 1]]).all()
+
+
+@pytest.mark.parametrize(("chunk", "chunk_chars"), [(64, 10**6), (10**6, 64_000)])
+def test_large_bands_are_dealt_out(spark, chunk, chunk_chars):
+    """1,000 lines of 1,000 characters and 5 others: every pair of a band meets, in no group much over two chunks."""
+    bands = {k: [1, 2] if k < 1000 else [3] if k < 1003 else [4, k] for k in range(1005)}
+    rows = [(k, 1000, b) for k, b in bands.items()] + [(5, 1000, [1, 2])] * 20
+    df = spark.createDataFrame(rows, "lid long, chars int, bands array<long>")
+    groups = {}
+    for r in linededup.met_lines(df, 10, chunk, chunk_chars).collect():
+        groups.setdefault(r.group, []).append(r.lid)
+    assert all(len(g) == len(set(g)) < 64 * 4 for g in groups.values())
+    met = {(a, b) for g in groups.values() for a in g for b in g if a < b}
+    assert met == {(a, b) for a in bands for b in bands if a < b and set(bands[a]) & set(bands[b])}
+    assert len(groups) < 16 * 17 // 2 + 5  # the two bands of the same lines were taken once
+
+
+def test_shingles_of_some_groups_at_a_time(monkeypatch):
+    """Groups of long lines that come in one batch: their shingles are not all held at once."""
+    rng = random.Random(4)
+    lines = ["".join(rng.choices("abcdefgh", k=40_000)) for _ in range(150)]
+    held, whole = [], linededup.shingle_sets
+    monkeypatch.setattr(linededup, "shingle_sets", lambda some, width: held.append(sum(map(len, some))) or whole(some, width))
+    batch = pa.RecordBatch.from_arrays([pa.array([k // 2 for k in range(300)]), pa.array(range(300)), pa.array([x for x in lines for _ in range(2)])], names=["group", "lid", "line"])
+    edges = {(a, b) for got in linededup.link(8, 0.8)([batch]) for a, b in zip(*(c.to_pylist() for c in got.columns), strict=True)}
+    assert edges == {(2 * k, 2 * k + 1) for k in range(150)}
+    assert sum(held) == 300 * 40_000 and max(held) <= 4_100_000
