@@ -200,8 +200,6 @@ def compare(width: int, threshold: float):
         for table, _ in whole_groups(batches, "part"):
             part, cls = table.column("part").to_numpy(), table.column("cls").to_numpy()
             order = np.lexsort((cls, part))
-            # A class's document that is there twice (repeated rows) brings its text twice.
-            order = order[np.concatenate([[True], (part[order][1:] != part[order][:-1]) | (cls[order][1:] != cls[order][:-1])])]
             part, cls = part[order], cls[order]
             bucket, side, weight = (table.column(c).to_numpy()[order] for c in ("bucket", "side", "weight"))
             homes = table.column("homes").take(pa.array(order)).to_pylist()
@@ -262,7 +260,8 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width:
     drop_shared(spark, draws_path)  # before texts are moved
     homes = found.groupBy("cls").agg(F.collect_list("bucket").alias("homes"))  # some draws a run: bounded by the method
     met = homes.join(speaker, "cls").select("cls", "did", "th", "weight", "homes")
-    text_of = texts.select(F.coalesce("doc_id", F.lit(LEAST)).alias("did"), F.xxhash64("text").alias("th"), "text").join(met, ["did", "th"]).select("cls", "weight", "homes", "text")
+    # Repeated rows have the speaker's id and text too: one stays, before texts are copied to the parts.
+    text_of = texts.select(F.coalesce("doc_id", F.lit(LEAST)).alias("did"), F.xxhash64("text").alias("th"), "text").join(met, ["did", "th"]).select("cls", "weight", "homes", "text").dropDuplicates(["cls"])
     parts = dealt(found, speaker.select("cls", "size"), chunk, chunk_shingles).join(text_of, "cls").select("part", "bucket", "cls", "side", "text", "weight", "homes")
     parts = parts.repartition("part").sortWithinPartitions("part")
     links, links_path = write_shared(parts.mapInArrow(compare(width, threshold), "cls long, links long, root long"), "links")

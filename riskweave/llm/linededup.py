@@ -271,8 +271,8 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wid
     first_at = lines.groupBy("lid").agg(F.min(F.struct("did", "line_no")).alias("at"))  # a common line shrinks before it is moved
     wanted = first_at.join(met.select("lid").distinct(), "lid", "left_semi").select("lid", "at.did", "at.line_no")
     texts = docs_of(docs, id_col, text_col).select(F.coalesce("doc_id", F.lit(LEAST)).alias("did"), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    # Rows with one id may differ in text: the hash tells which one is meant.
-    texts = texts.join(wanted, ["did", "line_no"]).where(F.xxhash64("line") == F.col("lid")).select("lid", "line")
+    # Rows with one id may differ in text: the hash tells which one is meant. Of repeated rows one gives the line.
+    texts = texts.join(wanted, ["did", "line_no"]).where(F.xxhash64("line") == F.col("lid")).select("lid", "line").dropDuplicates(["lid"])
     together = met.join(texts, "lid").select("group", "lid", "line").repartition("group").sortWithinPartitions("group", "lid")
     edges = together.mapInArrow(link(width, threshold), "a long, b long")
     roots = components(edges)

@@ -2,6 +2,7 @@
 import random
 import re
 
+import pyarrow as pa
 import pytest
 
 from riskweave.llm import jaccardjoin
@@ -81,3 +82,20 @@ def test_edges_and_columns(spark, docs_schema):
 
 def test_runs_follow_from_recall():
     assert jaccardjoin.runs_needed(0.999, 3.0, 4) == 5 and jaccardjoin.runs_needed(0.5, 3.0, 1) == 1
+
+
+def test_repeated_rows_bring_one_text(spark, monkeypatch):
+    """Each row that reaches the comparison counts as a link here: a class's text is in a part once."""
+    def rows_as_links(width, threshold):
+        def run(batches):
+            for b in batches:
+                cls = b.column(b.schema.get_field_index("cls"))
+                yield pa.RecordBatch.from_arrays([cls, pa.array([1] * len(cls), pa.int64()), cls], names=["cls", "links", "root"])
+        return run
+
+    monkeypatch.setattr(jaccardjoin, "compare", rows_as_links)
+    text = " ".join(f"w{k}" for k in range(200))
+    for did in (1, None):
+        df = spark.createDataFrame([(did, text)] * 30 + [(2, text + " end")], "doc_id long, text string")
+        got = {r.doc_id: r.n_links for r in jaccardjoin.join(df).collect()}
+        assert got == {did: 1 + 29, 2: 1}

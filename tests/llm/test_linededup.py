@@ -128,3 +128,19 @@ def test_shingles_of_some_groups_at_a_time(monkeypatch):
     edges = {(a, b) for got in linededup.link(8, 0.8)([batch]) for a, b in zip(*(c.to_pylist() for c in got.columns), strict=True)}
     assert edges == {(2 * k, 2 * k + 1) for k in range(150)}
     assert sum(held) == 300 * 40_000 and max(held) <= 4_100_000
+
+
+def test_repeated_rows_bring_one_line(spark, monkeypatch):
+    def rows_as_edges(width, threshold):
+        def run(batches):
+            for b in batches:
+                yield pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index(c)) for c in ("lid", "group")], names=["a", "b"])
+        return run
+
+    edges = []
+    monkeypatch.setattr(linededup, "link", rows_as_edges)
+    monkeypatch.setattr(linededup, "components", lambda e: edges.extend(tuple(r) for r in e.collect()) or spark.createDataFrame([], "node long, root long"))
+    line = "a line of some words that many rows have"
+    linededup.classes(spark.createDataFrame([(1, line)] * 30 + [(None, line + "!")] * 30, "doc_id long, text string"))
+    assert {a for a, _ in edges} == {linededup.line_id(line), linededup.line_id(line + "!")}
+    assert len(edges) == len(set(edges))
