@@ -46,3 +46,32 @@ f AS (SELECT doc_id, line_no, root FROM oc JOIN t USING (x) JOIN roots USING (id
 first AS (SELECT root, min((doc_id, line_no)) AS spot, count(*) AS class_lines FROM f GROUP BY root)
 SELECT doc_id, CAST(line_no AS INTEGER) AS line_no, spot[1] AS class_doc_id, CAST(spot[2] AS INTEGER) AS class_line_no, class_lines, (doc_id, line_no) = spot AS kept
 FROM f JOIN first USING (root)"""
+
+EXACT_DEDUP = r"""WITH t AS (SELECT doc_id, length(coalesce(text, '')) AS n, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')) AS text_sha256 FROM documents)
+SELECT doc_id, first_value(doc_id) OVER g AS keep_id, count(*) OVER (PARTITION BY text_sha256) AS group_size, row_number() OVER g = 1 AS kept, text_sha256, CAST(n AS BIGINT) AS n_chars
+FROM t WINDOW g AS (PARTITION BY text_sha256 ORDER BY n DESC, doc_id)"""
+
+#: The remainders of 0 to 15 by the reflected CRC-32 polynomial: crc32 is read four bits at a time.
+_CRC = []
+for _x in range(16):
+    for _ in range(4):
+        _x = _x >> 1 ^ (0xEDB88320 if _x & 1 else 0)
+    _CRC.append(_x)
+
+_LOWER = "translate(r, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+SPELLING = rf"""WITH RECURSIVE o AS (SELECT doc_id, {_LOWER} AS r FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z\x{{C0}}-\x{{FF}}]+')) AS r FROM documents)),
+c AS (SELECT doc_id, r, count(*) AS k, hex(encode(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || r)) AS x FROM o GROUP BY doc_id, r),
+h AS (SELECT r, k, xor(list_reduce(list_prepend(4294967295, list_transform(range(0, length(x)), lambda i: CAST(instr('0123456789ABCDEF', substr(x, i + CASE WHEN i % 2 = 0 THEN 2 ELSE 0 END, 1)) - 1 AS BIGINT))),
+    lambda a, b: xor(a >> 4, {_CRC}[1 + (xor(a, b) & 15)])), 4294967295) AS h FROM c),
+m AS (SELECT k, CASE WHEN h % 97 = 0 THEN substr(r, 1, h % length(r)) || substr(r, h % length(r) + 2) ELSE r END AS word FROM h),
+w AS (SELECT word, CAST(sum(k) AS BIGINT) AS n FROM m WHERE length(word) >= 5 GROUP BY word HAVING sum(k) >= 3),
+d AS (SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS v FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM w)),
+p AS (SELECT a.word, b.word AS other, b.n AS other_n FROM d a JOIN d b ON a.v = b.v AND a.i = b.i AND a.word <> b.word
+      UNION SELECT a.word, b.word, b.n FROM d a JOIN w b ON a.v = b.word UNION SELECT b.word, a.word, a.n FROM d a JOIN w b ON a.v = b.word),
+t AS (SELECT word, count(*) AS n_near, max(other_n) AS other_n FROM p GROUP BY word),
+u AS (SELECT word, other_n, min(other) AS other FROM p JOIN t USING (word, other_n) GROUP BY word, other_n),
+f AS (SELECT word, n, CASE WHEN other_n >= 2 * n THEN other END AS form, CASE WHEN other_n >= 2 * n THEN other_n END AS form_n FROM w LEFT JOIN u USING (word)),
+j(word, spot, depth) AS (SELECT word, word, 0 FROM f UNION ALL SELECT j.word, f.form, depth + 1 FROM j JOIN f ON f.word = j.spot WHERE f.form IS NOT NULL),
+e AS (SELECT word, arg_max(spot, depth) AS root FROM j GROUP BY word)
+SELECT word, form, root, n, coalesce(n_near, 0) AS n_near, form_n FROM f JOIN e USING (word) LEFT JOIN t USING (word)"""

@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskweave.llm import decontamination, extraction, jaccardjoin, langid, licences, linededup, oracles, packing, pii, toxicity, winnowing
+from riskweave.llm import (alignment, decontamination, exactdedup, extraction, jaccardjoin, langid, licences, linededup, oracles, packing, pii, spelling,
+                           toxicity, winnowing)
 from riskweave.llm.common import held_out_rows
 from riskweave.sources.tables import read_table
 
@@ -88,3 +89,24 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     return licences.scan(docs, licences.fit(docs))
+
+
+def piece_path() -> str:
+    import public_tokenizers
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
+@register("op11_alignment")
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(read_table(spark, sf_dir, "documents"), bpe_path(), piece_path())[0]
+
+
+@register("op12_exact_dedup", oracles.EXACT_DEDUP)
+def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = exactdedup.dedup(read_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"), "n_chars")
+
+
+@register("op13_spelling", oracles.SPELLING)
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(read_table(spark, sf_dir, "documents"))
