@@ -39,6 +39,10 @@ CUT = re.compile(r"(?<=\S) (?=\S)")
 SPACE = "▁"
 
 
+def sizes_and_names(tokens: list[bytes]) -> tuple[np.ndarray, list[str]]:
+    return np.array([len(t) for t in tokens], dtype=np.int64), [str(i) for i in range(len(tokens))]
+
+
 class BytePair:
     """Tokenizer A, its tokens' bytes, and whether texts may be cut (its pattern starts a word at such a space)."""
 
@@ -53,6 +57,7 @@ class BytePair:
         for token, i in vocab.items():
             if all(c in byte_of for c in token):
                 self.bytes[i] = bytes(byte_of[c] for c in token)
+        self.sizes, self.names = sizes_and_names(self.bytes)
         self.cuts = self.bpe.fast is not None  # the file was found to have that plain pattern
 
     def encode(self, stretches: list[str]) -> list[list[int]]:
@@ -75,6 +80,7 @@ class Pieces:
             piece = self.model.id_to_piece(i)
             plain = not (self.model.is_unknown(i) or self.model.is_control(i) or self.model.is_unused(i))
             self.bytes.append(bytes([int(piece[3:5], 16)]) if self.model.is_byte(i) else piece.replace(SPACE, " ").encode() if plain else b"")
+        self.sizes, self.names = sizes_and_names(self.bytes)
         rules = spec.normalizer_spec
         self.cuts = (rules.add_dummy_prefix and rules.escape_whitespaces and not rules.remove_extra_whitespaces and not rules.precompiled_charsmap
                      and not spec.trainer_spec.treat_whitespace_as_suffix and not any(p.type == p.USER_DEFINED for p in spec.pieces)
@@ -99,28 +105,46 @@ def last_tokens(ends_a: np.ndarray, ends_b: np.ndarray) -> np.ndarray:
         pointer = ahead
 
 
+def given_back(raw: list[bytes], size: np.ndarray, flat: np.ndarray, n: np.ndarray, side) -> np.ndarray:
+    """Which stretches are the bytes of their tokens, one after another; flat: all ids, n: how many each has."""
+    of = np.repeat(np.arange(len(raw)), n)
+    own = side.sizes[flat]
+    ok = np.bincount(of, own, minlength=len(raw)).astype(np.int64) == size
+    ok[of[own == 0]] = False
+    if not ok.any():
+        return ok
+    got = np.frombuffer(b"".join([side.bytes[i] for i in flat[ok[of]].tolist()]), dtype=np.uint8)
+    want = np.frombuffer(b"".join([x for x, fit in zip(raw, ok.tolist(), strict=True) if fit]), dtype=np.uint8)
+    fits = np.flatnonzero(ok)
+    ok[fits[np.searchsorted(np.cumsum(size[fits]), np.flatnonzero(got != want), "right")]] = False
+    return ok
+
+
+def distinct(x: np.ndarray) -> np.ndarray:
+    """Sorted, each number once."""
+    x = np.sort(x)
+    return x[np.concatenate([[True], x[1:] != x[:-1]])[:len(x)]]
+
+
 class Aligned:
     """The distinct stretches of a block, aligned: sizes, links and the groups written out, by stretch."""
 
     def __init__(self, stretches: list[str], a, b):
-        ids = [a.encode(stretches), b.encode(stretches)]
         raw = [x.encode() for x in stretches]
         size = np.array([len(x) for x in raw], dtype=np.int64)
         self.ok = np.ones(len(stretches), dtype=bool)
-        for own, tokens in zip(ids, (a.bytes, b.bytes), strict=True):
-            for k, (got, want) in enumerate(zip(own, raw, strict=True)):
-                if b"".join([tokens[i] for i in got]) != want or any(not tokens[i] for i in got):
-                    self.ok[k] = False
-        good = np.flatnonzero(self.ok)
-        many = []
-        flat, ends = [], []
-        for own, tokens in zip(ids, (a.bytes, b.bytes), strict=True):
-            n = np.zeros(len(stretches), dtype=np.int64)
-            n[good] = [len(own[k]) for k in good]
-            x = np.fromiter(chain.from_iterable(own[k] for k in good), dtype=np.int64, count=int(n.sum()))
-            many.append(n)
-            flat.append(x)
-            ends.append(np.cumsum(np.array([len(t) for t in tokens], dtype=np.int64)[x]))
+        many, flat = [], []
+        for side in (a, b):
+            own = side.encode(stretches)
+            many.append(np.array([len(x) for x in own], dtype=np.int64))
+            flat.append(np.array(list(chain.from_iterable(own)), dtype=np.int64))
+            self.ok &= given_back(raw, size, flat[-1], many[-1], side)
+        ends = []
+        for k, side in enumerate((a, b)):
+            flat[k] = flat[k][np.repeat(self.ok, many[k])]
+            many[k] = many[k] * self.ok
+            ends.append(np.cumsum(side.sizes[flat[k]]))
+        self.names = (a.names, b.names)
         self.n_a, self.n_b = many
         last = last_tokens(*ends)
         n = len(flat[0])
@@ -136,22 +160,38 @@ class Aligned:
         count = hi - lo
         of_a = np.repeat(np.arange(n), count)
         of_b = np.arange(len(of_a)) - np.repeat(np.cumsum(count) - count, count) + np.repeat(lo, count)
-        code, self.link = np.unique((flat[0][of_a] << 32) | flat[1][of_b], return_inverse=True)
+        linked = (flat[0][of_a] << 32) | flat[1][of_b]
+        code = distinct(linked)
+        self.link = np.searchsorted(code, linked)
         self.a, self.b = code >> 32, code & 0xFFFFFFFF
         links_upto = np.concatenate([[0], np.cumsum(count)])
         self.link_at = links_upto[np.concatenate([[0], np.cumsum(self.n_a)])]
 
     def _written(self, flat, group, n, groups) -> list[str]:
         """Each stretch's groups, as ``a1,a2|b1;...``."""
-        names = [list(map(str, x.tolist())) for x in flat]
+        names = [[known[i] for i in x.tolist()] for known, x in zip(self.names, flat, strict=True)]
         cuts = [np.searchsorted(g, np.arange(groups + 1)).tolist() for g in (group[:n], group[n:])]
         each = [",".join(names[0][p:q]) + "|" + ",".join(names[1][r:s]) for p, q, r, s in zip(cuts[0], cuts[0][1:], cuts[1], cuts[1][1:], strict=False)]
         at = np.concatenate([[0], np.cumsum(self.n_groups)]).tolist()
         return [";".join(each[p:q]) for p, q in zip(at, at[1:], strict=False)]
 
 
-RECORD = ("block long, doc_id array<long>, n_a array<long>, n_b array<long>, n_groups array<long>, n_links array<long>, groups_sha256 array<string>, doc_at array<int>, "
-          "stretch array<int>, link_at array<int>, link array<int>, a array<int>, b array<int>, docs array<int>")
+RECORD = "block long, a array<int>, b array<int>, docs array<int>, body binary"
+
+
+def packed(columns: dict[str, pa.Array]) -> bytes:
+    """Arrays of any lengths as one compressed Arrow stream: Spark moves a block's numbers without reading them."""
+    lists = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in columns.values()]
+    sink = pa.BufferOutputStream()
+    row = pa.RecordBatch.from_arrays(lists, names=list(columns))
+    with pa.ipc.new_stream(sink, row.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as stream:
+        stream.write_batch(row)
+    return sink.getvalue().to_pybytes()
+
+
+def unpacked(body: bytes) -> dict[str, pa.Array]:
+    row = pa.ipc.open_stream(body).read_next_batch()
+    return {name: column[0].values for name, column in zip(row.schema.names, row.columns, strict=True)}
 
 
 def block_record(block: int, ids: list, texts: list, a, b) -> pa.RecordBatch:
@@ -173,19 +213,17 @@ def block_record(block: int, ids: list, texts: list, a, b) -> pa.RecordBatch:
     for lo, hi in zip(doc_at, doc_at[1:], strict=False):
         sha.append(hashlib.sha256(";".join([known.text[k] for k in listed[lo:hi]]).encode()).hexdigest() if hi > lo else "")
     # Documents that hold each pair: distinct stretches of a document first.
-    once = np.unique(doc_of * max(1, len(known.ok)) + stretch)
+    once = distinct(doc_of * max(1, len(known.ok)) + stretch)
     doc, own = once // max(1, len(known.ok)), once % max(1, len(known.ok))
     n = n_links[own]
     at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(known.link_at[own], n)
-    held = np.unique(np.repeat(doc, n) * max(1, len(known.a)) + known.link[at])
+    held = distinct(np.repeat(doc, n) * max(1, len(known.a)) + known.link[at])
     docs = np.bincount(held % max(1, len(known.a)), minlength=len(known.a))
-    lists = [(ids, pa.int64()), (total(known.n_a), pa.int64()), (total(known.n_b), pa.int64()), (total(known.n_groups), pa.int64()), (total(n_links), pa.int64()), (sha, pa.string()),
-             (doc_at, pa.int32()), (stretch, pa.int32()), (known.link_at, pa.int32()), (known.link, pa.int32()), (known.a, pa.int32()), (known.b, pa.int32()), (docs, pa.int32())]
-    arrays = [pa.array([block], pa.int64())]
-    for values, kind in lists:
-        values = pa.array(values, kind)
-        arrays.append(pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values))
-    return pa.RecordBatch.from_arrays(arrays, names=[x.split()[0] for x in RECORD.split(", ")])
+    body = {"doc_id": pa.array(ids, pa.int64()), "n_a": pa.array(total(known.n_a)), "n_b": pa.array(total(known.n_b)), "n_groups": pa.array(total(known.n_groups)),
+            "n_links": pa.array(total(n_links)), "groups_sha256": pa.array(sha, pa.string()), "doc_at": pa.array(doc_at, pa.int32()), "stretch": pa.array(stretch, pa.int32()),
+            "link_at": pa.array(known.link_at, pa.int32()), "link": pa.array(known.link, pa.int32())}
+    pairs = [pa.array([x.tolist()], pa.list_(pa.int32())) for x in (known.a, known.b, docs)]
+    return pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), *pairs, pa.array([packed(body)], pa.binary())], names=[x.split()[0] for x in RECORD.split(", ")])
 
 
 def blocks_of(docs: DataFrame, a_path: str, b_path: str, id_col: str, text_col: str, chars: int) -> DataFrame:
@@ -194,7 +232,7 @@ def blocks_of(docs: DataFrame, a_path: str, b_path: str, id_col: str, text_col:
 
         a, b, block = BytePair(a_path), Pieces(b_path), TaskContext.get().partitionId() << 32
         ids, texts, size = [], [], 0
-        for batch in batches:
+        for batch in (whole.slice(k, 256) for whole in batches for k in range(0, whole.num_rows, 256)):  # few texts as strings at once
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 if ids and size + len(text or "") > chars:
                     yield block_record(block, ids, texts, a, b)
@@ -210,20 +248,20 @@ def blocks_of(docs: DataFrame, a_path: str, b_path: str, id_col: str, text_col:
 
 def summed(record: pa.Table, totals: pa.Table) -> pa.Table:
     """A block's row and its pairs' totals (place, n, best) to its documents' rows."""
-    get = lambda c: record.column(c)[0].values
-    num = lambda c: get(c).to_numpy(zero_copy_only=False)
-    n = np.zeros(len(get("a")), dtype=np.int64)
+    body = unpacked(record.column("body")[0].as_py())
+    num = lambda c: body[c].to_numpy(zero_copy_only=False)
+    n = np.zeros(record.column("pairs")[0].as_py(), dtype=np.int64)
     best = np.zeros(len(n), dtype=np.int64)
     place = totals.column("place").to_numpy()
     n[place], best[place] = totals.column("n").to_numpy(), totals.column("best").to_numpy().astype(np.int64)
-    cols = [get(c) for c in ("doc_id", "n_a", "n_b", "n_groups", "n_links")]
+    cols = [body[c] for c in ("doc_id", "n_a", "n_b", "n_groups", "n_links")]
     for values in (best, n):
         stretch = np.diff(np.concatenate([[0], np.cumsum(values[num("link")])])[num("link_at")])
         cols.append(pa.array(np.diff(np.concatenate([[0], np.cumsum(stretch[num("stretch")])])[num("doc_at")])))
-    return pa.table([*cols, get("groups_sha256")], names=["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"])
+    return pa.table([*cols, body["groups_sha256"]], names=["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"])
 
 
-def align(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", text_col: str = "text", chars: int = 6_000_000) -> tuple[DataFrame, DataFrame]:
+def align(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", text_col: str = "text", chars: int = 2_500_000) -> tuple[DataFrame, DataFrame]:
     """Per document: tokens of both, groups, links, links whose pair is its A id's most common one, the sum of the links' pair
     counts, and a digest of the groups. And the table (a, b, n, best) of all linked id pairs."""
     records, _ = write_shared(blocks_of(docs, a_path, b_path, id_col, text_col, chars), "aligned")
@@ -233,4 +271,4 @@ def align(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", tex
     common, _ = write_shared(counts.join(most, "a").select("a", "b", "n", (F.col("n") == F.col("most")).alias("best")), "common")
     totals = pairs.select("block", "place", "a", "b").join(common.hint("shuffle_hash"), ["a", "b"]).select(F.col("block").alias("of"), "place", "n", "best")
     schema = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
-    return records.groupBy("block").cogroup(totals.groupBy("of")).applyInArrow(summed, schema), common
+    return records.select("block", F.size("a").alias("pairs"), "body").groupBy("block").cogroup(totals.groupBy("of")).applyInArrow(summed, schema), common

@@ -92,7 +92,8 @@ def test_uncut_texts_give_the_same(monkeypatch):
     cut = alignment.block_record(0, list(range(len(some))), some, a, b)
     a.cuts = False
     whole = alignment.block_record(0, list(range(len(some))), some, a, b)
-    assert [cut.column(k) for k in range(7)] == [whole.column(k) for k in range(7)]
+    one, two = (alignment.unpacked(r.column(4)[0].as_py()) for r in (cut, whole))
+    assert [one[c] for c in ("doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256")] == [two[c] for c in ("doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256")]
     pairs = lambda r: sorted(p for p in zip(*(r.column(c)[0].as_py() for c in ("a", "b", "docs")), strict=True) if p[2])
     assert pairs(cut) == pairs(whole)
 
