@@ -1,13 +1,20 @@
 """Pearson correlation tables.
 
-All pairs come from one scan: one aggregate without keys holds mergeable covariance and deviation states per pair, over the rows
-where both values are present (pairwise-complete, like pandas), so a task emits one partial row whatever the data size.
-``MAX_PAIRS`` pairs share a scan, which bounds the aggregate's width; wider inputs take one more scan for as many pairs.
-The matrix is the finished pair table mirrored.  A constant column yields NULL.
+All pairs come from two scans whatever the number of columns: one for the column means, one for a Gram matrix. With the values
+shifted by the means and missing cells as zeros, the products of the blocks [x, x squared, present] hold every sum that a pair needs over the
+rows where both values are present (pairwise-complete, like pandas). Each task adds up its own matrix and hands on one row per pair.
+
+The sums of squares of a side that hardly varies where the other is present cancel; such a pair, and one with an infinite
+value, is computed again by mergeable covariance states, ``MAX_PAIRS`` pairs a scan. The pair table (one row per two
+columns) is local data; the matrix is it mirrored. A constant column yields NULL.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,22 +37,71 @@ def _pair_corr(x, y):
     return F.covar_pop(xs, ys) / F.nullif(F.stddev_pop(xs) * F.stddev_pop(ys), F.lit(0.0))
 
 
+SUMS = ["n", "sx", "sy", "sxx", "syy", "sxy"]
+CANCELLED = 1e-6  # of a variance to the mean square about the column mean: below, the difference has lost too many digits
+
+
+def _gram(means: list[float]):
+    """Tasks' sums of every pair of columns, over the rows where both are present; values are shifted by ``means``."""
+    shift = np.array(means)
+    k = len(means)
+    i, j = np.triu_indices(k)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        both, one, square, cross = (np.zeros((k, k)) for _ in range(4))
+        for batch in batches:
+            x = np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns]) - shift
+            there = ~np.isnan(x)
+            x[~there] = 0.0
+            m = there.astype(np.float64)
+            both += m.T @ m
+            one += x.T @ m
+            square += (x * x).T @ m
+            cross += x.T @ x
+        columns = [both[i, j], one[i, j], one[j, i], square[i, j], square[j, i], cross[i, j]]
+        yield pa.RecordBatch.from_arrays([pa.array(i, pa.int32()), pa.array(j, pa.int32()), *[pa.array(c) for c in columns]], names=["i", "j", *SUMS])
+
+    return run
+
+
+def _pair_states(x: DataFrame, wanted: list[tuple[int, int]]) -> dict[tuple[int, int], float | None]:
+    """Correlations of the given pairs of columns _x0, _x1 ... by covariance states."""
+    found = {}
+    for at in range(0, len(wanted), MAX_PAIRS):
+        some = wanted[at:at + MAX_PAIRS]
+        found |= dict(zip(some, x.agg(*[_pair_corr(F.col(f"_x{i}"), F.col(f"_x{j}")) for i, j in some]).first(), strict=True))
+    return found
+
+
 def pairs(df: DataFrame, cols: list[str] | None = None, diagonal: bool = False) -> DataFrame:
     """Upper triangle ``(feature_1, feature_2, i, j, corr)`` in column order; pairs without data keep a NULL."""
     cols = list(cols or correlation_columns(df))
-    wanted = [(i, j) for i in range(len(cols)) for j in range(i if diagonal else i + 1, len(cols))]
-    if not wanted:
-        return df.sparkSession.createDataFrame([], "feature_1 string, feature_2 string, i int, j int, corr double")
-    x = df.select(*[F.col(c).cast("double").alias(f"_x{i}") for i, c in enumerate(cols)])
-    out = None
-    for at in range(0, len(wanted), MAX_PAIRS):
-        some = wanted[at:at + MAX_PAIRS]
-        wide = x.agg(*[_pair_corr(F.col(f"_x{i}"), F.col(f"_x{j}")).alias(f"_c{i}_{j}") for i, j in some])
-        rows = [F.struct(F.lit(cols[i]).alias("feature_1"), F.lit(cols[j]).alias("feature_2"), F.lit(i).alias("i"), F.lit(j).alias("j"),
-                         F.col(f"_c{i}_{j}").alias("corr")) for i, j in some]
-        part = wide.select(F.explode(F.array(*rows)).alias("p")).select("p.*")
-        out = part if out is None else out.unionByName(part)
-    return out
+    schema = "feature_1 string, feature_2 string, i int, j int, corr double"
+    if len(cols) < (1 if diagonal else 2):
+        return df.sparkSession.createDataFrame([], schema)
+    x = df.select(*[F.col(c).cast("double").alias(f"_x{k}") for k, c in enumerate(cols)])
+    # NaN is what the tasks take for missing
+    given = x.select(*[F.coalesce(c, F.lit(float("nan"))).alias(c) for c in x.columns])
+    means = x.agg(*[F.avg(F.when(~F.isnan(c), F.col(c))) for c in x.columns]).first()
+    finite = [m if m is not None and np.isfinite(m) else 0.0 for m in means]
+    kinds = "i int, j int, " + ", ".join(f"{s} double" for s in SUMS)
+    sums = given.mapInArrow(_gram(finite), kinds).groupBy("i", "j").agg(*[F.sum(s).alias(s) for s in SUMS]).collect()  # by the schema: one row a pair
+    found, again = {}, []
+    with np.errstate(all="ignore"):
+        for i, j, n, sx, sy, sxx, syy, sxy in sums:
+            if i == j and not diagonal:
+                continue
+            if not n:
+                found[i, j] = None
+                continue
+            mx, my, vx, vy = sx / n, sy / n, sxx / n - (sx / n) ** 2, syy / n - (sy / n) ** 2
+            if not (vx > CANCELLED * sxx / n and vy > CANCELLED * syy / n and np.isfinite(sxx + syy + sxy)):
+                again.append((i, j))
+            else:
+                found[i, j] = float((sxy / n - mx * my) / (np.sqrt(vx) * np.sqrt(vy)))
+    if again:
+        found |= _pair_states(x, sorted(again))
+    return df.sparkSession.createDataFrame([(cols[i], cols[j], i, j, r) for (i, j), r in sorted(found.items())], schema)
 
 
 def corr_matrix(df: DataFrame, cols: list[str] | None = None) -> DataFrame:

@@ -2,17 +2,21 @@
 
 A run is one row ``(run_id, run_name, experiment, start_time, params MAP<STRING,STRING>, metrics MAP<STRING,DOUBLE>, tags
 MAP<STRING,STRING>)``; versions and stage changes are events, and "current" is the latest event per key (a window).  The
-queries are functions of such tables, wherever they come from; ``RunStore`` keeps them as append-only Parquet.
+queries are functions of such tables, wherever they come from. ``RunStore`` keeps each record as a file that only one writer can
+create: any number of writers may log runs, register versions and change stages at once.
 """
 
 from __future__ import annotations
 
 import datetime as dt
+import json
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from riskweave.sources.records import append_numbered, numbers, publish, unbroken
+
 RUN_SCHEMA = ("run_id string, run_name string, experiment string, start_time timestamp_ntz, "
               "params map<string,string>, metrics map<string,double>, tags map<string,string>")
 VERSION_SCHEMA = "model_name string, version int, run_id string, model_path string, created timestamp_ntz"
@@ -53,9 +57,12 @@ def latest_versions(events: DataFrame) -> DataFrame:
 
 # --------------------------------------------------------------------------- store
 class RunStore:
-    """Runs, versions and stage events as append-only Parquet tables; reads see the store's experiment only."""
+    """Runs, versions and stage events below ``root``; ``runs`` reads the store's experiment only.
+
+    A run is a file named by its id; versions (per model) and stage events (over all) are files numbered without gaps, of which a
+    number that another writer has just taken is never overwritten. Readers take the unbroken run of numbers from 1 on."""
 
-    def __init__(self, spark: SparkSession, root: str, experiment: str = "credit_risk_model"):
+    def __init__(self, spark: SparkSession, root: str, experiment: str):
         self.spark, self.root, self.experiment = spark, root.rstrip("/"), experiment
 
     # ------------------------------------------------------------------ tables
@@ -64,21 +71,30 @@ class RunStore:
         path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
         if not path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path):
             return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(f"{self.root}/{name}")
+        reader = self.spark.read.schema(schema).option("mode", "FAILFAST").option("recursiveFileLookup", True)
+        return reader.option("timestampNTZFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").json(f"{self.root}/{name}")
 
     def runs(self) -> DataFrame:
         return self._read("runs", RUN_SCHEMA).where(F.col("experiment") == self.experiment)
 
     def versions(self) -> DataFrame:
-        return self._read("model_versions", VERSION_SCHEMA)
+        w = Window.partitionBy("model_name").orderBy("version")
+        return self._read("model_versions", VERSION_SCHEMA).withColumn("_k", F.row_number().over(w)).where("_k = version").drop("_k")
 
     def stage_events(self) -> DataFrame:
-        return self._read("stage_events", STAGE_SCHEMA)
+        upto = unbroken(numbers(self.spark, f"{self.root}/stage_events"))
+        return self._read("stage_events", STAGE_SCHEMA).where(F.col("seq") <= upto)
+
+    @staticmethod
+    def _text(schema: str, *values) -> str:
+        names = [f.split()[0] for f in schema.split(", ")]
+        plain = [v.strftime("%Y-%m-%dT%H:%M:%S.%f") if isinstance(v, dt.datetime) else v for v in values]
+        return json.dumps(dict(zip(names, plain, strict=True)))
 
     # ------------------------------------------------------------------ logging
     def log_run(self, run_name: str, params: dict, metrics: dict, tags: dict | None = None,
                 dataset: DataFrame | None = None, label_col: str | None = None) -> str:
-        """Append one run; row/column/class counts come from ``dataset``."""
+        """Add one run; row/column/class counts come from ``dataset``."""
         run_id = uuid.uuid4().hex
         metrics = {k: float(v) for k, v in metrics.items() if v is not None}
         tags = {k: str(v) for k, v in (tags or {}).items()}
@@ -89,57 +105,39 @@ class RunStore:
             metrics["n_features"] = float(len(dataset.columns) - (1 if label_col else 0))
             if label_col:
                 metrics["n_positive"] = float(stats["pos"])
-        row = (run_id, run_name, self.experiment, dt.datetime.now(), {k: str(v) for k, v in params.items()},
-               metrics, tags)
-        self.spark.createDataFrame([row], RUN_SCHEMA).write.mode("append").parquet(f"{self.root}/runs")
+        publish(self.spark, f"{self.root}/runs/{run_id}.json",
+                self._text(RUN_SCHEMA, run_id, run_name, self.experiment, dt.datetime.now(), {k: str(v) for k, v in params.items()}, metrics, tags))
         return run_id
 
-    def log_tuning(self, model_name: str, result: dict, method: str = "grid", cv: int = 5) -> str:
-        """Best / mean / std of the CV scores and the search size."""
-        scores = [s for s in result["cv_scores"] if s == s]  # NaN-free
-        mean = sum(scores) / len(scores) if scores else float("nan")
-        std = (sum((s - mean) ** 2 for s in scores) / len(scores)) ** 0.5 if scores else float("nan")
-        metrics = {"cv_best_score": result["best_score"], "cv_mean_score": mean, "cv_std_score": std,
-                   "cv_folds": cv, "n_combinations": len(result["params"])}
-        return self.log_run(f"{model_name}_{method}_search", result["best_params"], metrics,
-                            {"model_type": model_name, "search": method})
-
-    # ------------------------------------------------------------------ queries
-    def best_run(self, metric: str = "test_roc_auc", ascending: bool = False) -> DataFrame:
-        """One row (error when there is no run with the metric)."""
-        best = best_run(self.runs(), metric, None, ascending)
-        if best.isEmpty():
-            raise ValueError(f"No runs with metric {metric!r}")
-        return best
-
-    def compare_runs(self, run_ids: list[str] | None = None, metric: str = "test_roc_auc") -> DataFrame:
-        return compare_runs(self.runs(), run_ids, metric)
+    def log_tuning(self, model_name: str, result: dict, method: str = "grid_search", cv: int = 5, n_iter: int | None = None,
+                   test_metrics: dict | None = None, dataset: DataFrame | None = None, label_col: str | None = None) -> str:
+        """The best candidate of a search: its mean validation score and the spread of its scores over the folds, with the test metrics
+        and the counts of ``dataset`` where given. A grid search logs its combinations, a random one its draws. NaN scores never win."""
+        scores = result["cv_scores"]
+        best = max((k for k, s in enumerate(scores) if s == s), key=lambda k: (scores[k], -k), default=None)
+        metrics = {"cv_best_score": result["best_score"], "cv_mean_score": None if best is None else scores[best],
+                   "cv_std_score": None if best is None else result["std_scores"][best], **(test_metrics or {})}
+        size = {"n_combinations": len(result["params"])} if method == "grid_search" else {"n_iter": len(result["params"]) if n_iter is None else n_iter}
+        return self.log_run(f"{model_name}_{method}", {**result["best_params"], "tuning_method": method, "cv_folds": cv, **size}, metrics,
+                            {"model_type": model_name, "tuning_method": method}, dataset, label_col)
 
     # ------------------------------------------------------------------ registry
     def register_model(self, model_name: str, run_id: str, model_path: str) -> int:
-        """Next version number for the name (one writer at a time)."""
-        cur = self.versions().where(F.col("model_name") == model_name).agg(F.max("version")).first()[0] or 0
-        v = int(cur) + 1
-        self.spark.createDataFrame([(model_name, v, run_id, model_path, dt.datetime.now())], VERSION_SCHEMA) \
-            .write.mode("append").parquet(f"{self.root}/model_versions")
-        return v
+        """The next version number for the name, taken by this caller alone."""
+        folder = f"{self.root}/model_versions/{model_name}"
+        return append_numbered(self.spark, folder, lambda n: self._text(VERSION_SCHEMA, model_name, n, run_id, model_path, dt.datetime.now()))
 
     def transition_stage(self, model_name: str, version: int, stage: str) -> None:
-        seq = self.stage_events().agg(F.max("seq")).first()[0] or 0
-        self.spark.createDataFrame([(model_name, int(version), stage, dt.datetime.now(), int(seq) + 1)],
-                                   STAGE_SCHEMA).write.mode("append").parquet(f"{self.root}/stage_events")
-
-    def latest_version_per_stage(self) -> DataFrame:
-        return latest_versions(self.stage_events())
+        append_numbered(self.spark, f"{self.root}/stage_events", lambda n: self._text(STAGE_SCHEMA, model_name, int(version), stage, dt.datetime.now(), n))
 
-    def model_path(self, model_name: str, stage: str = "Production") -> str:
-        """X8 lookup: path of the newest version currently in ``stage``."""
-        cur = (self.latest_version_per_stage().where((F.col("model_name") == model_name) & (F.col("stage") == stage))
-               .join(self.versions(), ["model_name", "version"]).select("model_path").first())
+    def current(self, model_name: str, stage: str = "Production") -> tuple[int, str]:
+        """X8 lookup: number and path of the newest version currently in ``stage``."""
+        cur = (latest_versions(self.stage_events()).where((F.col("model_name") == model_name) & (F.col("stage") == stage))
+               .join(self.versions(), ["model_name", "version"]).select("version", "model_path").first())
         if cur is None:
             raise ValueError(f"No version of {model_name!r} in stage {stage!r}")
-        return cur["model_path"]
+        return cur["version"], cur["model_path"]
 
     def load_model(self, model_name: str, stage: str = "Production"):
         from pyspark.ml import PipelineModel
-        return PipelineModel.load(self.model_path(model_name, stage))
+        return PipelineModel.load(self.current(model_name, stage)[1])

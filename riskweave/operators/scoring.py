@@ -11,9 +11,9 @@ N_FEATURES = 26
 
 
 def risk_level(pred_col: str = "prediction"):
-    """P10: 'high' when the prediction is 1, else 'low'; none without a prediction."""
+    """P10: 'high' when the prediction is 1, else 'low'; none without a prediction (NULL or NaN)."""
     p = F.col(pred_col)
-    return F.when(p.isNull(), F.lit(None).cast("string")).when(p == 1, F.lit("high")).otherwise(F.lit("low"))
+    return F.when(p.isNull() | F.isnan(p.cast("double")), F.lit(None).cast("string")).when(p == 1, F.lit("high")).otherwise(F.lit("low"))
 
 
 def risk_band(prob_col: str = "probability", low: float = LOW_THRESHOLD, high: float = HIGH_THRESHOLD):
@@ -32,13 +32,13 @@ def with_risk_bands(df: DataFrame, prob_col: str = "probability", low: float = L
 
 
 def valid_width(features_col: str = "features", n: int = N_FEATURES):
-    """An array of exactly ``n`` non-null numbers."""
+    """An array of exactly ``n`` numbers, none of them NULL or NaN."""
     arr = F.col(features_col)
-    return arr.isNotNull() & (F.size(arr) == n) & F.forall(arr, lambda x: x.isNotNull())
+    return arr.isNotNull() & (F.size(arr) == n) & F.forall(arr, lambda x: x.isNotNull() & ~F.isnan(x.cast("double")))
 
 
 def reject_reason(features_col: str = "features", n: int = N_FEATURES):
-    """Why a row cannot be scored (expected and received width, or a missing cell); NULL for a good row."""
+    """Why a row cannot be scored (expected and received width, or a cell that is NULL or NaN); NULL for a good row."""
     width = F.coalesce(F.size(features_col), F.lit(0))
     return (F.when(F.coalesce(valid_width(features_col, n), F.lit(False)), F.lit(None).cast("string"))
             .when(width == n, F.lit("missing value in features"))
@@ -62,7 +62,8 @@ def batch_score(model, df: DataFrame, features_col: str = "features", n: int = N
     zeros = F.array_repeat(F.lit(0.0), n)
     out = stage.transform(marked.withColumn(fc, array_to_vector(F.when(good, F.col("_raw").cast("array<double>")).otherwise(zeros))))
     prob = vector_to_array("probability")[1] if "probability" in out.columns else F.col("prediction").cast("double")
-    out = out.withColumns({"_p": F.when(good, prob), "_y": F.when(good, F.col("prediction").cast("int"))})
+    scored = good & ~F.isnan(prob)  # infinite features can leave no probability
+    out = out.withColumns({"_p": F.when(scored, prob), "_y": F.when(scored, F.col("prediction").cast("int"))})
     out = out.drop("probability", "rawPrediction", "prediction", fc).withColumnsRenamed({"_p": "probability", "_y": "prediction", "_raw": features_col})
     return out.withColumn("risk_level", risk_level())
 
@@ -73,5 +74,6 @@ def linear_score(df: DataFrame, coefficients: list[float], intercept: float, fea
     marked = df.withColumn("reject_reason", reject_reason(features_col, n))
     terms = F.zip_with(F.col(features_col).cast("array<double>"), F.array(*[F.lit(float(c)) for c in coefficients]), lambda x, w: x * w)
     z = F.aggregate(terms, F.lit(float(intercept)), lambda a, t: a + t)
-    marked = marked.withColumn("probability", F.when(F.col("reject_reason").isNull(), 1 / (1 + F.exp(-z))))
+    probability = F.when(F.col("reject_reason").isNull(), 1 / (1 + F.exp(-z)))
+    marked = marked.withColumn("probability", F.when(~F.isnan(probability), probability))
     return marked.withColumn("prediction", (F.col("probability") >= 0.5).cast("int")).withColumn("risk_level", risk_level())

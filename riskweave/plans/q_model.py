@@ -298,10 +298,10 @@ def q_batch_score(spark, sf):
     t = MO.ModelTrainer(42)
     t.train_multiple(["logistic_regression"], train, test, cols, LABEL, EXAMPLE_PARAMS)
     root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/runstore-{uuid.uuid4().hex}"
-    store = RU.RunStore(spark, root)
+    store = RU.RunStore(spark, root, "credit_risk_model")
     for name, m in t.metrics.items():
         store.log_run(name, EXAMPLE_PARAMS[name], m, {"model_type": name}, train, LABEL)
-    best = store.best_run("test_roc_auc").first()
+    best = RU.best_run(store.runs(), "test_roc_auc").first()
     t.save_model(best["run_name"], f"{root}/models/{best['run_name']}")
     v = store.register_model("credit_risk_model", best["run_id"], f"{root}/models/{best['run_name']}")
     for stage in ("Staging", "Production"):
@@ -315,21 +315,24 @@ def q_batch_score(spark, sf):
 
 # Coefficients of a given scorecard on (price in 100,000s, month, day).
 CARD, CARD_BIAS = [1.5, -0.2, 0.03], -1.0
-CARD_SQL = """p AS (SELECT o_orderkey, CASE WHEN o_orderkey % 10 <> 0 THEN
+CARD_SQL = """p AS (SELECT o_orderkey, CASE WHEN o_orderkey % 10 <> 0 AND o_orderkey % 7 <> 3 AND o_orderkey % 11 <> 5 THEN
     1 / (1 + exp(-(-1.0 + 1.5 * (o_totalprice / 100000) + -0.2 * month(o_orderdate) + 0.03 * day(o_orderdate)))) END AS probability FROM orders)
 SELECT {key} AS {name}, CAST(probability >= 0.5 AS INTEGER) AS prediction, round(probability, 6) AS probability,
        CASE WHEN probability >= 0.5 THEN 'high' WHEN probability < 0.5 THEN 'low' END AS risk_level,
-       {more} CASE WHEN probability IS NULL THEN 'expected 3 features, got 2' END AS reject_reason FROM p"""
+       {more} CASE WHEN o_orderkey % 10 = 0 THEN 'expected 3 features, got 2' WHEN probability IS NULL THEN 'missing value in features' END AS reject_reason FROM p"""
 
 
 def card_rows(o):
-    arr = F.array(F.col("o_totalprice") / 100000, F.month("o_orderdate").cast("double"), F.dayofmonth("o_orderdate").cast("double"))
+    """Feature arrays: every tenth is cut short, some have a NaN or a NULL."""
+    key = F.col("o_orderkey")
+    price = F.when(key % 7 == 3, F.lit(float("nan"))).when(key % 11 != 5, F.col("o_totalprice") / 100000)
+    arr = F.array(price, F.month("o_orderdate").cast("double"), F.dayofmonth("o_orderdate").cast("double"))
     return o.select("o_orderkey", F.when(F.col("o_orderkey") % 10 == 0, F.slice(arr, 1, 2)).otherwise(arr).alias("features"))
 
 
 @register("batch_score_card", "WITH " + CARD_SQL.format(key="o_orderkey", name="o_orderkey", more=""))
 def q_batch_card(spark, sf):
-    """Given coefficients over feature arrays; every row comes back, the short arrays with a reason."""
+    """Given coefficients over feature arrays; every row comes back, arrays that are short or miss a value with a reason."""
     scored = SC.linear_score(card_rows(table(spark, sf, "orders")), CARD, CARD_BIAS)
     return rounded(scored.select("o_orderkey", "prediction", "probability", "risk_level", "reject_reason"), 6)
 
@@ -352,7 +355,7 @@ def q_stream_requests(spark, sf):
 
 @register("stream_score")
 def q_stream_score(spark, sf):
-    """Orders arrive as a file stream; customer aggregates are the static side."""
+    """Orders arrive as a file stream; customer aggregates are the static side, where every tenth customer is unknown."""
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.feature import VectorAssembler
@@ -367,13 +370,40 @@ def q_stream_score(spark, sf):
     model = Pipeline(stages=[VectorAssembler(inputCols=cols, outputCol="features", handleInvalid="error"),
                              LogisticRegression(labelCol=LABEL, maxIter=1000)]).fit(train)
     stream = ST.read_stream(spark, sf, o.schema, "orders.parquet")
-    scored = ST.score_stream(stream, cust, "o_custkey", model, ["o_orderkey", "o_custkey"])
+    scored = ST.score_stream(stream, cust.where("o_custkey % 10 <> 0"), "o_custkey", model, ["o_orderkey", "o_custkey"])
     run = f"{ensure_checkpoint_dir(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
     q = ST.start_scoring(scored, f"{run}/out", "risk_scores_" + uuid.uuid4().hex[:8], f"{run}/ckpt")
     q.awaitTermination()
     return spark.read.parquet(f"{run}/out")
 
 
+# A second scorecard, promoted between the two halves of the stream.
+CARD_TWO, CARD_TWO_BIAS = [0.5, 0.1, -0.02], 0.25
+
+
+@register("stream_serving", """
+WITH z AS (SELECT o_orderkey, CAST(1 + o_orderkey % 2 AS INTEGER) AS model_version, o_totalprice / 100000 AS a, month(o_orderdate) AS b, day(o_orderdate) AS c FROM orders),
+p AS (SELECT *, 1 / (1 + exp(-CASE model_version WHEN 1 THEN -1.0 + 1.5 * a + -0.2 * b + 0.03 * c ELSE 0.25 + 0.5 * a + 0.1 * b + -0.02 * c END)) AS probability FROM z)
+SELECT o_orderkey, model_version, round(probability, 6) AS probability, CASE WHEN probability >= 0.5 THEN 'high' ELSE 'low' END AS risk_level FROM p""")
+def q_stream_serving(spark, sf):
+    """Orders arrive in two files, a model version is promoted between them: each is scored by the version of its time."""
+    import json
+
+    from riskweave.streaming import scoring as ST
+    run = f"{ensure_checkpoint_dir(spark).rstrip('/')}/serving-{uuid.uuid4().hex}"
+    store = RU.RunStore(spark, f"{run}/store", "serving")
+    o = table(spark, sf, "orders").select("o_orderkey", "o_totalprice", "o_orderdate")
+    arr = F.array(F.col("o_totalprice") / 100000, F.month("o_orderdate").cast("double"), F.dayofmonth("o_orderdate").cast("double"))
+    for half, card in enumerate(((CARD, CARD_BIAS), (CARD_TWO, CARD_TWO_BIAS))):
+        version = store.register_model("card", f"run{half}", json.dumps(card))  # the coefficients are the model
+        store.transition_stage("card", version, "Production")
+        o.where(F.col("o_orderkey") % 2 == half).select("o_orderkey", arr.alias("features")).write.mode("append").parquet(f"{run}/in")
+        stream = ST.read_stream(spark, f"{run}/in", "o_orderkey long, features array<double>", "*.parquet")
+        q = ST.start_serving(stream, store, "card", f"{run}/out", lambda m, rows: SC.linear_score(rows, *m), json.loads, name="serving_" + uuid.uuid4().hex[:8], checkpoint=f"{run}/ckpt")
+        q.awaitTermination()
+    return rounded(spark.read.parquet(f"{run}/out/scores").select("o_orderkey", "model_version", "probability", "risk_level"), 6)
+
+
 @register("stream_rfm", """
 WITH s AS (SELECT max(o_orderdate) AS snap FROM orders)
 SELECT o_custkey,

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from riskweave.operators import metrics as ME
 from riskweave.operators import models as MO
 from riskweave.operators import scoring as SC
-from riskweave.operators.runs import RunStore
+from riskweave.operators.runs import RunStore, best_run, compare_runs
 from riskweave.operators.tuning import (DEFAULT_GRIDS, HyperparameterTuner, candidate_rows, distinct_candidates, draw_candidates, expand_grid,
                                         tune_hyperparameters)
 
@@ -129,39 +129,103 @@ def test_candidates_of_the_default_grids(spark):
 
 
 def test_run_store(spark, tmp_path):
-    store = RunStore(spark, str(tmp_path / "runs"))
+    store = RunStore(spark, str(tmp_path / "runs"), "mine")
+    assert store.runs().count() == store.versions().count() == store.stage_events().count() == 0
     ids = [store.log_run(f"m{i}", {"C": 1}, {"test_roc_auc": v}) for i, v in enumerate([0.85, 0.90, 0.88])]
-    assert store.best_run("test_roc_auc").first()["metrics"]["test_roc_auc"] == 0.90
-    assert store.best_run("test_roc_auc", ascending=True).first()["metrics"]["test_roc_auc"] == 0.85
-    assert store.compare_runs(ids).count() == 3
+    assert best_run(store.runs(), "test_roc_auc").first()["metrics"]["test_roc_auc"] == 0.90
+    assert best_run(store.runs(), "test_roc_auc", ascending=True).first()["metrics"]["test_roc_auc"] == 0.85
+    assert compare_runs(store.runs(), ids).count() == 3
     v1 = store.register_model("risk", ids[1], "/x/1")
     v2 = store.register_model("risk", ids[2], "/x/2")
-    assert (v1, v2) == (1, 2)
+    assert (v1, v2) == (1, 2) and store.register_model("other", ids[2], "/y/1") == 1
     store.transition_stage("risk", 1, "Production")
     store.transition_stage("risk", 2, "Staging")
-    assert store.model_path("risk", "Production") == "/x/1"
-    with pytest.raises(ValueError):
-        store.best_run("missing_metric")
+    assert store.current("risk", "Production") == (1, "/x/1")
+    store.transition_stage("risk", 2, "Production")
+    assert store.current("risk") == (2, "/x/2")
+    with pytest.raises(ValueError, match="No version"):
+        store.current("nothing")
+    assert best_run(store.runs(), "missing_metric").isEmpty()
     other = RunStore(spark, str(tmp_path / "runs"), "another")
-    other.log_run("m9", {"C": 2}, {"test_roc_auc": 0.99})
-    assert store.best_run("test_roc_auc").first()["run_name"] == "m1" and store.compare_runs().count() == 3
-    assert other.best_run("test_roc_auc").first()["run_name"] == "m9"
+    other.log_run("m9", {"C": 2}, {"test_roc_auc": 0.99, "loss": float("nan")})
+    assert best_run(store.runs(), "test_roc_auc").first()["run_name"] == "m1" and compare_runs(store.runs()).count() == 3
+    assert best_run(other.runs(), "test_roc_auc").first()["run_name"] == "m9" and best_run(other.runs(), "loss").isEmpty()
+
+
+def test_two_writers_cannot_take_one_version(spark, tmp_path):
+    """8 threads register 40 versions and log as many stages: numbers 1 to 40, once each, nothing lost."""
+    from concurrent.futures import ThreadPoolExecutor
+    stores = [RunStore(spark, str(tmp_path / "runs"), "mine") for _ in range(8)]
+
+    def work(k):
+        version = stores[k % 8].register_model("risk", f"run{k}", f"/x/{k}")
+        stores[k % 8].transition_stage("risk", version, "Staging")
+        return version
+
+    with ThreadPoolExecutor(8) as pool:
+        assert sorted(pool.map(work, range(40))) == list(range(1, 41))
+    kept = stores[0].versions().collect()
+    assert sorted(r["version"] for r in kept) == list(range(1, 41)) and len({r["model_path"] for r in kept}) == 40
+    assert sorted(r["seq"] for r in stores[0].stage_events().collect()) == list(range(1, 41))
+
+
+def test_readers_stop_at_a_gap(spark, tmp_path):
+    from riskweave.sources.records import append_numbered, publish
+    store = RunStore(spark, str(tmp_path / "runs"), "mine")
+    store.register_model("risk", "r", "/x/1")
+    text = store._text("model_name string, version int", "risk", 3)
+    assert publish(spark, f"{tmp_path}/runs/model_versions/risk/{3:012d}.json", text) and not publish(spark, f"{tmp_path}/runs/model_versions/risk/{3:012d}.json", "{}")
+    assert [r["version"] for r in store.versions().collect()] == [1]
+    assert append_numbered(spark, f"{tmp_path}/runs/model_versions/risk", lambda n: store._text("model_name string, version int", "risk", n)) == 2
+    assert sorted(r["version"] for r in store.versions().collect()) == [1, 2, 3]
 
 
 def test_a_broken_run_table_is_an_error(spark, tmp_path):
-    store = RunStore(spark, str(tmp_path / "runs"))
+    store = RunStore(spark, str(tmp_path / "runs"), "mine")
     assert store.runs().count() == 0
     (tmp_path / "runs" / "runs").mkdir(parents=True)
-    (tmp_path / "runs" / "runs" / "part-0.parquet").write_text("not parquet")
-    with pytest.raises(Exception, match="(?i)parquet"):
-        store.runs().count()
+    (tmp_path / "runs" / "runs" / "x.json").write_text("no record")
+    with pytest.raises(Exception, match="(?i)malformed"):
+        store.runs().collect()
 
 
 def test_log_tuning(spark, tmp_path):
-    store = RunStore(spark, str(tmp_path / "runs"))
-    store.log_tuning("decision_tree", {"cv_scores": [0.5, 0.7], "best_score": 0.7, "best_params": {"max_depth": 3}, "params": [1, 2]})
+    """The best candidate's mean and its spread over the folds, not the candidates' own."""
+    store = RunStore(spark, str(tmp_path / "runs"), "mine")
+    result = {"cv_scores": [0.5, 0.7, float("nan")], "std_scores": [0.3, 0.02, 0.0], "best_score": 0.7, "best_params": {"max_depth": 3}, "params": [1, 2, 3]}
+    df = data(spark, 50)
+    store.log_tuning("decision_tree", result, "grid_search", 5, test_metrics={"test_roc_auc": 0.66}, dataset=df, label_col="y")
+    run = store.runs().first()
+    m = run["metrics"]
+    assert (m["cv_best_score"], m["cv_mean_score"], m["cv_std_score"], m["test_roc_auc"], m["n_rows"], m["n_features"]) == (0.7, 0.7, 0.02, 0.66, 50.0, 4.0)
+    assert m["n_positive"] == df.where("y = 1").count()
+    assert run["params"] == {"max_depth": "3", "tuning_method": "grid_search", "cv_folds": "5", "n_combinations": "3"} and run["run_name"] == "decision_tree_grid_search"
+    store.log_tuning("random_forest", result, "random_search", n_iter=20)
+    random_run = store.runs().where("run_name = 'random_forest_random_search'").first()
+    assert random_run["params"]["n_iter"] == "20" and "n_combinations" not in random_run["params"]
+
+
+def test_logged_search_is_the_one_that_ran(spark, tmp_path):
+    df = data(spark, 120)
+    t = HyperparameterTuner(cv=3, seed=1, key_cols=["id"])
+    r = t.grid_search("decision_tree", df, FEATS, "y", {"max_depth": [1, 2, 4]})
+    store = RunStore(spark, str(tmp_path / "runs"), "mine")
+    store.log_tuning("decision_tree", r, cv=3)
     m = store.runs().first()["metrics"]
-    assert (m["cv_best_score"], m["n_combinations"]) == (0.7, 2.0) and abs(m["cv_mean_score"] - 0.6) < 1e-12
+    best = max(range(3), key=lambda k: (r["cv_scores"][k], -k))
+    assert m["cv_mean_score"] == r["best_score"] == r["cv_scores"][best] and m["cv_std_score"] == r["std_scores"][best]
+
+
+def test_a_nan_feature_is_not_scored(spark):
+    d = data(spark)
+    m = MO.train_model("logistic_regression", d, FEATS, "y")
+    nan, inf = float("nan"), float("inf")
+    rows = spark.createDataFrame([(1, [nan, 1.0, 2.0]), (2, [1.0, None, 2.0]), (3, [inf, -inf, 1.0]), (4, [1.0, 1.0, 1.0])], "id long, features array<double>")
+    for scored in (SC.batch_score(m, rows, "features", 3), SC.linear_score(rows, [1.0, 1.0, 1.0], 0.0)):
+        got = {r["id"]: r for r in SC.with_risk_bands(scored).collect()}
+        assert [got[i]["reject_reason"] for i in (1, 2, 3, 4)] == ["missing value in features"] * 2 + [None] * 2
+        assert all(got[i][c] is None for i in (1, 2, 3) for c in ("probability", "prediction", "risk_level", "risk_band", "decision"))
+        assert got[4]["prediction"] == 1 and got[4]["risk_level"] == "high"
 
 
 def test_scoring_bands_and_width(spark):
