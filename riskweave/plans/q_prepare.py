@@ -158,6 +158,28 @@ def q_knn(spark, sf):
     return rounded(knn_impute(e, ["user_id", "hour", "value"], "event_id", 5).select("event_id", "value"), 6)
 
 
+@register("knn_transform", f"""WITH {EVENTS_NULLS_SQL},
+x AS (SELECT event_id, CAST(user_id AS DOUBLE) AS u, CAST(hour(ts) AS DOUBLE) AS h, value FROM events_n),
+r AS (SELECT * FROM x WHERE event_id % 2 = 1 AND (value IS NULL OR isnan(value))),
+d AS (SELECT * FROM x WHERE event_id % 2 = 0 AND value IS NOT NULL AND NOT isnan(value)),
+p AS (SELECT r.event_id AS rid, d.event_id AS did, d.value AS v,
+             sqrt(3.0 / 2 * ((r.u - d.u) * (r.u - d.u) + (r.h - d.h) * (r.h - d.h))) AS dist FROM r, d),
+k AS (SELECT rid, v, row_number() OVER (PARTITION BY rid ORDER BY dist, did) AS rn FROM p),
+f AS (SELECT rid, avg(v) AS fill FROM k WHERE rn <= 5 GROUP BY rid)
+SELECT x.event_id, round(coalesce(x.value, f.fill), 6) AS value FROM x LEFT JOIN f ON f.rid = x.event_id WHERE x.event_id % 2 = 1""")
+def q_knn_transform(spark, sf):
+    """Donors fitted on the even events fill the odd ones, by way of a saved and reloaded index."""
+    import uuid
+
+    from pyspark.sql import functions as F
+    from riskweave.operators.knn import KnnIndex
+    from riskweave.session import ensure_checkpoint_dir
+    e = events_with_nulls(spark, sf).select("event_id", "user_id", F.hour("ts").alias("hour"), "value")
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/knn-index-{uuid.uuid4().hex}"
+    KnnIndex.fit(e.where("event_id % 2 = 0"), ["user_id", "hour", "value"], "event_id").save(path)
+    return rounded(KnnIndex.load(spark, path).impute(e.where("event_id % 2 = 1"), "event_id", 5).select("event_id", "value"), 6)
+
+
 @register("feature_table_woe")
 def q_feature_table_woe(spark, sf):
     """The processor with its WoE step: target 'order status F', WoE columns for
