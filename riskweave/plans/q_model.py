@@ -171,6 +171,81 @@ def q_roc(spark, sf):
     return rounded(ME.roc_auc(li_scored(spark, sf), "y", "score"), 6)
 
 
+@register("grouped_auc", """
+WITH li AS (SELECT l_linenumber, l_linestatus, CAST(l_returnflag = 'R' AS INTEGER) AS y, round(l_discount + l_tax, 2) AS score FROM lineitem),
+g AS (SELECT l_linenumber, l_linestatus, score, count(*) FILTER (WHERE y = 1) AS pos, count(*) FILTER (WHERE y = 0) AS neg FROM li GROUP BY ALL),
+c AS (SELECT *, coalesce(sum(neg) OVER (PARTITION BY l_linenumber, l_linestatus ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM g)
+SELECT l_linenumber, l_linestatus, round(sum(pos * (below + 0.5 * neg)) / nullif(sum(pos) * sum(neg), 0), 6) AS roc_auc FROM c GROUP BY ALL""")
+def q_grouped_auc(spark, sf):
+    li = table(spark, sf, "lineitem").select("l_linenumber", "l_linestatus", (F.col("l_returnflag") == "R").cast("int").alias("y"),
+                                              F.round(F.col("l_discount") + F.col("l_tax"), 2).alias("score"))
+    return rounded(ME.grouped_auc(li, ["l_linenumber", "l_linestatus"], "y", "score"), 6)
+
+
+# A tree of depth two grown in SQL: every midpoint of a feature's values is tried, the least weighted Gini impurity wins. Nodes under
+# 40 % of the rows are not split, leaves of one node that predict the same are merged.
+TREE_FEATURES = ["l_discount", "l_tax", "l_linenumber"]
+
+
+def _best_split(rows, name):
+    tries = " UNION ALL ".join(
+        f"SELECT {k} AS f, (v + nv) / 2.0 AS t FROM (SELECT v, lead(v) OVER (ORDER BY v) AS nv FROM (SELECT DISTINCT x{k} AS v FROM {rows})) WHERE nv IS NOT NULL" for k in range(len(TREE_FEATURES)))
+    value = "CASE f " + " ".join(f"WHEN {k} THEN x{k}" for k in range(len(TREE_FEATURES))) + " END"
+    return f"""{name}_t AS ({tries}),
+{name}_s AS (SELECT f, t, count(*) AS n, count(*) FILTER (WHERE {value} <= t) AS nl, sum(y) AS p, sum(y) FILTER (WHERE {value} <= t) AS pl FROM {rows}, {name}_t GROUP BY f, t),
+{name} AS (SELECT f, t, n, nl, pl, p - pl AS pr, n - nl AS nr FROM {name}_s
+  ORDER BY nl * (2.0 * pl / nl * (1 - pl / nl)) + (n - nl) * (2.0 * (p - pl) / (n - nl) * (1 - (p - pl) / (n - nl))), f, t LIMIT 1)"""
+
+
+_SIDE = "CASE r.f " + " ".join(f"WHEN {k} THEN x{k}" for k in range(len(TREE_FEATURES))) + " END"
+TREE_SQL = f"""d AS (SELECT l_orderkey, l_linenumber, l_discount AS x0, l_tax AS x1, CAST(l_linenumber AS DOUBLE) AS x2,
+  CAST(l_discount > 0.035 AND l_tax + l_linenumber * 0.01 > 0.065 AS INTEGER) AS y FROM lineitem),
+{_best_split('d', 'r')},
+da AS (SELECT d.* FROM d, r WHERE {_SIDE} <= r.t), db AS (SELECT d.* FROM d, r WHERE {_SIDE} > r.t),
+{_best_split('da', 'a')}, {_best_split('db', 'b')},
+ka AS (SELECT * FROM a WHERE n >= ceil(0.4 * (SELECT count(*) FROM d)) AND (2 * pl > nl) <> (2 * pr > nr)),
+kb AS (SELECT * FROM b WHERE n >= ceil(0.4 * (SELECT count(*) FROM d)) AND (2 * pl > nl) <> (2 * pr > nr)),
+nodes AS (SELECT '' AS place, f, t, n, pl + pr AS p FROM r
+  UNION ALL SELECT 'L', ka.f, ka.t, r.nl, r.pl FROM r LEFT JOIN ka ON true UNION ALL SELECT 'R', kb.f, kb.t, r.nr, r.pr FROM r LEFT JOIN kb ON true
+  UNION ALL SELECT 'LL', NULL, NULL, nl, pl FROM ka UNION ALL SELECT 'LR', NULL, NULL, nr, pr FROM ka
+  UNION ALL SELECT 'RL', NULL, NULL, nl, pl FROM kb UNION ALL SELECT 'RR', NULL, NULL, nr, pr FROM kb)"""
+
+
+def fitted_tree(spark, sf):
+    """(rows, nodes) of a decision tree of depth two on lineitem, cut at 40 % of the rows."""
+    from riskweave.operators import trees as TR
+    li = table(spark, sf, "lineitem")
+    rule = (F.col("l_discount") > 0.035) & (F.col("l_tax") + F.col("l_linenumber") * 0.01 > 0.065)
+    rows = li.select("l_orderkey", "l_linenumber", *[F.col(c).cast("double").alias(f"x{k}") for k, c in enumerate(TREE_FEATURES)], rule.cast("int").alias("y"))
+    cols = [f"x{k}" for k in range(len(TREE_FEATURES))]
+    model = MO.train_model("decision_tree", rows, cols, "y", max_depth=2, min_samples_split=0.4)
+    return rows, cols, TR.tree_nodes(model.stages[-1], spark)
+
+
+@register("tree_nodes", f"""WITH {TREE_SQL}
+SELECT place, CAST(f AS INTEGER) AS feature, round(t, 6) AS threshold, n AS n_rows, CAST(p AS DOUBLE) AS n_positive FROM nodes""")
+def q_tree_nodes(spark, sf):
+    """The nodes of a trained tree by their place (L and R from the root)."""
+    _, _, nodes = fitted_tree(spark, sf)
+    place = {0: ""}
+    for n in nodes:
+        if n["left"] >= 0:
+            place[n["left"]], place[n["right"]] = place[n["node"]] + "L", place[n["node"]] + "R"
+    rows = [(place[n["node"]], n["feature"] if n["left"] >= 0 else None, n["threshold"], n["rows"], n["counts"][1]) for n in nodes]
+    return rounded(spark.createDataFrame(rows, "place string, feature int, threshold double, n_rows long, n_positive double"), 6, only=["threshold"])
+
+
+@register("tree_score", f"""WITH {TREE_SQL},
+s AS (SELECT l_orderkey, l_linenumber, CASE WHEN {_SIDE} <= r.t THEN 'L' ELSE 'R' END AS side, x0, x1, x2 FROM d, r),
+w AS (SELECT s.*, side || CASE WHEN n.t IS NULL THEN '' WHEN CASE n.f WHEN 0 THEN x0 WHEN 1 THEN x1 ELSE x2 END <= n.t THEN 'L' ELSE 'R' END AS place FROM s JOIN nodes n ON n.place = side)
+SELECT l_orderkey, l_linenumber, round(p / CAST(n AS DOUBLE), 6) AS probability FROM w JOIN nodes USING (place)""")
+def q_tree_score(spark, sf):
+    """Every row scored by the node table, as one expression."""
+    from riskweave.operators import trees as TR
+    rows, cols, nodes = fitted_tree(spark, sf)
+    return rounded(rows.select("l_orderkey", "l_linenumber", TR.probability(nodes, [F.col(c) for c in cols]).alias("probability")), 6)
+
+
 @register("risk_bands", """
 SELECT l_orderkey, l_linenumber, l_discount * 10 AS probability,
        CASE WHEN l_discount * 10 < 0.3 THEN 'low' WHEN l_discount * 10 <= 0.6 THEN 'medium' ELSE 'high' END AS risk_band,
