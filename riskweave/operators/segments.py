@@ -9,6 +9,10 @@ broadcast joins of at most k rows.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -141,34 +145,105 @@ def create_high_risk_target(rfm_clustered: DataFrame, tx: DataFrame | None = Non
 
 
 # --------------------------------------------------------------------------- K-Means
+SAMPLE_ROWS = 10_000  # rows that starting centres are drawn from
+
+
+def starting_centres(x: np.ndarray, k: int, seed: int) -> np.ndarray:
+    """k rows of a sample, each drawn with a chance in proportion to the squared distance to those before (k-means++)."""
+    rng = np.random.default_rng(seed)
+    chosen = [x[rng.integers(len(x))]]
+    while len(chosen) < k:
+        d = np.min([((x - c) ** 2).sum(1) for c in chosen], axis=0)
+        chosen.append(x[rng.choice(len(x), p=d / d.sum()) if d.sum() > 0 else rng.integers(len(x))])
+    return np.array(chosen)
+
+
+def _moved(starts: dict[int, np.ndarray]):
+    """Tasks' sums by (restart, cluster): rows, cost and the total of each feature. Ties go to the lower cluster."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = {r: np.zeros((len(c), c.shape[1] + 2)) for r, c in starts.items()}
+        for batch in batches:
+            x = np.column_stack([col.to_numpy(zero_copy_only=False) for col in batch.columns])
+            for r, centres in starts.items():
+                d = np.stack([((x - c) ** 2).sum(1) for c in centres], axis=1)
+                own = d.argmin(1)
+                for j in range(len(centres)):
+                    mine = own == j
+                    sums[r][j] += [mine.sum(), d[mine, j].sum(), *x[mine].sum(0)]
+        rows = [(r, j, *s) for r, total in sums.items() for j, s in enumerate(total)]
+        cols = list(zip(*rows, strict=True))
+        names = ["restart", "cluster", "n", "cost", *[f"s{k}" for k in range(len(cols) - 4)]]
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if k < 2 else pa.float64()) for k, c in enumerate(cols)], names=names)
+
+    return run
+
+
+def lloyd(df: DataFrame, features: list[str], starts: list, max_iter: int = 300, tol: float = 0.0) -> list[dict]:
+    """K1 from given centres, all restarts in the same scans: each pass moves the centres of every restart that still moves, from one
+    aggregate of a row per restart, cluster and task. Per restart: ``centres``, the ``cost`` of the rows to them, the ``sizes`` and the
+    ``iterations``.
+
+    A restart is done after ``max_iter`` moves, or one that moved its centres by a squared distance of ``tol`` together or less. A
+    cluster without rows keeps its centre. One more scan gives the cost of the last centres."""
+    d = len(features)
+    rows = df.select(*[F.col(f).cast("double").alias(f"x{j}") for j, f in enumerate(features)])
+    schema = "restart int, cluster int, n double, cost double, " + ", ".join(f"s{j} double" for j in range(d))
+    totals = [F.sum(c).alias(c) for c in ("n", "cost", *[f"s{j}" for j in range(d)])]
+
+    def scan(which: dict[int, np.ndarray]) -> dict:
+        got = rows.mapInArrow(_moved(which), schema).groupBy("restart", "cluster").agg(*totals).collect()  # one row a restart and cluster
+        return {(r.restart, r.cluster): r for r in got}
+
+    centres = {r: np.array(c, dtype=float) for r, c in enumerate(starts)}
+    moves = dict.fromkeys(centres, 0)
+    moving = dict(centres) if max_iter else {}
+    while moving:
+        sums = scan(moving)
+        for r, old in list(moving.items()):
+            new = old.copy()
+            for j in range(len(old)):
+                s = sums.get((r, j))
+                if s is not None and s.n:
+                    new[j] = [s[f"s{k}"] / s.n for k in range(d)]
+            centres[r], moves[r] = new, moves[r] + 1
+            if ((new - old) ** 2).sum() <= tol or moves[r] >= max_iter:
+                del moving[r]
+            else:
+                moving[r] = new
+    last = scan(centres)
+    none = lambda r, j, c: last[r, j][c] if (r, j) in last else 0.0
+    return [{"centres": c, "cost": sum(none(r, j, "cost") for j in range(len(c))), "sizes": [int(none(r, j, "n")) for j in range(len(c))], "iterations": moves[r]}
+            for r, c in centres.items()]
+
+
 class CustomerSegmenter:
     """K1-K5: K-Means on scaled RFM features.
 
-    MLlib's K-Means has no restarts parameter: ``n_init`` fits with seeds
-    ``seed, seed+1, ...`` run on the cached, scaled input and the lowest
-    training cost wins.  Scaling parameters are a one-row table (F6/F8).
+    ``n_init`` restarts, from k-means++ centres of a sample of ``SAMPLE_ROWS`` rows (the first by hash), run side by side in the
+    scans of one (``lloyd``); the lowest cost wins. Clusters are numbered by their centres' order. Scaling parameters are a
+    one-row table (F6/F8).
     """
 
     def __init__(self, n_clusters: int = 3, scaling: str | None = "standardize", seed: int = 42,
-                 features=RFM, n_init: int = 10, max_iter: int = 300):
-        self.k, self.scaling, self.seed = n_clusters, scaling, seed
+                 features=RFM, n_init: int = 10, max_iter: int = 300, tol: float = 1e-4):
+        self.k, self.scaling, self.seed, self.tol = n_clusters, scaling, seed, tol
         self.features, self.n_init, self.max_iter = list(features), n_init, max_iter
-        self.model = None
-        self.relabel: dict[int, int] = {}
+        self.centres: list[list[float]] | None = None  # in scaled units
+        self.cost: float | None = None
         self.scale_params: DataFrame | None = None
 
-    def _vectors(self, df: DataFrame) -> DataFrame:
-        """Scaled copies of the features assembled into ``_features``."""
-        from pyspark.ml.feature import VectorAssembler
+    @property
+    def _names(self) -> list[str]:
+        return [f"_s_{f}" for f in self.features]
+
+    def _scaled(self, df: DataFrame) -> DataFrame:
+        """``df`` with scaled copies of the features."""
         from riskweave.operators.prepare import apply_scaler
-        tmp = [f"_s_{f}" for f in self.features]
         params = self.scale_params.select(*[F.col(c).alias(f"_s_{c}") for c in self.scale_params.columns])
-        scaled = apply_scaler(df.withColumns({t: F.col(f).cast("double") for t, f in zip(tmp, self.features)}),
-                              params)
-        return VectorAssembler(inputCols=tmp, outputCol="_features").transform(scaled).drop(*tmp)
+        return apply_scaler(df.withColumns({t: F.col(f).cast("double") for t, f in zip(self._names, self.features, strict=True)}), params)
 
     def fit(self, df: DataFrame) -> "CustomerSegmenter":
-        from pyspark.ml.clustering import KMeans
         from riskweave.operators.prepare import fit_scaler
         require_columns(df, self.features, "RFM table")
         nulls = df.agg(*[F.count_if(is_missing(F.col(f).cast("double"))).alias(f) for f in self.features]).first()
@@ -176,29 +251,24 @@ class CustomerSegmenter:
         if bad:
             raise ValueError(f"RFM features contain missing values: {bad}")
         self.scale_params = materialise(fit_scaler(df, self.features, self.scaling or "none"))
-        data = self._vectors(df).select("_features").persist(StorageLevel.MEMORY_AND_DISK)
+        data = self._scaled(df).select(*self._names).persist(StorageLevel.MEMORY_AND_DISK)
         try:
-            best = None
-            for i in range(self.n_init):
-                m = KMeans(k=self.k, seed=self.seed + i, maxIter=self.max_iter, featuresCol="_features",
-                           predictionCol="cluster").fit(data)
-                if best is None or m.summary.trainingCost < best.summary.trainingCost:
-                    best = m
-            self.model = best
-            # MLlib numbers clusters arbitrarily: renumber by the centres' order
-            centers = [tuple(float(v) for v in c) for c in best.clusterCenters()]
-            order = sorted(range(len(centers)), key=lambda i: centers[i])
-            self.relabel = {old: new for new, old in enumerate(order)}
+            sample = data.orderBy(F.xxhash64(*self._names, F.lit(self.seed)), *self._names).limit(SAMPLE_ROWS).collect()
+            x = np.array(sample, dtype=float).reshape(-1, len(self.features))
+            if len(x) < self.k:
+                raise ValueError(f"{len(x)} rows for {self.k} clusters")
+            spread = [v or 0.0 for v in data.agg(*[F.var_pop(c) for c in self._names]).first()]
+            starts = [starting_centres(x, self.k, self.seed + i) for i in range(self.n_init)]
+            best = min(lloyd(data, self._names, starts, self.max_iter, self.tol * float(np.mean(spread))), key=lambda r: r["cost"])
         finally:
             data.unpersist()
+        self.centres, self.cost = sorted(best["centres"].tolist()), float(best["cost"])
         return self
 
     def predict(self, df: DataFrame) -> DataFrame:
-        if self.model is None:
+        if self.centres is None:
             raise ValueError("the segmenter has not been fitted")
-        out = self.model.transform(self._vectors(df)).drop("_features")
-        mapping = F.create_map(*[F.lit(x) for kv in self.relabel.items() for x in kv])
-        return out.withColumn("cluster", mapping[F.col("cluster")].cast("int"))
+        return assign_nearest(self._scaled(df), self.centres, self._names).drop("cost", *self._names)
 
     def fit_predict(self, df: DataFrame) -> DataFrame:
         return self.fit(df).predict(df)
@@ -207,24 +277,14 @@ class CustomerSegmenter:
         """K4: centres in original units (inverse scaling, F10)."""
         from riskweave.operators.prepare import apply_scaler
         spark = self.scale_params.sparkSession
-        rows = [(self.relabel[i], *[float(v) for v in c]) for i, c in enumerate(self.model.clusterCenters())]
-        cdf = spark.createDataFrame(rows, ["cluster_id", *self.features])
+        cdf = spark.createDataFrame([(i, *c) for i, c in enumerate(self.centres)], ["cluster_id", *self.features])
         return apply_scaler(cdf, self.scale_params, inverse=True)
 
     def inertia(self, df: DataFrame | None = None) -> float:
-        """K5: within-cluster sum of squares (training cost, or on ``df``)."""
+        """K5: within-cluster sum of squares (of the fit, or on ``df``)."""
         if df is None:
-            return float(self.model.summary.trainingCost)
-        from pyspark.ml.functions import vector_to_array
-        pred = self.model.transform(self._vectors(df))
-        centers = self.model.clusterCenters()
-        # raw (MLlib) cluster ids here: ``pred`` comes straight from the model
-        cdf = df.sparkSession.createDataFrame([(i, [float(v) for v in c]) for i, c in enumerate(centers)],
-                                              "cluster int, center array<double>")
-        d = pred.join(F.broadcast(cdf), "cluster").select(
-            F.aggregate(F.zip_with(vector_to_array("_features"), "center", lambda a, b: (a - b) * (a - b)),
-                        F.lit(0.0), lambda acc, v: acc + v).alias("d2"))
-        return float(d.agg(F.sum("d2")).first()[0])
+            return self.cost
+        return float(assign_nearest(self._scaled(df).select(*self._names), self.centres, self._names).agg(F.sum("cost")).first()[0])
 
 
 def assign_nearest(df: DataFrame, centres: list[list[float]], features=RFM, cluster_col: str = "cluster") -> DataFrame:

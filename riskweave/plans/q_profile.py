@@ -1,6 +1,9 @@
 """Numeric profiling queries on lineitem's measures and orders' dates."""
 
 from riskweave.operators import profile as P
+from pyspark.sql import functions as F
+
+from riskweave.plans.derived import LINEITEM_MISSING_SQL, lineitem_with_missing
 from riskweave.plans.catalog import register, rounded, table
 
 L_NUM = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
@@ -126,3 +129,38 @@ SELECT variable, round(q1, 4) AS q1, round(median, 4) AS median, round(q3, 4) AS
 FROM f JOIN o USING (variable)""")
 def q_box(spark, sf):
     return rounded(P.box_stats(li(spark, sf), L_NUM), 4)
+
+
+STATE_COLS = ["l_quantity", "l_extendedprice", "l_discount"]
+
+
+def _state_sql():
+    one = """SELECT '{c}' AS variable, count({c}) AS n, count(*) - count({c}) AS missing, round(avg({c}), 4) AS mean, round(stddev_samp({c}), 4) AS std, min({c}) AS min, max({c}) AS max,
+       true AS distinct_within_error, true AS quantiles_within_error FROM lineitem_m"""
+    return f"WITH {LINEITEM_MISSING_SQL} " + " UNION ALL ".join(one.format(c=c) for c in STATE_COLS)
+
+
+@register("profile_state_merged", _state_sql())
+def q_profile_state(spark, sf):
+    """lineitem profiled by line number, the states written, read again and merged; the sketches' estimates are held against
+    the exact counts and ranks."""
+    import uuid
+
+    from riskweave.operators import profile_state as PS
+    from riskweave.session import ensure_checkpoint_dir
+    li = lineitem_with_missing(spark, sf).withColumn("half", F.col("l_linenumber") % 2)
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/profile-state-{uuid.uuid4().hex}"
+    for half in (0, 1):
+        PS.profile_state(li.where(F.col("half") == half), STATE_COLS, ["half", "l_linenumber"]).write.mode("append").parquet(path)
+    got = PS.read_state(PS.merge_state(PS.merge_state(spark.read.parquet(path), ["half"])))
+    # exact: distinct values, and the share of values up to each estimated quantile
+    clean = lambda c: F.when(~F.isnan(c), F.col(c))
+    exact = li.select(F.explode(F.array(*[F.struct(F.lit(c).alias("variable"), clean(c).alias("v")) for c in STATE_COLS])).alias("p")).select("p.*").where("v is not null")
+    ranks = exact.join(F.broadcast(got.select("variable", "q25", "q50", "q75")), "variable").groupBy("variable").agg(
+        F.count_distinct("v").alias("exact_distinct"), F.count(F.lit(1)).alias("k"),
+        *[F.count_if(F.col("v") < F.col(f"q{p}")).alias(f"below{p}") for p in (25, 50, 75)], *[F.count_if(F.col("v") <= F.col(f"q{p}")).alias(f"upto{p}") for p in (25, 50, 75)])
+    near = F.lit(True)
+    for p in (25, 50, 75):
+        near = near & (F.col(f"below{p}") / F.col("k") <= p / 100 + 0.01) & (F.col(f"upto{p}") / F.col("k") >= p / 100 - 0.01)
+    out = got.join(ranks, "variable").withColumns({"distinct_within_error": F.abs(F.col("n_distinct") - F.col("exact_distinct")) <= 0.04 * F.col("exact_distinct"), "quantiles_within_error": near})
+    return rounded(out.select("variable", "n", "missing", "mean", "std", "min", "max", "distinct_within_error", "quantiles_within_error"), 4, only=["mean", "std"])

@@ -164,3 +164,29 @@ def q_assign(spark, sf):
     """K2 with given centres: each customer's nearest centre and its squared distance."""
     r = orders_rfm(spark, sf).withColumn("monetary", F.round("monetary", 2))
     return rounded(SG.assign_nearest(r, CENTRES).select("o_custkey", "cluster", "cost"), 0)
+
+
+def _steps_sql(n):
+    """n moves of the centres, each from the assignment to those before."""
+    steps = ["c0 AS (SELECT * FROM (VALUES " + ", ".join(f"({i}, {', '.join(str(v) + '::DOUBLE' for v in c)})" for i, c in enumerate(STARTS)) + ") t(cluster, a, b, c))"]
+    for k in range(n + 1):
+        steps.append(f"""n{k} AS (SELECT o_custkey, x, y, z, min({{'d': (x - a) * (x - a) + (y - b) * (y - b) + (z - c) * (z - c), 'cluster': cluster}}) AS best FROM p, c{k} GROUP BY o_custkey, x, y, z)""")
+        if k < n:
+            steps.append(f"c{k + 1} AS (SELECT best.cluster AS cluster, avg(x) AS a, avg(y) AS b, avg(z) AS c FROM n{k} GROUP BY best.cluster)")
+    return ", ".join(steps)
+
+
+# Starting centres of (days since the last order / 100, orders, spent in millions).
+STARTS, MOVES = [[0.5, 14.0, 2.0], [2.0, 8.0, 1.0], [8.0, 3.0, 0.3]], 4
+
+
+@register("kmeans_steps", "WITH r AS (" + RFM_SQL + f"""), p AS (SELECT o_custkey, recency / 100.0 AS x, CAST(frequency AS DOUBLE) AS y, monetary / 1000000.0 AS z FROM r),
+{_steps_sql(MOVES)}
+SELECT CAST(c.cluster AS INTEGER) AS cluster, round(c.a, 6) AS a, round(c.b, 6) AS b, round(c.c, 6) AS c, count(o_custkey) AS n
+FROM c{MOVES} c LEFT JOIN n{MOVES} n ON n.best.cluster = c.cluster GROUP BY ALL""")
+def q_kmeans_steps(spark, sf):
+    """K-Means from given centres: the centres after four moves, and the customers nearest to each."""
+    r = orders_rfm(spark, sf).withColumn("monetary", F.round("monetary", 2)).select((F.col("recency") / 100).alias("x"), F.col("frequency").cast("double").alias("y"), (F.col("monetary") / 1000000).alias("z"))
+    got = SG.lloyd(r, ["x", "y", "z"], [STARTS], MOVES, tol=-1.0)[0]
+    rows = [(i, *map(float, c), n) for i, (c, n) in enumerate(zip(got["centres"], got["sizes"], strict=True))]
+    return rounded(spark.createDataFrame(rows, "cluster int, a double, b double, c double, n long"), 6)

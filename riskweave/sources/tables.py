@@ -6,10 +6,12 @@ schema (no inference pass over the data).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from riskweave.functions.quantiles import materialise
+
 DRIVER_TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem",
                  "events", "documents", "embeddings", "pages", "benchmark", "labels",
                  "conversations")
@@ -42,6 +44,42 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType | None = None,
     return reader.csv(path)
 
 
+def read_csv_kept(spark: SparkSession, path: str, schema: T.StructType, timestamp_format: str | None = None, sep: str = ",") -> tuple[DataFrame, DataFrame]:
+    """S1, T1 with bad rows kept: (good rows in their types, quarantined rows), from one scan of a CSV file or folder with headers.
+
+    A quarantined row has its ``file``, its ``record`` (its number among the file's non-empty lines after the header), the first bad
+    ``column`` (NULL where the number of cells is wrong), a ``reason`` and the ``line`` as written. Together both are all records. Every
+    line is a record: quoted line breaks are not joined."""
+    text = T.StructType([T.StructField(f.name, T.StringType()) for f in schema.fields] + [T.StructField("_line", T.StringType())])
+    reader = spark.read.option("header", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_line").option("sep", sep).option("enforceSchema", True)
+    raw = reader.schema(text).csv(path).select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_start"))
+    # a short or long line has its text in _line already; the others' text is their cells
+    cells = F.array_join(F.array(*[F.coalesce(F.col(f"`{f.name}`"), F.lit("")) for f in schema.fields]), sep)
+    typed, first_bad = [], F.lit(None).cast("string")
+    for f in reversed(schema.fields):
+        c = F.col(f"`{f.name}`")
+        if isinstance(f.dataType, (T.TimestampNTZType, T.TimestampType)) and timestamp_format:
+            value = F.try_to_timestamp(c, F.lit(timestamp_format)).cast(f.dataType)
+        elif isinstance(f.dataType, T.StringType):
+            value = c
+        else:
+            value = F.trim(c).try_cast(f.dataType)
+        typed.append(value.alias(f.name))
+        first_bad = F.when(c.isNotNull() & value.isNull(), F.lit(f.name)).otherwise(first_bad)
+    kinds = F.create_map(*[F.lit(x) for f in schema.fields for x in (f.name, f"not a {f.dataType.simpleString()}")])
+    marked = raw.withColumn("_bad", F.when(F.col("_line").isNull(), first_bad)).withColumn("_at", F.monotonically_increasing_id())
+    marked = marked.withColumn("_why", F.when(F.col("_line").isNotNull(), F.lit("wrong number of cells")).otherwise(kinds[F.col("_bad")]))
+    marked = materialise(marked.withColumn("_line", F.when(F.col("_why").isNotNull(), F.coalesce("_line", cells))))
+    good = marked.where("_why is null").select(*reversed(typed))
+    # A split's rows are numbered in order: a record's number is that of the splits before it and its place in its own.
+    splits = marked.groupBy("_file", "_start").agg(F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_first"))
+    before = Window.partitionBy("_file").orderBy("_start").rowsBetween(Window.unboundedPreceding, -1)
+    splits = splits.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    bad = marked.where("_why is not null").join(splits, ["_file", "_start"])
+    return good, bad.select(F.col("_file").alias("file"), (F.col("_before") + F.col("_at") - F.col("_first") + 1).alias("record"), F.col("_bad").alias("column"),
+                            F.col("_why").alias("reason"), F.col("_line").alias("line"))
+
+
 def bounded_scan(df: DataFrame, n: int = 1000) -> DataFrame:
     """The first ``n`` rows (a LIMIT; the scan stops early)."""
     return df.limit(n)

@@ -76,8 +76,7 @@ def test_kmeans_segmenter(spark):
     # every row is with its nearest centre, and the cost is the sum of the squared distances
     from riskweave.operators.prepare import apply_scaler
     scaled = apply_scaler(pred.select(*SG.RFM, "cluster"), seg.scale_params)
-    model = seg.model.clusterCenters()
-    centres = [list(model[old]) for old, _ in sorted(seg.relabel.items(), key=lambda x: x[1])]
+    centres = seg.centres
     near = SG.assign_nearest(scaled.withColumnRenamed("cluster", "given"), centres).collect()
     assert all(r["given"] == r["cluster"] for r in near) and abs(sum(r["cost"] for r in near) - seg.inertia()) < 1e-6
     assert abs(seg.inertia(df) - seg.inertia()) < 1e-6
@@ -154,3 +153,26 @@ def test_load_split_save(spark, tmp_path):
     assert SP.load_split(spark, str(tmp_path / "out"), "val").count() == 10
     with pytest.raises(ValueError, match="Missing required columns"):
         SP.load_split_save(spark, str(tmp_path / "in"), str(tmp_path / "out2"), ["id"], "no_such", fmt="csv")
+
+
+def test_restarts_side_by_side_equal_single_ones(spark):
+    """Every restart as a plain loop gives it; the scans are those of the longest restart and one for the costs."""
+    import numpy as np
+    rng = np.random.default_rng(3)
+    x = np.concatenate([rng.normal(m, 0.4, (70, 2)) for m in ((0, 0), (3, 1), (0, 4))])
+    df = spark.createDataFrame([tuple(map(float, r)) for r in x], "a double, b double").repartition(3)
+    starts = [SG.starting_centres(x, 3, seed) for seed in range(4)] + [np.array([[0.0, 0.0], [3.0, 1.0], [99.0, 99.0]])]
+    got = SG.lloyd(df, ["a", "b"], starts, 50)
+    for start, r in zip(starts, got, strict=True):
+        c, n = np.array(start, dtype=float), 0
+        while True:
+            own = ((x[:, None] - c[None]) ** 2).sum(2).argmin(1)
+            new = np.array([x[own == j].mean(0) if (own == j).any() else c[j] for j in range(3)])
+            n += 1
+            if np.array_equal(new, c) or np.allclose(new, c, atol=1e-15):
+                break
+            c = new
+        own = ((x[:, None] - new[None]) ** 2).sum(2)
+        assert np.allclose(r["centres"], new) and abs(r["cost"] - own.min(1).sum()) < 1e-9 and sum(r["sizes"]) == len(x) and abs(r["iterations"] - n) <= 2
+    assert got[4]["sizes"][2] == 0 and got[4]["centres"][2].tolist() == [99.0, 99.0]
+    assert SG.lloyd(df, ["a", "b"], starts[:1], 0)[0]["iterations"] == 0
