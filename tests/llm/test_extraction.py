@@ -56,3 +56,44 @@ def test_query_against_template(spark):
         body = re.search(r"<article>(.*)</article>", pages[r.page_id], re.S)[1]
         parts = [" ".join(unescape(re.sub(r"</?(?:b|br)>", " ", x)).split()) for x in re.split(r"</?(?:p|h1)>", body)]
         assert r.text == "\n\n".join(x for x in parts if x)
+
+
+PARAGRAPH = "<p>" + "This is a long paragraph of the article, with commas, and more. " * 6 + "</p>"
+PLAIN = " ".join(("This is a long paragraph of the article, with commas, and more. " * 6).split())
+
+
+@pytest.mark.parametrize("name", ["elementor-widget-container", "content no-sidebar", "post has-comments", "social-studies", "notice of public hearing", "search-results-page main",
+                                  "tags-and-history", "header-fixed layout", "comments", "sidebar"])
+def test_a_class_word_alone_does_not_take_the_article(name):
+    page = f"<html><body><nav><a href='/'>Home</a></nav><div class='{name}'>{PARAGRAPH}{PARAGRAPH}<div class='ad'><p>Buy this now, it is cheap.</p></div></div><footer>Imprint</footer></body></html>"
+    assert extraction.main_text(page) == PLAIN + "\n\n" + PLAIN
+
+
+def test_named_parts_beside_an_article_go():
+    comment = "<div class='comment'><p>I do not agree with this at all, as I said before, and will say again.</p></div>"
+    page = f"<body><div class='post'>{PARAGRAPH}{PARAGRAPH}</div><section id='comments'>{comment * 6}</section><div class='cookie-notice'><p>We use cookies, as all do, to keep you signed in.</p></div></body>"
+    assert extraction.main_text(page) == PLAIN + "\n\n" + PLAIN
+    inside = f"<article><div class='post-header'><h1>A title of the article</h1><p>By somebody, on Monday</p></div>{PARAGRAPH}{PARAGRAPH}<section class='comments'><h3>Comments</h3>{comment * 3}</section></article>"
+    assert extraction.main_text(inside) == "A title of the article\n\n" + PLAIN + "\n\n" + PLAIN
+
+
+def test_ratios_decide_where_nothing_is_declared():
+    """No tags or classes that say anything: lists of links and short lines go, paragraphs stay."""
+    menu = "<div>" + "".join(f"<div><a href='/{k}'>Section {k}</a></div>" for k in range(8)) + "</div>"
+    related = "<div><div><a href='/x'>Read also this other story of ours</a></div><div><a href='/y'>And that one</a></div></div>"
+    page = f"<html><body>{menu}<div><div>{PARAGRAPH}{PARAGRAPH}</div></div>{related}<div><span>Terms</span></div></body></html>"
+    found, above = extraction.blocks(page)
+    assert len(found) > 11 and extraction.select(found, above) == [PLAIN, PLAIN]
+
+
+@pytest.mark.parametrize("page", ["<div>some words, here " * 20_000, "<div>" * 30_000 + "<li>x</li>" * 30_000 + "<b>" * 30_000 + "</i>" * 30_000,
+                                  "<div class='ad'>words here, " * 20_000, "<table><tr><td>" * 15_000 + "x" + "</p>" * 15_000])
+def test_time_is_linear_in_deep_pages(page):
+    import time
+    start = time.process_time()
+    extraction.main_text(page)
+    whole = time.process_time() - start
+    start = time.process_time()
+    extraction.main_text(page[:len(page) // 4])
+    quarter = time.process_time() - start
+    assert whole < 8 and whole < 9 * quarter + 0.5
