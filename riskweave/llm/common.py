@@ -58,10 +58,9 @@ def row_draws(df: DataFrame, *cols: str) -> DataFrame:
     return salted.withColumn("_draw", F.pmod(F.xxhash64(*cols, "_place"), F.lit(1 << 30)) / float(1 << 30)).drop("_place")
 
 
-def sample_by_key(df: DataFrame, key: str, id_col: str, per_key: int, max_keys: int = 200, unique_ids: bool = False) -> DataFrame:
+def sample_by_key(df: DataFrame, key: str, per_key: int, max_keys: int) -> DataFrame:
     """About ``per_key`` rows of each value of ``key`` (null left out): those whose draw falls below per_key / count. Draws
-    are by row, whatever ids and texts are null or repeated; by id alone where ``unique_ids`` says that no id is.
-    Of more than ``max_keys`` values the most frequent are sampled.
+    are by row, whatever ids and texts are null or repeated. Of more than ``max_keys`` values the most frequent are sampled.
 
     One counting pass over the key column and one filtering pass, no sort and no shuffle of texts. The number of rows
     is binomial around ``per_key``; it does not grow with the table. Only the counts come to the driver."""
@@ -72,11 +71,20 @@ def sample_by_key(df: DataFrame, key: str, id_col: str, per_key: int, max_keys:
     share = F.lit(None).cast("double")
     for value, n in counts.items():
         share = F.when(F.col(key) == F.lit(value), F.lit(min(1.0, per_key / n))).otherwise(share)
-    if unique_ids:
-        return df.where(F.col(key).isNotNull() & (F.pmod(F.xxhash64(F.col(id_col)), F.lit(1 << 30)) / float(1 << 30) < share))
     return row_draws(df, *df.columns).where(F.col(key).isNotNull() & (F.col("_draw") < share)).drop("_draw")
 
 
+def free_names(df: DataFrame, *wanted: str) -> list[str]:
+    """Names for helper columns that no column of ``df`` has."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in wanted:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def keep_rows(docs: DataFrame, text_col: str, accepted: Callable[[list], list[bool]]) -> DataFrame:
     """The rows whose text ``accepted`` takes, with all their columns and without a shuffle."""
     if len({c.lower() for c in docs.columns}) != len(docs.columns):

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskweave.llm.common import docs_of, drop_shared, text_blocks, write_shared
+from riskweave.llm.common import docs_of, drop_shared, free_names, text_blocks, write_shared
 from riskweave.llm.components import components
 from riskweave.llm.grouped import mix, whole_groups
 from riskweave.llm.linededup import LEAST, line_id
@@ -284,9 +284,10 @@ def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     Rows with the same id and text count as one."""
     found = join(docs.select(id_col, text_col), id_col, text_col, **options)
-    did = F.coalesce("doc_id", F.lit(LEAST))
-    with_words = found.where("equal_set is not null").groupBy("component").agg(F.min(F.struct(did.alias("_did"), F.col("th").alias("_th"))).alias("at")).select("at._did", "at._th")
-    wordless = found.where("equal_set is null").select(did.alias("_did"), F.col("th").alias("_th")).distinct()
-    keys = with_words.unionAll(wordless).withColumn("_th", F.coalesce("_th", F.lit(0)))
-    keyed = docs.withColumns({"_did": F.coalesce(F.col(id_col), F.lit(LEAST)), "_th": F.coalesce(F.when(F.col(text_col).isNotNull(), F.xxhash64(F.col(text_col))), F.lit(0))})
-    return keyed.join(keys, ["_did", "_th"], "left_semi").dropDuplicates(["_did", "_th"]).select(*docs.columns)
+    own = F.coalesce("doc_id", F.lit(LEAST))
+    did, th = free_names(docs, "_did", "_th")
+    with_words = found.where("equal_set is not null").groupBy("component").agg(F.min(F.struct(own.alias(did), F.col("th").alias(th))).alias("at")).select(f"at.{did}", f"at.{th}")
+    wordless = found.where("equal_set is null").select(own.alias(did), F.col("th").alias(th)).distinct()
+    keys = with_words.unionAll(wordless).withColumn(th, F.coalesce(th, F.lit(0)))
+    keyed = docs.withColumns({did: F.coalesce(F.col(id_col), F.lit(LEAST)), th: F.coalesce(F.when(F.col(text_col).isNotNull(), F.xxhash64(F.col(text_col))), F.lit(0))})
+    return keyed.join(keys, [did, th], "left_semi").dropDuplicates([did, th]).select(*docs.columns)

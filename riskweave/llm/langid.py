@@ -4,9 +4,11 @@ A word's score for each language sums weights of its affixes, character n-grams
 a fixed table); learned transitions join neighbouring words, and forward-backward gives each word's language given all
 others, so a text may switch language. A document gets the language with most word probability, and as score its share.
 
-The field is fitted on the driver from a bounded sample of labelled rows (``per_lang`` documents a language, a
-parameter); sequences of the fit join stretches of different languages, else no switch could be learned. Prediction
-reads whole texts: a long text's chain is cut into blocks whose transfer matrices are joined exactly.
+The field is fitted on the driver from a bounded sample of labelled rows; sequences of the fit join stretches of different
+languages, else no switch could be learned. The fit's parameters bound it: ``per_lang`` documents of each of the ``max_langs`` most
+frequent languages (rarer ones are not learned), ``per_lang_sequences`` sequences of 48 words for each of them, and the
+``lexicon_size`` most frequent words of each as its lexicon. Prediction reads whole texts and words: a run of over 32 letters, as in
+scripts without spaces, counts as several words of 32 letters; a long text's chain is cut into blocks whose transfer matrices are joined exactly.
 
 Defined results: null text, or one without a letter: ``und``, score 0. Nothing labelled: all ``und``. Repeated rows are
 labelled each; an empty table gives no rows. Ties between languages go to the first by name.
@@ -26,8 +28,8 @@ from pyspark.sql import functions as F
 
 from riskweave.llm.common import docs_of, keep_rows, sample_by_key, text_blocks
 
-WORD = re.compile(r"[^\W\d_]+")
 WIDTH, BITS, BLOCK = 32, 16, 32
+WORD = re.compile(rf"[^\W\d_]{{1,{WIDTH}}}")  # a longer run is several words
 SCHEMA = ("doc_id long, lang_pred string, score double, n_words long, switches long, "
           "runs array<struct<lang:string,start:long,end:long>>")
 
@@ -39,10 +41,8 @@ def words_of(text: str) -> list[str]:
 
 
 def _codes(words: list[str]) -> np.ndarray:
-    """Code points of ^word$, one row each; of a longer word its first and last half width count."""
-    half = WIDTH // 2
-    short = [w if len(w) <= WIDTH else w[:half] + w[-half:] for w in words]
-    flat = np.array(short, dtype=f"U{WIDTH}").view(np.uint32).reshape(len(words), WIDTH)
+    """Code points of ^word$, one row each; a word has WIDTH letters at most."""
+    flat = np.array(words, dtype=f"U{WIDTH}").view(np.uint32).reshape(len(words), WIDTH)
     out = np.zeros((len(words), WIDTH + 2), dtype=np.uint32)
     out[:, 0], out[:, 1:-1] = ord("^"), flat
     out[np.arange(len(words)), 1 + (flat != 0).sum(1)] = ord("$")
@@ -139,8 +139,9 @@ def marginals(e: np.ndarray, doc: np.ndarray, n_docs: int, transitions: np.ndarr
     return out / out.sum(1, keepdims=True)
 
 
-def training_sequences(texts: list[tuple[str, str]], langs: list[str], length: int, seed: int) -> tuple[list[list[str]], np.ndarray]:
-    """Sequences of ``length`` words: half of one language, half of stretches (4 to 24 words) of several."""
+def training_sequences(texts: list[tuple[str, str]], langs: list[str], length: int, seed: int, per_lang: int) -> tuple[list[list[str]], np.ndarray]:
+    """Sequences of ``length`` words, ``per_lang`` for each language at most: half of one language, half of stretches (4 to 24 words)
+    of several."""
     rng = np.random.default_rng(seed)
     stock = {lang: [w for t, x in texts if x == lang for w in words_of(t)] for lang in langs}
     stock = {lang: ws for lang, ws in stock.items() if len(ws) >= 4}
@@ -149,7 +150,7 @@ def training_sequences(texts: list[tuple[str, str]], langs: list[str], length: i
         return [], np.empty((0, length), dtype=np.int64)
     total = sum(map(len, stock.values())) // length + 1
     seqs, labels = [], []
-    for s in range(min(total, 6000)):
+    for s in range(min(total, per_lang * len(names))):
         ws: list[str] = []
         ys: list[int] = []
         lang = names[s % len(names)]
@@ -166,7 +167,8 @@ def training_sequences(texts: list[tuple[str, str]], langs: list[str], length: i
     return seqs, np.array(labels)
 
 
-def fit_rows(texts: list[tuple[str, str]], length: int = 48, steps: int = 40, rate: float = 0.3, l2: float = 1e-6, lexicon_size: int = 200, seed: int = 7) -> Crf:
+def fit_rows(texts: list[tuple[str, str]], length: int = 48, steps: int = 40, rate: float = 0.3, l2: float = 1e-6, lexicon_size: int = 200,
+             per_lang_sequences: int = 1500, seed: int = 7) -> Crf:
     """Maximum likelihood of the labelled sequences by full-batch AdaGrad, with forward-backward for the gradient."""
     langs = sorted({x for _, x in texts})
     k = len(langs)
@@ -179,7 +181,7 @@ def fit_rows(texts: list[tuple[str, str]], length: int = 48, steps: int = 40, ra
             if c >= 3 and c / total >= 0.8 * sum(share):
                 lexicon[w] = j
     model = Crf(langs, np.zeros((1 << BITS, k)), lexicon, np.zeros((k + 1, k)), np.zeros((k, k)))
-    seqs, y = training_sequences(texts, langs, length, seed)
+    seqs, y = training_sequences(texts, langs, length, seed, per_lang_sequences)
     if not seqs or k < 2:
         return model
     index: dict[str, int] = {}
@@ -232,12 +234,13 @@ def fit_rows(texts: list[tuple[str, str]], length: int = 48, steps: int = 40, ra
     return model
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = 250) -> Crf:
-    """Fit on about ``per_lang`` documents of each language of the labelled rows (rows without text or label are left out)."""
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = 250, max_langs: int = 200, **options) -> Crf:
+    """Fit on about ``per_lang`` documents of each of the ``max_langs`` most frequent languages of the labelled rows (rows without text or
+    label are left out). ``options`` go to ``fit_rows``, ``per_lang_sequences`` and ``lexicon_size`` among them."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     rows = rows.where(F.col("text").isNotNull() & F.col("lang").isNotNull())
-    got = sample_by_key(rows, "lang", "doc_id", per_lang).select("text", "lang").collect()
-    return fit_rows(sorted((r.text, r.lang) for r in got))
+    got = sample_by_key(rows, "lang", per_lang, max_langs).select("text", "lang").collect()
+    return fit_rows(sorted((r.text, r.lang) for r in got), **options)
 
 
 @dataclass

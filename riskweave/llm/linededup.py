@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskweave.llm.common import docs_of, drop_shared, text_blocks, write_shared
+from riskweave.llm.common import docs_of, drop_shared, free_names, text_blocks, write_shared
 from riskweave.llm.components import components
 from riskweave.llm.grouped import mix, whole_groups
 from riskweave.llm.shingles import char_shingles
@@ -293,12 +293,13 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     A document of which no line stays goes; of rows with the same id and text one stays. Documents without a non-blank
     line are left as they are."""
     found = classes(docs.select(id_col, text_col), id_col, text_col, **options)
-    stay = found.groupBy(F.coalesce("doc_id", F.lit(LEAST)).alias("_did"), F.col("th").alias("_th")).agg(
-        F.collect_set(F.when(F.col("kept"), F.col("line_no"))).alias("_stay"), F.countDistinct("line_no").alias("_lines"))
-    keyed = docs.withColumns({"_did": F.coalesce(F.col(id_col), F.lit(LEAST)), "_th": F.xxhash64(F.col(text_col))})
-    joined = keyed.join(stay, ["_did", "_th"], "left").where(F.col("_stay").isNull() | (F.size("_stay") > 0)).dropDuplicates(["_did", "_th"])
-    whole = F.col("_stay").isNull() | (F.size("_stay") == F.col("_lines"))
-    cut = F.pandas_udf(_keep_lines, "string")(F.when(~whole, F.col(text_col)), F.when(~whole, F.col("_stay")))
+    did, th, kept, count = free_names(docs, "_did", "_th", "_stay", "_lines")
+    stay = found.groupBy(F.coalesce("doc_id", F.lit(LEAST)).alias(did), F.col("th").alias(th)).agg(
+        F.collect_set(F.when(F.col("kept"), F.col("line_no"))).alias(kept), F.countDistinct("line_no").alias(count))
+    keyed = docs.withColumns({did: F.coalesce(F.col(id_col), F.lit(LEAST)), th: F.xxhash64(F.col(text_col))})
+    joined = keyed.join(stay, [did, th], "left").where(F.col(kept).isNull() | (F.size(kept) > 0)).dropDuplicates([did, th])
+    whole = F.col(kept).isNull() | (F.size(kept) == F.col(count))
+    cut = F.pandas_udf(_keep_lines, "string")(F.when(~whole, F.col(text_col)), F.when(~whole, F.col(kept)))
     return joined.withColumn(text_col, F.when(whole, F.col(text_col)).otherwise(cut)).select(*docs.columns)
 
 

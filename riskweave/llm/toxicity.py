@@ -5,8 +5,9 @@ words and starts that make up at least 1 in 200 of its words. The fit minimises
 net, and a counterfactual term: each labelled text that names an identity group is repeated with the terms swapped for
 others of the same kind, and the squared change of its score is penalised. A neutral mention then carries no weight.
 
-The fit runs on the driver over a bounded sample (``per_class`` documents of either label, a parameter) weighted back
-to the table's class shares. Scoring reads whole texts, and needs only the weights that are not zero.
+The fit runs on the driver over a bounded sample weighted back to the table's class shares. Its parameters: ``per_class`` texts of
+either label (each id and text once, drawn by a hash of both, so neither a repeated row nor an id of many rows adds to it),
+``min_docs`` and ``max_features``: a feature is learned if so many sampled texts have it, the most frequent so many at most. Scoring reads whole texts, and needs only the weights that are not zero.
 
 Defined results: null or empty text: the score of the intercept alone. A document with several labels is toxic if one
 says so; null labels are left out. Without labels of both kinds every score is the share of toxic labels (0 without
@@ -26,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskweave.llm.common import docs_of, sample_by_key, text_blocks
+from riskweave.llm.common import docs_of, text_blocks
 
 TOKEN = re.compile(r"[^\W_]+")
 STARTS, DENSE = range(4, 8), 200
@@ -221,16 +222,22 @@ def fit_rows(rows: list[tuple[str, int, float]], terms: list[list[str]] | None =
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: int = 1500, **options) -> Weights:
-    """Fit on about ``per_class`` labelled documents of either label, weighted to the shares of all labelled rows."""
+    """Fit on about ``per_class`` labelled texts of either label, weighted to the shares of all labelled texts.
+
+    ``options`` go to ``fit_rows``, ``min_docs`` and ``max_features`` among them."""
     truth = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("y")).where("doc_id is not null and y is not null")
     truth = truth.groupBy("doc_id").agg(F.max((F.col("y") > 0).cast("int")).alias("y"))
-    ids = docs_of(docs, id_col, text_col)
-    truth = truth.join(ids.select("doc_id").distinct(), "doc_id", "left_semi").persist()
-    counts = {r.y: r["count"] for r in truth.groupBy("y").count().collect()}
-    # The sample's ids are few by construction, so they are broadcast to the texts.
-    sample = sample_by_key(truth, "y", "doc_id", per_class, unique_ids=True)
-    got = ids.join(F.broadcast(sample), "doc_id").select("text", "y").collect()
-    truth.unpersist()
+    keyed = docs_of(docs, id_col, text_col).withColumn("th", F.xxhash64(F.coalesce("text", F.lit(""))))
+    # ids and hashes only: each labelled (id, text) once, however many rows have it
+    known = keyed.select("doc_id", "th").join(truth, "doc_id").distinct().persist()
+    counts = {r.y: r["count"] for r in known.groupBy("y").count().collect()}
+    share = F.lit(0.0)
+    for y, n in counts.items():
+        share = F.when(F.col("y") == y, F.lit(min(1.0, per_class / n))).otherwise(share)
+    sample = known.where(F.pmod(F.xxhash64("doc_id", "th"), F.lit(1 << 30)) / float(1 << 30) < share)
+    # The sample is small by construction, so it is broadcast to the texts; equal rows are combined where they are read.
+    got = keyed.join(F.broadcast(sample), ["doc_id", "th"]).groupBy("doc_id", "th").agg(F.first("text").alias("text"), F.first("y").alias("y")).collect()
+    known.unpersist()
     taken = Counter(r.y for r in got)
     return fit_rows(sorted((r.text or "", r.y, counts[r.y] / taken[r.y]) for r in got), **options)
 

@@ -68,3 +68,25 @@ def test_query_held_out_accuracy(spark):
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) for r in rows)
     held = [r for r in rows if r.held_out]
     assert sum(r.lang_pred == truth[r.doc_id] for r in held) / len(held) > 0.98
+
+
+def test_every_letter_of_a_long_run_counts():
+    """A run of 48 letters whose middle alone tells the language."""
+    edge = "x" * 16
+    texts = [(edge + mid * 2 + edge, lang) for lang, mid in (("aa", "abcdabcd"), ("bb", "efghefgh")) for _ in range(60)]
+    assert all(len(langid.words_of(t)) == 2 and "".join(langid.words_of(t)) == t for t, _ in texts)
+    m = langid.fit_rows([(" ".join([t] * 6), lang) for t, lang in texts], steps=20)
+    assert langid.label_texts([edge + "abcd" * 4 + edge, edge + "efgh" * 4 + edge], m).pred == ["aa", "bb"]
+
+
+def test_sequences_follow_the_languages():
+    texts = [(" ".join(f"w{chr(97 + k % 26)}{lang}" for k in range(4000)), lang) for lang in ("aa", "bb", "cc")]
+    for per_lang in (5, 1500):
+        seqs, _ = langid.training_sequences(texts, ["aa", "bb", "cc"], 48, 1, per_lang)
+        assert len(seqs) == min(3 * per_lang, 12_000 // 48 + 1)
+
+
+def test_languages_beyond_the_bound_are_not_learned(spark):
+    docs = spark.createDataFrame([(i, f"wort{'abcdefghij'[i % 5]} " * 20, f"l{i % 5}") for i in range(100)] + [(900, "selten " * 20, "rare")], "doc_id long, text string, lang string")
+    assert langid.fit(docs, max_langs=5, steps=2).langs == [f"l{k}" for k in range(5)]
+    assert "rare" in langid.fit(docs, steps=2).langs

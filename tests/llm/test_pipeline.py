@@ -90,3 +90,16 @@ def test_stages_take_odd_rows_and_keep_columns(spark):
         assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "line_dedup", "jaccard_join", "decontamination", "packing"]
         pieces = corpus_pipeline.STAGES[-1][1](spark, docs, SF).collect()
         assert len({r.doc_id for r in pieces}) == (6 if docs.count() else 0)
+
+
+def test_stages_keep_columns_with_their_helpers_names(spark):
+    """Columns that are called like a stage's own come back as they were."""
+    from riskweave.llm import jaccardjoin, linededup
+    from pyspark.sql import functions as F
+    rows = [(1, "first line of the text\nsecond line of it here", 111), (2, "another text with words\nsecond line of it here", 222), (3, "one two three four five six seven", 333), (4, "one two three four five six seven", 444)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _did int").withColumns({"_th": F.col("_did") + 1, "_stay": F.col("_did") + 2, "_lines": F.col("_did") + 3, "th": F.col("_did") + 4})
+    for stage, ids in ((linededup.drop_repeated_lines, {1, 2, 3}), (jaccardjoin.keep_one_of_each, {1, 2, 3})):
+        got = stage(docs)
+        assert got.columns == docs.columns
+        out = {r.doc_id: (r._did, r._th, r._stay, r._lines, r.th) for r in got.collect()}
+        assert out == {i: tuple(111 * i + k for k in range(5)) for i in ids}

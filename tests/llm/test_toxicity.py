@@ -54,3 +54,16 @@ def test_query_held_out_accuracy(spark):
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) and r.predicted == int(r.score >= 0.5) for r in rows)
     held = [(r.predicted, truth[r.doc_id]) for r in rows if r.held_out and r.doc_id in truth]
     assert np.mean([p for p, y in held if y]) > 0.85 and np.mean([p for p, y in held if not y]) < 0.02
+
+
+def test_the_sample_is_bounded_by_texts(spark, monkeypatch):
+    """One labelled id holds most rows, one of its texts most of those: the driver gets each text once, and few of them."""
+    docs = spark.range(20_000).selectExpr("CASE WHEN id < 18000 THEN 1 ELSE id END AS doc_id", "CASE WHEN id < 9000 THEN 'one text' ELSE concat('text ', id) END AS text")
+    labels = spark.range(20_000).selectExpr("CASE WHEN id = 0 THEN 1 ELSE id END AS doc_id", "cast(id % 2 AS int) AS toxic")
+    seen = []
+    monkeypatch.setattr(toxicity, "fit_rows", lambda rows, **_: seen.append(rows))
+    toxicity.fit(docs, labels, per_class=50)
+    rows = seen[0]
+    assert 40 < len(rows) < 180 and len({t for t, _, _ in rows}) == len(rows)
+    total = {y: sum(w for _, v, w in rows if v == y) for y in (0, 1)}
+    assert abs(total[1] - (9001 + 1000)) < 1e-6 and abs(total[0] - 1000) < 1e-6
