@@ -14,11 +14,11 @@ from riskweave.operators import runs as RU
 from riskweave.operators import scoring as SC
 from riskweave.operators import segments as SG
 from riskweave.operators import splits as SP
-from riskweave.operators.sampling import seeded_sample
+from riskweave.operators.sampling import head, seeded_sample
 from riskweave.plans.catalog import register, rounded, table
 from riskweave.plans.derived import LINEITEM_MISSING_SQL, lineitem_with_missing
 from riskweave.plans.q_prepare import feature_processor
-from riskweave.plans.q_segments import rfm_banded
+from riskweave.plans.q_segments import SCORES, rfm_banded
 from riskweave.session import ensure_checkpoint_dir
 
 LABEL = "is_high_risk"
@@ -135,6 +135,15 @@ def q_fold_counts(spark, sf):
     return f.groupBy("fold", "y").agg(F.count(F.lit(1)).alias("n"))
 
 
+@register("fold_members", """
+WITH o AS (SELECT o_orderkey, CAST(o_orderstatus = 'F' AS INTEGER) AS y FROM orders),
+r AS (SELECT *, row_number() OVER (PARTITION BY y ORDER BY substr(md5('42|' || o_orderkey), 1, 13), o_orderkey) AS rn,
+             count(*) OVER (PARTITION BY y) AS n FROM o)
+SELECT o_orderkey, y, CAST((SELECT count(*) FROM range(1, 5) t(j) WHERE rn > ceil(j * n / 5.0)) AS INTEGER) AS fold FROM r""")
+def q_fold_members(spark, sf):
+    return SP.fold_column(status_labelled(spark, sf), ["o_orderkey"], "y", 5, 42)
+
+
 @register("seeded_sample", "SELECT * FROM orders ORDER BY md5('42|' || o_orderkey), o_orderkey LIMIT 1000")
 def q_seeded_sample(spark, sf):
     return seeded_sample(table(spark, sf, "orders"), ["o_orderkey"], 1000, 42)
@@ -270,6 +279,21 @@ def q_risk_bands_missing(spark, sf):
     return SC.with_risk_bands(li).drop("probability")
 
 
+@register("features_with_target", SCORES + """,
+lab AS (SELECT o_custkey, CAST(cluster = worst AS INTEGER) AS is_high_risk FROM rc, w)
+SELECT o_orderkey, o_totalprice, coalesce(is_high_risk, 0) AS is_high_risk FROM orders LEFT JOIN lab USING (o_custkey)""")
+def q_features_with_target(spark, sf):
+    """The label joined to a table of features by the transaction's key."""
+    o = table(spark, sf, "orders")
+    lab = SG.create_high_risk_target(rfm_banded(spark, sf), o, "o_custkey")["transactions"]
+    return SG.attach_target(o.select("o_orderkey", "o_totalprice"), lab, "o_orderkey", LABEL)
+
+
+@register("preview", "SELECT * FROM orders ORDER BY o_orderdate DESC, o_orderkey LIMIT 5")
+def q_preview(spark, sf):
+    return head(table(spark, sf, "orders"), [F.col("o_orderdate").desc(), "o_orderkey"], 5)
+
+
 # --------------------------------------------------------------------------- models
 def _split_labelled(spark, sf):
     """(train, test) of the labelled features; what reads them several times persists and releases them."""
@@ -292,6 +316,38 @@ def q_model_metrics(spark, sf):
     return t.metrics_summary(spark)
 
 
+def _newton_sql(steps=10):
+    """Newton's method for the fit of logistic_optimum, one scan a step: three unknowns, solved by Cramer's rule."""
+    rows = """WITH x AS (SELECT l_quantity / 50.0 AS q, l_extendedprice / 100000.0 AS e, CAST(l_returnflag = 'R' AS INTEGER) AS y FROM lineitem),
+b0 AS (SELECT 0.0::DOUBLE AS b, 0.0::DOUBLE AS u, 0.0::DOUBLE AS v)"""
+    for k in range(1, steps + 1):
+        rows += f""",
+a{k} AS (SELECT b, u, v, 1.0 / count(*) AS lam, avg(p * (1 - p)) AS h00, avg(p * (1 - p) * q) AS h01, avg(p * (1 - p) * e) AS h02,
+  avg(p * (1 - p) * q * q) AS h11, avg(p * (1 - p) * q * e) AS h12, avg(p * (1 - p) * e * e) AS h22,
+  avg(p - y) AS g0, avg((p - y) * q) AS g1, avg((p - y) * e) AS g2
+  FROM (SELECT q, e, y, b, u, v, 1 / (1 + exp(-(b + u * q + v * e))) AS p FROM x, b{k - 1}) GROUP BY b, u, v),
+m{k} AS (SELECT b, u, v, h00, h01, h02, h11 + lam AS h11, h12, h22 + lam AS h22, g0, g1 + lam * u AS g1, g2 + lam * v AS g2 FROM a{k}),
+d{k} AS (SELECT *, h00 * (h11 * h22 - h12 * h12) - h01 * (h01 * h22 - h12 * h02) + h02 * (h01 * h12 - h11 * h02) AS det FROM m{k}),
+b{k} AS (SELECT b - (g0 * (h11 * h22 - h12 * h12) - h01 * (g1 * h22 - h12 * g2) + h02 * (g1 * h12 - h11 * g2)) / det AS b,
+  u - (h00 * (g1 * h22 - h12 * g2) - g0 * (h01 * h22 - h12 * h02) + h02 * (h01 * g2 - g1 * h02)) / det AS u,
+  v - (h00 * (h11 * g2 - g1 * h12) - h01 * (h01 * g2 - g1 * h02) + g0 * (h01 * h12 - h11 * h02)) / det AS v FROM d{k})"""
+    last = f"b{steps}"
+    return rows + f"""
+SELECT '(intercept)' AS feature, round(b, 3) AS coefficient, true AS at_optimum FROM {last}
+UNION ALL SELECT 'quantity', round(u, 3), true FROM {last}
+UNION ALL SELECT 'price', round(v, 3), true FROM {last}"""
+
+
+@register("logistic_optimum", _newton_sql())
+def q_logistic_optimum(spark, sf):
+    """M1's fit of two measures: its coefficients and whether the penalised gradient vanishes there."""
+    li = table(spark, sf, "lineitem").select((F.col("l_quantity") / 50.0).alias("quantity"), (F.col("l_extendedprice") / 100000.0).alias("price"),
+                                             (F.col("l_returnflag") == "R").cast("int").alias("y"))
+    fitted = MO.train_model("logistic_regression", li, ["quantity", "price"], "y", C=1.0, tol=1e-12, max_iter=1000)
+    out = MO.logistic_optimum(fitted, li, ["quantity", "price"], "y", 1.0)
+    return out.select("feature", F.round("coefficient", 3).alias("coefficient"), (F.abs("gradient") < 1e-6).alias("at_optimum"))
+
+
 # The example logistic-regression search space of the source project.
 EXAMPLE_LR_GRID = {"C": [0.01, 0.1, 1.0, 10.0, 100.0], "penalty": ["l1", "l2"], "solver": ["liblinear", "lbfgs"]}
 

@@ -1,5 +1,7 @@
 """Imputation, encoding, scaling and the full feature table."""
 
+from pyspark.sql import functions as F
+
 from riskweave.operators import prepare as PR
 from riskweave.operators.processor import FeatureProcessor
 from riskweave.plans.catalog import register, rounded, table
@@ -103,6 +105,27 @@ def q_scale_robust(spark, sf):
     return _scaled(spark, sf, "robust")
 
 
+@register("scale_none", f"SELECT l_orderkey, l_linenumber, {', '.join(f'round(CAST({c} AS DOUBLE), 6) AS {c}' for c in L_NUM)} FROM lineitem")
+def q_scale_none(spark, sf):
+    return _scaled(spark, sf, "none")
+
+
+def _inverse_sql():
+    back = lambda c: f"CASE WHEN {c}__s = 0 THEN 1 ELSE {c}__s END"
+    params = ", ".join(f"avg({c}) AS {c}__c, stddev_pop({c}) AS {c}__s" for c in L_NUM)
+    means = ", ".join(f"round(avg(({c} - {c}__c) / {back(c)}) * any_value({back(c)}) + any_value({c}__c), 4) AS {c}" for c in L_NUM)
+    return f"WITH p AS (SELECT {params} FROM lineitem) SELECT l_returnflag, {means} FROM lineitem, p GROUP BY l_returnflag"
+
+
+@register("scale_inverse", _inverse_sql())
+def q_scale_inverse(spark, sf):
+    """centres of groups in scaled space, brought back to the columns' own units."""
+    li = table(spark, sf, "lineitem").select("l_returnflag", *L_NUM)
+    params = PR.fit_scaler(li, L_NUM, "standardize")
+    centres = PR.apply_scaler(li, params).groupBy("l_returnflag").agg(*[F.avg(c).alias(c) for c in L_NUM])
+    return rounded(PR.apply_scaler(centres, params, inverse=True), 4)
+
+
 # --------------------------------------------------------------------------- full feature table
 TEMPORAL_SQL = {"transaction_hour": "hour(o_orderdate)", "transaction_day": "day(o_orderdate)",
                 "transaction_month": "month(o_orderdate)", "transaction_year": "year(o_orderdate)",
@@ -152,7 +175,6 @@ k AS (SELECT rid, v, row_number() OVER (PARTITION BY rid ORDER BY dist, did) AS
 f AS (SELECT rid, avg(v) AS fill FROM k WHERE rn <= 5 GROUP BY rid)
 SELECT x.event_id, round(coalesce(x.value, f.fill), 6) AS value FROM x LEFT JOIN f ON f.rid = x.event_id""")
 def q_knn(spark, sf):
-    from pyspark.sql import functions as F
     from riskweave.operators.knn import knn_impute
     e = events_with_nulls(spark, sf).select("event_id", "user_id", F.hour("ts").alias("hour"), "value")
     return rounded(knn_impute(e, ["user_id", "hour", "value"], "event_id", 5).select("event_id", "value"), 6)
@@ -171,7 +193,6 @@ def q_knn_transform(spark, sf):
     """Donors fitted on the even events fill the odd ones, by way of a saved and reloaded index."""
     import uuid
 
-    from pyspark.sql import functions as F
     from riskweave.operators.knn import KnnIndex
     from riskweave.session import ensure_checkpoint_dir
     e = events_with_nulls(spark, sf).select("event_id", "user_id", F.hour("ts").alias("hour"), "value")
@@ -184,7 +205,6 @@ def q_knn_transform(spark, sf):
 def q_feature_table_woe(spark, sf):
     """The processor with its WoE step: target 'order status F', WoE columns for
     the first five numeric features with more than ten distinct values."""
-    from pyspark.sql import functions as F
     o = table(spark, sf, "orders").withColumn("is_f", (F.col("o_orderstatus") == "F").cast("int"))
     fp = FeatureProcessor("o_custkey", "o_orderdate", "o_totalprice", "is_f", imputation="median",
                           encoding="onehot", scaling="standardize", id_rule="key_or_id", keep_cols=("o_orderkey",),

@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -251,3 +252,23 @@ def test_scoring_bands_and_width(spark):
     lr = m.stages[-1]
     card = {r["id"]: r for r in SC.linear_score(rows, list(lr.coefficients), lr.intercept).collect()}
     assert all(abs(card[i]["probability"] - scored[i]["probability"]) < 1e-9 for i in range(200)) and card[999]["prediction"] is None
+
+
+def test_logistic_optimum(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(400, 2))
+    y = (rng.random(400) < 1 / (1 + np.exp(-(0.4 + 1.5 * x[:, 0] - x[:, 1])))).astype(int)
+    df = spark.createDataFrame([(float(a), float(b), int(c)) for (a, b), c in zip(x, y, strict=True)], "a double, b double, y int")
+    model = MO.train_model("logistic_regression", df, ["a", "b"], "y", C=0.1, tol=1e-12)
+    got = {r.feature: r for r in MO.logistic_optimum(model, df, ["a", "b"], "y", 0.1).collect()}
+    assert set(got) == {"(intercept)", "a", "b"}
+    assert all(abs(r.gradient) < 1e-6 for r in got.values())
+    # The gradient at the same coefficients under another penalty, by hand.
+    w = np.array([got["a"].coefficient, got["b"].coefficient])
+    off = 1 / (1 + np.exp(-(got["(intercept)"].coefficient + x @ w))) - y
+    other = {r.feature: r.gradient for r in MO.logistic_optimum(model, df, ["a", "b"], "y", 1.0).collect()}
+    assert np.allclose([other["(intercept)"], other["a"], other["b"]], [off.mean(), *(off @ x / 400 + w / 400)])
+    holes = df.unionByName(spark.createDataFrame([(None, 1.0, 1)], "a double, b double, y int"))
+    assert all(r.gradient is None for r in MO.logistic_optimum(model, holes, ["a", "b"], "y", 0.1).collect())
+    unlabelled = df.unionByName(spark.createDataFrame([(1.0, 1.0, None)], "a double, b double, y int"))
+    assert all(abs(r.gradient) < 1e-6 for r in MO.logistic_optimum(model, unlabelled, ["a", "b"], "y", 0.1).collect())
