@@ -1,4 +1,5 @@
 """PII: base spans against the plain patterns, Luhn, what weak supervision adds and leaves alone, EM on planted votes."""
+import bisect
 import random
 import re
 
@@ -80,3 +81,45 @@ def test_em_finds_the_unreliable_labeler():
         counts[0, v] = counts.get((0, v), 0) + 1
     post = pii.estimate(counts)
     assert post[0, (0, 1, 1, -1)] > 0.9 and post[0, (0, -1, -1, 1)] < 0.1
+
+
+def planted(rng, k):
+    """(text, kind or None): loose spans that are personal data, with words that say so, and numbers that are none."""
+    digits = "".join(rng.choice("0123456789") for _ in range(14))
+    body = "4" + digits
+    good = body + next(c for c in "0123456789" if luhn(body + c))
+    wrong = body + next(c for c in "0123456789" if not luhn(body + c))
+    dotted = lambda d: ".".join(d[i:i + 4] for i in range(0, 16, 4))
+    n = [rng.randrange(1000, 9999) for _ in range(3)]
+    name = rng.choice(["anna", "b.meier", "carlos", "d_li", "eve77"])
+    return [(f"please write to {name}{k} (at) host{k} (dot) org today", "email"), (f"Mail: {name} at mail{k} dot example dot com", "email"), (f"Visa card {dotted(good)} on file", "card"),
+            (f"Karte Nr. {dotted(good)} gilt", "card"), (f"Tel. 030 {n[0]} {n[1]} heute", "phone"), (f"call (212) 555 {n[2]} now", "phone"),
+            (f"server 2001:db8:{n[0]:x}:{n[1]:x}:0:8a2e:370:{k:x} up", "ip"), (f"invoice no {dotted(wrong)} paid", None), (f"serial {wrong} built", None),
+            (f"on 2020 10 11 and {n[0]} rows", None), (f"article 300 {n[0]} {n[1]} of the law", None), (f"they met at home dot {name} left", None), (f"order {n[0]}-{n[1]}-{n[2]}", None)]
+
+
+def test_planted_loose_spans(spark, trained_rows):
+    rng = random.Random(12)
+    cases = [c for k in range(60) for c in planted(rng, k)]
+    texts = [t for t, _ in cases] + trained_rows
+    got = {r.doc_id: r.spans for r in pii.search(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    added = {i: [s.kind for s in got[i] if not s.base] for i in range(len(cases))}
+    hits = sum(kind in added[i] for i, (_, kind) in enumerate(cases) if kind)
+    false = sum(len([x for x in added[i] if x != kind]) for i, (_, kind) in enumerate(cases))
+    assert hits / sum(kind is not None for _, kind in cases) >= 0.9
+    assert false / (hits + false) <= 0.05
+
+
+def test_long_texts_and_many_spans(spark):
+    """A text of digits and letters, and one of many thousand spans of several kinds, against the plain patterns."""
+    rng = random.Random(3)
+    hexes = "".join(rng.choice("0123456789abcdef") for _ in range(60_000))
+    mixed = " ".join(rng.choice(["10.2.{}.4", "a{}@b.cd", "tel 030 1234 {}", "é🙂 {}", "+1 212 555 {}"]).format(rng.randrange(256)) for _ in range(20_000))
+    got = pii.search(spark.createDataFrame([(0, hexes), (1, mixed)], "doc_id long, text string"))
+    got = {r.doc_id: r for r in got.select("doc_id", "spans", pii.listed(pii.F.filter("spans", lambda s: s["base"])).alias("base")).collect()}
+    for i, t in enumerate((hexes, mixed)):
+        assert got[i].base == plain(t)
+        spans = sorted((s.start, s.end) for s in got[i].spans if not s.base)
+        base = sorted((s.start, s.end) for s in got[i].spans if s.base)
+        ends = [e for _, e in base]
+        assert all((j := bisect.bisect_right(ends, a)) >= len(base) or base[j][0] >= b for a, b in spans)
