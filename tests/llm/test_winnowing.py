@@ -71,3 +71,38 @@ def test_empty_and_single(spark, docs_schema):
 def test_window_must_be_a_power_of_two():
     with pytest.raises(ValueError, match="power of 2"):
         winnowing.minima(winnowing.F.lit(None), 24)
+
+
+def test_repeated_rows(spark):
+    """A third of the rows are one row, some more are a row without id: all come back, and none of them crowds a range."""
+    rng = random.Random(2)
+    hot, lost = "hot " + "abc de" * 20, "no id " * 9
+    rows = [(d, "".join(rng.choice("abcd ") for _ in range(rng.randrange(90)))) for d in range(400)] + [(150, hot)] * 300 + [(None, lost)] * 100 + [(9000, None)] * 60 + [(9000, "")] * 40
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = winnowing.fingerprints(df, per_partition=2).collect()
+    assert sorted((r.doc_id is not None, r.doc_id or 0, r.n_chars) for r in got) == sorted((i is not None, i or 0, len(t or "")) for i, t in rows)
+    copies = [r for r in got if r.doc_id == 150 and r.n_chars == len(hot)]
+    fingerprint, own = brute(hot, 16, 32)
+    cut = len(hot) // 4
+    edited = hot[:len(hot) - cut] + hot[:cut]
+    alike = [r for r in copies if r.near_next == 1.0]
+    assert len(copies) == 300 and len(alike) >= 299 and {r.fingerprint for r in copies} == {fingerprint}
+    assert {(r.edited_sha256, r.edited_fingerprint, round(r.near_edited, 9)) for r in alike} == {
+        (hashlib.sha256(edited.encode()).hexdigest(), brute(edited, 16, 32)[0], round(jaccard(own, brute(edited, 16, 32)[1]), 9))}
+    empty = [r for r in got if r.doc_id == 9000]
+    first = brute(lost, 16, 32)[0]  # the table's last row is followed by its first
+    assert len(empty) == 100 and all(r.fingerprint == "" and r.edited_fingerprint == "" for r in empty) and first in {r.fingerprint for r in got}
+    assert sum(r.near_next == 0.0 for r in empty) == 1 and sum(r.near_next == 1.0 for r in empty) == 99
+
+    keyed = df.select(winnowing.F.coalesce("doc_id", winnowing.F.lit(winnowing.LEAST)).alias("did"), winnowing.F.coalesce("text", winnowing.F.lit("")).alias("text"))
+    keyed = keyed.withColumn("th", winnowing.F.xxhash64("text"))
+    tally = keyed.groupBy("did", "th").agg(winnowing.F.count(winnowing.F.lit(1)).alias("n"))
+    kept, single, per_range = winnowing.repeated(keyed, tally, 16)
+    assert per_range == -(-900 // 16) and single.count() == 3
+    assert kept.groupBy("did", "th").count().agg({"count": "max"}).first()[0] < per_range and kept.count() == 403
+
+
+def test_one_row_repeated(spark):
+    got = winnowing.fingerprints(spark.createDataFrame([(1, "all the same text")] * 50, "doc_id long, text string")).collect()
+    assert len(got) == 50 and {(r.near_next, r.n_chars) for r in got} == {(1.0, 17)} and len({r.edited_sha256 for r in got}) == 1
