@@ -5,7 +5,8 @@ A paragraph is a line; one of over ``longest`` words is read as its sentences, j
 is fitted on the driver: on variations of the notices below, and on a bounded sample of paragraphs of the
 documents (``sample_docs``, a parameter) that are unlike any notice, as the unknown class. A temperature, fitted on
 held-out rows, calibrates its probabilities. A prediction counts only if a template of the family confirms it: enough
-of the template's word pairs are in the paragraph, or of a longer paragraph's in the template.
+of the template's word pairs are in the paragraph, or of a longer paragraph's in the template. Parts of a paragraph are
+classified too, so a dual notice names both its families.
 
 Defined results: null or empty text: no finding; repeated rows have findings each; an empty table gives no rows.
 """
@@ -64,6 +65,14 @@ TEMPLATES: dict[str, list[str]] = {
     "CC-BY-NC-ND": ["Licensed under CC BY-NC-ND 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License."],
     "Proprietary": ["All rights reserved. Unauthorized copying of this file, via any medium, is strictly prohibited.", "Copyright 2020 Example Inc. All rights reserved.", "Proprietary and confidential."],
 }
+# The short forms: identifiers, alone after a verb and as source files tag them.
+IDENTIFIERS = {"Apache": ["Apache-2.0"], "MIT": ["MIT"], "GPL": ["GPL-3.0", "GPL-2.0-only", "GPL-3.0-or-later"], "LGPL": ["LGPL-2.1", "LGPL-3.0-or-later"], "AGPL": ["AGPL-3.0", "AGPL-3.0-only"],
+               "BSD": ["BSD-3-Clause", "BSD-2-Clause"], "MPL": ["MPL-2.0"], "EPL": ["EPL-2.0"], "ISC": ["ISC"], "Unlicense": ["Unlicense"], "CC0": ["CC0-1.0"], "CC-BY": ["CC-BY-4.0"],
+               "CC-BY-SA": ["CC-BY-SA-4.0"], "CC-BY-NC": ["CC-BY-NC-4.0"], "CC-BY-NC-SA": ["CC-BY-NC-SA-4.0"], "CC-BY-ND": ["CC-BY-ND-4.0"], "CC-BY-NC-ND": ["CC-BY-NC-ND-4.0"]}
+for _family, _names in IDENTIFIERS.items():
+    TEMPLATES[_family] += [form.format(name) for name in _names for form in ("Licensed under {}", "SPDX-License-Identifier: {}")]
+PART = re.compile(r"(?<=[.!?;])\s+|\s+(?:and/or|and|or)\s+", re.IGNORECASE)
+VERB = re.compile(r"\b(?:licen[sc]ed|released|distributed|available)\s+under\b|SPDX-License-Identifier:", re.IGNORECASE)
 OPENINGS = ["This project is", "The code is", "This document is", "This dataset is", "All content is", "Unless otherwise noted, this work is", "Software"]
 
 
@@ -116,6 +125,7 @@ class Scanner:
 
     def __post_init__(self):
         self.templates = {f: [(t, pairs(tokens(t))) for t in ts] for f, ts in TEMPLATES.items()}
+        self.words_of = {f: {w for t in ts for w in tokens(t)} for f, ts in TEMPLATES.items()}
         every = [tokens(t) for ts in TEMPLATES.values() for t in ts]
         self.vocabulary = {w for t in every for w in t}
         self.known_pairs = {p for ts in self.templates.values() for _, ps in ts for p in ps}
@@ -144,6 +154,28 @@ class Scanner:
         return (self.families[k], float(p[k]), template, agreement) if agreement >= self.confirm else None
 
 
+    def find_all(self, text: str) -> list[tuple[str, float, str, float]]:
+        """The findings of a paragraph, one a family: that of the whole, and those of its parts between sentences, "and" and "or".
+
+        A part is also read after the paragraph's verb ("licensed under"). Beside the whole's family a part's needs a word
+        in its template that no template of the former has; parts alone count if they name two families and a verb is there."""
+        words = tokens(text)
+        if len(self.vocabulary & set(words)) < 2 or not (pairs(words) & self.known_pairs):
+            return []
+        whole, verb, parts = self.find(words), VERB.search(text), PART.split(text)
+        found = {whole[0]: whole} if whole else {}
+        if len(parts) > 1:
+            opening = tokens(verb[0]) if verb else []
+            for part in parts:
+                own = tokens(part)
+                hit = self.find(own) or (self.find(opening + own) if opening and not VERB.search(part) else None)
+                if hit and hit[0] not in found and (whole is None or set(own) & set(tokens(hit[2])) - self.words_of[whole[0]]):
+                    found[hit[0]] = hit
+            if whole is None and (verb is None or len(found) < 2):
+                return []
+        return list(found.values())
+
+
 def variations(rng: np.random.Generator, filler: list[list[str]], copies: int) -> tuple[list[list[str]], list[str]]:
     """Notices with words dropped, openings added and words of ordinary paragraphs around them."""
     # Only words that many families use may be dropped: without its rare ones a notice is another family's, or nobody's.
@@ -215,7 +247,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_
 
 
 def scan(docs: DataFrame, scanner: Scanner, id_col: str = "doc_id", text_col: str = "text", longest: int = 80) -> DataFrame:
-    """One row per confirmed paragraph: where it is, its family, calibrated probability, version, closest template and agreement."""
+    """One row per confirmed paragraph and family: where it is, its family, calibrated probability, version, closest template and agreement."""
     shared = docs.sparkSession.sparkContext.broadcast(scanner)  # of fixed size: a hashed table and the templates
     names = ["doc_id", "paragraph", "start", "end", "family", "probability", "version", "template", "agreement"]
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.float64(), pa.string(), pa.string(), pa.float64()]
@@ -227,8 +259,7 @@ def scan(docs: DataFrame, scanner: Scanner, id_col: str = "doc_id", text_col: st
                 out = []
                 for doc, text in zip(ids, texts, strict=True):
                     for number, start, end in paragraphs(text or "", longest):
-                        words = tokens(text[start:end])
-                        if hit := s.find(words):
+                        for hit in s.find_all(text[start:end]):
                             version = re.search(r"(?<![\w.])v?(\d+(?:\.\d+)?)(?![\w])", text[start:end])
                             out.append((doc, number, start, end, hit[0], hit[1], version[1] if version else None, hit[2], hit[3]))
                 if out:

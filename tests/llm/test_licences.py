@@ -61,3 +61,15 @@ def test_query_finds_every_planted_notice(spark):
             if re.search(r"(Licensed|Released) under|is licensed under", line)}
     got = op8_licences(spark, d).collect()
     assert {(r.doc_id, r.paragraph) for r in got} == want and all(r.agreement >= 0.6 for r in got)
+
+
+@pytest.mark.parametrize(("text", "families"), [
+    ("Licensed under the MIT License or the Apache License, Version 2.0.", {"MIT", "Apache"}), ("Dual licensed under MIT and GPL-3.0.", {"MIT", "GPL"}),
+    ("SPDX-License-Identifier: BSD-3-Clause", {"BSD"}), ("SPDX-License-Identifier: MIT OR Apache-2.0", {"MIT", "Apache"}),
+    ("Code is released under the MIT License. Text is licensed under CC BY-SA 4.0.", {"MIT", "CC-BY-SA"}),
+    ("This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation", {"GPL"}),
+    ("Licensed under the GNU General Public License v2.0.", {"GPL"}), ("Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted", {"ISC"}),
+    ("Use of this source code is governed by a BSD-style license that can be found in the LICENSE file.", {"BSD"}), ("The tool is available under pressure and the sale is public or private.", set())])
+def test_every_family_of_a_paragraph(scanner, text, families):
+    found = scanner.find_all(text)
+    assert {f[0] for f in found} == families and len(found) == len(families)
