@@ -86,3 +86,28 @@ def test_global_rank_and_running_total(spark):
     for v, i in sorted((int(v), int(i)) for _, v, i in pdf.itertuples(index=False)):
         assert total[i] == at
         at += v
+
+
+def test_hot_groups_are_read_twice_not_once_per_prefix(spark, monkeypatch):
+    """Ranks of hot groups come from the intervals their sketch names; the radix passes stay unused."""
+    monkeypatch.setattr(Q, "_rows_of", lambda *a: pytest.fail("radix pass"))
+    rng = np.random.default_rng(3)
+    pdf = pd.DataFrame({"g": np.repeat(["a", "b", None], 20000), "x": np.concatenate([rng.lognormal(0, 3, 20000), rng.integers(0, 7, 20000) * 1.0, rng.normal(0, 1, 20000)])})
+    got = {r["g"]: r for r in quantiles(spark.createDataFrame(pdf, "g string, x double").repartition(7), ["g"], "x", PROBS, hot_rows=10_000).collect()}
+    for g, own in pdf.groupby("g", dropna=False)["x"]:
+        for name, p in PROBS.items():
+            assert got[g if isinstance(g, str) else None][name] == pytest.approx(np.quantile(own, p), rel=1e-12, abs=1e-12)
+
+
+def test_ranks_outside_their_interval_are_found_all_the_same(spark, monkeypatch):
+    """A sketch that is far off, and intervals of too many values, fall back on radix selection."""
+    df = spark.range(4000).select((F.col("id") % 2).alias("g"), ((F.col("id") * 7919) % 4001 * 0.5).alias("x"))
+    inner = {"q1": 0.25, "med": 0.5}
+    want = {r["g"]: r.asDict() for r in quantiles(df, ["g"], "x", inner).collect()}
+    radix, plain = [], Q._by_radix
+    monkeypatch.setattr(Q, "_by_radix", lambda *a: radix.append(1) or plain(*a))
+    monkeypatch.setattr(Q, "MARGIN", -30)
+    assert {r["g"]: r.asDict() for r in quantiles(df, ["g"], "x", inner, hot_rows=1000, final_rows=50).collect()} == want and radix
+    radix.clear()
+    monkeypatch.setattr(Q, "MARGIN", 5000)
+    assert {r["g"]: r.asDict() for r in quantiles(df, ["g"], "x", inner, hot_rows=1000, final_rows=50).collect()} == want and radix
