@@ -272,3 +272,18 @@ def test_logistic_optimum(spark):
     assert all(r.gradient is None for r in MO.logistic_optimum(model, holes, ["a", "b"], "y", 0.1).collect())
     unlabelled = df.unionByName(spark.createDataFrame([(1.0, 1.0, None)], "a double, b double, y int"))
     assert all(abs(r.gradient) < 1e-6 for r in MO.logistic_optimum(model, unlabelled, ["a", "b"], "y", 0.1).collect())
+
+
+def test_labelled_features_are_computed_once(spark, monkeypatch):
+    """Splits, fits and metrics read stored rows: the feature processor's and the split's plans are run once."""
+    from riskweave.plans import q_model as QM
+    from riskweave.plans.catalog import table
+    rows = table(spark, "/root/testdata/sf0.001", "orders").select("o_orderkey", "o_totalprice", (F.col("o_orderkey") % 2).cast("int").alias(QM.LABEL))
+    runs = spark.sparkContext.accumulator(0)
+    seen = F.udf(lambda v: runs.add(1) or v, "double")
+    train, test = QM._split_labelled(rows.withColumn("o_totalprice", seen("o_totalprice")).localCheckpoint())
+    n = rows.count()
+    for _ in range(2):
+        assert train.agg(F.sum("o_totalprice")).count() + test.agg(F.sum("o_totalprice")).count() == 2
+    assert runs.value == n and train.count() + test.count() == n
+    assert not any(op in train._jdf.queryExecution().optimizedPlan().toString() for op in ("Join", "Aggregate", "Window"))
