@@ -33,8 +33,9 @@ def _pair_corr(x, y):
     """NULL without data or for a constant side; NaN counts as missing."""
     both = x.isNotNull() & y.isNotNull() & ~F.isnan(x) & ~F.isnan(y)
     xs, ys = F.when(both, x), F.when(both, y)
-    # not corr(): that divides by zero for a constant side
-    return F.covar_pop(xs, ys) / F.nullif(F.stddev_pop(xs) * F.stddev_pop(ys), F.lit(0.0))
+    # not corr(): that divides by zero for a constant side; a constant's deviation may also be a rounding error above zero
+    varies = (F.min(xs) < F.max(xs)) & (F.min(ys) < F.max(ys))
+    return F.when(varies, F.covar_pop(xs, ys) / F.nullif(F.stddev_pop(xs) * F.stddev_pop(ys), F.lit(0.0)))
 
 
 SUMS = ["n", "sx", "sy", "sxx", "syy", "sxy"]
