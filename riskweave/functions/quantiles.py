@@ -19,12 +19,17 @@ Radix selection, on rows that nothing narrows:
    an interval that holds at most ``final_rows`` rows, or one value, is done earlier;
 4. the rank is then read off a value-count table of the interval's rows.
 
+Whole columns (``column_quantiles``) take their intervals as literals of a scan: all columns are sketched in one aggregate, a
+second one counts the rows below the intervals of the columns of more than ``WIDE_ROWS`` values, and only the rows inside are
+grouped by value.
+
 The interpolation follows ``percentile``: position p*(n-1) between the floor and ceiling ranks; results equal the
 built-in ``percentile`` to the last bit.
 """
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark import StorageLevel
@@ -38,6 +43,7 @@ HOT_ROWS = 1_000_000      # groups larger than this avoid the one-task sort
 FINAL_ROWS = 100_000      # an interval this small is ranked directly
 SKETCH = 10_000           # accuracy of the sketch: its ranks are off by a 10,000th of the group at most
 MARGIN = 4                # an interval reaches that many times further to both sides
+WIDE_ROWS = 50_000        # columns of more values are sketched; fewer are ranked directly
 SHIFTS = (44, 32, 20, 8, 0)  # key bits still open after each pass: sign, exponent and 8 bits first, then 12 more each
 
 
@@ -93,6 +99,78 @@ def quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, float
     return out.drop("_all") if synthetic else out
 
 
+def column_quantiles(df: DataFrame, cols: list[str], probs: dict[str, float], *, wide_rows: int = WIDE_ROWS, hot_rows: int = HOT_ROWS,
+                     final_rows: int = FINAL_ROWS) -> DataFrame:
+    """``quantiles`` of each of ``cols`` over all rows: ``variable`` and one column per entry of ``probs``.
+
+    NULL and NaN are skipped; a column without any value has no row."""
+    spark, ps = df.sparkSession, list(probs.values())
+    wide = df.select(*[F.col(c).cast("double").alias(f"_x{i}") for i, c in enumerate(cols)])
+    wide = wide.select(*[F.when(~F.isnan(x), F.col(x)).alias(x) for x in wide.columns])
+    ends = _interval_ends(ps, wide_rows)
+    # one row per column; by rows of columns, as each column's sketches are then merged in a task of their own
+    seen = wide.unpivot([], wide.columns, "_v", "_x").where("_x is not null").groupBy("_v").agg(F.count(F.lit(1)).alias("_n"), F.percentile_approx("_x", ends, SKETCH).alias("_e"))
+    seen = {r["_v"]: r for r in seen.collect()}
+    names, sizes = dict(zip(wide.columns, cols, strict=True)), {x: r["_n"] for x, r in seen.items()}
+    few, many = [x for x in names if 0 < sizes.get(x, 0) <= wide_rows], [x for x in names if sizes.get(x, 0) > wide_rows]
+    found = _inside_intervals(wide, {x: _intervals(seen[x]["_e"], ends) for x in many}, sizes, ps, hot_rows) if many else {}
+    parts = []
+    if found:
+        fields = ", ".join(f"_lo{i} double, _hi{i} double" for i in range(len(ps)))
+        ranked = spark.createDataFrame([(names[x], sizes[x], *values) for x, values in found.items()], f"variable string, _n long, {fields}")
+        parts.append(ranked.select("variable", *[between(p, F.col(f"_lo{i}"), F.col(f"_hi{i}")).alias(name) for i, (name, p) in enumerate(probs.items())]))
+    missed = [x for x in many if x not in found]
+    for some, rank in ((few, lambda v: _small_groups(v, ["variable"], probs)),
+                       (missed, lambda v: _by_radix(v, spark.createDataFrame([(names[x], sizes[x]) for x in missed], "variable string, _n long"), len(missed), ["variable"], probs, final_rows))):
+        if some:
+            values = wide.select(*[F.col(x).alias(names[x]) for x in some]).unpivot([], [names[x] for x in some], "variable", "_x")
+            parts.append(rank(values.where("_x is not null")))
+    if not parts:
+        return spark.createDataFrame([], ", ".join(["variable string", *[f"`{name}` double" for name in probs]]))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _interval_ends(ps: list[float], rows: int) -> list[float]:
+    """Lower and upper end, as probabilities, of the interval around each wanted rank in groups of more than ``rows`` values."""
+    off = MARGIN / SKETCH + 2 / rows
+    return [e for p in ps for e in (max(0.0, p - off), min(1.0, p + off))]
+
+
+def _intervals(sketch: list[float], ends: list[float]) -> list[tuple[float, float]]:
+    """The values that bound the intervals; an end of the group is open."""
+    inf = float("inf")
+    return [(-inf if ends[2 * i] == 0 else sketch[2 * i], inf if ends[2 * i + 1] == 1 else sketch[2 * i + 1]) for i in range(len(ends) // 2)]
+
+
+def _inside_intervals(wide: DataFrame, bounds: dict[str, list[tuple]], sizes: dict[str, int], ps: list[float], hot_rows: int) -> dict[str, tuple]:
+    """Per column the values at the floor and ceiling ranks of each probability; columns without all of them are left out.
+
+    The bounds are literals. An interval is put in order by itself, over its distinct values (``hot_rows`` at most)."""
+    cells = [(x, i, lo, hi) for x, own in bounds.items() for i, (lo, hi) in enumerate(own)]
+    below = wide.agg(*[F.count_if(F.col(x) < lo).alias(f"{x}_{i}") for x, i, lo, _ in cells]).first()
+    inside = [F.when(reduce(lambda a, b: a | b, [F.col(x).between(lo, hi) for lo, hi in own]), F.col(x)).alias(x) for x, own in bounds.items()]
+    counts = wide.select(*inside).unpivot([], list(bounds), "_v", "_x").where("_x is not null").groupBy("_v", "_x").agg(F.count(F.lit(1)).alias("_c"))
+    cell = F.array(*[F.when((F.col("_v") == x) & F.col("_x").between(lo, hi), F.struct(F.lit(i).alias("_i"), F.lit(below[f"{x}_{i}"]).alias("_below"))) for x, i, lo, hi in cells])
+    held = materialise(counts.select("_v", "_x", "_c", F.explode(F.filter(cell, lambda c: c.isNotNull())).alias("_at")).select("_v", "_x", "_c", "_at.*"))
+    ends = {(r["_v"], r["_i"]): (r["_below"], r["_below"] + r["_rows"]) for r in held.groupBy("_v", "_i", "_below").agg(
+        F.sum("_c").alias("_rows"), F.count(F.lit(1)).alias("_distinct")).where(F.col("_distinct") <= hot_rows).collect()}  # one row an interval
+
+    def holds(x: str) -> bool:
+        ranks = [(i, r) for i, p in enumerate(ps) for r in (math.floor(p * (sizes[x] - 1)), math.ceil(p * (sizes[x] - 1)))]
+        return all((x, i) in ends and ends[x, i][0] <= r < ends[x, i][1] for i, r in ranks)
+
+    sure = [x for x in bounds if holds(x)]
+    if not sure:
+        return {}
+    wanted = wide.sparkSession.createDataFrame([(x, i, math.floor(p * (sizes[x] - 1)), math.ceil(p * (sizes[x] - 1))) for x in sure for i, p in enumerate(ps)],
+                                               "_v string, _i int, _lo long, _hi long")
+    running = Window.partitionBy("_v", "_i").orderBy("_x").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranked = held.join(F.broadcast(wanted), ["_v", "_i"]).withColumn("_end", F.col("_below") + F.sum("_c").over(running))  # one row an interval
+    at = lambda r: F.max(F.when((F.col("_end") - F.col("_c") <= F.col(r)) & (F.col(r) < F.col("_end")), F.col("_x")))
+    values = {(r["_v"], r["_i"]): (r["_a"], r["_b"]) for r in ranked.groupBy("_v", "_i").agg(at("_lo").alias("_a"), at("_hi").alias("_b")).collect()}
+    return {x: tuple(v for i in range(len(ps)) for v in values[x, i]) for x in sure}
+
+
 def _small_groups(x: DataFrame, gkeys: list[str], probs: dict[str, float]) -> DataFrame:
     """Groups of at most ``hot_rows`` values: count each distinct value
     (map-side combine), then one sorted window per group gives every value's
@@ -214,10 +292,7 @@ def _from_intervals(hot_x: DataFrame, hot: DataFrame, n_hot: int, gkeys, probs,
 
     The bounds of a group's intervals cut its values into stretches in ascending order; a stretch lies within some
     interval, and is counted by value, or within none, and is one count."""
-    ends = []
-    for p in probs.values():
-        off = MARGIN / SKETCH + 2 / hot_rows
-        ends += [max(0.0, p - off), min(1.0, p + off)]
+    ends = _interval_ends(list(probs.values()), hot_rows)
     sketch = hot_x.groupBy(*gkeys).agg(F.percentile_approx("_x", ends, SKETCH).alias("_e"))
     low = [F.lit(-float("inf")) if e == 0 else F.col("_e")[2 * i] for i, e in enumerate(ends[::2])]
     high = [F.lit(float("inf")) if e == 1 else F.col("_e")[2 * i + 1] for i, e in enumerate(ends[1::2])]

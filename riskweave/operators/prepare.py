@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from riskweave.functions.exprs import is_missing
 from riskweave.functions.ordering import global_rank
-from riskweave.functions.quantiles import materialise, quantiles
+from riskweave.functions.quantiles import column_quantiles, materialise
 from riskweave.operators.profile import long_values
 
 
@@ -46,7 +46,7 @@ def fit_imputer(df: DataFrame, num_cols: list[str], cat_cols: list[str] = (), me
             stats = df.agg(*[F.avg(F.when(~is_missing(c), F.col(c).cast("double"))).alias(f"{c}__fill")
                              for c in num_cols])
         elif method == "median":
-            q = quantiles(long_values(df, num_cols), ["variable"], "value", {"fill": 0.5})
+            q = column_quantiles(df, num_cols, {"fill": 0.5})
             stats = _wide_from_long(q, "variable", "fill", num_cols, "__fill")
         else:
             stats = _wide_from_long(_mode_long(df, num_cols, False), "variable", "fill", num_cols, "__fill")
@@ -158,7 +158,7 @@ def fit_scaler(df: DataFrame, cols: list[str], method: str = "standardize") -> D
         p = df.agg(*[F.min(x[c]).alias(f"{c}__center") for c in cols],
                    *[(F.max(x[c]) - F.min(x[c])).alias(f"{c}__scale") for c in cols])
     elif method == "robust":
-        q = quantiles(long_values(df, cols), ["variable"], "value", {"q1": 0.25, "med": 0.5, "q3": 0.75})
+        q = column_quantiles(df, cols, {"q1": 0.25, "med": 0.5, "q3": 0.75})
         p = q.agg(*[F.max(F.when(F.col("variable") == c, F.col("med"))).alias(f"{c}__center") for c in cols],
                   *[F.max(F.when(F.col("variable") == c, F.col("q3") - F.col("q1"))).alias(f"{c}__scale")
                     for c in cols])

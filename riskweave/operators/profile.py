@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskweave.functions.exprs import safe_div
-from riskweave.functions.quantiles import quantiles
+from riskweave.functions.quantiles import column_quantiles, quantiles
 from riskweave.sources.schemas import columns_of_kind
 
 QUARTILES = {"q25": 0.25, "q50": 0.5, "q75": 0.75}
@@ -57,8 +57,9 @@ def moments(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
 def variable_quantiles(df: DataFrame, cols: list[str] | None = None, probs=None,
                        approx_accuracy: int | None = None) -> DataFrame:
     cols = _numeric_cols(df, cols)
-    return quantiles(long_values(df, cols), ["variable"], "value", probs or QUARTILES,
-                     approx_accuracy=approx_accuracy)
+    if approx_accuracy:
+        return quantiles(long_values(df, cols), ["variable"], "value", probs or QUARTILES, approx_accuracy=approx_accuracy)
+    return column_quantiles(df, cols, probs or QUARTILES)
 
 
 def _with_quantiles(df, cols, probs, approx_accuracy=None):

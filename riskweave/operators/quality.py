@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from riskweave.functions.exprs import col_, is_missing, safe_div
-from riskweave.functions.quantiles import quantiles
-from riskweave.operators.profile import _numeric_cols, long_values, moments
+from riskweave.functions.quantiles import column_quantiles
+from riskweave.operators.profile import _numeric_cols, moments
 
 # Recommendation texts of the source profiling report.
 IMPUTE_ADVICE = {
@@ -154,7 +154,7 @@ def iqr_bounds(df: DataFrame, cols: list[str] | None = None, whisker: float = 1.
     """Per variable: Q1, Q3, IQR and the fences Q1 - w*IQR, Q3 + w*IQR (NULL and NaN left out)."""
     cols = _numeric_cols(df, cols)
     probs = {"q1": 0.25, "q3": 0.75, **(extra or {})}
-    q = quantiles(long_values(df, cols), ["variable"], "value", probs)
+    q = column_quantiles(df, cols, probs)
     iqr = F.col("q3") - F.col("q1")
     return q.select("variable", *probs.keys(), iqr.alias("iqr"),
                     (F.col("q1") - whisker * iqr).alias("lower"),

@@ -111,3 +111,35 @@ def test_ranks_outside_their_interval_are_found_all_the_same(spark, monkeypatch)
     radix.clear()
     monkeypatch.setattr(Q, "MARGIN", 5000)
     assert {r["g"]: r.asDict() for r in quantiles(df, ["g"], "x", inner, hot_rows=1000, final_rows=50).collect()} == want and radix
+
+
+def test_column_quantiles_equal_percentile_without_radix(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    n = 30_000
+    pdf = pd.DataFrame({"price": np.round(rng.lognormal(8, 3, n), 2), "few": rng.integers(0, 7, n) * 1.0, "short": np.where(np.arange(n) < 500, rng.normal(size=n), np.nan),
+                        "ends": rng.choice([-np.inf, np.inf, 0.0, 1.0], n), "flat": 4.0, "nothing": np.nan})
+    df = spark.createDataFrame(pdf).repartition(7)
+    probs = {"lowest": 0.0, "q1": 0.25, "med": 0.5, "q1b": 0.2501, "q3": 0.75, "most": 1.0}
+
+    def no_radix(*a, **k):
+        raise AssertionError("the intervals hold every rank")
+
+    monkeypatch.setattr(Q, "_by_radix", no_radix)
+    got = {r["variable"]: r for r in Q.column_quantiles(df, list(pdf.columns), probs, wide_rows=1000).collect()}
+    assert set(got) == set(pdf.columns) - {"nothing"}
+    for c in got:
+        values = np.sort(pdf[c].dropna().to_numpy())
+        for name, p in probs.items():
+            pos = p * (len(values) - 1)
+            lo, hi = int(np.floor(pos)), int(np.ceil(pos))
+            want = values[lo] if values[lo] == values[hi] else (hi - pos) * values[lo] + (pos - lo) * values[hi]
+            assert got[c][name] == want, (c, name)
+
+
+def test_column_quantiles_without_rows_and_by_radix(spark, monkeypatch):
+    empty = spark.createDataFrame([], "a double, b int")
+    assert Q.column_quantiles(empty, ["a", "b"], {"q": 0.5}).count() == 0
+    df = spark.range(5001).select(F.col("id").cast("double").alias("a"), (F.col("id") % 3).cast("int").alias("b"))
+    # intervals of too many distinct values are left to the radix selection
+    got = {r["variable"]: r["q"] for r in Q.column_quantiles(df, ["a", "b"], {"q": 0.5}, wide_rows=100, hot_rows=50, final_rows=10).collect()}
+    assert got == {"a": 2500.0, "b": 1.0}
