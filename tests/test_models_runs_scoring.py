@@ -287,3 +287,13 @@ def test_labelled_features_are_computed_once(spark, monkeypatch):
         assert train.agg(F.sum("o_totalprice")).count() + test.agg(F.sum("o_totalprice")).count() == 2
     assert runs.value == n and train.count() + test.count() == n
     assert not any(op in train._jdf.queryExecution().optimizedPlan().toString() for op in ("Join", "Aggregate", "Window"))
+
+
+def test_forests_keep_their_rows_nodes_between_passes(spark):
+    from pyspark.ml.feature import VectorAssembler
+    rows = spark.range(600).select((F.col("id") % 37).cast("double").alias("a"), (F.col("id") % 11).cast("double").alias("b"), (F.col("id") * 7919 % 5 > 1).cast("double").alias("y"))
+    data = VectorAssembler(inputCols=["a", "b"], outputCol="features").transform(rows).select("features", "y").repartition(3).cache()
+    est = MO.build_estimator("random_forest", seed=3, label_col="y", n_estimators=5, max_depth=6)
+    assert est.getCacheNodeIds()
+    kept, walked = est.fit(data), est.copy({est.cacheNodeIds: False}).fit(data)
+    assert kept.toDebugString.split("\n")[1:] == walked.toDebugString.split("\n")[1:]
