@@ -19,9 +19,9 @@ Radix selection, on rows that nothing narrows:
    an interval that holds at most ``final_rows`` rows, or one value, is done earlier;
 4. the rank is then read off a value-count table of the interval's rows.
 
-Whole columns (``column_quantiles``) take their intervals as literals of a scan: all columns are sketched in one aggregate, a
-second one counts the rows below the intervals of the columns of more than ``WIDE_ROWS`` values, and only the rows inside are
-grouped by value.
+Whole columns (``column_quantiles``) of more than ``WIDE_ROWS`` values take two scans: the first counts the rows of all columns by
+cells of a logarithmic scale, with map-side combine; the cells that hold a wanted rank are literals of the second, and only the rows
+inside them are grouped by value.
 
 The interpolation follows ``percentile``: position p*(n-1) between the floor and ceiling ranks; results equal the
 built-in ``percentile`` to the last bit.
@@ -44,6 +44,7 @@ FINAL_ROWS = 100_000      # an interval this small is ranked directly
 SKETCH = 10_000           # accuracy of the sketch: its ranks are off by a 10,000th of the group at most
 MARGIN = 4                # an interval reaches that many times further to both sides
 WIDE_ROWS = 50_000        # columns of more values are sketched; fewer are ranked directly
+CELLS = 256               # cells of a whole column for each doubling of a value
 SHIFTS = (44, 32, 20, 8, 0)  # key bits still open after each pass: sign, exponent and 8 bits first, then 12 more each
 
 
@@ -107,13 +108,10 @@ def column_quantiles(df: DataFrame, cols: list[str], probs: dict[str, float], *,
     spark, ps = df.sparkSession, list(probs.values())
     wide = df.select(*[F.col(c).cast("double").alias(f"_x{i}") for i, c in enumerate(cols)])
     wide = wide.select(*[F.when(~F.isnan(x), F.col(x)).alias(x) for x in wide.columns])
-    ends = _interval_ends(ps, wide_rows)
-    # one row per column; by rows of columns, as each column's sketches are then merged in a task of their own
-    seen = wide.unpivot([], wide.columns, "_v", "_x").where("_x is not null").groupBy("_v").agg(F.count(F.lit(1)).alias("_n"), F.percentile_approx("_x", ends, SKETCH).alias("_e"))
-    seen = {r["_v"]: r for r in seen.collect()}
-    names, sizes = dict(zip(wide.columns, cols, strict=True)), {x: r["_n"] for x, r in seen.items()}
+    cells = _rank_cells(wide, ps)
+    names, sizes = dict(zip(wide.columns, cols, strict=True)), {x: own[0]["_n"] for x, own in cells.items()}
     few, many = [x for x in names if 0 < sizes.get(x, 0) <= wide_rows], [x for x in names if sizes.get(x, 0) > wide_rows]
-    found = _inside_intervals(wide, {x: _intervals(seen[x]["_e"], ends) for x in many}, sizes, ps, hot_rows) if many else {}
+    found = _inside_cells(wide, {x: cells[x] for x in many}, ps, hot_rows)
     parts = []
     if found:
         fields = ", ".join(f"_lo{i} double, _hi{i} double" for i in range(len(ps)))
@@ -136,39 +134,67 @@ def _interval_ends(ps: list[float], rows: int) -> list[float]:
     return [e for p in ps for e in (max(0.0, p - off), min(1.0, p + off))]
 
 
-def _intervals(sketch: list[float], ends: list[float]) -> list[tuple[float, float]]:
-    """The values that bound the intervals; an end of the group is open."""
-    inf = float("inf")
-    return [(-inf if ends[2 * i] == 0 else sketch[2 * i], inf if ends[2 * i + 1] == 1 else sketch[2 * i + 1]) for i in range(len(ends) // 2)]
-
-
-def _inside_intervals(wide: DataFrame, bounds: dict[str, list[tuple]], sizes: dict[str, int], ps: list[float], hot_rows: int) -> dict[str, tuple]:
-    """Per column the values at the floor and ceiling ranks of each probability; columns without all of them are left out.
-
-    The bounds are literals. An interval is put in order by itself, over its distinct values (``hot_rows`` at most)."""
-    cells = [(x, i, lo, hi) for x, own in bounds.items() for i, (lo, hi) in enumerate(own)]
-    below = wide.agg(*[F.count_if(F.col(x) < lo).alias(f"{x}_{i}") for x, i, lo, _ in cells]).first()
-    inside = [F.when(reduce(lambda a, b: a | b, [F.col(x).between(lo, hi) for lo, hi in own]), F.col(x)).alias(x) for x, own in bounds.items()]
-    counts = wide.select(*inside).unpivot([], list(bounds), "_v", "_x").where("_x is not null").groupBy("_v", "_x").agg(F.count(F.lit(1)).alias("_c"))
-    cell = F.array(*[F.when((F.col("_v") == x) & F.col("_x").between(lo, hi), F.struct(F.lit(i).alias("_i"), F.lit(below[f"{x}_{i}"]).alias("_below"))) for x, i, lo, hi in cells])
-    held = materialise(counts.select("_v", "_x", "_c", F.explode(F.filter(cell, lambda c: c.isNotNull())).alias("_at")).select("_v", "_x", "_c", "_at.*"))
-    ends = {(r["_v"], r["_i"]): (r["_below"], r["_below"] + r["_rows"]) for r in held.groupBy("_v", "_i", "_below").agg(
-        F.sum("_c").alias("_rows"), F.count(F.lit(1)).alias("_distinct")).where(F.col("_distinct") <= hot_rows).collect()}  # one row an interval
-
-    def holds(x: str) -> bool:
-        ranks = [(i, r) for i, p in enumerate(ps) for r in (math.floor(p * (sizes[x] - 1)), math.ceil(p * (sizes[x] - 1)))]
-        return all((x, i) in ends and ends[x, i][0] <= r < ends[x, i][1] for i, r in ranks)
-
-    sure = [x for x in bounds if holds(x)]
-    if not sure:
-        return {}
-    wanted = wide.sparkSession.createDataFrame([(x, i, math.floor(p * (sizes[x] - 1)), math.ceil(p * (sizes[x] - 1))) for x in sure for i, p in enumerate(ps)],
-                                               "_v string, _i int, _lo long, _hi long")
-    running = Window.partitionBy("_v", "_i").orderBy("_x").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranked = held.join(F.broadcast(wanted), ["_v", "_i"]).withColumn("_end", F.col("_below") + F.sum("_c").over(running))  # one row an interval
-    at = lambda r: F.max(F.when((F.col("_end") - F.col("_c") <= F.col(r)) & (F.col(r) < F.col("_end")), F.col("_x")))
-    values = {(r["_v"], r["_i"]): (r["_a"], r["_b"]) for r in ranked.groupBy("_v", "_i").agg(at("_lo").alias("_a"), at("_hi").alias("_b")).collect()}
-    return {x: tuple(v for i in range(len(ps)) for v in values[x, i]) for x in sure}
+def _cell(x: Column) -> Column:
+    """A long that does not fall as the value rises: its sign and ``CELLS`` steps for each doubling. One logarithm a value, which
+    costs far less than the exact key; that cells are in order is tested on their ends."""
+    smallest, lift = 2.0 ** -1074, 1076 * CELLS
+    steps = F.floor(F.least(F.log2(F.greatest(F.abs(x), F.lit(smallest))), F.lit(1025.0)) * float(CELLS)) + lift
+    return (steps * F.signum(x)).cast("long")
+
+
+def _rank_cells(wide: DataFrame, ps: list[float]) -> dict[str, list]:
+    """Per column the cells that hold its wanted ranks: rows (``_c``) and those up to its end (``_end``), least and largest value
+    (``_lo``, ``_hi``), the column's size (``_n``), and whether all its cells are in order (``_sorted``). One scan."""
+    cells = wide.unpivot([], wide.columns, "_v", "_x").where("_x is not null").groupBy("_v", _cell(F.col("_x")).alias("_cell")).agg(
+        F.count(F.lit(1)).alias("_c"), F.min("_x").alias("_lo"), F.max("_x").alias("_hi"))
+    whole = Window.partitionBy("_v")  # about 2**20 cells a column at most
+    ordered = whole.orderBy("_cell")
+    cells = cells.withColumns({"_n": F.sum("_c").over(whole), "_end": F.sum("_c").over(ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow)),
+                               "_after": F.coalesce(F.lag("_hi").over(ordered) < F.col("_lo"), F.lit(True))})
+    cells = cells.withColumn("_sorted", F.min("_after").over(whole))
+    holds = reduce(lambda a, b: a | b, [(F.col("_end") - F.col("_c") <= r) & (r < F.col("_end")) for p in ps for r in ranks_of(p)[1:]])
+    out: dict[str, list] = {}
+    for r in cells.where(holds).select("_v", "_c", "_end", "_lo", "_hi", "_n", "_sorted").collect():  # two cells at most for each column and probability
+        out.setdefault(r["_v"], []).append(r)
+    return out
+
+
+def _inside_cells(wide: DataFrame, cells: dict[str, list], ps: list[float], hot_rows: int) -> dict[str, tuple]:
+    """Per column the values at the floor and ceiling ranks of each probability; columns with a cell of more than ``hot_rows`` distinct
+    values, or with cells out of order, are left out. Bounds are literals, a cell is put in order by itself, over its distinct values."""
+    wanted, at, cells = [], {}, {x: own for x, own in cells.items() if own[0]["_sorted"]}
+    for x, own in cells.items():
+        n = own[0]["_n"]
+        for r in sorted({r for p in ps for r in (math.floor(p * (n - 1)), math.ceil(p * (n - 1)))}):
+            i = next(i for i, c in enumerate(own) if c["_end"] - c["_c"] <= r < c["_end"])
+            if own[i]["_lo"] == own[i]["_hi"]:
+                at[x, r] = own[i]["_lo"] + 0.0  # no negative zero
+            else:
+                wanted.append((x, i, r))
+    missed: set[str] = set()
+    if wanted:
+        mine: dict[str, set] = {}
+        for x, i, _ in wanted:
+            mine.setdefault(x, set()).add(i)
+        within = lambda x, c: x.between(c["_lo"], c["_hi"])
+        inside = [F.when(reduce(lambda a, b: a | b, [within(F.col(x), cells[x][i]) for i in some]), F.col(x)).alias(x) for x, some in mine.items()]
+        counts = wide.select(*inside).unpivot([], list(mine), "_v", "_x").where("_x is not null").groupBy("_v", "_x").agg(F.count(F.lit(1)).alias("_c"))
+        # cells of a column do not overlap: a value has one
+        cell = F.coalesce(*[F.when((F.col("_v") == x) & within(F.col("_x"), cells[x][i]), F.lit(i)) for x, some in mine.items() for i in some])
+        held = materialise(counts.withColumn("_i", cell))
+        many = held.groupBy("_v", "_i").agg(F.count(F.lit(1)).alias("_distinct")).where(F.col("_distinct") > hot_rows)
+        missed = {r["_v"] for r in many.collect()}  # one row a cell at most
+        wanted = [w for w in wanted if w[0] not in missed]
+    if wanted:
+        ranks = wide.sparkSession.createDataFrame([(x, i, cells[x][i]["_end"] - cells[x][i]["_c"], r) for x, i, r in wanted], "_v string, _i int, _below long, _r long")
+        running = Window.partitionBy("_v", "_i").orderBy("_x").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        ordered = held.where(~F.col("_v").isin(list(missed))) if missed else held
+        ranked = ordered.withColumn("_end", F.sum("_c").over(running)).join(F.broadcast(ranks), ["_v", "_i"])  # one row a rank
+        after = F.col("_r") - F.col("_below")
+        for r in ranked.where((F.col("_end") - F.col("_c") <= after) & (after < F.col("_end"))).select("_v", "_r", "_x").collect():  # one row a rank
+            at[r["_v"], r["_r"]] = r["_x"]
+    place = lambda x, p: p * (cells[x][0]["_n"] - 1)
+    return {x: tuple(at[x, r] for p in ps for r in (math.floor(place(x, p)), math.ceil(place(x, p)))) for x in cells if x not in missed}
 
 
 def _small_groups(x: DataFrame, gkeys: list[str], probs: dict[str, float]) -> DataFrame:

@@ -143,3 +143,29 @@ def test_column_quantiles_without_rows_and_by_radix(spark, monkeypatch):
     # intervals of too many distinct values are left to the radix selection
     got = {r["variable"]: r["q"] for r in Q.column_quantiles(df, ["a", "b"], {"q": 0.5}, wide_rows=100, hot_rows=50, final_rows=10).collect()}
     assert got == {"a": 2500.0, "b": 1.0}
+
+
+def test_column_quantiles_need_no_sketch_and_survive_cells_out_of_order(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    pdf = pd.DataFrame({"wide": rng.normal(size=4000) * 10.0 ** rng.integers(-300, 300, 4000), "near": 1e9 + rng.normal(size=4000), "zero": rng.choice([0.0, -0.0, 5e-324, -5e-324], 4000),
+                        "ends": rng.choice([-INF, INF, 1.0, -1.7e308], 4000)})
+    df = spark.createDataFrame(pdf).repartition(5)
+    monkeypatch.setattr(Q.F, "percentile_approx", lambda *a: pytest.fail("sketch"))
+    radix, plain = [], Q._by_radix
+    monkeypatch.setattr(Q, "_by_radix", lambda *a: radix.append(1) or plain(*a))
+
+    def check():
+        got = {r["variable"]: r for r in Q.column_quantiles(df, list(pdf.columns), PROBS, wide_rows=100).collect()}
+        for c in pdf.columns:
+            own = np.sort(pdf[c].to_numpy())
+            for name, p in PROBS.items():
+                pos = p * (len(own) - 1)
+                lo, hi = float(own[math.floor(pos)]), float(own[math.ceil(pos)])
+                assert got[c][name] == (lo if lo == hi else (math.ceil(pos) - pos) * lo + (pos - math.floor(pos)) * hi), (c, name)
+
+    check()
+    assert not radix
+    plain_cell = Q._cell
+    monkeypatch.setattr(Q, "_cell", lambda x: F.abs(plain_cell(x)))  # negative values among the positive ones
+    check()
+    assert radix
