@@ -1,4 +1,5 @@
 import random
+import threading
 
 import numpy as np
 import pytest
@@ -113,6 +114,26 @@ def test_grid_and_random_search(spark, tmp_path):
     assert len(expand_grid({"C": [1, 2], "penalty": ["l1", "l2"], "solver": ["liblinear", "lbfgs"]})) == 6
 
 
+def test_fits_of_later_folds_do_not_wait_and_read_few_parts(spark, monkeypatch):
+    from pyspark.ml.classification import LogisticRegression
+    plain, seen, later, waited, lock = LogisticRegression.fit, [], threading.Event(), [], threading.Lock()
+
+    def fit(self, rows, params=None):
+        with lock:
+            seen.append(rows.rdd.getNumPartitions())
+            n = len(seen)
+        if n == 3:  # two candidates a fold
+            later.set()
+        if n == 1:
+            waited.append(later.wait(60))
+        return plain(self, rows, params)
+
+    monkeypatch.setattr(LogisticRegression, "fit", fit)
+    t = HyperparameterTuner(cv=3, seed=42, key_cols=["id"], parallelism=3)
+    r = t.grid_search("logistic_regression", data(spark).repartition(24), FEATS, "y", {"C": [0.1, 1.0], "penalty": ["l2"], "solver": ["lbfgs"]})
+    assert waited == [True] and max(seen[:6]) <= 4 and all(0.5 < s <= 1 for s in r["cv_scores"])
+
+
 def test_one_call_tuning(spark):
     t = tune_hyperparameters(data(spark), FEATS, "y", ["decision_tree"], "random", n_iter=2, cv=2, key_cols=["id"], grids={"decision_tree": {"max_depth": [1, 2, 3]}})
     assert len(t.results["decision_tree"]["params"]) == 2
