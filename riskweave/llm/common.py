@@ -5,7 +5,9 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,6 +53,13 @@ def text_blocks(ids: list, texts: list, chars: int = 4_000_000) -> Iterator[tupl
         yield ids[at:], texts[at:]
 
 
+def batch_slices(batch: pa.RecordBatch, text_col: int, size: int = 4_000_000) -> Iterator[pa.RecordBatch]:
+    """Cut one Arrow batch into runs of rows of at most about ``size`` bytes of text, before any text becomes a Python string."""
+    before = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text_col)), 0).to_numpy(zero_copy_only=False).astype(np.int64)) // size
+    for at in np.unique(before, return_index=True)[1]:
+        yield batch.slice(at, np.searchsorted(before, before[at], "right") - at)
+
+
 def row_draws(df: DataFrame, *cols: str) -> DataFrame:
     """With a column ``_draw``, from 0 to 1, hashed from ``cols`` and the row's place in the table: rows that are equal in
     ``cols``, or null there, have draws of their own. Which rows have low ones depends on how the table is partitioned."""
@@ -92,8 +101,8 @@ def keep_rows(docs: DataFrame, text_col: str, accepted: Callable[[list], list[bo
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(batch.schema.get_field_index(text_col)).to_pylist()
-            keep = [x for _, some in text_blocks(texts, texts) for x in accepted(some)]
-            yield batch.filter(pa.array(keep, pa.bool_()))
+            at = batch.schema.get_field_index(text_col)
+            for part in batch_slices(batch, at):
+                yield part.filter(pa.array(accepted(part.column(at).to_pylist()), pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

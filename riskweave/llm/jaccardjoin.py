@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskweave.llm.common import docs_of, drop_shared, free_names, text_blocks, write_shared
+from riskweave.llm.common import batch_slices, docs_of, drop_shared, free_names, text_blocks, write_shared
 from riskweave.llm.components import components
 from riskweave.llm.grouped import mix, whole_groups
 from riskweave.llm.linededup import LEAST, line_id
@@ -69,7 +69,8 @@ def drawn(docs: DataFrame, id_col: str, text_col: str, width: int, threshold: fl
         seeds = mix(np.arange(1, runs * levels + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
         overlap = 2 * threshold / (1 + threshold)  # of two sets of one size at the threshold
         for batch in batches:
-            for ids, texts in text_blocks(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for part in batch_slices(batch, 1):
+                ids, texts = part.column(0).to_pylist(), part.column(1).to_pylist()
                 sets, at = distinct_sets(texts, width)
                 size = np.diff(at)
                 some = np.flatnonzero(size)

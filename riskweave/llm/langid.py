@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from riskweave.llm.common import docs_of, keep_rows, sample_by_key, text_blocks
 
 WIDTH, BITS, BLOCK = 32, 16, 32
+WORDS_AT_ONCE = 65_536  # about as many words are held at once as Python strings or with probabilities, whatever the block of texts
 WORD = re.compile(rf"[^\W\d_]{{1,{WIDTH}}}")  # a longer run is several words
 SCHEMA = ("doc_id long, lang_pred string, score double, n_words long, switches long, "
           "runs array<struct<lang:string,start:long,end:long>>")
@@ -86,10 +87,10 @@ class Crf:
     def emissions(self, words: list[str]) -> np.ndarray:
         k = len(self.langs)
         out = np.empty((len(words), k))
-        for at in range(0, len(words), 8192):
-            some = words[at:at + 8192]
+        for at in range(0, len(words), 2048):
+            some = words[at:at + 2048]
             lex = np.array([self.lexicon.get(w, k) for w in some], dtype=np.int64)
-            out[at:at + 8192] = self.weights[feature_ids(some)].sum(1) + self.lexicon_weights[lex]
+            out[at:at + 2048] = self.weights[feature_ids(some)].sum(1) + self.lexicon_weights[lex]
         return out
 
 
@@ -255,18 +256,31 @@ class Labels:
 
 
 def label_texts(texts: list[str | None], m: Crf) -> Labels:
-    words = [words_of(t) if t else [] for t in texts]
     k, n = len(m.langs), len(texts)
-    count = np.array([len(w) for w in words], dtype=np.int64)
+    parts, flat, count = [], [], np.zeros(n, dtype=np.int64)
+    for i, t in enumerate(texts):
+        words = words_of(t) if t else []
+        flat += words
+        count[i] = len(words)
+        if len(flat) >= WORDS_AT_ONCE:  # few are Python strings at a time
+            parts.append(pa.array(flat, pa.string()))
+            flat = []
     if not (count.sum() and k):
         return Labels(["und"] * n, np.zeros(n), count, np.zeros(n, dtype=np.int64), [np.empty(0, np.int64)] * n)
-    flat = pa.array([w for ws in words for w in ws]).dictionary_encode()
-    e = m.emissions(flat.dictionary.to_pylist())[flat.indices.to_numpy()]
+    flat = pa.concat_arrays([*parts, pa.array(flat, pa.string())]).dictionary_encode()
+    known, word = m.emissions(flat.dictionary.to_pylist()), flat.indices.to_numpy()
     doc = np.repeat(np.arange(n), count)
-    p = marginals(e, doc, n, m.transitions)
-    by = np.stack([np.bincount(doc, p[:, j], n) for j in range(k)], axis=1)
+    upto = np.concatenate([[0], np.cumsum(count)])
+    by, top = np.empty((n, k)), np.empty(len(doc), dtype=np.int64)
+    lo = 0
+    while lo < n:  # documents of about WORDS_AT_ONCE words together
+        hi = max(lo + 1, int(np.searchsorted(upto, upto[lo] + WORDS_AT_ONCE, "right")) - 1)
+        some, own = slice(upto[lo], upto[hi]), doc[upto[lo]:upto[hi]] - lo
+        p = marginals(known[word[some]], own, hi - lo, m.transitions)
+        by[lo:hi] = np.stack([np.bincount(own, p[:, j], hi - lo) for j in range(k)], axis=1)
+        top[some] = p.argmax(1)
+        lo = hi
     best = by.argmax(1)
-    top = p.argmax(1)
     turn = np.concatenate([[0], (top[1:] != top[:-1]) & (doc[1:] == doc[:-1])])
     return Labels([m.langs[b] if c else "und" for b, c in zip(best, count, strict=True)], np.where(count > 0, np.minimum(by[np.arange(n), best] / np.maximum(count, 1), 1.0), 0.0),
                   count, np.bincount(doc, turn, n).astype(np.int64), np.split(top, np.cumsum(count)[:-1]))

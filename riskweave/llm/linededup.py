@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskweave.llm.common import docs_of, drop_shared, free_names, text_blocks, write_shared
+from riskweave.llm.common import batch_slices, docs_of, drop_shared, free_names, write_shared
 from riskweave.llm.components import components
 from riskweave.llm.grouped import mix, whole_groups
 from riskweave.llm.shingles import char_shingles
@@ -41,7 +41,15 @@ from riskweave.llm.shingles import char_shingles
 LEAST = -(1 << 63)  # stands for a null id
 EMPTY = np.uint32(0xFFFFFFFF)
 SMALL = 16  # lines of a group that is compared together with others
-BLOCK_BYTES = 4_000_000  # of the lines of several groups whose shingles are held at once
+BLOCK_BYTES = 1_000_000  # of the lines of several groups whose shingles are held at once
+HASH_CHARS = 500_000  # of the lines whose shingles are hashed at once, and shingles that are compared at once
+
+
+def line_runs(sizes: np.ndarray) -> list[tuple[int, int]]:
+    """Runs (from, to) of items of together not much over HASH_CHARS."""
+    block = np.cumsum(sizes) // HASH_CHARS
+    cuts = np.flatnonzero(block[1:] != block[:-1]) + 1
+    return [(int(a), int(b)) for a, b in zip([0, *cuts], [*cuts, len(block)], strict=True)]
 
 
 def line_id(line: str) -> int:
@@ -71,6 +79,10 @@ class Banding:
 
     def __call__(self, lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Band hashes of all lines, one after another, and how many each has."""
+        parts = [self._some(lines[a:b]) for a, b in line_runs(np.array([len(x) for x in lines], dtype=np.int64))]
+        return np.concatenate([h for h, _ in parts]), np.concatenate([n for _, n in parts])
+
+    def _some(self, lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
         k = self.bands * self.rows
         h, n = char_shingles(lines, self.width)
         low = h.astype(np.uint32)
@@ -108,7 +120,8 @@ def lines_of(docs: DataFrame, id_col: str, text_col: str, banding: Banding) -> D
 
         uid = TaskContext.get().partitionId() << 40
         for batch in batches:
-            for ids, texts in text_blocks(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for part in batch_slices(batch, 1):
+                ids, texts = part.column(0).to_pylist(), part.column(1).to_pylist()
                 rows, fresh, seen = [], [], set()
                 for doc, text in zip(ids, texts, strict=True):
                     if text:
@@ -180,11 +193,17 @@ def met_lines(lines: DataFrame, bands: int, chunk: int, chunk_chars: int) -> Dat
 
 def shingle_sets(lines: list[str], width: int) -> tuple[np.ndarray, np.ndarray]:
     """Distinct shingle hashes (40 bits) of each line, sorted, one line after another, and where each line's start."""
+    parts = [_some_sets(lines[a:b], width) for a, b in line_runs(np.array([len(x) for x in lines], dtype=np.int64))]
+    return np.concatenate([s for s, _ in parts]), np.concatenate([[0], np.cumsum(np.concatenate([n for _, n in parts]))])
+
+
+def _some_sets(lines: list[str], width: int) -> tuple[np.ndarray, np.ndarray]:
+    """The sets, one after another, and their sizes."""
     h, n = char_shingles(lines, width)
     both = np.sort(np.repeat(np.arange(len(lines), dtype=np.uint64) << np.uint64(40), n) | (h >> np.uint64(24)))
     both = both[np.concatenate([[True], both[1:] != both[:-1]])]
     of = (both >> np.uint64(40)).astype(np.int64)
-    return both & np.uint64((1 << 40) - 1), np.searchsorted(of, np.arange(len(lines) + 1))
+    return both & np.uint64((1 << 40) - 1), np.bincount(of, minlength=len(lines))
 
 
 def similar(sets: np.ndarray, at: np.ndarray, p: np.ndarray, q: np.ndarray, threshold: float) -> np.ndarray:
@@ -192,8 +211,8 @@ def similar(sets: np.ndarray, at: np.ndarray, p: np.ndarray, q: np.ndarray, thre
     size = np.diff(at)
     out = np.zeros(len(p), dtype=bool)
     fit = np.flatnonzero(np.minimum(size[p], size[q]) >= threshold * np.maximum(size[p], size[q]) - 1e-9)
-    for k in range(0, len(fit), 4096):
-        some = fit[k:k + 4096]
+    for lo, hi in line_runs(size[p[fit]] + size[q[fit]]):
+        some = fit[lo:hi]
         member = np.stack([p[some], q[some]], axis=1).ravel()
         n = size[member]
         index = np.repeat(at[member] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
