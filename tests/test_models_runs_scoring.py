@@ -56,6 +56,17 @@ def test_train_evaluate_best(spark):
         t.best_model("nope")
 
 
+def test_a_failed_model_is_no_result(spark):
+    """The others train, but the call raises: a summary without a model must not look whole."""
+    df = data(spark, 60)
+    t = MO.ModelTrainer(42)
+    with pytest.raises(RuntimeError, match="random_forest"):
+        t.train_multiple(["random_forest", "decision_tree"], df, df, FEATS, "y", {"random_forest": {"max_depth": 31}})
+    assert set(t.metrics) == set(t.models) == {"decision_tree"} and set(t.failures) == {"random_forest"}
+    t.train_multiple(["decision_tree", "no_such_model"], df, df, FEATS, "y")
+    assert set(t.failures) == {"random_forest", "no_such_model"}
+
+
 def test_forest_and_boosted_trees_train(spark, tmp_path):
     df = data(spark)
     train, test = df.where("id % 5 != 0"), df.where("id % 5 = 0")
